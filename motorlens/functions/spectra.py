@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from motorlens.functions.shipping import by_value
+
+by_value(__name__)
+
 # fixed values of the peak search
 PEAK_HEIGHT = 0.1
 PEAK_PROMINENCE = 0.5
