@@ -13,10 +13,14 @@ from motorlens.plans.sql_frames import r6, with_frames
 from motorlens.sources import star_tables as S
 
 FFT = 16
+# 16 bins at this rate put neighbouring bins just inside the 50 Hz spacing rule
+PEAK_FFT = 32
 
-SPECTRA = CLEAN + f"""
+
+def spectra_sql(fft):
+    return CLEAN + f"""
 placed AS (
-    SELECT signal_id, window_no, phase, value, i, n, least({FFT}, n) AS size
+    SELECT signal_id, window_no, phase, value, i, n, least({fft}, n) AS size
     FROM (SELECT *, row_number() OVER (PARTITION BY signal_id, window_no, phase ORDER BY sample_idx) - 1 AS i,
                  count(*) OVER (PARTITION BY signal_id, window_no, phase) AS n FROM smoothed)),
 segments AS (
@@ -30,8 +34,33 @@ magnitudes AS (
     FROM tapered t, LATERAL (SELECT unnest(range(0, t.size // 2)) AS k) b
     GROUP BY signal_id, window_no, phase, n, size, s, k),
 spectra AS (
-    SELECT signal_id, window_no, phase, k AS bin, k * {RATE}.0::DOUBLE / size AS frequency, avg(m) AS magnitude
-    FROM magnitudes GROUP BY signal_id, window_no, phase, k, size),"""
+    SELECT signal_id, window_no, phase, n, k AS bin, k * {RATE}.0::DOUBLE / size AS frequency, avg(m) AS magnitude
+    FROM magnitudes GROUP BY signal_id, window_no, phase, n, k, size),"""
+
+
+SPECTRA = spectra_sql(FFT)
+
+# With one bin of spacing no maximum hides another, so height and prominence decide.
+PEAKS = spectra_sql(PEAK_FFT) + """
+candidates AS (
+    SELECT *, first_value(magnitude) OVER (PARTITION BY signal_id, window_no, phase ORDER BY magnitude DESC) AS highest
+    FROM (SELECT *, lag(magnitude) OVER seg AS before, lead(magnitude) OVER seg AS after
+          FROM spectra WINDOW seg AS (PARTITION BY signal_id, window_no, phase ORDER BY bin))),
+edges AS (
+    SELECT c.signal_id, c.window_no, c.phase, c.n, c.bin, c.frequency, c.magnitude, c.highest,
+           max(o.bin) FILTER (o.bin < c.bin AND o.magnitude > c.magnitude) AS l,
+           min(o.bin) FILTER (o.bin > c.bin AND o.magnitude > c.magnitude) AS r
+    FROM candidates c JOIN spectra o USING (signal_id, window_no, phase)
+    WHERE c.magnitude > c.before AND c.magnitude > c.after AND c.magnitude >= 0.1 * c.highest AND c.n >= 20
+    GROUP BY ALL),
+prominent AS (
+    SELECT e.signal_id, e.window_no, e.phase, e.frequency, e.magnitude, e.highest,
+           e.magnitude - greatest(min(o.magnitude) FILTER (o.bin BETWEEN coalesce(e.l, 0) AND e.bin),
+                                  min(o.magnitude) FILTER (o.bin BETWEEN e.bin AND coalesce(e.r, 1000000))) AS prominence
+    FROM edges e JOIN spectra o USING (signal_id, window_no, phase) GROUP BY e.bin, ALL),
+peaks AS (
+    SELECT *, row_number() OVER (PARTITION BY signal_id, window_no, phase ORDER BY magnitude DESC) - 1 AS rank
+    FROM prominent WHERE prominence >= 0.05 * highest),"""
 
 
 def _segments(spark, sf_dir):
@@ -41,7 +70,7 @@ def _segments(spark, sf_dir):
 
 
 def _described(spark, sf_dir):
-    return P.describe_spectrum(_segments(spark, sf_dir), size=FFT)
+    return P.describe_spectrum(_segments(spark, sf_dir), size=PEAK_FFT)
 
 
 @query(
@@ -80,15 +109,34 @@ def spectral_shape(spark, sf_dir):
     return shaped.select(*W.SEGMENT, "centroid", "bandwidth", "rolloff", "energy")
 
 
-@query("spectral_peaks")
+@query(
+    "spectral_peaks",
+    with_frames(
+        "samples",
+        f"""SELECT signal_id, window_no, phase, rank, {r6('frequency')} AS frequency, {r6('magnitude')} AS amplitude,
+                   {r6('prominence')} AS prominence FROM peaks WHERE rank < 10""",
+        PEAKS,
+    ),
+)
 def spectral_peaks(spark, sf_dir):
     described = _described(spark, sf_dir)
     return described.select(*W.SEGMENT, F.posexplode("peaks").alias("rank", "peak")).select(
-        *W.SEGMENT, "rank", "peak.frequency", "peak.amplitude", "peak.prominence"
+        *W.SEGMENT, F.col("rank").cast("bigint").alias("rank"), "peak.frequency", "peak.amplitude", "peak.prominence"
     )
 
 
-@query("dominant_frequency")
+@query(
+    "dominant_frequency",
+    with_frames(
+        "samples",
+        f"""SELECT s.signal_id, s.window_no, s.phase,
+                   {r6('CASE WHEN n >= 20 THEN coalesce(p.frequency, 0) END')} AS dominant_frequency
+            FROM (SELECT DISTINCT signal_id, window_no, phase, n FROM spectra) s
+            LEFT JOIN peaks p ON p.signal_id = s.signal_id AND p.window_no = s.window_no AND p.phase = s.phase
+                AND p.rank = 0""",
+        PEAKS,
+    ),
+)
 def dominant_frequency(spark, sf_dir):
     return _described(spark, sf_dir).select(*W.SEGMENT, "dominant_frequency")
 
@@ -106,7 +154,7 @@ def extract_features(spark, sf_dir):
         "*", F.lit(RATE).alias("sample_rate_hz"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("recorded_at")
     )
     rows = X.extract_features(
-        samples, size=SIZE, hop=HOP, min_length=MIN_LENGTH, kernel=KERNEL, spectrum_size=FFT
+        samples, size=SIZE, hop=HOP, min_length=MIN_LENGTH, kernel=KERNEL, spectrum_size=PEAK_FFT
     )
     spectra = [F.to_json(f"phase_{p}").alias(f"phase_{p}") for p in "abc"]
     return rows.select(*[c for c in rows.columns if not c.startswith("phase_")], *spectra)
