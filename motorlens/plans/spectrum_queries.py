@@ -57,7 +57,8 @@ prominent AS (
     SELECT e.signal_id, e.window_no, e.phase, e.frequency, e.magnitude, e.highest,
            e.magnitude - greatest(min(o.magnitude) FILTER (o.bin BETWEEN coalesce(e.l, 0) AND e.bin),
                                   min(o.magnitude) FILTER (o.bin BETWEEN e.bin AND coalesce(e.r, 1000000))) AS prominence
-    FROM edges e JOIN spectra o USING (signal_id, window_no, phase) GROUP BY e.bin, ALL),
+    FROM edges e JOIN spectra o USING (signal_id, window_no, phase) 
+    GROUP BY e.signal_id, e.window_no, e.phase, e.bin, e.frequency, e.magnitude, e.highest),
 peaks AS (
     SELECT *, row_number() OVER (PARTITION BY signal_id, window_no, phase ORDER BY magnitude DESC) - 1 AS rank
     FROM prominent WHERE prominence >= 0.05 * highest),"""

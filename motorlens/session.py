@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="motorlens-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def table_folder(spark: SparkSession) -> str:
+    """A new folder for written tables, beside the shared checkpoints."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
