@@ -16,6 +16,8 @@ ACCURACY = 10_000
 # The sketch promises a rank error below n / ACCURACY; ten times that is the margin kept around a rank.
 MARGIN = 10.0 / ACCURACY
 SUBRANGES = 256
+# Below this count a rank or two matters more than the margin, and the whole group is the bracket.
+SMALL_GROUP = 5_000
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
@@ -30,13 +32,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         F.percentile_approx("_v", lows, ACCURACY).alias("_lows"),
         F.percentile_approx("_v", highs, ACCURACY).alias("_highs"),
     )
+    small = F.col("n") < SMALL_GROUP
     wanted = F.array(
         *[
             F.struct(
                 F.lit(p).alias("prob"),
                 (F.lit(p) * (F.col("n") - 1)).alias("rank"),
-                (F.col("_min") if p - MARGIN <= 0 else F.col("_lows")[i]).alias("lo"),
-                (F.col("_max") if p + MARGIN >= 1 else F.col("_highs")[i]).alias("hi"),
+                (F.col("_min") if p - MARGIN <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_lows")[i])).alias("lo"),
+                (F.col("_max") if p + MARGIN >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_highs")[i])).alias("hi"),
             )
             for i, p in enumerate(probs)
         ]
