@@ -48,8 +48,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     if keys:
         paired = values.join(targets, keys)
     else:
-        # one sketch row for the whole input, so its size is fixed
-        paired = values.crossJoin(F.broadcast(targets))
+        # the whole input has one sketch row, read as a scalar subquery
+        whole = targets.select(F.struct("n", "_wanted")).scalar()
+        paired = values.withColumn("_whole", whole).select("_v", "_whole.n", "_whole._wanted")
     # One row per value and target at or below the bracket's end; rows below the bracket only add to a count.
     span = F.col("t.hi") - F.col("t.lo")
     part = (
