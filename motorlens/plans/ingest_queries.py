@@ -354,13 +354,13 @@ RULES = {
         FROM machines s LEFT JOIN (SELECT signal_id, min(n) AS lo, max(n) AS hi FROM profile GROUP BY 1) p ON p.signal_id = s.id
         WHERE p.hi IS NULL OR p.lo <> p.hi""",
 }
-MACHINES = "machines AS (SELECT unnest(range(0, 7)) AS id),"
+MACHINES = "machines AS (SELECT DISTINCT user_id % 7 AS id FROM events),"
 
 
 def _machines(spark, sf_dir):
     """The recordings of the samples plus two that never delivered any."""
-    customers = S.table(spark, sf_dir, "customer").where(F.col("c_custkey") < 7)
-    return customers.select(F.col("c_custkey").alias("id"), F.lit(50_000).alias("sample_rate_hz"))
+    machines = S.table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("id")).distinct()
+    return machines.withColumn("sample_rate_hz", F.lit(50_000))
 
 
 @query("check_sample_rate", with_frames("signals", RULES["check_sample_rate"].format(signals="signals")))
