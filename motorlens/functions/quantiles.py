@@ -20,8 +20,14 @@ SUBRANGES = 256
 SMALL_GROUP = 5_000
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Rows ``(keys..., prob, n, quantile)`` with linear interpolation between ranks; NULLs are ignored."""
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: list[float], keys_bounded: bool = False
+) -> DataFrame:
+    """Rows ``(keys..., prob, n, quantile)`` with linear interpolation between ranks; NULLs are ignored.
+
+    ``keys_bounded`` says that the number of keys is fixed by a schema (such as
+    column names), not by data; only then is the one-row-per-key sketch broadcast.
+    """
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     lows = F.array(*[F.lit(max(0.0, p - MARGIN)) for p in probs])
     highs = F.array(*[F.lit(min(1.0, p + MARGIN)) for p in probs])
@@ -46,7 +52,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     )
     targets = sketch.select(*keys, "n", wanted.alias("_wanted"))
     if keys:
-        paired = values.join(targets, keys)
+        paired = values.join(F.broadcast(targets) if keys_bounded else targets, keys)
     else:
         # the whole input has one sketch row, read as a scalar subquery
         whole = targets.select(F.struct("n", "_wanted")).scalar()

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -54,3 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def table_folder(spark: SparkSession) -> str:
     """A new folder for written tables, beside the shared checkpoints."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Store an intermediate result as a table in the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, but computes the plan once and leaves file
+    sizes behind, by which later joins are planned.
+    """
+    spark = df.sparkSession
+    folder = table_folder(spark)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
