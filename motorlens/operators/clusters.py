@@ -39,6 +39,10 @@ def _total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def noise_label(df: DataFrame, column: str) -> Column:
+    return F.lit(NOISE).cast(df.schema[column].dataType)
+
+
 def _offsets(d: int) -> list[tuple[int, ...]]:
     """Cell steps whose cells can hold points within one diagonal of each other."""
     reach = math.ceil(math.sqrt(d)) + 1
@@ -203,7 +207,8 @@ def dbscan(points: DataFrame, coords: list[str], eps: float = EPS, min_samples:
     """``(id, label, is_core)``: the label is the smallest core id of the cluster, -1 is noise.
 
     A border point within reach of several clusters takes the smallest label.
-    ``points`` has a unique BIGINT ``id`` and the coordinate columns.
+    ``points`` has a unique ``id``, a number or text, and the coordinate columns;
+    labels have the type of the id.
     """
     grid = _Grid(coords, eps)
     placed = grid.placed(points)
@@ -266,7 +271,7 @@ def dbscan(points: DataFrame, coords: list[str], eps: float = EPS, min_samples:
     )
     known = core_labels.unionByName(border_labels)
     return counted.select("id").join(known, "id", "left").select(
-        "id", F.coalesce("label", F.lit(NOISE).cast("bigint")).alias("label"), F.coalesce("is_core", F.lit(False)).alias("is_core")
+        "id", F.coalesce("label", noise_label(points, "id")).alias("label"), F.coalesce("is_core", F.lit(False)).alias("is_core")
     )
 
 
@@ -348,12 +353,15 @@ def assign_to_clusters(
         level += 1
     best = stack(found).groupBy(F.col("p").alias("id")).agg(F.min("label").alias("label"))
     return rows.select("id").join(best, "id", "left").select(
-        "id", F.coalesce("label", F.lit(NOISE).cast("bigint")).alias("label")
+        "id", F.coalesce("label", noise_label(core, "label")).alias("label")
     )
 
 
 def silhouette(labelled: DataFrame, column: str = "x") -> float | None:
-    """Mean silhouette (squared distances) of the clustered points, None with fewer than two clusters."""
+    """Mean silhouette (squared distances) of the clustered points, None with fewer than two clusters.
+
+    Labels must be numbers.
+    """
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 

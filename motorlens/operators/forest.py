@@ -51,7 +51,8 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
             nodes.append((-1, 0.0, -1, -1, len(rows), depth))
             continue
         feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        # strictly below the highest value, so that both sides keep a row
+        threshold = float(min(rng.uniform(low[feature], high[feature]), np.nextafter(high[feature], low[feature])))
         below = x[rows, feature] <= threshold
         nodes.append((feature, threshold, -1, -1, len(rows), depth))
         pending.append((rows[~below], depth + 1, index, True))

@@ -53,14 +53,13 @@ def train_anomaly_models(
     scaler = M.Scaler(selected, {c: medians.get(c, 0.0) for c in selected}, robust.centre, robust.width)
     # the scaled matrix feeds every model, so it is computed once
     scaled = materialise(
-        scaler.transform(training, into="x").select("id", "x", *_kept(training), F.xxhash64("id").alias("_key"))
+        scaler.transform(training, into="x").select("id", "x", *_kept(training))
     )
-    keyed = scaled.select(F.col("_key").alias("id"), "x")
-    forest = I.fit_isolation_forest(keyed, trees, contamination, seed)
+    forest = I.fit_isolation_forest(scaled.select("id", "x"), trees, contamination, seed)
     fitted = M.fit_pca(scaled, "x", components)
     coords = [f"pc{k}" for k in range(1, components + 1)]
     projected = materialise(fitted.transform(I.score_frame(scaled, forest), "x"))
-    points = projected.select(F.col("_key").alias("id"), *coords)
+    points = projected.select("id", *coords)
     labels, used_eps, used_samples = C.dbscan_relaxed(points, coords, eps, min_samples)
     core = materialise(
         labels.where("is_core").select("id", "label").join(points, "id")
@@ -69,7 +68,7 @@ def train_anomaly_models(
     totals = scored.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("forest_label") == -1).alias("forest_anomalies"),
         F.count_if(F.col("cluster_label") == -1).alias("cluster_noise"),
-        F.count_distinct(F.when(F.col("cluster") != C.NOISE, F.col("cluster"))).alias("clusters"),
+        F.count_distinct(F.when(F.col("cluster_label") == 1, F.col("cluster"))).alias("clusters"),
     ).first().asDict()
     totals["explained"] = sum(fitted.explained)
     models = AnomalyModels(scaler, fitted, forest, core, used_eps, used_samples, totals)
@@ -81,11 +80,12 @@ def _kept(training: DataFrame) -> list[str]:
 
 
 def _scored(projected: DataFrame, labels: DataFrame, training: DataFrame, coords: list[str]) -> DataFrame:
-    clusters = labels.select(F.col("id").alias("_key"), F.col("label").alias("cluster"), "is_core")
+    clusters = labels.select("id", F.col("label").alias("cluster"), "is_core")
+    noise = F.col("cluster") == C.noise_label(labels, "label")
     forest = projected.withColumnRenamed("label", "forest_label")
-    return forest.join(clusters, "_key").select(
+    return forest.join(clusters, "id").select(
         "id", *_kept(training), "x", "score", "decision", "forest_label", "cluster", "is_core",
-        F.when(F.col("cluster") == C.NOISE, -1).otherwise(1).alias("cluster_label"), *coords,
+        F.when(noise, -1).otherwise(1).alias("cluster_label"), *coords,
     )
 
 
@@ -110,14 +110,15 @@ def detect_anomalies(features: DataFrame, models: AnomalyModels) -> DataFrame:
     scored = I.score_frame(models.scaler.transform(features, into="x"), models.forest).withColumnRenamed(
         "label", "forest_label"
     )
-    projected = models.components.transform(scored, "x").withColumn("_key", F.xxhash64("id"))
+    projected = models.components.transform(scored, "x")
     coords = [f"pc{k}" for k in range(1, len(models.components.loadings) + 1)]
-    stored = materialise(projected.select("id", "_key", *_kept(features), "score", "decision", "forest_label", *coords))
-    assigned = C.assign_to_clusters(stored.select(F.col("_key").alias("id"), *coords), models.core_points, coords, models.eps)
-    labelled = stored.join(
-        assigned.select(F.col("id").alias("_key"), F.col("label").alias("cluster")), "_key"
-    ).withColumn("cluster_label", F.when(F.col("cluster") == C.NOISE, -1).otherwise(1))
-    return combine_labels(labelled).drop("_key", *coords)
+    stored = materialise(projected.select("id", *_kept(features), "score", "decision", "forest_label", *coords))
+    assigned = C.assign_to_clusters(stored.select("id", *coords), models.core_points, coords, models.eps)
+    noise = F.col("cluster") == C.noise_label(models.core_points, "label")
+    labelled = stored.join(assigned.withColumnRenamed("label", "cluster"), "id").withColumn(
+        "cluster_label", F.when(noise, -1).otherwise(1)
+    )
+    return combine_labels(labelled).drop(*coords)
 
 
 def save_models(spark: SparkSession, models: AnomalyModels, path: str, moment: datetime) -> str:

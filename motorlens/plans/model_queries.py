@@ -211,7 +211,7 @@ def isolation_forest(spark, sf_dir):
 def isolation_importance(spark, sf_dir):
     features = S.features(spark, sf_dir)
     scaled = M.fit_robust(features, MODEL_COLUMNS).transform(features, into="x")
-    forest = I.fit_isolation_forest(scaled.select(F.xxhash64("id").alias("id"), "x"), contamination="auto")
+    forest = I.fit_isolation_forest(scaled.select("id", "x"), contamination="auto")
     return I.isolation_importance(forest.to_frame(spark), MODEL_COLUMNS)
 
 
