@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_forecasts(forecasts: DataFrame, summary: DataFrame, path: str) -> None:
-    """Forecast rows as JSON, one folder per machine, and the fleet summary beside them."""
+def write_forecasts(forecasts: DataFrame, summary: DataFrame, path: str, buckets: int = 64, per_machine: bool = False) -> None:
+    """Forecasts as JSON lines, each naming its machine, and the fleet summary beside them.
+
+    Machines are spread over a fixed number of folders, so that the number of files
+    does not follow the size of the fleet; ``per_machine`` gives each its own folder.
+    """
     target = path.rstrip("/")
-    forecasts.write.mode("overwrite").partitionBy("equipment_id").json(f"{target}/forecasts")
+    if per_machine:
+        by_machine = forecasts.repartition("equipment_id")
+        by_machine.write.mode("overwrite").partitionBy("equipment_id").json(f"{target}/forecasts")
+    else:
+        bucket = F.pmod(F.xxhash64("equipment_id"), F.lit(buckets)).cast("int")
+        spread = forecasts.withColumn("bucket", bucket).repartition("bucket")
+        spread.write.mode("overwrite").partitionBy("bucket").json(f"{target}/forecasts")
     summary.write.mode("overwrite").json(f"{target}/summary")
 
 
