@@ -61,18 +61,24 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
 
 
 def draw_samples(df: DataFrame, n: int, trees: int, rows: int, seed: int, slack: float = 3.0) -> DataFrame:
-    """For every tree the ``rows`` input rows with the smallest seeded hash.
+    """``rows`` input rows for every tree, chosen by seeded hashes.
 
-    A row tests its hash against a rate before it is copied, so only about
-    ``slack * rows * trees`` copies are made however large the input is.
+    About ``slack * rows * trees`` copies are made however large the input is.  A
+    large input needs one hash per row, which then draws the single tree the row may
+    enter; only an input smaller than all samples together offers a row to every tree.
     """
-    rate = min(1.0, slack * rows / max(n, 1))
-
-    def ticket(tree: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.col("id"), tree, F.lit(seed)), 11) / F.lit(float(2**53))
-
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: ticket(t) < rate)
-    copies = df.select("id", "x", F.explode(drawn).alias("tree"))
+    wanted = slack * rows * trees
+
+    def ticket(salt: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.col("id"), salt, F.lit(seed)), 11) / F.lit(float(2**53))
+
+    if n > wanted:
+        lucky = df.select("id", "x").where(ticket(F.lit(-1)) < wanted / n)
+        copies = lucky.withColumn("tree", F.floor(ticket(F.lit(-2)) * trees).cast("int"))
+    else:
+        rate = min(1.0, slack * rows / max(n, 1))
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: ticket(t) < rate)
+        copies = df.select("id", "x", F.explode(drawn).alias("tree"))
     order = Window.partitionBy("tree").orderBy(ticket(F.col("tree")), "id")
     return copies.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).drop("_rank")
 

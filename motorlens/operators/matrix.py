@@ -10,13 +10,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import PCA as SparkPCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlens.functions.clock import floor_to
-from motorlens.functions.expressions import FEATURE_COLUMNS, PHASES
-from motorlens.functions.quantiles import exact_quantiles
+from motorlens.functions.expressions import PHASES
+from motorlens.functions.quantiles import column_quantiles
 
 # fixed values of the training
 MIN_TRAINING_ROWS = 100
@@ -43,18 +43,8 @@ def training_frame(
     return rows
 
 
-def long_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(F.inline(entries))
-
-
-def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """``(column, prob, n, quantile)``; a column without values has no rows."""
-    return exact_quantiles(long_columns(df, columns), ["column"], "value", probs, keys_bounded=True)
-
-
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    return {row["column"]: row["quantile"] for row in column_quantiles(df, columns, [0.5]).collect()}
+    return {c: found[0.5] for c, found in column_quantiles(df, columns, [0.5]).items()}
 
 
 def impute_median(df: DataFrame, columns: list[str], drop_empty: bool = False) -> tuple[DataFrame, list[str]]:
@@ -111,9 +101,7 @@ class Scaler:
 
 def fit_robust(df: DataFrame, columns: list[str]) -> Scaler:
     """Median and exact interquartile range; a zero range divides by 1."""
-    found: dict[str, dict[float, float]] = {}
-    for row in column_quantiles(df, columns, [0.25, 0.5, 0.75]).collect():
-        found.setdefault(row["column"], {})[row["prob"]] = row["quantile"]
+    found = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     medians = {c: found[c][0.5] if c in found else 0.0 for c in columns}
     width = {c: (found[c][0.75] - found[c][0.25] if c in found else 0.0) or 1.0 for c in columns}
     return Scaler(list(columns), medians, dict(medians), width)
@@ -197,15 +185,3 @@ def anomaly_rate_by_hour(scored: DataFrame) -> DataFrame:
         forest.alias("anomalies_forest"), n.alias("total_samples"), cluster.alias("anomalies_cluster"),
         (forest / n).alias("anomaly_rate_forest"), (cluster / n).alias("anomaly_rate_cluster"),
     )
-
-
-def array_matrix(df: DataFrame, column: str = "x") -> DataFrame:
-    """An array column as an ML vector."""
-    return df.withColumn("vector", array_to_vector(column))
-
-
-__all__ = [
-    "Components", "FEATURE_COLUMNS", "Scaler", "anomaly_rate_by_hour", "array_matrix", "column_medians", "column_quantiles",
-    "column_variances", "feature_vector22", "fit_pca", "fit_robust", "fit_standard", "impute_median", "pca_contributions",
-    "select_by_variance", "training_frame", "vector_to_array",
-]

@@ -17,11 +17,11 @@ from motorlens.sources import star_tables as S
 
 CHUNK = 20
 
-# Recording text derived from the events: one file per user, odd cells and headers included.
+# Recording text derived from the events: one file for every user group, odd cells and headers included.
 LINES = """
 numbered AS (
-    SELECT *, 'motor_' || user_id::VARCHAR || '.csv' AS file,
-           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no FROM events),
+    SELECT *, 'motor_' || (user_id % 60)::VARCHAR || '.csv' AS file,
+           row_number() OVER (PARTITION BY user_id % 60 ORDER BY ts, event_id) AS line_no FROM events),
 lines AS (
     SELECT file, line_no, CASE event_type
         WHEN 'click' THEN value::VARCHAR || ', ' || (value / 2)::VARCHAR || ',' || user_id::VARCHAR
@@ -30,10 +30,10 @@ lines AS (
         WHEN 'error' THEN ',abc,' || value::VARCHAR || ',9'
         ELSE CASE WHEN user_id % 4 = 0 THEN '   ' ELSE 'none,,' END END AS line FROM numbered
     UNION ALL
-    SELECT 'motor_' || user_id::VARCHAR || '.csv', 0,
-           CASE user_id % 5 WHEN 0 THEN 'current_R,current_S,current_T' WHEN 1 THEN 'current_R, current_S, current_T'
+    SELECT 'motor_' || m::VARCHAR || '.csv', 0,
+           CASE m % 5 WHEN 0 THEN 'current_R,current_S,current_T' WHEN 1 THEN 'current_R, current_S, current_T'
                 WHEN 2 THEN 'R,S,T' WHEN 3 THEN 'bad,header' ELSE 'current_R,current_S,current_X' END
-    FROM (SELECT DISTINCT user_id FROM events)),"""
+    FROM (SELECT DISTINCT user_id % 60 AS m FROM events)),"""
 
 PARSED = LINES + """
 accepted AS (SELECT file FROM lines WHERE line_no = 0 AND len(string_split(line, ',')) = 3),
@@ -54,7 +54,8 @@ def _lines(spark, sf_dir):
     events = S.table(spark, sf_dir, "events")
     user = F.col("user_id").cast("string")
     value = F.col("value").cast("string")
-    file = F.concat(F.lit("motor_"), user, F.lit(".csv"))
+    group = F.col("user_id") % 60
+    file = F.concat(F.lit("motor_"), group.cast("string"), F.lit(".csv"))
     kind = F.col("event_type")
     line = (
         F.when(kind == "click", F.concat(value, F.lit(", "), (F.col("value") / 2).cast("string"), F.lit(","), user))
@@ -65,13 +66,12 @@ def _lines(spark, sf_dir):
         .otherwise("none,,")
     )
     data = position_within(
-        events.select("user_id", "ts", "event_id", file.alias("file"), line.alias("line")),
-        ["user_id"], "ts", ["event_id"], "line_no",
+        events.select("ts", "event_id", file.alias("file"), line.alias("line")), ["file"], "ts", ["event_id"], "line_no",
     ).select("file", (F.col("line_no") + 1).alias("line_no"), "line")
     headers = ["current_R,current_S,current_T", "current_R, current_S, current_T", "R,S,T", "bad,header",
                "current_R,current_S,current_X"]
-    header = F.element_at(F.array(*[F.lit(h) for h in headers]), (F.col("user_id") % 5 + 1).cast("int"))
-    first = events.select("user_id").distinct().select(
+    header = F.element_at(F.array(*[F.lit(h) for h in headers]), (group % 5 + 1).cast("int"))
+    first = events.select(group.alias("user_id")).distinct().select(
         file.alias("file"), F.lit(0).cast("bigint").alias("line_no"), header.alias("line")
     )
     return data.unionByName(first)

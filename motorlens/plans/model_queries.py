@@ -48,7 +48,7 @@ def _long_sql(expressions: dict[str, str], source: str = "features") -> str:
     with_frames(
         "features",
         " UNION ALL ".join(
-            f"""SELECT '{c}' AS "column", {p}::DOUBLE AS prob, count({c}) AS n, {r6(f'quantile_cont({c}, {p})')} AS quantile FROM features"""
+            f"""SELECT '{c}' AS "column", {p}::DOUBLE AS prob, {r6(f'quantile_cont({c}, {p})')} AS quantile FROM features"""
             for c in FEATURE_COLUMNS
             for p in (0.25, 0.5, 0.75)
         ),
@@ -56,7 +56,10 @@ def _long_sql(expressions: dict[str, str], source: str = "features") -> str:
 )
 def column_quantiles(spark, sf_dir):
     """Exact medians and quartiles of every feature column."""
-    return M.column_quantiles(S.features(spark, sf_dir), list(FEATURE_COLUMNS), [0.25, 0.5, 0.75])
+    features = S.features(spark, sf_dir)
+    found = M.column_quantiles(features, list(FEATURE_COLUMNS), [0.25, 0.5, 0.75])
+    rows = [(c, p, q) for c, quantiles in found.items() for p, q in quantiles.items()]
+    return spark.createDataFrame(rows, "column string, prob double, quantile double")
 
 
 @query(

@@ -41,6 +41,6 @@ def comparable(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            column = (F.round(column + F.lit(3e-10), 6) + F.lit(0.0)).alias(field.name)
+            column = (F.rint((column + F.lit(3e-10)) * F.lit(1e6)) / F.lit(1e6) + F.lit(0.0)).alias(field.name)
         columns.append(column)
     return df.select(*columns)
