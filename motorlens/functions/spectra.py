@@ -22,6 +22,7 @@ PEAK_SPACING_HZ = 50
 TOP_PEAKS = 10
 ROLLOFF = 0.85
 
+SHAPE_TYPE = "struct<centroid:double,bandwidth:double,rolloff:double,energy:double>"
 PEAKS_TYPE = "array<struct<frequency:double,amplitude:double,prominence:double>>"
 
 
@@ -111,28 +112,29 @@ def spectral_peaks(spectrum: Column, length: Column, rate: Column, size: int, to
 
 def spectral_shape(spectrum: Column, step: Column) -> Column:
     """Struct of centroid, bandwidth, 85% roll-off and total magnitude; all zero for a silent spectrum."""
-    zero = F.lit(0.0)
-    bins = F.sequence(F.lit(0), F.size(spectrum) - 1)
-    lines = F.zip_with(bins, spectrum, lambda i, m: F.struct((i * step).alias("f"), m.alias("m")))
-    total = F.aggregate(spectrum, zero, lambda acc, m: acc + m)
-    centroid = F.aggregate(lines, zero, lambda acc, x: acc + x["f"] * x["m"] / total)
-    bandwidth = F.sqrt(
-        F.aggregate(lines, zero, lambda acc, x: acc + (x["f"] - centroid) * (x["f"] - centroid) * x["m"] / total)
-    )
-    start = F.struct(zero.alias("sum"), F.lit(None).cast("double").alias("f"))
-
-    def climb(acc, x):
-        reached = acc["sum"] + x["m"] / total
-        return F.struct(
-            reached.alias("sum"),
-            F.coalesce(acc["f"], F.when(reached >= ROLLOFF, x["f"])).alias("f"),
-        )
-
-    rolloff = F.coalesce(F.aggregate(lines, start, climb)["f"], F.element_at(lines, -1)["f"])
-    shape = F.struct(
-        centroid.alias("centroid"), bandwidth.alias("bandwidth"), rolloff.alias("rolloff"), total.alias("energy")
-    )
-    silent = F.struct(
-        zero.alias("centroid"), zero.alias("bandwidth"), zero.alias("rolloff"), zero.alias("energy")
-    )
-    return F.when(total == 0, silent).when(F.size(spectrum) > 0, shape)
+
+    @F.pandas_udf(SHAPE_TYPE)
+    def kernel(spectra: pd.Series, steps: pd.Series) -> pd.DataFrame:
+        out = np.full((len(spectra), 4), np.nan)
+        for i, (magnitudes, width) in enumerate(zip(spectra, steps)):
+            if magnitudes is None or len(magnitudes) == 0:
+                continue
+            magnitudes = np.asarray(magnitudes, dtype=float)
+            frequencies = np.arange(len(magnitudes)) * width
+            total = magnitudes.sum()
+            if total == 0:
+                out[i] = 0.0
+                continue
+            share = magnitudes / total
+            centroid = (frequencies * share).sum()
+            reached = np.flatnonzero(np.cumsum(share) >= ROLLOFF)
+            out[i] = (
+                centroid,
+                np.sqrt(((frequencies - centroid) ** 2 * share).sum()),
+                frequencies[reached[0]] if len(reached) else frequencies[-1],
+                total,
+            )
+        shape = pd.DataFrame(out, columns=["centroid", "bandwidth", "rolloff", "energy"])
+        return shape.astype(object).where(shape.notna(), None)
+
+    return kernel(spectrum, step)
