@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motorlens.session import materialise
+
 ACCURACY = 2_000
 # The sketch promises a rank error below n / ACCURACY; several times that is the margin kept around a rank.
 MARGIN = 6.0 / ACCURACY
@@ -28,8 +30,9 @@ def _ranked(inside: DataFrame, group: list[str], below: DataFrame, rank: Column,
     """Quantile per group from ``(group..., _v)`` rows inside the bracket and the counts below it.
 
     ``below`` carries the group, ``_below`` and whatever ``rank``, ``lo`` and ``hi`` need.
+    The counted values are stored, because sub-range totals and ranks both read them.
     """
-    counted = inside.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = materialise(inside.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")))
     span = hi - lo
     part = F.when(
         span > 0, F.greatest(F.lit(0), F.least(F.lit(SUBRANGES - 1), F.floor((F.col("_v") - lo) / span * SUBRANGES)))
@@ -64,7 +67,11 @@ def _ranked(inside: DataFrame, group: list[str], below: DataFrame, rank: Column,
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Rows ``(keys..., prob, n, quantile)`` with linear interpolation between ranks; NULLs are ignored."""
+    """Rows ``(keys..., prob, n, quantile)`` with linear interpolation between ranks; NULLs are ignored.
+
+    Runs three scans of the input, each stored as a small table: sketches, counts
+    below the brackets, values inside them.
+    """
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     sketch = values.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
@@ -82,7 +89,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
             for i, p in enumerate(probs)
         ]
     )
-    targets = sketch.select(*keys, "n", wanted.alias("_wanted"))
+    targets = materialise(sketch.select(*keys, "n", wanted.alias("_wanted")))
     if keys:
         paired = values.join(targets, keys)
     else:
@@ -94,10 +101,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         F.max("n").alias("n"), F.max("_wanted").alias("_wanted"),
         F.array(*[F.count_if(v < F.col("_wanted")[i]["lo"]) for i in range(len(probs))]).alias("_belows"),
     )
-    below = counts.select(*keys, "n", "_belows", F.inline("_wanted")).withColumn("_below", F.col("_belows")[F.col("i")])
+    below = materialise(
+        counts.select(*keys, "n", "_belows", F.inline("_wanted")).withColumn("_below", F.col("_belows")[F.col("i")]).drop("_belows")
+    )
     hits = F.filter("_wanted", lambda t: (v >= t["lo"]) & (v <= t["hi"]))
     inside = paired.select(*keys, "_v", F.explode(hits).alias("_t")).select(*keys, F.col("_t.i").alias("i"), "_v")
-    found = _ranked(inside, [*keys, "i"], below.drop("_belows"), F.col("rank"), F.col("lo"), F.col("hi"))
+    found = _ranked(inside, [*keys, "i"], below, F.col("rank"), F.col("lo"), F.col("hi"))
     labels = F.array(*[F.lit(p) for p in probs])
     return found.select(*keys, labels[F.col("i")].alias("prob"), "n", "quantile")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from motorlens.functions.clock import Moment, floor_to, moment, seconds_between
 from motorlens.functions.expressions import PHASES, banded, mean_of_present, normal_cdf
 from motorlens.operators.windows import fill_linear
+from motorlens.session import materialise
 
 # fixed values of the forecasting
 MIN_OBSERVATIONS = 50
@@ -442,7 +443,8 @@ def forecast_phases(
     threshold_method: str = "statistical", multiplier: float = THRESHOLD_SIGMA,
 ) -> tuple[DataFrame, DataFrame]:
     """``(forecast steps, one status row per series)``; series that fail stay in the status with a reason."""
-    grid = replace_outliers(regularise(readings, min_points))
+    # one row per hour and series, read by every model; the readings are scanned once for it
+    grid = materialise(replace_outliers(regularise(readings, min_points)))
     thresholds = adaptive_threshold(grid, threshold_method, multiplier)
     if model == "seasonal":
         chosen = seasonal_trend_fleet(grid, steps).withColumn("model", F.lit("seasonal"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from motorlens.functions.quantiles import exact_quantiles
 from motorlens.functions.shipping import by_value
+from motorlens.session import materialise
 
 by_value(__name__)
 
@@ -168,7 +169,8 @@ def fit_isolation_forest(
     open_forest = Forest(nodes, rows, AUTO_OFFSET)
     if contamination == "auto":
         return open_forest
-    scores = score_frame(df, open_forest).select("score")
+    # stored, because the quantile reads the scores more than once
+    scores = materialise(score_frame(df, open_forest).select("score"))
     offset = exact_quantiles(scores, [], "score", [float(contamination)]).first()["quantile"]
     return Forest(nodes, rows, offset)
 

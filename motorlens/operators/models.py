@@ -46,6 +46,8 @@ def train_anomaly_models(
     the first components of the scaled matrix.
     """
     columns = list(columns or FEATURE_COLUMNS)
+    # the fits below scan the rows several times; their joins and features run once
+    training = materialise(training.select("id", *_kept(training), *columns))
     medians = M.column_medians(training, columns)
     filled = training.withColumns({c: F.coalesce(F.col(c), F.lit(medians.get(c, 0.0))) for c in columns})
     selected = M.select_by_variance(filled, columns)
