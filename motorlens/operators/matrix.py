@@ -165,7 +165,7 @@ def pca_contributions(spark: SparkSession, components: Components, names: list[s
     return spark.createDataFrame(rows, "component string, rank int, feature string, contribution double")
 
 
-def feature_vector22(features: DataFrame, peaks: list[str] = ["peaks_a", "peaks_b", "peaks_c"]) -> DataFrame:
+def feature_vector22(features: DataFrame, peaks: tuple[str, ...] = ("peaks_a", "peaks_b", "peaks_c")) -> DataFrame:
     """12 statistics (0 when missing) and the 5 strongest peaks of the first phase that has any, padded to 22."""
     statistics = [F.coalesce(F.col(f"{s}_{p}").cast("double"), F.lit(0.0)) for s in ("rms", "crest", "kurt", "skew") for p in PHASES]
     available = F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in peaks])
