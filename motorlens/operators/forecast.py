@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from motorlens.functions.clock import Moment, floor_to, moment, seconds_between
 from motorlens.functions.expressions import PHASES, banded, mean_of_present, normal_cdf
+from motorlens.functions.ordering import position_within
 from motorlens.operators.windows import fill_linear
 from motorlens.session import materialise
 
@@ -60,8 +61,9 @@ def rms_series(
     if end is not None:
         chosen = chosen.where(F.col("ts") <= moment(end))
     if limit is not None:
-        earliest = Window.partitionBy(*SERIES).orderBy("ts", "id")
-        chosen = chosen.withColumn("_n", F.row_number().over(earliest)).where(F.col("_n") <= limit).drop("_n")
+        # a series has no bound here, so its rows are numbered slot by slot
+        placed = position_within(chosen, SERIES, "ts", ["id"], "_n", slot="hour")
+        chosen = placed.where(F.col("_n") < limit).drop("_n")
     enough = chosen.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
     return chosen.join(enough.select(*SERIES), SERIES, "left_semi")
 
