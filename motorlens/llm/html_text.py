@@ -103,7 +103,7 @@ LABELLED = """
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?P<rest>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
+    r"(?P<rest>(?>[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*>|<[a-zA-Z][^<>]*>",
     re.S,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)

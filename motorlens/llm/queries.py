@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlens.llm import decontaminate, html_text, mixing, quality, sharding, url_filter
+from motorlens.llm import decontaminate, html_text, language, mixing, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,13 @@ def op5_find_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_extract_text")
 def op2_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+@query("op4_score_toxicity")
+def op4_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op6_identify_language")
+def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_language(_table(spark, sf_dir, "documents"))
