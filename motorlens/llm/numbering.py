@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from motorlens.session import materialise
 
-# rows that one bucket of a numbering holds on average, and buckets summed together on the first level
+# rows that one bucket of a numbering and one slice of a key hold on average, and buckets summed together on the first level
 BUCKET_ROWS = 4096
+SLICE_ROWS = 256
 BUCKETS_TOGETHER = 1024
 # equal rows expanded from one array
 EXPANDED = 4096
 
 
-def buckets_for(rows: Column) -> Column:
-    """How many buckets so many rows are dealt over."""
-    return F.greatest(F.lit(1), F.ceil(rows / F.lit(BUCKET_ROWS))).cast("bigint")
+def buckets_for(rows: Column, size: int = BUCKET_ROWS) -> Column:
+    """How many buckets of ``size`` rows so many rows are dealt over."""
+    return F.greatest(F.lit(1), F.ceil(rows / F.lit(size))).cast("bigint")
 
 
 def offsets(counts: DataFrame, bucket: str, total: str, into: str) -> DataFrame:
@@ -57,10 +58,10 @@ def global_row_numbers(rows: DataFrame, into: str) -> tuple[DataFrame, int]:
 def first_of_each(rows: DataFrame, keys: list[str], order: Column, count: str, wanted: str, into: str) -> DataFrame:
     """Mark the first ``wanted`` rows of every key in the order of a hash, with ``count`` rows in the key.
 
-    A key is cut by the hash into buckets of about ``BUCKET_ROWS`` rows.  Buckets wholly
+    A key is cut by the hash into buckets of about ``SLICE_ROWS`` rows.  Buckets wholly
     before or after the cut are known from their counts, only rows of one bucket meet.
     """
-    width = F.lit(2.0**32) / buckets_for(F.col(count))
+    width = F.lit(2.0**32) / buckets_for(F.col(count), SLICE_ROWS)
     hashed = rows.withColumn("_order", order)
     bucketed = hashed.withColumn("_bucket", F.floor(F.shiftrightunsigned("_order", 32) / width))
     per_key = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

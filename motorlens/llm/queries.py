@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlens.llm import decontaminate, html_text, language, mixing, quality, sharding, toxicity, url_filter
+from motorlens.llm import decontaminate, html_text, language, mixing, quality, sharding, suffix_lm, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +91,8 @@ def op4_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_identify_language")
 def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_score_suffix_tree")
+def op3_score_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score_documents(_table(spark, sf_dir, "documents"))
