@@ -183,7 +183,8 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, sizes: DataFrame, group
     """One step: estimates from the nearest rows by the present estimates."""
     far = _distance(rows.join(estimates, group), "_d")
     binned = far.withColumn("_bin", F.floor(F.log2(1 + F.col("_d")) * BINS))
-    bins = binned.groupBy(group, "start", "_bin").agg(*_moments())
+    # stored, so that a hot group's partial sums are dealt out by bin and only its bins meet
+    bins = materialise(binned.groupBy(group, "start", "_bin").agg(*_moments()))
     earlier = Window.partitionBy(group, "start").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     wanted = bins.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0.0))).join(sizes, group)
     kept = wanted.where(F.col("_before") < SUPPORT * F.col("rows"))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlens.llm import decontaminate, html_text, language, mixing, quality, sharding, suffix_lm, toxicity, url_filter
+from motorlens.llm import (
+    decontaminate, html_text, language, mixing, ngram_join, quality, sharding, suffix_lm, toxicity, url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +98,8 @@ def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_score_suffix_tree")
 def op3_score_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+@query("op1_join_ngrams")
+def op1_join_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(_table(spark, sf_dir, "documents")).drop("identity")
