@@ -182,3 +182,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
         F.sha2(F.concat_ws(",", F.coalesce("_items", nothing)).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The documents in their own columns without those that hold a window of the benchmark."""
+    identity = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), F.lit(31))
+    found = contamination(docs.select(identity.alias("doc_id"), "text"), benchmark, size).where("contaminated")
+    leave = materialise(found.select(F.col("doc_id").alias("_identity")).distinct())
+    return docs.withColumn("_identity", identity).join(leave, "_identity", "left_anti").drop("_identity")

@@ -29,6 +29,8 @@ STATES = 8
 STEPS = 320
 BATCH = 128
 RATE = 0.02
+# a pipeline rejects documents below this score
+LEAST_SCORE = 0.4
 # windows that are read side by side
 SIDE_BY_SIDE = 4096
 UNDETERMINED = "und"
@@ -259,3 +261,12 @@ def predict_language(docs: DataFrame, network: Network | None = None) -> DataFra
     wanted = docs.select("doc_id", held_out.alias("held_out"), "text")
     kind = wanted.schema["doc_id"].dataType.simpleString()
     return wanted.mapInArrow(_kernel(network), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def in_known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents in their own columns without those of no language: no letter, or a score below ``least_score``."""
+    network = learn(docs.select("doc_id", "text", "lang"))
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    kind = rows.schema["row"].dataType.simpleString()
+    predicted = rows.mapInArrow(_kernel(network), f"row {kind}, lang_pred string, score double")
+    return predicted.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
