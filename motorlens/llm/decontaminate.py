@@ -189,4 +189,5 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
     identity = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), F.lit(31))
     found = contamination(docs.select(identity.alias("doc_id"), "text"), benchmark, size).where("contaminated")
     leave = materialise(found.select(F.col("doc_id").alias("_identity")).distinct())
-    return docs.withColumn("_identity", identity).join(leave, "_identity", "left_anti").drop("_identity")
+    rows = docs.select(identity.alias("_identity"), F.struct("*").alias("_row"))
+    return rows.join(leave, "_identity", "left_anti").select("_row.*")

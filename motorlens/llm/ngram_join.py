@@ -243,7 +243,5 @@ def similarity_classes(docs: DataFrame, trees: int = TREES, target: float = TARG
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """The documents in their own columns, one of each class; rows equal in id and text count as one."""
     kept = materialise(similarity_classes(docs).where("keep").select(F.col("identity").alias("_identity")).distinct())
-    return (
-        docs.withColumn("_identity", text_identity(docs)).join(kept, "_identity", "left_semi")
-        .dropDuplicates(["_identity"]).drop("_identity")
-    )
+    rows = docs.select(text_identity(docs).alias("_identity"), F.struct("*").alias("_row"))
+    return rows.join(kept, "_identity", "left_semi").dropDuplicates(["_identity"]).select("_row.*")
