@@ -116,7 +116,12 @@ class SuffixTree:
     step: np.ndarray  # (states, classes + 1) next states; the last class is padding
     log10: np.ndarray  # (states, classes + 1) log probabilities; 0 for padding
     start: int
-    contexts: list[tuple[int, int]]  # (length, context) of every state
+    lengths: np.ndarray  # of the contexts of the states
+    held: np.ndarray  # the contexts themselves
+
+    @property
+    def contexts(self) -> list[tuple[int, int]]:
+        return list(zip(self.lengths.tolist(), self.held.tolist()))
 
     def scores(self, symbols: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The log10 probability of every text of a stream."""
@@ -144,88 +149,72 @@ class SuffixTree:
         return np.bincount(text, weights=total, minlength=len(lengths))
 
 
+def _mask(k: int) -> int:
+    return (1 << 8 * k) - 1
+
+
 def build_tree(rows: np.ndarray, least_gain: float = LEAST_GAIN) -> SuffixTree:
-    """The tree from counts ``(k, gram, n)`` of every context of length ``k`` that is frequent enough."""
-    mask = lambda k: (1 << 8 * k) - 1
+    """The tree from counts ``(k, gram, n)`` of every context of length ``k`` that is frequent enough.
+
+    Every beginning and every ending of a frequent context is frequent, so each level
+    finds its shorter contexts in the level before.
+    """
     used = np.unique(rows[:, 1] & 0xFF)
     width = len(used) + 1  # one class for all bytes never seen
     classes = np.full(256, width - 1)
     classes[used] = np.arange(len(used))
-    contexts = [{} for _ in range(DEPTH + 1)]
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    ids, first = np.unique(np.stack([rows[:, 0], rows[:, 1] >> 8], axis=1), axis=0, return_index=True)
-    bounds = np.append(first, len(rows))
-    for i, (k, context) in enumerate(ids.tolist()):
-        contexts[k][context] = (bounds[i], bounds[i + 1])
-
-    def counted(k: int, context: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = contexts[k].get(context, (0, 0))
-        return classes[rows[a:b, 1] & 0xFF], rows[a:b, 2]
-
-    smooth: dict[tuple[int, int], np.ndarray] = {}
-
-    def distribution(k: int, context: int) -> np.ndarray:
-        if (k, context) not in smooth:
-            symbols, n = counted(k, context)
-            if k == 0:
-                p = np.full(width, 0.5)
-                p[symbols] += n
-                # the class of bytes never seen stands for all of them
-                p[-1] = 0.5
-                p /= n.sum() + 0.5 * 256
-            else:
-                p = distribution(k - 1, context & mask(k - 1)) * len(n)
-                p[symbols] += n
-                p /= max(1, n.sum() + len(n))
-                if not len(n):
-                    p = distribution(k - 1, context & mask(k - 1)).copy()
-            smooth[k, context] = p
-        return smooth[k, context]
-
-    retained = {(0, 0)}
-    for k in range(1, DEPTH + 1):
-        for context in contexts[k]:
-            symbols, n = counted(k, context)
-            shorter = distribution(k - 1, context & mask(k - 1))[symbols]
-            if float((n * np.log(n / n.sum() / shorter)).sum()) >= least_gain:
-                distribution(k, context)
-                retained.add((k, context))
-    # an automaton needs every beginning and every ending of a context
-    pending = list(retained)
-    while pending:
-        k, context = pending.pop()
-        for other in ((k - 1, context >> 8), (k - 1, context & mask(k - 1))) if k else ():
-            if other not in retained:
-                retained.add(other)
-                pending.append(other)
-    states = sorted(retained)
-    tables = []
+    contexts, smooth, suffix, prefix, kept = [], [], [], [], []
     for k in range(DEPTH + 1):
-        own = [(c, i) for i, (length, c) in enumerate(states) if length == k]
-        tables.append((np.array([c for c, _ in own], np.int64), np.array([i for _, i in own], np.int64)))
-    lengths = np.array([k for k, _ in states])
-    held = np.array([c for _, c in states], np.int64)
+        level = rows[rows[:, 0] == k]
+        level = level[np.argsort(level[:, 1])]
+        own, at = np.unique(level[:, 1] >> 8, return_inverse=True) if k else (np.zeros(1, np.int64), np.zeros(len(level), int))
+        symbols, n = classes[level[:, 1] & 0xFF], level[:, 2].astype(float)
+        total = np.bincount(at, weights=n, minlength=len(own))
+        if k == 0:
+            table = np.full((1, width), 0.5 / (total[0] + 128))
+            table[0, symbols] += n / (total[0] + 128)
+            shorter = longer = np.zeros(1, np.int64)
+            gain = np.array([np.inf])
+        else:
+            shorter = np.searchsorted(contexts[k - 1], own & _mask(k - 1))
+            longer = np.searchsorted(contexts[k - 1], own >> 8)
+            before = smooth[k - 1][shorter[at], symbols]
+            gain = np.bincount(at, weights=n * np.log(n / total[at] / before), minlength=len(own))
+            # the suffix counts as much as there are different next symbols
+            kinds = np.bincount(at, minlength=len(own))
+            table = smooth[k - 1][shorter] * (kinds / (total + kinds)).astype(np.float32)[:, None]
+            table[at, symbols] += (n / (total + kinds)[at]).astype(np.float32)
+        contexts.append(own)
+        smooth.append(table.astype(np.float32))
+        suffix.append(shorter)
+        prefix.append(longer)
+        kept.append(gain >= least_gain)
+    # an automaton needs every beginning and every ending of a context
+    for k in range(DEPTH, 0, -1):
+        kept[k - 1][suffix[k][kept[k]]] = True
+        kept[k - 1][prefix[k][kept[k]]] = True
+    contexts = [own[keep] for own, keep in zip(contexts, kept)]
+    log10 = np.zeros((sum(map(len, contexts)), width + 1), np.float32)
+    np.log10(np.concatenate([table[keep] for table, keep in zip(smooth, kept)]), out=log10[:, :width])
+    del smooth
+    first = np.cumsum([0, *map(len, contexts)])
+    lengths, held = np.repeat(np.arange(DEPTH + 1), np.diff(first)), np.concatenate(contexts)
 
     def longest(context: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The state of the longest retained ending."""
-        found = np.zeros(len(context), np.int64)
+        found = np.zeros(len(context), np.int32)
         for k in range(1, DEPTH + 1):
-            keys, numbers = tables[k]
-            if len(keys):
-                wanted = context & mask(k)
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                found = np.where((keys[at] == wanted) & (length >= k), numbers[at], found)
+            if len(contexts[k]):
+                wanted = context & _mask(k)
+                at = np.minimum(np.searchsorted(contexts[k], wanted), len(contexts[k]) - 1)
+                found = np.where((contexts[k][at] == wanted) & (length >= k), first[k] + at, found)
         return found
 
-    step = np.zeros((len(states), width + 1), np.int32)
+    step = np.zeros((len(held), width + 1), np.int32)
     for a, symbol in enumerate(used.tolist()):
         step[:, a] = longest(held << 8 | symbol, np.minimum(lengths + 1, DEPTH))
-    log10 = np.zeros((len(states), width + 1), np.float32)
-    for i, (k, context) in enumerate(states):
-        log10[i, :width] = np.log10(distribution(k, context))
     start = int(longest(np.array([END]), np.array([DEPTH]))[0])
-    return SuffixTree(classes, step, log10, start, states)
+    return SuffixTree(classes, step, log10, start, lengths, held)
 
 
 def learn(docs: DataFrame, least_share: float = LEAST_SHARE) -> tuple[SuffixTree, DataFrame, int, int]:
@@ -245,10 +234,24 @@ def learn(docs: DataFrame, least_share: float = LEAST_SHARE) -> tuple[SuffixTree
         F.col("_n") >= F.lit(least_share * positions))
     kept = levels.withColumn("context", context).join(frequent, ["k", "context"]).select("k", "gram", "n")
     # a row per retained context and next byte: DEPTH / least_share contexts at most
-    rows = kept.toPandas().to_numpy(np.int64)
+    table = kept.toArrow()
+    rows = np.column_stack([table.column(c).to_numpy() for c in ("k", "gram", "n")]).astype(np.int64)
     return build_tree(rows), words, int(tokens), int(kinds)
 
 
+def _most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the words: those of the highest counts, whole classes of counts at a time."""
+    scale = F.floor(F.log2("n") * 32)
+    classes = words.groupBy(scale.alias("class")).agg(F.count(F.lit(1)).alias("kinds")).orderBy(F.desc("class")).collect()
+    held, least = 0, None
+    for row in classes:
+        held += row["kinds"]
+        if held > most:
+            break
+        least = row["class"]
+    return words.where(scale >= least) if least is not None else words.limit(0)
+
+
 def _score_kernel(tree: Callable[[], SuffixTree], frequent: Callable[[], tuple], smoothing: tuple[float, float, float, int]) -> Callable:
     total, floor_kinds, end_log10, end_known = smoothing
 
@@ -299,8 +302,7 @@ def score_documents(docs: DataFrame, least_share: float = LEAST_SHARE, frequent_
     total, kinds = tokens + trained, kinds + (trained > 0)
     divisor = total + 0.5 * (kinds + 1)
     log10 = lambda n: F.log10((n + 0.5) / F.lit(divisor))
-    # at most ``frequent_words`` counts
-    top = words.orderBy(F.desc("n"), "key").limit(frequent_words).toPandas()
+    top = _most_frequent(words, frequent_words).toPandas()
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     held = spark.sparkContext.broadcast((keys[order], np.log10((top["n"].to_numpy(float)[order] + 0.5) / divisor)))
