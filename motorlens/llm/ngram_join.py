@@ -205,7 +205,8 @@ def similarity_classes(docs: DataFrame, trees: int = TREES, target: float = TARG
         .withColumn("node", F.col("first.identity"))
     )
     groups = materialise(_candidate_groups(classes))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    # stored, so that a join with a hot group can be split
+    sizes = materialise(groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n")))
     blocks = F.ceil(F.col("_n") / BLOCK_TEXTS).cast("int")
     members = (
         groups.join(sizes, "component").withColumn("blocks", blocks)
@@ -217,7 +218,8 @@ def similarity_classes(docs: DataFrame, trees: int = TREES, target: float = TARG
     total = members.count()
     tasks = F.when(F.col("blocks") > 1, F.xxhash64("component", "low", "high")).otherwise(
         F.pmod(F.xxhash64("component"), F.lit(max(1, -(-total // TASK_TEXTS)))))
-    texts = identified.select(F.col("identity").alias("node"), "text").join(members, "node").withColumn("task", tasks)
+    # candidates are a share of all texts, so they are met by a shuffle at every size
+    texts = identified.select(F.col("identity").alias("node"), "text").join(members.hint("merge"), "node").withColumn("task", tasks)
     compared = materialise(texts.groupBy("task").applyInPandas(_verify, "node bigint, links bigint, label bigint"))
     links = compared.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("label").alias("label"))
     large = members.where("blocks > 1").select("node").distinct()
