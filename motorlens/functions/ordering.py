@@ -59,3 +59,16 @@ def running_total(
         .withColumn(into, F.col("_before") + F.col("_local"))
         .drop(SLOT, "_local", "_before")
     )
+
+
+def dense_positions(df: DataFrame, keys: list[str], position: str, into: str, slot: int = 10_000) -> DataFrame:
+    """Add the zero-based rank of each row inside its key by a whole-number position that may have gaps."""
+    slotted = df.withColumn(SLOT, F.floor(F.col(position) / slot))
+    local = Window.partitionBy(*keys, SLOT).orderBy(position)
+    offsets = _offsets(slotted, keys, F.count(F.lit(1)))
+    return (
+        slotted.withColumn("_local", F.row_number().over(local))
+        .join(offsets, keys + [SLOT])
+        .withColumn(into, (F.col("_before") + F.col("_local") - 1).cast("bigint"))
+        .drop(SLOT, "_local", "_before")
+    )

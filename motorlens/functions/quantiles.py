@@ -9,6 +9,7 @@ sub-ranges so that a bracket is shared by many tasks.
 
 from __future__ import annotations
 
+import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +60,7 @@ def _ranked(inside: DataFrame, group: list[str], below: DataFrame, rank: Column,
         at(lower).alias("_a"), at(upper).alias("_b"), F.max("_rank").alias("_rank"), F.max("n").alias("n")
     )
     found = F.col("_a") + (F.col("_rank") - F.floor("_rank")) * (F.col("_b") - F.col("_a"))
-    checked = F.when(
-        F.col("_a").isNull() | F.col("_b").isNull(),
-        F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-    ).otherwise(found)
-    return picked.select(*group, "n", checked.alias("quantile"))
+    return picked.select(*group, "n", found.alias("quantile"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
@@ -98,14 +95,25 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         paired = values.withColumn("_whole", whole).select("_v", "_whole.n", "_whole._wanted")
     v = F.col("_v")
     counts = paired.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.max("_wanted").alias("_wanted"),
+        F.max("n").alias("n"), F.max("_wanted").alias("_wanted"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.array(*[F.count_if(v < F.col("_wanted")[i]["lo"]) for i in range(len(probs))]).alias("_belows"),
+        F.array(*[F.count_if(v <= F.col("_wanted")[i]["hi"]) for i in range(len(probs))]).alias("_uptos"),
     )
-    below = materialise(
-        counts.select(*keys, "n", "_belows", F.inline("_wanted")).withColumn("_below", F.col("_belows")[F.col("i")]).drop("_belows")
-    )
-    hits = F.filter("_wanted", lambda t: (v >= t["lo"]) & (v <= t["hi"]))
-    inside = paired.select(*keys, "_v", F.explode(hits).alias("_t")).select(*keys, F.col("_t.i").alias("i"), "_v")
+    listed = counts.select(*keys, "n", "_min", "_max", "_belows", "_uptos", F.inline("_wanted")).withColumns(
+        {"_below": F.col("_belows")[F.col("i")], "_upto": F.col("_uptos")[F.col("i")]})
+    # a sketch may miss a rank after very many merges; such a bracket is opened to the end it missed
+    low, high = F.col("_below") > F.floor("rank"), F.col("_upto") <= F.ceil("rank")
+    below = materialise(listed.select(
+        *keys, "n", "i", "rank", F.when(low, F.col("_min")).otherwise(F.col("lo")).alias("lo"),
+        F.when(high, F.col("_max")).otherwise(F.col("hi")).alias("hi"), F.when(low, 0).otherwise(F.col("_below")).alias("_below"),
+    ))
+    brackets = below.groupBy(*keys).agg(F.collect_list(F.struct("i", "lo", "hi")).alias("_brackets"))
+    if keys:
+        met = values.join(materialise(brackets), keys)
+    else:
+        met = values.withColumn("_brackets", brackets.select("_brackets").scalar())
+    hits = F.filter("_brackets", lambda t: (v >= t["lo"]) & (v <= t["hi"]))
+    inside = met.select(*keys, "_v", F.explode(hits).alias("_t")).select(*keys, F.col("_t.i").alias("i"), "_v")
     found = _ranked(inside, [*keys, "i"], below, F.col("rank"), F.col("lo"), F.col("hi"))
     labels = F.array(*[F.lit(p) for p in probs])
     return found.select(*keys, labels[F.col("i")].alias("prob"), "n", "quantile")
@@ -139,9 +147,19 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> d
                 targets.append((c, p, n, lo, hi))
     if not targets:
         return {}
-    belows = typed.agg(
-        *[F.count_if(F.col(c) < F.lit(lo)).alias(f"b{k}") for k, (c, _, _, lo, _) in enumerate(targets)]
+    outside = typed.agg(
+        *[F.count_if(F.col(c) < F.lit(lo)).alias(f"b{k}") for k, (c, _, _, lo, _) in enumerate(targets)],
+        *[F.count_if(F.col(c) <= F.lit(hi)).alias(f"u{k}") for k, (c, _, _, _, hi) in enumerate(targets)],
     ).first()
+    belows = {}
+    for k, (c, p, n, lo, hi) in enumerate(targets):
+        rank, belows[f"b{k}"] = p * (n - 1), outside[f"b{k}"]
+        # a bracket that missed its rank is opened to the end it missed
+        if outside[f"b{k}"] > math.floor(rank):
+            lo, belows[f"b{k}"] = sketch[c]["low"], 0
+        if outside[f"u{k}"] <= math.ceil(rank):
+            hi = sketch[c]["high"]
+        targets[k] = (c, p, n, lo, hi)
     spark = df.sparkSession
     below = spark.createDataFrame(
         [(k, n, p * (n - 1), lo, hi, belows[f"b{k}"]) for k, (_, p, n, lo, hi) in enumerate(targets)],

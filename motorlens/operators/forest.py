@@ -64,22 +64,23 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
 def draw_samples(df: DataFrame, n: int, trees: int, rows: int, seed: int, slack: float = 3.0) -> DataFrame:
     """``rows`` input rows for every tree, chosen by seeded hashes.
 
-    About ``slack * rows * trees`` copies are made however large the input is.  A
-    large input needs one hash per row, which then draws the single tree the row may
-    enter; only an input smaller than all samples together offers a row to every tree.
+    Every row enters every tree with the same chance, independently, whatever the size of
+    the input.  One hash finds the first tree a row enters, if any, by the length of its
+    run of misses; only rows that enter one are hashed for the trees after it.
     """
-    wanted = slack * rows * trees
+    rate = min(1.0, slack * rows / max(n, 1))
 
     def ticket(salt: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(F.col("id"), salt, F.lit(seed)), 11) / F.lit(float(2**53))
 
-    if n > wanted:
-        lucky = df.select("id", "x").where(ticket(F.lit(-1)) < wanted / n)
-        copies = lucky.withColumn("tree", F.floor(ticket(F.lit(-2)) * trees).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    if rate < 1.0:
+        misses = F.floor(F.log1p(-ticket(F.lit(-1))) / math.log1p(-rate))
+        entered = df.select("id", "x", misses.alias("_first")).where(F.col("_first") < trees)
+        drawn = F.filter(every, lambda t: (t == F.col("_first")) | ((t > F.col("_first")) & (ticket(t) < rate)))
     else:
-        rate = min(1.0, slack * rows / max(n, 1))
-        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: ticket(t) < rate)
-        copies = df.select("id", "x", F.explode(drawn).alias("tree"))
+        entered, drawn = df, every
+    copies = entered.select("id", "x", F.explode(drawn).alias("tree"))
     order = Window.partitionBy("tree").orderBy(ticket(F.col("tree")), "id")
     return copies.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).drop("_rank")
 

@@ -46,6 +46,15 @@ def check_header(lines: DataFrame, strict: bool = False) -> tuple[DataFrame, Dat
     return data, refused
 
 
+def refused_files(files: DataFrame, lines: DataFrame, strict: bool = False) -> DataFrame:
+    """``(file, reason)`` of every file that is not loaded: ``empty`` (no line, or a blank first one) or ``header``."""
+    first = lines.where(F.col("line_no") == 0).select("file", (F.btrim("line", F.lit(BLANKS)) == "").alias("_blank"))
+    verdicts = header_verdicts(lines, strict)
+    judged = files.select("file").join(first, "file", "left").join(verdicts, "file", "left")
+    reason = F.when(F.coalesce("_blank", F.lit(True)), "empty").when(F.col("verdict") == "refused", "header")
+    return judged.select("file", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def _number(cell: Column) -> Column:
     usable = cell.rlike(NUMBER) & ~F.lower(cell).isin(MISSING_WORDS)
     return F.when(usable, cell.try_cast("double"))
@@ -74,9 +83,9 @@ def dedup_by_fingerprint(new: DataFrame, seen: DataFrame) -> DataFrame:
 def resolve_equipment(files: DataFrame, equipment: DataFrame) -> DataFrame:
     """Machine of each file: by registered file name, by code in the name, by title, else the first active machine.
 
-    A registered name may contain the file's name.  Every part of a registered name
-    that ends in the extension is a possible file name, so containment becomes an
-    equality join on those few parts.
+    A registered name may contain the file's name.  Every part of a registered name that
+    is as long as some file's name is a possible file name, so containment becomes an
+    equality join on those parts.
     """
     name = F.lower(F.element_at(F.split("file", "/"), -1))
     named = files.withColumn("_name", name)
@@ -85,18 +94,14 @@ def resolve_equipment(files: DataFrame, equipment: DataFrame) -> DataFrame:
     named = named.withColumn("_code", code).withColumn("_title", F.translate(stem, "_", " "))
 
     registered = F.lower(F.get_json_object("specifications", "$.filename"))
-    starts = F.sequence(F.lit(1), F.length("_reg"))
-    ends = F.filter(
-        F.sequence(F.lit(4), F.length("_reg")), lambda e: F.substring(F.col("_reg"), e - 3, F.lit(4)) == ".csv"
-    )
-    parts = F.array_distinct(
-        F.flatten(F.transform(ends, lambda e: F.transform(
-            F.filter(starts, lambda s: s <= e - 3), lambda s: F.substring(F.col("_reg"), s, e - s + 1)
-        )))
-    )
+    # a file name has 255 characters at most, so there are few lengths
+    lengths = named.where(F.length("_name") > 0).agg(F.collect_set(F.length("_name"))).scalar()
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_reg"))
+    parts = F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length("_reg") - n + 1), lambda s: F.substring(F.col("_reg"), s, n)))))
     by_file = (
-        equipment.withColumn("_reg", registered)
-        .where(F.length("_reg") >= 4)
+        equipment.withColumn("_reg", registered).withColumn("_lengths", lengths)
+        .where(F.length("_reg") > 0)
         .select("id", F.explode(parts).alias("_name"))
         .groupBy("_name")
         .agg(F.min("id").alias("_by_file"))

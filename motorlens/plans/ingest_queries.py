@@ -116,6 +116,21 @@ def check_header(spark, sf_dir):
     return lenient.join(strict, "file")
 
 
+@query(
+    "refused_files",
+    "WITH " + LINES.strip().rstrip(",") + """
+    SELECT file, CASE WHEN regexp_extract(file, '[0-9]+')::INT % 7 < 2 THEN 'empty' ELSE 'header' END AS reason FROM lines
+    WHERE line_no = 0 AND (regexp_extract(file, '[0-9]+')::INT % 7 < 2 OR len(string_split(line, ',')) <> 3)""",
+)
+def refused_files(spark, sf_dir):
+    """Some files lose all their lines and some get a blank header."""
+    lines = _lines(spark, sf_dir)
+    kind = F.regexp_extract("file", "[0-9]+", 0).cast("int") % 7
+    header = F.when((kind == 1) & (F.col("line_no") == 0), " ").otherwise(F.col("line"))
+    left = lines.where(kind != 0).select("file", "line_no", header.alias("line"))
+    return I.refused_files(lines.select("file").distinct(), left)
+
+
 @query(
     "parse_rows",
     "WITH " + PARSED.strip().rstrip(",") + f" SELECT file, line_no, {r6('a')} AS a, {r6('b')} AS b, {r6('c')} AS c FROM parsed",

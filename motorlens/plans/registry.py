@@ -24,6 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             return comparable(function(spark, sf_dir))
 
         run.__name__ = name
+        run.unrounded = function
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql

@@ -98,8 +98,9 @@ def _recording_files(spark, sf_dir):
 @query(
     "stream_recordings",
     "WITH " + LINES.strip().rstrip(",") + """
-    SELECT 'first_' || file AS file, sha256(string_agg(line, chr(10) ORDER BY line_no) || chr(10)) AS file_hash
-    FROM lines GROUP BY file""",
+    SELECT 'first_' || file AS file, sha256(string_agg(h, '' ORDER BY block)) AS file_hash
+    FROM (SELECT file, line_no // 1000 AS block, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS h FROM lines GROUP BY 1, 2)
+    GROUP BY file""",
 )
 def stream_recordings(spark, sf_dir):
     """Several small batches; each content is kept once, under its first name."""

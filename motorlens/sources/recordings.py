@@ -14,11 +14,11 @@ from motorlens.functions.shipping import by_value
 
 by_value(__name__)
 
-# fixed value: largest accepted upload
-MAX_FILE_BYTES = 500 * 1024 * 1024
+# lines that are hashed together for a fingerprint
+BLOCK_LINES = 1_000
 
 
-def read_recordings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+def read_recordings(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
     """``(file, line_no, line)`` with the true zero-based line number inside each file.
 
     Files are read as splittable text.  Spark hands out increasing ids inside a
@@ -47,25 +47,33 @@ def read_recordings(spark: SparkSession, path: str, glob: str = "*.csv") -> Data
     )
 
 
-def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """``(file, length, modified_at, file_hash)``; the hash is SHA-256 over the bytes."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
-    return hashed_files(files)
+def line_hashes(lines: DataFrame) -> DataFrame:
+    """``(file, file_hash)`` of ``(file, line_no, line)``: SHA-256 over the hashes of its blocks of ``BLOCK_LINES`` lines.
+
+    A block is the largest piece that one row holds; the hash does not depend on how files
+    are split or how their lines end.
+    """
+    in_order = lambda place, value: F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(place).alias("at"), F.col(value).alias("value")))), lambda x: x["value"])
+    blocks = lines.groupBy("file", F.floor(F.col("line_no") / BLOCK_LINES).alias("_block")).agg(
+        F.sha2(F.array_join(in_order("line_no", "line"), "\n"), 256).alias("_hash"))
+    return blocks.groupBy("file").agg(F.sha2(F.array_join(in_order("_block", "_hash"), ""), 256).alias("file_hash"))
 
 
-def hashed_files(files: DataFrame) -> DataFrame:
-    """Fingerprints of a ``binaryFile`` frame, batch or streaming; oversized files are left out."""
-    return files.where(F.col("length") <= MAX_FILE_BYTES).select(
-        F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified_at"),
-        F.sha2("content", 256).alias("file_hash"),
+def listed_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """``(file, length, modified_at)`` of all files, without reading them."""
+    return (
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+        .select(F.col("_metadata.file_path").alias("file"), "length", F.col("modificationTime").alias("modified_at"))
     )
 
 
+def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """``(file, length, modified_at, file_hash)`` of files of any size; the hash of a file without lines is null."""
+    files = listed_files(spark, path, glob)
+    return files.join(line_hashes(read_recordings(spark, path, glob)), "file", "left")
+
+
 def encode_float32(values: np.ndarray) -> bytes:
     return gzip.compress(np.asarray(values, dtype="<f4").tobytes(), compresslevel=6)
 

@@ -6,6 +6,7 @@ of their own batch, so a repeated batch after a failure changes nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,16 +19,18 @@ from motorlens.functions.shipping import by_value
 from motorlens.operators import ingest as I
 from motorlens.operators.alerts import SILENT_AFTER_SECONDS
 from motorlens.operators.features import extract_features
-from motorlens.sources.recordings import hashed_files
+from motorlens.functions.ordering import dense_positions
+from motorlens.sources.recordings import line_hashes, read_recordings
 
 by_value(__name__)
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+LINE_SCHEMA = "file string, line_no bigint, line string"
 SEEN_SCHEMA = "file string, length bigint, modified_at timestamp, file_hash string, batch bigint"
 
 
 def watch_files(spark: SparkSession, path: str, glob: str = "*.csv", per_batch: int = 1000) -> DataFrame:
-    """New files under a folder as a stream."""
+    """New files under a folder as a stream of their names; at most ``per_batch`` in a batch, none is read here."""
     return (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
@@ -35,9 +38,17 @@ def watch_files(spark: SparkSession, path: str, glob: str = "*.csv", per_batch:
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", per_batch)
         .load(path)
+        .select("path", F.col("_metadata.file_path").alias("file"), "length", F.col("modificationTime").alias("modified_at"))
     )
 
 
+def lines_of(files: DataFrame) -> DataFrame:
+    """The lines of the files of one micro-batch, of which there are ``per_batch`` at most."""
+    paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", row["path"]) for row in files.select("path").collect()]
+    spark = files.sparkSession
+    return read_recordings(spark, paths, "*") if paths else spark.createDataFrame([], LINE_SCHEMA)
+
+
 def _seen(spark: SparkSession, store: str, batch: int) -> DataFrame:
     """Fingerprints of earlier batches; the folder of the running batch does not count."""
     try:
@@ -52,7 +63,7 @@ def _seen(spark: SparkSession, store: str, batch: int) -> DataFrame:
 def new_recordings(files: DataFrame, store: str, batch: int) -> DataFrame:
     """Files of one micro-batch whose content was never loaded; remembers them."""
     spark = files.sparkSession
-    hashed = hashed_files(files)
+    hashed = files.select("file", "length", "modified_at").join(line_hashes(lines_of(files)), "file")
     fresh = I.dedup_by_fingerprint(hashed, _seen(spark, store, batch))
     target = f"{store.rstrip('/')}/batch={batch}"
     fresh.write.mode("overwrite").parquet(target)
@@ -68,18 +79,14 @@ def stream_recordings(files: DataFrame, store: str, checkpoint: str, trigger: di
     return _start(files, remember, checkpoint, trigger)
 
 
-def recording_samples(files: DataFrame, sample_rate: int) -> DataFrame:
-    """Whole files as long samples that carry rate and time; one file is one signal.
+def recording_samples(files: DataFrame, lines: DataFrame, sample_rate: int) -> DataFrame:
+    """Recordings as long samples that carry rate and time; one file is one signal.
 
-    A file is at most as large as the upload limit, and files are independent rows.
+    ``lines`` are the lines of the files; no row holds more than one of them.
     """
-    text = F.split(F.decode("content", "UTF-8"), "\r\n|\r|\n")
-    lines = files.select("file", "modified_at", F.posexplode(text).alias("line_no", "line"))
-    data, _ = I.check_header(lines)
-    rows = I.parse_rows(data)
+    data, _ = I.check_header(lines.join(files.select("file"), "file", "left_semi"))
     # numbered again, because blank lines are gone
-    order = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    numbered = rows.withColumn("sample_idx", (order - 1).cast("bigint"))
+    numbered = dense_positions(I.parse_rows(data), ["file"], "line_no", "sample_idx")
     phases = F.array(*[F.struct(F.lit(p).alias("phase"), F.col(p).alias("value")) for p in ("a", "b", "c")])
     counts = numbered.groupBy("file").agg(
         F.count(F.lit(1)).alias("samples_count"), *[F.count(p).alias(f"_n{p}") for p in ("a", "b", "c")]
@@ -100,8 +107,7 @@ def stream_features(
 
     def process(batch: DataFrame, number: int) -> None:
         fresh = new_recordings(batch, store, number)
-        content = batch.select(F.col("path").alias("file"), "content")
-        samples = recording_samples(fresh.join(content, "file"), sample_rate)
+        samples = recording_samples(fresh, lines_of(batch), sample_rate)
         extract_features(samples, **options).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
 
     return _start(files, process, checkpoint, trigger)
