@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from motorlens.operators import audit as A
 from motorlens.plans.registry import query
 from motorlens.plans.sql_frames import with_frames
+from motorlens.session import table_folder
 from motorlens.sources import star_tables as S
 
 AS_OF = "2024-01-30 00:00:00"
@@ -187,6 +188,25 @@ def archive_audit(spark, sf_dir):
     )
 
 
+@query(
+    "write_archive",
+    with_frames(
+        "audit",
+        f"""SELECT strftime(ts, '%Y-%m') AS month, action_type, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM audit
+            WHERE ts < {NOW} - INTERVAL 20 DAY GROUP BY 1, 2""",
+    ),
+)
+def write_archive(spark, sf_dir):
+    """The archive written in two runs and read back by month."""
+    archived, _ = A.archive_audit(S.audit(spark, sf_dir), AS_OF, 20)
+    folder = table_folder(spark)
+    A.write_archive(archived.where(F.col("id") % 2 == 0), folder)
+    A.write_archive(archived.where(F.col("id") % 2 != 0), folder)
+    stored = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in archived.schema)}, month string").parquet(folder)
+    return stored.groupBy("month", "action_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 REQUESTS = """
 requests AS (
     SELECT event_id AS id,

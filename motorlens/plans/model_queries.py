@@ -260,7 +260,21 @@ def neighbour_counts(spark, sf_dir):
     return C.neighbour_counts(_points(spark, sf_dir), ["x", "y"], EPS, MIN_SAMPLES)
 
 
-@query("silhouette")
+@query(
+    "silhouette",
+    f"""WITH RECURSIVE {CLUSTERS},
+    labelled AS (
+        SELECT p.id, p.x, p.y, coalesce(c.label, b.label) AS label FROM points p LEFT JOIN component c ON c.id = p.id
+        LEFT JOIN (SELECT n.p AS id, min(c.label) AS label FROM near n JOIN component c ON c.id = n.q GROUP BY 1) b ON b.id = p.id
+        WHERE coalesce(c.label, b.label) IS NOT NULL),
+    apart AS (
+        SELECT a.id, a.label AS own, o.label AS other, sum(pow(a.x - o.x, 2) + pow(a.y - o.y, 2)) AS total, count(*) AS n
+        FROM labelled a, labelled o GROUP BY 1, 2, 3),
+    sides AS (
+        SELECT id, sum(total / greatest(n - 1, 1)) FILTER (own = other) AS inside, max(n) FILTER (own = other) AS n,
+               min(total / n) FILTER (own <> other) AS outside FROM apart GROUP BY 1)
+    SELECT {r6('avg(CASE WHEN n = 1 THEN 0 ELSE (outside - inside) / greatest(inside, outside) END)')} AS silhouette FROM sides""",
+)
 def silhouette(spark, sf_dir):
     points = _points(spark, sf_dir)
     labels = C.dbscan(points, ["x", "y"], EPS, MIN_SAMPLES)

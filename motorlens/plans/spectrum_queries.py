@@ -142,10 +142,39 @@ def dominant_frequency(spark, sf_dir):
     return _described(spark, sf_dir).select(*W.SEGMENT, "dominant_frequency")
 
 
-@query("pack_spectrum")
+@query(
+    "pack_spectrum",
+    with_frames(
+        "samples",
+        f"""SELECT s.signal_id, s.window_no, s.phase, {r6('s.centroid')} AS spectral_centroid, {r6('s.bandwidth')} AS spectral_bandwidth,
+                   {r6('s.rolloff')} AS spectral_rolloff, {r6('s.energy')} AS spectral_energy,
+                   {r6('coalesce(p.frequency, 0)')} AS dominant_frequency, coalesce(p.n_peaks, 0) AS n_peaks,
+                   {r6('coalesce(p.total, 0)')} AS peak_total, {RATE}::BIGINT AS sample_rate
+            FROM (SELECT signal_id, window_no, phase, any_value(n) AS n, any_value(centroid) AS centroid,
+                         sqrt(sum((frequency - centroid) ** 2 * magnitude / total)) AS bandwidth,
+                         coalesce(min(frequency) FILTER (upto / total >= 0.85), max(frequency)) AS rolloff, any_value(total) AS energy
+                  FROM (SELECT *, sum(frequency * magnitude / total) OVER (PARTITION BY signal_id, window_no, phase) AS centroid
+                        FROM (SELECT *, sum(magnitude) OVER (PARTITION BY signal_id, window_no, phase) AS total,
+                                     sum(magnitude) OVER (PARTITION BY signal_id, window_no, phase ORDER BY bin) AS upto
+                              FROM spectra)) GROUP BY 1, 2, 3) s
+            LEFT JOIN (SELECT signal_id, window_no, phase, max(frequency) FILTER (rank = 0) AS frequency, count(*) AS n_peaks,
+                              sum(magnitude) AS total FROM peaks WHERE rank < 10 GROUP BY 1, 2, 3) p USING (signal_id, window_no, phase)
+            WHERE s.n >= 20""",
+        PEAKS,
+    ),
+)
 def pack_spectrum(spark, sf_dir):
+    """The packed structs, unpacked to one row per phase."""
     packed = P.pack_spectrum(_described(spark, sf_dir))
-    return packed.select(*W.WINDOW, *[F.to_json(f"phase_{p}").alias(f"phase_{p}") for p in "abc"])
+    phases = F.array(*[F.struct(F.lit(p).alias("phase"), F.col(f"phase_{p}").alias("packed")) for p in "abc"])
+    rows = packed.select(*W.WINDOW, F.inline(phases)).where(F.col("packed").isNotNull())
+    one = lambda name: F.col(f"packed.{name}")
+    return rows.select(
+        *W.SEGMENT, *[one(c) for c in ("spectral_centroid", "spectral_bandwidth", "spectral_rolloff", "spectral_energy", "dominant_frequency")],
+        F.size(one("peaks")).cast("bigint").alias("n_peaks"),
+        F.aggregate(one("peaks"), F.lit(0.0), lambda total, peak: total + peak["amplitude"]).alias("peak_total"),
+        one("sample_rate").cast("bigint").alias("sample_rate"),
+    )
 
 
 @query("extract_features", None)

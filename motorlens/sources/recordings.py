@@ -61,7 +61,7 @@ def line_hashes(lines: DataFrame) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """``(file, length, modified_at)`` of all files, without reading them."""
+    """``(file, length, modified_at)`` of all files, without reading them; Spark does not list files of no bytes."""
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
         .select(F.col("_metadata.file_path").alias("file"), "length", F.col("modificationTime").alias("modified_at"))
@@ -69,7 +69,7 @@ def listed_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFra
 
 
 def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """``(file, length, modified_at, file_hash)`` of files of any size; the hash of a file without lines is null."""
+    """``(file, length, modified_at, file_hash)`` of files of any size."""
     files = listed_files(spark, path, glob)
     return files.join(line_hashes(read_recordings(spark, path, glob)), "file", "left")
 

@@ -171,3 +171,35 @@ def test_exports(spark, tmp_path):
     assert (tmp_path / "f" / "forecasts" / "equipment_id=1").is_dir()
     with pytest.raises(ValueError):
         sinks.export(df, str(tmp_path / "z"), "xml")
+
+
+def test_refused_files_have_a_reason(spark):
+    files = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "file string")
+    lines = spark.createDataFrame([("a", 0, HEADER), ("a", 1, "1,2,3"), ("b", 0, "x,y"), ("c", 0, "  ")], "file string, line_no bigint, line string")
+    assert {r["file"]: r["reason"] for r in I.refused_files(files, lines).collect()} == {"b": "header", "c": "empty", "d": "empty"}
+
+
+def test_fingerprint_follows_the_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_LINES", 3)
+    rows = [HEADER, *[f"{i},{i},{i}" for i in range(20)]]
+    for name, lines in (("a.csv", rows), ("b.csv", rows), ("c.csv", rows[:-1]), ("d.csv", [*rows[:5], rows[6], rows[5], *rows[7:]])):
+        write(tmp_path, name, lines)
+    found = {r["file"].rsplit("/", 1)[1]: r["file_hash"] for r in C.fingerprints(spark, str(tmp_path)).collect()}
+    assert found["a.csv"] == found["b.csv"] and len({found[f"{x}.csv"] for x in "acd"}) == 3
+
+
+def test_registered_names_of_any_extension(spark):
+    machines = spark.createDataFrame(
+        [(1, "EQ_1", "first", "active", '{"filename": "Data/Run_7.TXT and more"}'), (2, "EQ_2", "second", "active", None)],
+        "id int, equipment_code string, name string, status string, specifications string")
+    files = spark.createDataFrame([("x/run_7.txt",), ("y/run_8.txt",), ("second",)], "file string")
+    found = {r["file"]: (r["equipment_id"], r["matched_by"]) for r in I.resolve_equipment(files, machines).collect()}
+    assert found == {"x/run_7.txt": (1, "registered file"), "y/run_8.txt": (1, "first active"), "second": (2, "title")}
+
+
+def test_a_file_name_with_odd_characters_streams(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source, "a [1] {x}*.csv", [HEADER, "1,2,3"])
+    J.stream_recordings(J.watch_files(spark, str(source)), str(tmp_path / "seen"), str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "seen")).count() == 1

@@ -1,12 +1,15 @@
 """Hot keys: same results, and no plan that gathers a hot key in one task."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from motorlens.functions import quantiles
 from motorlens.functions.ordering import position_within, running_total
 from motorlens.functions.quantiles import column_quantiles, exact_quantiles
 from motorlens.operators import clusters as C
+from motorlens.operators import forest
 
 
 def hot_rows(spark, n=30_000):
@@ -102,3 +105,27 @@ def test_text_ids_and_components(spark):
     edges = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(200) if i != 100], "u string, v string")
     found = {r["node"]: r["component"] for r in C.connected_components(edges).collect()}
     assert found["n0100"] == "n0000" and found["n0200"] == "n0101" and len(found) == 201
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_a_missed_bracket_is_opened(spark, monkeypatch, keys):
+    """With no margin around a rough sketch ranks fall outside their brackets; one value lies far out."""
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    monkeypatch.setattr(quantiles, "ACCURACY", 3)
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", 0)
+    values = [float(i * i % 7919) for i in range(5000)] + [1e12]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double").repartition(6)
+    found = {r["prob"]: r["quantile"] for r in quantiles.exact_quantiles(df, keys, "v", [0.1, 0.5, 0.999]).collect()}
+    for p, q in found.items():
+        assert abs(q - np.quantile(values, p)) < 1e-6
+    if not keys:
+        columns = quantiles.column_quantiles(df, ["v"], [0.1, 0.5, 0.999])["v"]
+        assert all(abs(columns[p] - q) < 1e-6 for p, q in found.items())
+
+
+def test_every_row_enters_a_tree_with_the_same_chance(spark):
+    df = spark.range(20_000).select("id", F.array(F.lit(0.0)).alias("x"))
+    for trees in (5, 200):
+        per_tree = [r["n"] for r in forest.draw_samples(df, 20_000, trees, 10_000, 7, slack=0.02).groupBy("tree").agg(F.count("*").alias("n")).collect()]
+        assert len(per_tree) == trees and abs(np.mean(per_tree) - 200) < 200 / np.sqrt(trees) + 5
+        assert 8 < np.std(per_tree) < 22
