@@ -170,9 +170,9 @@ def upsert_features(new: DataFrame, existing: DataFrame) -> DataFrame:
     return existing.unionByName(fresh.select(*existing.columns))
 
 
-def append_features(fresh: DataFrame, path: str) -> None:
-    """Append feature rows, one folder per day, so that time filters prune folders."""
-    fresh.withColumn("date", F.to_date("window_start")).write.mode("append").partitionBy("date").parquet(path)
+def append_features(fresh: DataFrame, path: str, per: str = "day") -> None:
+    """Append feature rows, one folder per day (or month), so that time filters prune folders."""
+    fresh.withColumn("date", F.to_date(F.date_trunc(per, "window_start"))).write.mode("append").partitionBy("date").parquet(path)
 
 
 def pending_signals(signals: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:

@@ -276,16 +276,16 @@ def decode_signal_blobs(spark, sf_dir):
     "append_features",
     with_frames(
         "features",
-        f"""SELECT window_start::DATE AS date, count(*) AS n, min(id) AS first_id, {r6('sum(rms_a)')} AS rms_a FROM features
+        f"""SELECT date_trunc('month', window_start)::DATE AS date, count(*) AS n, min(id) AS first_id, {r6('sum(rms_a)')} AS rms_a FROM features
             WHERE window_start >= TIMESTAMP '1998-01-01' GROUP BY 1""",
     ),
 )
 def append_features(spark, sf_dir):
-    """Feature rows appended in two runs, one folder per day, and read back."""
+    """Feature rows appended in two runs, one folder per month, and read back."""
     rows = S.features(spark, sf_dir).where(F.col("window_start") >= F.lit("1998-01-01").cast("timestamp_ntz")).select("id", "window_start", "rms_a")
     folder = table_folder(spark)
-    I.append_features(rows.where("length(id) % 2 = 0").repartition(F.to_date("window_start")), folder)
-    I.append_features(rows.where("length(id) % 2 <> 0").repartition(F.to_date("window_start")), folder)
+    I.append_features(rows.where("length(id) % 2 = 0"), folder, per="month")
+    I.append_features(rows.where("length(id) % 2 <> 0"), folder, per="month")
     stored = spark.read.schema("id string, window_start timestamp_ntz, rms_a double, date date").parquet(folder)
     return stored.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.sum("rms_a").alias("rms_a"))
 
