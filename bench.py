@@ -8,7 +8,7 @@ import sys
 import time
 
 from motorlens.plans import catalog
-from motorlens.session import local_session
+from motorlens.session import drop_tables, local_session
 
 HEADLINE = [
     "window_statistics", "median_filter", "assemble_features", "averaged_spectrum", "spectral_peaks", "extract_features",
@@ -37,6 +37,7 @@ def main() -> None:
         # as a user runs it, without the rounding that comparisons need
         catalog.QUERIES[name].unrounded(spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - started, 3)
+        drop_tables(spark)
         if os.environ.get("BENCH_VERBOSE"):
             print(name, timings[name], file=sys.stderr, flush=True)
     print(

@@ -65,7 +65,8 @@ def rms_series(
         placed = position_within(chosen, SERIES, "ts", ["id"], "_n", slot="hour")
         chosen = placed.where(F.col("_n") < limit).drop("_n")
     enough = chosen.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
-    return chosen.join(enough.select(*SERIES), SERIES, "left_semi")
+    # stored, so that its size is known and a hot series can be split in the join
+    return chosen.join(materialise(enough.select(*SERIES)), SERIES, "left_semi")
 
 
 def hourly_rms(located_features: DataFrame, min_points: int = MIN_OBSERVATIONS) -> DataFrame:

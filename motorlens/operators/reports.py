@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from motorlens.functions.clock import Moment, after, before, floor_to, moment, seconds_between, within
 from motorlens.functions.expressions import PHASES, banded, mean_of_present, present_phases
+from motorlens.session import materialise
 
 # fixed values of the reports
 LISTED_ABOVE = 0.5
@@ -704,6 +705,8 @@ def rms_zscore_anomalies(
     baseline = long.groupBy("equipment_id", "phase").agg(
         F.avg("rms_value").alias("mean_value"), F.stddev_samp("rms_value").alias("std_value")
     )
+    # stored, so that its size is known and a hot machine can be split in the join
+    baseline = materialise(baseline)
     last_day = long.where(within("window_start", as_of, 24, "HOUR"))
     z = F.try_divide(F.col("rms_value") - F.col("mean_value"), F.nullif(F.col("std_value"), F.lit(0.0)))
     return (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from motorlens.functions.expressions import PHASES
 from motorlens.operators.reports import stack
+from motorlens.session import materialise
 
 
 @dataclass(frozen=True)
@@ -141,7 +142,8 @@ def validation_summary(issues: DataFrame, signals: DataFrame) -> DataFrame:
 def passing(frame: DataFrame, issues: DataFrame) -> DataFrame:
     """Rows whose recording has neither errors nor critical issues."""
     failing = issues.where(F.col("severity").isin("error", "critical")).select("signal_id").distinct()
-    return frame.join(failing, "signal_id", "left_anti")
+    # stored, so that its size is known and a hot recording can be split in the join
+    return frame.join(materialise(failing), "signal_id", "left_anti")
 
 
 def constraint_violations(table: DataFrame, kind: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from motorlens.functions.clock import plus_microseconds
 from motorlens.functions.expressions import PHASES, STATS, as_column
+from motorlens.session import materialise
 
 WINDOW = ["signal_id", "window_no"]
 SEGMENT = ["signal_id", "window_no", "phase"]
@@ -219,7 +220,8 @@ def preview(samples: DataFrame, points: int) -> DataFrame:
 
     The count is the longest phase of the recording, as stored with the signal.
     """
-    counts = samples.groupBy("signal_id").agg((F.max("sample_idx") + 1).alias("_n"))
+    # stored, so that its size is known and a hot signal's samples can be split in the join
+    counts = materialise(samples.groupBy("signal_id").agg((F.max("sample_idx") + 1).alias("_n")))
     step = F.greatest(F.lit(1).cast("bigint"), F.expr(f"_n div {points}"))
     thinned = samples.join(counts, "signal_id").withColumn("factor", step)
     index = F.col("sample_idx")
@@ -244,7 +246,7 @@ def preview_statistics(samples: DataFrame, points: int) -> DataFrame:
 
 def time_axis(samples: DataFrame, rate: int) -> DataFrame:
     """Seconds from 0 to N/rate inclusive over the N points of a segment."""
-    counts = samples.groupBy("signal_id", "phase").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(samples.groupBy("signal_id", "phase").agg(F.count(F.lit(1)).alias("_n")))
     step = F.try_divide(F.col("_n") / F.lit(float(rate)), F.col("_n") - 1)
     seconds = F.coalesce(F.col("sample_idx") * step, F.lit(0.0))
     return samples.join(counts, ["signal_id", "phase"]).withColumn("seconds", seconds).drop("_n")

@@ -107,6 +107,23 @@ def rms_series(spark, sf_dir):
     return P.rms_series(P.rms_readings(_located(spark, sf_dir)), "1996-01-01 00:00:00", "2001-06-01 00:00:00", limit=55)
 
 
+@query(
+    "rms_series_all",
+    with_frames(
+        "located_features",
+        f"""SELECT equipment_id, phase, ts, {r6('value')} AS value, id FROM (
+               SELECT *, count(*) OVER (PARTITION BY equipment_id, phase) AS total FROM (
+                   SELECT equipment_id, 'a' AS phase, window_start AS ts, id, rms_a AS value FROM located_features
+                   UNION ALL SELECT equipment_id, 'b', window_start, id, rms_b FROM located_features
+                   UNION ALL SELECT equipment_id, 'c', window_start, id, rms_c FROM located_features)
+               WHERE value IS NOT NULL) WHERE total >= 50""",
+    ),
+)
+def rms_series_all(spark, sf_dir):
+    """All readings of every series that has enough of them."""
+    return P.rms_series(P.rms_readings(_located(spark, sf_dir)))
+
+
 HOURLY = f"""
 hourly AS (
     SELECT equipment_id, date_trunc('hour', window_start)::TIMESTAMP AS hour, avg(y) AS y FROM (

@@ -325,6 +325,14 @@ def pending_signals(spark, sf_dir):
     return I.pending_signals(S.signals(spark, sf_dir), force=True, limit=500).select("id", "equipment_id", "status")
 
 
+@query(
+    "pending_signals_all",
+    with_frames("signals", "SELECT id, equipment_id, status FROM signals WHERE status IN ('pending', 'completed', 'failed')"),
+)
+def pending_signals_all(spark, sf_dir):
+    return I.pending_signals(S.signals(spark, sf_dir), force=True).select("id", "equipment_id", "status")
+
+
 @query(
     "latest_status",
     """SELECT user_id AS signal_id, status, error, ts AS updated_at, status = 'completed' AS processed FROM (

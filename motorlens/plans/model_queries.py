@@ -39,6 +39,19 @@ def training_frame(spark, sf_dir):
     return rows.select("id", "equipment_id", "equipment_name", "window_start", "rms_a")
 
 
+@query(
+    "training_frame_all",
+    with_frames(
+        "located_features equipment",
+        f"""SELECT f.id, f.equipment_id, e.name AS equipment_name, f.window_start, {r6('f.rms_a')} AS rms_a
+            FROM located_features f JOIN equipment e ON f.equipment_id = e.id""",
+    ),
+)
+def training_frame_all(spark, sf_dir):
+    rows = M.training_frame(S.features(spark, sf_dir), S.signals(spark, sf_dir), S.equipment(spark, sf_dir))
+    return rows.select("id", "equipment_id", "equipment_name", "window_start", "rms_a")
+
+
 def _long_sql(expressions: dict[str, str], source: str = "features") -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {e} FROM {source}" for c, e in expressions.items())
 

@@ -53,9 +53,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+# folders of written tables of this process
+_folders: list[str] = []
+
+
+def _path(spark: SparkSession, folder: str):
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
 def table_folder(spark: SparkSession) -> str:
-    """A new folder for written tables, beside the shared checkpoints."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    """A new folder for written tables, beside the shared checkpoints; it goes when the driver ends."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    path, files = _path(spark, folder)
+    files.deleteOnExit(path)
+    _folders.append(folder)
+    return folder
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Remove the tables written so far, once the results that rest on them have been read; returns how many went."""
+    dropped = 0
+    while _folders:
+        path, files = _path(spark, _folders.pop())
+        dropped += bool(files.delete(path, True))
+    return dropped
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from motorlens import session
 from motorlens.functions import quantiles
 from motorlens.functions.ordering import position_within, running_total
 from motorlens.functions.quantiles import column_quantiles, exact_quantiles
@@ -129,3 +130,9 @@ def test_every_row_enters_a_tree_with_the_same_chance(spark):
         per_tree = [r["n"] for r in forest.draw_samples(df, 20_000, trees, 10_000, 7, slack=0.02).groupBy("tree").agg(F.count("*").alias("n")).collect()]
         assert len(per_tree) == trees and abs(np.mean(per_tree) - 200) < 200 / np.sqrt(trees) + 5
         assert 8 < np.std(per_tree) < 22
+
+
+def test_written_tables_can_be_dropped(spark):
+    kept = session.materialise(spark.range(3))
+    assert kept.count() == 3 and session.drop_tables(spark) >= 1
+    assert session.drop_tables(spark) == 0
