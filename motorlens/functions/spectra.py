@@ -116,24 +116,20 @@ def spectral_shape(spectrum: Column, step: Column) -> Column:
     @F.pandas_udf(SHAPE_TYPE)
     def kernel(spectra: pd.Series, steps: pd.Series) -> pd.DataFrame:
         out = np.full((len(spectra), 4), np.nan)
-        for i, (magnitudes, width) in enumerate(zip(spectra, steps)):
-            if magnitudes is None or len(magnitudes) == 0:
-                continue
-            magnitudes = np.asarray(magnitudes, dtype=float)
-            frequencies = np.arange(len(magnitudes)) * width
-            total = magnitudes.sum()
-            if total == 0:
-                out[i] = 0.0
-                continue
-            share = magnitudes / total
-            centroid = (frequencies * share).sum()
-            reached = np.flatnonzero(np.cumsum(share) >= ROLLOFF)
-            out[i] = (
-                centroid,
-                np.sqrt(((frequencies - centroid) ** 2 * share).sum()),
-                frequencies[reached[0]] if len(reached) else frequencies[-1],
-                total,
-            )
+        lengths = np.array([0 if m is None else len(m) for m in spectra], dtype=int)
+        for n in np.unique(lengths[lengths > 0]):
+            # spectra of one length share the array operations
+            rows = np.flatnonzero(lengths == n)
+            magnitudes = np.stack([np.asarray(m, dtype=float) for m in spectra.iloc[rows]])
+            frequencies = np.arange(n) * steps.iloc[rows].to_numpy(dtype=float)[:, None]
+            total = magnitudes.sum(axis=1)
+            share = magnitudes / np.where(total == 0, 1.0, total)[:, None]
+            centroid = (frequencies * share).sum(axis=1)
+            reached = np.cumsum(share, axis=1) >= ROLLOFF
+            at = np.where(reached.any(axis=1), reached.argmax(axis=1), n - 1)
+            bandwidth = np.sqrt(((frequencies - centroid[:, None]) ** 2 * share).sum(axis=1))
+            shape = np.column_stack([centroid, bandwidth, frequencies[np.arange(len(rows)), at], total])
+            out[rows] = np.where(total[:, None] == 0, 0.0, shape)
         shape = pd.DataFrame(out, columns=["centroid", "bandwidth", "rolloff", "energy"])
         return shape.astype(object).where(shape.notna(), None)
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_forecasts(forecasts: DataFrame, summary: DataFrame, path: str, buckets: int = 64, per_machine: bool = False) -> None:
+def write_forecasts(
+    forecasts: DataFrame, summary: DataFrame, path: str, buckets: int = 64, per_machine: bool = False, writers: int = 1
+) -> None:
     """Forecasts as JSON lines, each naming its machine, and the fleet summary beside them.
 
     Machines are spread over a fixed number of folders, so that the number of files
-    does not follow the size of the fleet; ``per_machine`` gives each its own folder.
+    does not follow the size of the fleet; ``writers`` tasks share a folder, and
+    ``per_machine`` gives each machine its own.
     """
     target = path.rstrip("/")
     if per_machine:
@@ -19,7 +22,8 @@ def write_forecasts(forecasts: DataFrame, summary: DataFrame, path: str, buckets
         by_machine.write.mode("overwrite").partitionBy("equipment_id").json(f"{target}/forecasts")
     else:
         bucket = F.pmod(F.xxhash64("equipment_id"), F.lit(buckets)).cast("int")
-        spread = forecasts.withColumn("bucket", bucket).repartition("bucket")
+        writer = F.pmod(F.xxhash64("equipment_id", F.lit(1)), F.lit(writers)).cast("int")
+        spread = forecasts.withColumn("bucket", bucket).repartition(F.col("bucket"), writer)
         spread.write.mode("overwrite").partitionBy("bucket").json(f"{target}/forecasts")
     summary.write.mode("overwrite").json(f"{target}/summary")
 
