@@ -120,7 +120,8 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     targets = source_targets(totals)
     planned = lengths.select("source_key", "size", "count").join(targets, "source_key")
     plan = materialise(planned.groupBy("source_key").applyInPandas(plan_source, PLAN))
-    placed = sized.select("doc_id", "source_key", "size", "_hash").join(plan, ["source_key", "size"])
+    # the plan grows with the number of lengths, so it is not broadcast
+    placed = sized.select("doc_id", "source_key", "size", "_hash").join(plan.hint("merge"), ["source_key", "size"])
     partly = (F.col("further") > 0) & (F.col("further") < F.col("count"))
     chosen = first_of_each(placed.where(partly), ["source_key", "size"], F.col("_hash"), "count", "further", "_first")
     rest = placed.where(~partly).withColumn("_first", F.col("further") > 0)

@@ -71,7 +71,7 @@ def first_of_each(rows: DataFrame, keys: list[str], order: Column, count: str, w
     )
     local = Window.partitionBy(*keys, "_bucket").orderBy("_order", *[c for c in rows.columns if c not in keys])
     return (
-        bucketed.join(before, [*keys, "_bucket"])
+        bucketed.join(before.hint("merge"), [*keys, "_bucket"])
         .withColumn(into, F.col("_before") + F.row_number().over(local) <= F.col(wanted))
         .drop("_order", "_bucket", "_before")
     )
