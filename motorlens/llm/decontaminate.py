@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from motorlens.functions.shipping import by_value
 from motorlens.llm.kernels import ALPHANUMERIC, owners, pieces, spans, word_hashes
 from motorlens.session import materialise
 
+by_value(__name__)
+
 WINDOW = 10
 # largest vocabulary of test terms that every task holds (8 bytes each); beyond it all postings are stored
 MOST_TERMS = 4_000_000

@@ -16,8 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from motorlens.functions.shipping import by_value
 from motorlens.llm.tree import grow, share_of
 
+by_value(__name__)
+
 # text inside these is never shown
 SILENT = ("script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "textarea", "title", "head",
           "select", "option", "math", "audio", "video")

@@ -11,6 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from motorlens.functions.shipping import by_value
+
+by_value(__name__)
+
 # bytes of text that are worked on together; a longer text is worked on alone
 PIECE_BYTES = 1 << 20
 

@@ -17,8 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motorlens.functions.shipping import by_value
 from motorlens.llm.kernels import pieces
 
+by_value(__name__)
+
 # sampled training documents of a language, windows of each, bytes of a window in training and in prediction
 SAMPLE_DOCUMENTS = 600
 SAMPLE_WINDOWS = 4

@@ -12,9 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motorlens.functions.shipping import by_value
 from motorlens.llm.numbering import first_of_each
 from motorlens.session import materialise
 
+by_value(__name__)
+
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_PASSES = 2

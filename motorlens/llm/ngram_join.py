@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motorlens.functions.shipping import by_value
 from motorlens.llm.kernels import UNSPACED, mixed, pieces, spans, word_hashes
 from motorlens.operators.clusters import connected_components
 from motorlens.session import materialise
 
+by_value(__name__)
+
 SHINGLE_WORDS = 5
 # the similarity as a fraction
 THRESHOLD = (4, 5)

@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motorlens.functions.shipping import by_value
 from motorlens.llm.numbering import global_row_numbers
 
+by_value(__name__)
+
 ROUNDS = 6
 ROW_OVERHEAD = 16
 

@@ -18,9 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motorlens.functions.shipping import by_value
 from motorlens.llm.kernels import UNSPACED, owners, pieces, spans, word_hashes
 from motorlens.session import materialise
 
+by_value(__name__)
+
 DEPTH = 5
 # least share of all positions a retained context precedes; so at most DEPTH / LEAST_SHARE contexts are retained
 LEAST_SHARE = 5e-6

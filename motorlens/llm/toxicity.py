@@ -21,11 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motorlens.functions.shipping import by_value
+
+by_value(__name__)
+
 # labelled documents that lexicon and curve are learned from, in expectation
 SAMPLE_DOCUMENTS = 12_000
-# least toxic documents an entry must be found in, least log odds, most entries
+# least toxic documents an entry must be found in, least log odds after two standard errors are taken off, most entries
 LEAST_DOCUMENTS = 6
-LEAST_WEIGHT = 2.0
+LEAST_WEIGHT = 2.3
+ERRORS = 2.0
 MOST_ENTRIES = 2_000
 # lengths of word beginnings that may become entries
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -82,8 +87,10 @@ def _sampled(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     # at most about ``size`` pairs of numbers, whatever the input
     chosen = F.broadcast(single.where(part))
     half = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select(
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(
         F.coalesce("text", F.lit("")).alias("text"), F.col("_toxic").alias("toxic"), half.alias("half"))
+    # copies of a text are one example
+    return rows.dropDuplicates(["text", "toxic"])
 
 
 def _candidates(text: str) -> set[str]:
@@ -160,8 +167,8 @@ def _phrases(entries: list[str]) -> Callable[[pd.DataFrame, Counter], None]:
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Entries with their weights, and exception phrases with the (negative) weight they take back.
 
-    An entry is weighed by the log odds of the toxic documents that hold it.  A beginning
-    that only one word has is left to the word.
+    An entry is weighed by the log odds of the toxic documents that hold it, less their
+    standard errors.  Of entries that begin with each other the weightiest stays.
     """
     summed = lambda df: df.groupBy("entry", "toxic").agg(F.sum("n").alias("n"))
     toxic = sample.where("toxic = 1")
@@ -173,13 +180,24 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     for r in summed(sample.mapInPandas(_counted(_entry_counts(first)), COUNTS)).collect():
         counts.setdefault(r["entry"], [0, 0])[1 if r["toxic"] == 1 else 0] += r["n"]
     clean, bad = sizes.get(0, 0) + 1.0, sizes.get(1, 0) + 1.0
-    weights = {e: math.log((n1 + 0.5) / bad) - math.log((n0 + 0.5) / clean) for e, (n0, n1) in counts.items() if n1 >= LEAST_DOCUMENTS}
-    strong = sorted((e for e, w in weights.items() if w >= LEAST_WEIGHT), key=lambda e: (-weights[e], e))[:MOST_ENTRIES]
+
+    def sure(n0: int, n1: int) -> float:
+        """Log odds of toxic documents, less what chance may add."""
+        odds = math.log((n1 + 0.5) / bad) - math.log((n0 + 0.5) / clean)
+        return odds - ERRORS * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+
+    weights = {e: sure(n0, n1) for e, (n0, n1) in counts.items() if n1 >= LEAST_DOCUMENTS}
+    # of equal ones the beginning of a word before the word, the longer before the shorter
+    strong = sorted((e for e, w in weights.items() if w >= LEAST_WEIGHT),
+                    key=lambda e: (-round(weights[e], 2), e.endswith(" "), -len(e), e))
     kept: dict[str, float] = {}
-    for entry in sorted(strong, key=lambda e: (len(e), e)):
-        # a longer entry inside a shorter one that is kept would count the same word twice
-        if not any(entry[: k + 1] in kept for k in PREFIXES if k <= len(entry.strip())):
+    beginnings: set[str] = set()
+    for entry in strong[:MOST_ENTRIES]:
+        # an entry that begins like a kept one, or with it, would count the same word twice
+        shorter = {entry[:k] for k in range(2, len(entry))}
+        if entry not in beginnings and not any(e in kept for e in shorter):
             kept[entry] = round(weights[entry], 4)
+            beginnings |= shorter
     exceptions: dict[str, list[int]] = {}
     for r in summed(sample.mapInPandas(_counted(_phrases(list(kept))), COUNTS)).where(F.col("n") >= LEAST_EXCEPTIONS).collect():
         exceptions.setdefault(r["entry"], [0, 0])[1 if r["toxic"] == 1 else 0] += r["n"]
@@ -192,7 +210,9 @@ def features(text: str | None, machine: ahocorasick.Automaton) -> tuple[float, f
     """Summed weights, the same by length, and the words of a text."""
     folded = fold(text)
     words = folded.count(" ") - 1
-    total = max(0.0, sum(weight for _, _, weight in _matches(machine, folded)))
+    times = Counter((entry, weight) for _, entry, weight in _matches(machine, folded))
+    # repetitions of one entry count less and less
+    total = max(0.0, sum(weight * math.log2(1 + n) for (_, weight), n in times.items()))
     return math.log1p(total), total / math.sqrt(words + 10.0), words
 
 

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from motorlens.functions.shipping import by_value
+
+by_value(__name__)
+
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
     """``(share of label 1,)`` for a leaf, else ``(column, limit, tree up to the limit, tree above it)``."""
