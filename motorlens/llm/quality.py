@@ -35,7 +35,7 @@ BINS = 32
 
 # transformed statistics: mean word length, symbols, repeated lines, repeated words; and the least deviation of each
 VECTOR = ("x0", "x1", "x2", "x3")
-LEAST_DEVIATION = (0.06, 0.30, 0.10, 0.10)
+LEAST_DEVIATION = (0.06, 0.30, 0.20, 0.20)
 PAIRS = tuple((i, j) for i in range(4) for j in range(i + 1))
 MOMENTS = ("n", *(f"s{i}" for i in range(4)), *(f"s{i}{j}" for i, j in PAIRS))
 
