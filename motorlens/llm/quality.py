@@ -28,6 +28,8 @@ SUPPORT = 0.75
 MIN_GROUP = 40
 MAX_STEPS = 8
 SETTLED = 1e-3
+# parts of a group that meet its estimates apart from each other
+SALTS = 32
 # chance that a row of a normal distribution lies beyond the limit
 TAIL = 1e-6
 # distance bins: so many for each doubling of 1 + distance
@@ -156,7 +158,7 @@ ESTIMATE = (*(f"m{i}" for i in range(4)), *(f"l{i}{j}" for i, j in PAIRS), "logd
 
 
 def minimum_covariance(rows: DataFrame, group: str) -> DataFrame:
-    """The estimate of every group of at least ``MIN_GROUP`` rows ``(group, x0 .. x3)``."""
+    """The estimate of every group of at least ``MIN_GROUP`` rows ``(group, _salt, x0 .. x3)``."""
     quartiles = [F.percentile(F.round(f"x{i}", 2), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(4)]
     first = rows.groupBy(group).agg(*_moments(), *quartiles).where(F.col("n") >= MIN_GROUP)
     first = materialise(first)
@@ -181,7 +183,9 @@ def minimum_covariance(rows: DataFrame, group: str) -> DataFrame:
 
 def _concentrated(rows: DataFrame, estimates: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
     """One step: estimates from the nearest rows by the present estimates."""
-    far = _distance(rows.join(estimates, group), "_d")
+    # a hot group is met in parts, each with its own copy of the few estimates
+    copies = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    far = _distance(rows.join(copies, [group, "_salt"]), "_d")
     binned = far.withColumn("_bin", F.floor(F.log2(1 + F.col("_d")) * BINS))
     # stored, so that a hot group's partial sums are dealt out by bin and only its bins meet
     bins = materialise(binned.groupBy(group, "start", "_bin").agg(*_moments()))
@@ -213,7 +217,8 @@ def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     counted = text_statistics(docs.select("doc_id", "text", named.alias("_group"))).drop("text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     table = materialise(counted.withColumn("base_failed", failed).select("*", *statistic_vector()))
-    passed = table.where(~F.col("base_failed")).select("_group", *VECTOR)
+    salt = F.pmod(F.xxhash64("doc_id", *VECTOR), F.lit(SALTS)).cast("int")
+    passed = table.where(~F.col("base_failed")).select("_group", salt.alias("_salt"), *VECTOR)
     estimates = materialise(minimum_covariance(passed, "_group"))
     judged = _distance(table.join(estimates, "_group", "left"), "distance")
     limit = chi_square_quantile(tail, 4)
