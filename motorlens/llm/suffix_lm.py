@@ -1,10 +1,12 @@
 """Scores of texts by a probabilistic suffix tree, beside a unigram base.
 
 The tree predicts the next byte of a text (words in lower case, one space behind each,
-one end) from the longest retained context.  A context of up to ``DEPTH`` bytes is
-retained when it is frequent enough and its next bytes diverge from those after its
-suffix; distributions are smoothed towards the suffix's.  For scoring the tree is laid
-out as an automaton over its contexts, and stretches of many texts are read side by side.
+one end) from the longest retained context.  A context of up to ``LONGEST`` bytes is
+retained when it is seen often enough and its next bytes diverge from those after its
+longest retained suffix, towards which its distribution is smoothed.  The tree grows with
+the texts: it is a table with a row per context and next byte, made level by level by
+joins, and the texts' contexts and next bytes meet it in a join; the most frequent are
+held by every task.  ``learn`` lays a small tree out as an automaton instead.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorlens.functions.shipping import by_value
@@ -24,15 +27,19 @@ from motorlens.session import materialise
 
 by_value(__name__)
 
+# longest context of a tree in memory, and of the tree that scores documents (a context and its symbol fill 64 bits)
 DEPTH = 5
-# least share of all positions a retained context precedes; so at most DEPTH / LEAST_SHARE contexts are retained
-LEAST_SHARE = 5e-6
+LONGEST = 7
+# least positions a retained context precedes, at every size of the corpus
+LEAST_COUNT = 8
 # least log-likelihood gain of a context over its suffix, in nats
 LEAST_GAIN = 8.0
 # most frequent words whose counts every task holds (16 bytes each); other words are met by a join
 FREQUENT_WORDS = 300_000
+# as many of the most frequent grams, likewise
+FREQUENT_GRAMS = 500_000
 # distinct keys a task holds before it hands its counts on
-MOST_KEYS = 1_500_000
+MOST_KEYS = 500_000
 STRETCH = 128
 SPACE, END = 0x20, 0x0A
 WORD, GRAM = 0, 1
@@ -54,18 +61,18 @@ def symbol_stream(data: np.ndarray, offsets: np.ndarray, words: tuple) -> tuple[
     return out, stops
 
 
-def grams(symbols: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Every symbol with the ``DEPTH`` before it in one number, the symbol in its lowest byte.
+def grams(symbols: np.ndarray, stops: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Every symbol with the ``depth`` before it in one number, the symbol in its lowest byte.
 
     The first symbol of a text stands behind an end; what would lie before that is 0.
     """
     wide = symbols.astype(np.uint64)
     keys = wide.copy()
-    for j in range(1, DEPTH + 1):
+    for j in range(1, depth + 1):
         keys[j:] |= wide[:-j] << np.uint64(8 * j)
         keys[:j] |= np.uint64(END << 8 * j if j == 1 else 0)
     firsts = np.concatenate([[0], stops[:-1] + 1])
-    for d in range(DEPTH):
+    for d in range(depth):
         at = firsts + d
         at = at[at <= stops]
         keys[at] &= np.uint64((1 << 8 * min(d + 2, 8)) - 1)
@@ -84,31 +91,38 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def _count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and grams of the texts of a partition as ``(kind, key, n)``."""
-    held: dict[int, list] = {WORD: [], GRAM: []}
-
-    def rows(kind: int) -> Iterator[pa.RecordBatch]:
-        keys, counts = _added(held[kind]) if held[kind] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        held[kind] = []
-        for i in range(0, len(keys), 100_000):
-            part = keys[i : i + 100_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(counts[i : i + 100_000].astype(np.int64))],
-                names=["kind", "key", "n"])
-
-    for batch in batches:
-        for _, data, offsets in pieces(batch.column(0)):
-            words = spans(data, offsets, UNSPACED)
-            held[WORD].append(np.unique(word_hashes(data, *words[:2], UNSPACED), return_counts=True))
-            held[GRAM].append(np.unique(grams(*symbol_stream(data, offsets, words)), return_counts=True))
-            for kind, parts in held.items():
-                if len(parts) > 8:
-                    held[kind] = [_added(parts)]
-                    if len(held[kind][0][0]) > MOST_KEYS:
-                        yield from rows(kind)
-    for kind in held:
-        yield from rows(kind)
+def _count_kernel(depth: int) -> Callable:
+    """Words and grams of the texts of a partition as ``(kind, key, n)``; grams only seen in held-out texts count 0."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {WORD: [], GRAM: []}
+
+        def rows(kind: int) -> Iterator[pa.RecordBatch]:
+            keys, counts = _added(held[kind]) if held[kind] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            held[kind] = []
+            for i in range(0, len(keys), 100_000):
+                part = keys[i : i + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(counts[i : i + 100_000].astype(np.int64))],
+                    names=["kind", "key", "n"])
+
+        for batch in batches:
+            for apart in (False, True):
+                for _, data, offsets in pieces(batch.filter(pc.equal(batch.column(0), apart)).column(1)):
+                    words = spans(data, offsets, UNSPACED)
+                    keys, counts = np.unique(grams(*symbol_stream(data, offsets, words), depth), return_counts=True)
+                    held[GRAM].append((keys, np.zeros_like(counts) if apart else counts))
+                    if not apart:
+                        held[WORD].append(np.unique(word_hashes(data, *words[:2], UNSPACED), return_counts=True))
+                    for kind, parts in held.items():
+                        if len(parts) > 8:
+                            held[kind] = [_added(parts)]
+                            if len(held[kind][0][0]) > MOST_KEYS:
+                                yield from rows(kind)
+        for kind in held:
+            yield from rows(kind)
+
+    return count
 
 
 @dataclass
@@ -157,7 +171,7 @@ def _mask(k: int) -> int:
 
 
 def build_tree(rows: np.ndarray, least_gain: float = LEAST_GAIN) -> SuffixTree:
-    """The tree from counts ``(k, gram, n)`` of every context of length ``k`` that is frequent enough.
+    """The automaton from counts ``(k, gram, n)`` of every context of length ``k`` that is frequent enough.
 
     Every beginning and every ending of a frequent context is frequent, so each level
     finds its shorter contexts in the level before.
@@ -187,6 +201,8 @@ def build_tree(rows: np.ndarray, least_gain: float = LEAST_GAIN) -> SuffixTree:
             kinds = np.bincount(at, minlength=len(own))
             table = smooth[k - 1][shorter] * (kinds / (total + kinds)).astype(np.float32)[:, None]
             table[at, symbols] += (n / (total + kinds)[at]).astype(np.float32)
+            # a context that is not retained predicts as its longest retained suffix
+            table = np.where((gain >= least_gain)[:, None], table, smooth[k - 1][shorter])
         contexts.append(own)
         smooth.append(table.astype(np.float32))
         suffix.append(shorter)
@@ -220,26 +236,56 @@ def build_tree(rows: np.ndarray, least_gain: float = LEAST_GAIN) -> SuffixTree:
     return SuffixTree(classes, step, log10, start, lengths, held)
 
 
-def learn(docs: DataFrame, least_share: float = LEAST_SHARE) -> tuple[SuffixTree, DataFrame, int, int]:
-    """The tree, the counts of all training words ``(key, n)``, and the training words and their kinds (ends not included)."""
-    counts = materialise(docs.select("text").mapInArrow(_count_kernel, "kind int, key bigint, n bigint")
+def _part(key: Column | str, k: int) -> Column:
+    """The last ``k`` symbols of a context and its next symbol."""
+    return F.col(key).bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)) if k < 7 else F.col(key)
+
+
+def _counted(docs: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Counts of training words ``(key, n)``, and by length of the context those of all grams of ``(held_out, text)``."""
+    counts = materialise(docs.select("held_out", "text").mapInArrow(_count_kernel(depth), "kind int, key bigint, n bigint")
                          .groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
-    kinds, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    seen = counts.where(F.col("kind") == GRAM)
-    positions = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shortened = seen.select("n", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")) for k in range(DEPTH + 1)
-    ])).alias("g")).select("g.*", "n")
-    levels = materialise(shortened.groupBy("k", "gram").agg(F.sum("n").alias("n")))
-    context = F.shiftright("gram", 8)
-    frequent = levels.groupBy("k", context.alias("context")).agg(F.sum("n").alias("_n")).where(
-        F.col("_n") >= F.lit(least_share * positions))
-    kept = levels.withColumn("context", context).join(frequent, ["k", "context"]).select("k", "gram", "n")
-    # a row per retained context and next byte: DEPTH / least_share contexts at most
-    table = kept.toArrow()
-    rows = np.column_stack([table.column(c).to_numpy() for c in ("k", "gram", "n")]).astype(np.int64)
-    return build_tree(rows), words, int(tokens), int(kinds)
+    levels = [counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")]
+    for k in range(depth - 1, -1, -1):
+        levels.append(materialise(levels[-1].groupBy(_part("gram", k).alias("gram")).agg(F.sum("n").alias("n"))))
+    return counts.where(F.col("kind") == WORD).select("key", "n"), levels[::-1]
+
+
+def learn(docs: DataFrame, least_count: float = LEAST_COUNT) -> tuple[SuffixTree, DataFrame]:
+    """The tree of a small corpus in memory, with contexts of up to ``DEPTH``, and the counts of its words ``(key, n)``."""
+    words, levels = _counted(docs.select(F.lit(False).alias("held_out"), "text"), DEPTH)
+    rows = []
+    for k, level in enumerate(levels):
+        context = F.shiftrightunsigned("gram", 8)
+        frequent = level.groupBy(context.alias("context")).agg(F.sum("n").alias("_n")).where(F.col("_n") >= least_count)
+        table = level.withColumn("context", context).join(frequent, "context").select("gram", "n").toArrow()
+        gram, n = (table.column(c).to_numpy() for c in ("gram", "n"))
+        rows.append(np.column_stack([np.full(len(gram), k), gram, n]))
+    return build_tree(np.concatenate(rows).astype(np.int64)), words
+
+
+def gram_tables(levels: list[DataFrame], least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> list[DataFrame]:
+    """By length of the context ``(gram, n, p, retained)``: the smoothed chance of the symbol after the longest retained ending.
+
+    No key has more rows than there are bytes: a gram meets its ending, one symbol
+    shorter, and a context's next symbols meet each other.
+    """
+    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tables = [materialise(levels[0].select("gram", "n", ((F.col("n") + 0.5) / F.lit(total + 128)).alias("p"), F.lit(True).alias("retained")))]
+    for k, level in enumerate(levels[1:], 1):
+        shorter = tables[-1].select(F.col("gram").alias("_ending"), F.col("p").alias("_p"))
+        met = level.withColumn("_ending", _part("gram", k - 1)).join(shorter, "_ending").drop("_ending")
+        after = Window.partitionBy(F.shiftrightunsigned("gram", 8))
+        own = met.withColumns({
+            "_n": F.sum("n").over(after),
+            "_kinds": F.sum((F.col("n") > 0).cast("long")).over(after),
+            "_gain": F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("_p"))).otherwise(0.0)).over(after),
+        })
+        kept = (F.col("_n") >= least_count) & (F.col("_gain") - F.col("_n") * F.log(F.greatest("_n", F.lit(1))) >= least_gain)
+        # the ending counts as much as there are different next symbols
+        smooth = (F.col("n") + F.col("_kinds") * F.col("_p")) / F.greatest(F.col("_n") + F.col("_kinds"), F.lit(1))
+        tables.append(materialise(own.select("gram", "n", F.when(kept, smooth).otherwise(F.col("_p")).alias("p"), kept.alias("retained"))))
+    return tables
 
 
 def _most_frequent(words: DataFrame, most: int) -> DataFrame:
@@ -255,74 +301,104 @@ def _most_frequent(words: DataFrame, most: int) -> DataFrame:
     return words.where(scale >= least) if least is not None else words.limit(0)
 
 
-def _score_kernel(tree: Callable[[], SuffixTree], frequent: Callable[[], tuple], smoothing: tuple[float, float, float, int]) -> Callable:
-    total, floor_kinds, end_log10, end_known = smoothing
+def _looked_up(keys: np.ndarray, logs: np.ndarray, wanted: np.ndarray, text: np.ndarray, n: int) -> tuple:
+    """Per text: the sum of the logs of known keys, their number, and where the unknown ones begin; the unknown keys."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    known = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+    sums = np.bincount(text[known], weights=logs[at[known]], minlength=n).astype(float)
+    begins = np.concatenate([[0], np.cumsum(np.bincount(text[~known], minlength=n))]).astype(np.int32)
+    return sums, np.bincount(text[known], minlength=n), pa.ListArray.from_arrays(pa.array(begins), pa.array(wanted[~known].view(np.int64)))
 
+
+def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, depth: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes, (keys, logs) = tree(), frequent()
+        frequent_words, frequent_grams = held()
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             for first, data, offsets in pieces(batch.column(batch.num_columns - 1)):
                 words = spans(data, offsets, UNSPACED)
-                n, text = len(offsets) - 1, owners(words[2])
-                hashes = word_hashes(data, *words[:2], UNSPACED)
-                at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-                known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-                base = np.bincount(text[known], weights=logs[at[known]], minlength=n) + end_log10
-                rare = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[~known], minlength=n))]).astype(np.int32))
+                n = len(offsets) - 1
+                base, known, rare = _looked_up(*frequent_words, word_hashes(data, *words[:2], UNSPACED), owners(words[2]), n)
+                symbols, stops = symbol_stream(data, offsets, words)
+                text = np.repeat(np.arange(n), np.diff(np.concatenate([[-1], stops])))
+                sums, _, rare_grams = _looked_up(*frequent_grams, grams(symbols, stops, depth), text, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + n)),
                         *[batch.column(i).slice(first, n) for i in range(batch.num_columns - 1)],
                         pa.array(np.diff(words[2]) + 1, pa.int64()),
-                        pa.array(np.bincount(text[known], minlength=n) + end_known, pa.int64()),
-                        pa.array(base),
-                        pa.array(suffixes.scores(*symbol_stream(data, offsets, words))),
-                        pa.ListArray.from_arrays(rare, pa.array(hashes[~known].view(np.int64))),
+                        pa.array(known + end_known, pa.int64()),
+                        pa.array(base + end_log10),
+                        pa.array(sums),
+                        rare,
+                        rare_grams,
                     ],
-                    names=["row", *batch.schema.names[:-1], "n_tokens", "known", "base", "score", "rare"],
+                    names=["row", *batch.schema.names[:-1], "n_tokens", "known", "base", "score", "rare", "rare_grams"],
                 )
                 row += n
 
     return score
 
 
-def score_documents(docs: DataFrame, least_share: float = LEAST_SHARE, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their logs, from ``(key, log)``."""
+    held = table.toArrow()
+    keys = held.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], held.column("log").to_numpy().astype(float)[order]
+
+
+def score_documents(
+    docs: DataFrame, least_count: float = LEAST_COUNT, frequent_words: int = FREQUENT_WORDS,
+    frequent_grams: int = FREQUENT_GRAMS, depth: int = LONGEST,
+) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every document.
 
     Tree and base learn from documents with ``crc32(doc_id) mod 5 <> 1`` (a null id is
     trained on).  A null or empty text is the end alone.  Repeated documents count each
     time and are scored one by one; without training documents every word has the count
     0 and the tree only its smoothed root; an empty table gives no rows; further
-    columns are not used.  Words are told apart by a 64-bit hash.
+    columns are not used.  Words are told apart by a 64-bit hash.  Contexts have at most
+    ``depth`` bytes, 7 at most.
     """
+    if not 1 <= depth <= 7:
+        raise ValueError("a context and its symbol must fit 64 bits")
     spark = docs.sparkSession
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
     wanted = docs.select("doc_id", held_out.alias("held_out"), "text")
-    training = wanted.where(~F.col("held_out"))
-    tree, words, tokens, kinds = learn(training, least_share)
-    trained = training.count()
-    total, kinds = tokens + trained, kinds + (trained > 0)
+    words, levels = _counted(wanted, depth)
+    kinds, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    trained = wanted.where(~F.col("held_out")).count()
+    total, kinds = int(tokens) + trained, int(kinds) + (trained > 0)
     divisor = total + 0.5 * (kinds + 1)
     log10 = lambda n: F.log10((n + 0.5) / F.lit(divisor))
-    top = _most_frequent(words, frequent_words).toPandas()
-    keys = top["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    held = spark.sparkContext.broadcast((keys[order], np.log10((top["n"].to_numpy(float)[order] + 0.5) / divisor)))
-    shared = spark.sparkContext.broadcast(tree)
+    symbols = gram_tables(levels, least_count)[-1].select(F.col("gram").alias("key"), "n", F.log10("p").alias("log"))
+    held = spark.sparkContext.broadcast((
+        _sorted(_most_frequent(words, frequent_words).select("key", log10(F.col("n")).alias("log"))),
+        _sorted(_most_frequent(symbols.where("n > 0"), frequent_grams).select("key", "log")),
+    ))
     end_log10 = float(np.log10((trained + 0.5) / divisor))
     kind = wanted.schema["doc_id"].dataType.simpleString()
     scored = materialise(wanted.mapInArrow(
-        _score_kernel(lambda: shared.value, lambda: held.value, (total, kinds, end_log10, int(trained > 0))),
-        f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>",
+        _score_kernel(lambda: held.value, end_log10, int(trained > 0), depth),
+        f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
+        "rare array<bigint>, rare_grams array<bigint>",
     ))
-    rare = scored.where(F.size("rare") > 0).select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(
-        F.count(F.lit(1)).alias("_times"))
-    met = rare.join(words, "key", "left").groupBy("row").agg(
-        F.sum(F.col("_times") * log10(F.coalesce("n", F.lit(0)))).alias("_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("_times")).otherwise(0)).alias("_known"))
-    return scored.drop("rare").join(met, "row", "left").select(
+
+    def times(column: str) -> DataFrame:
+        return scored.where(F.size(column) > 0).select("row", F.explode(column).alias("key")).groupBy("row", "key").agg(
+            F.count(F.lit(1)).alias("_times"))
+
+    met = times("rare").join(words, "key", "left").select(
+        "row", (F.col("_times") * log10(F.coalesce("n", F.lit(0)))).alias("_base"),
+        F.when(F.col("n").isNotNull(), F.col("_times")).otherwise(0).alias("_known"), F.lit(0.0).alias("_score"))
+    # every gram of the documents is in the table
+    followed = times("rare_grams").join(symbols, "key").select(
+        "row", F.lit(0.0).alias("_base"), F.lit(0).cast("bigint").alias("_known"), (F.col("_times") * F.col("log")).alias("_score"))
+    sums = met.unionByName(followed).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("_base", "_known", "_score")])
+    return scored.drop("rare", "rare_grams").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
     )

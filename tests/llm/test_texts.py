@@ -299,6 +299,27 @@ def test_scores_by_the_automaton(spark, make_docs):
             assert np.allclose(scores, _naive(tree, text), atol=1e-3)
 
 
+def test_joined_scores_are_those_of_the_automaton(make_docs):
+    texts = {**{i: prose(40, i) for i in range(60)}, 99: "of the of", 100: ""}
+    docs = make_docs([(i, t, "en", "a") for i, t in texts.items()])
+    tree, *_ = suffix_lm.learn(docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 1"), 8)
+    for frequent in (0, 50, 10**6):
+        rows = suffix_lm.score_documents(docs, 8, frequent_grams=frequent, depth=suffix_lm.DEPTH).collect()
+        assert len(rows) == len(texts) and any(r["held_out"] for r in rows)
+        for r in rows:
+            assert abs(r["score"] - _naive(tree, texts[r["doc_id"]])) < 2e-3
+
+
+def test_the_tree_grows_with_the_corpus(make_docs):
+    """What is learned of twelve texts is not dropped when others are added."""
+    own = [i for i in range(30) if not held_out(i, 5, 1)][:12]
+    few = [(i, "quizzical zanzibar", "en", "a") for i in own]
+    many = [(i, prose(3000, i), "en", "a") for i in range(100, 400)]
+    alone, beside = ({r["doc_id"]: r["score"] for r in suffix_lm.score_documents(make_docs(rows)).collect()}[own[0]] for rows in (few, few + many))
+    # the first letters of its words are rarer now, what follows them is as sure as before
+    assert beside > alone - 10
+
+
 def test_grams_count_every_symbol():
     for _, data, offsets in kernels.pieces(pa.array(["ab c", "", None, "x"])):
         symbols, stops = suffix_lm.symbol_stream(data, offsets, kernels.spans(data, offsets, kernels.UNSPACED))
