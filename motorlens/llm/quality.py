@@ -4,7 +4,8 @@ For every language and source the minimum-covariance-determinant estimate of fou
 transformed statistics is found by concentration steps from two starts: moments of the
 rows that lie nearest by Mahalanobis distance replace the estimate until its determinant
 stops falling.  A step is one aggregation: rows are summed by (group, distance bin), and
-the bins up to the wanted share of rows make the next estimate.
+the bins up to the wanted share of rows make the next estimate.  The estimate of a small
+group is mixed with that of its language, and a small language's with that of all rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50
 
-# share of a group's rows that an estimate rests on, least rows for an estimate
+# share of a group's rows that an estimate rests on, rows from which on a group stands for itself
 SUPPORT = 0.75
 MIN_GROUP = 40
 MAX_STEPS = 8
@@ -158,9 +159,9 @@ ESTIMATE = (*(f"m{i}" for i in range(4)), *(f"l{i}{j}" for i, j in PAIRS), "logd
 
 
 def minimum_covariance(rows: DataFrame, group: str) -> DataFrame:
-    """The estimate of every group of at least ``MIN_GROUP`` rows ``(group, _salt, x0 .. x3)``."""
+    """The estimate of every group of rows ``(group, _salt, x0 .. x3)``, and its ``rows``."""
     quartiles = [F.percentile(F.round(f"x{i}", 2), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(4)]
-    first = rows.groupBy(group).agg(*_moments(), *quartiles).where(F.col("n") >= MIN_GROUP)
+    first = rows.groupBy(group).agg(*_moments(), *quartiles)
     first = materialise(first)
     sizes = first.select(group, F.col("n").alias("rows"))
     classical = _estimate(first).select(group, F.lit(0).alias("start"), *ESTIMATE)
@@ -178,7 +179,37 @@ def minimum_covariance(rows: DataFrame, group: str) -> DataFrame:
             break
         before = total
     best = Window.partitionBy(group).orderBy("logdet", "start")
-    return current.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(group, *ESTIMATE)
+    return current.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(group, *ESTIMATE).join(sizes, group)
+
+
+def _mixed(own: DataFrame, wider: DataFrame, by: list[str]) -> DataFrame:
+    """Estimates of groups of fewer than ``MIN_GROUP`` rows, centre and covariance mixed with the wider group's as ``rows`` to what is missing."""
+    other = wider.select(*by, *[F.col(c).alias(f"w_{c}") for c in ESTIMATE])
+    met = (own.join(other, by) if by else own.crossJoin(other)).withColumn("_w", F.col("rows") / F.lit(MIN_GROUP))
+    mean = lambda i, p="": F.col(f"{p}m{i}")
+    spread = lambda i, j, p="": _sum([F.col(f"{p}l{i}{k}") * F.col(f"{p}l{j}{k}") for k in range(j + 1)])
+    mix = lambda a, b: F.col("_w") * a + (1 - F.col("_w")) * b
+    # without the spread between the two centres: by it, a few documents far from all others would excuse themselves
+    centre = {f"_m{i}": mix(mean(i), mean(i, "w_")) for i in range(4)}
+    covariance = {f"c{i}{j}": mix(spread(i, j), spread(i, j, "w_")) for i, j in PAIRS}
+    moved = met.withColumns(centre).withColumns(covariance).drop(*ESTIMATE).withColumnsRenamed({f"_m{i}": f"m{i}" for i in range(4)})
+    return _rounded(_factor(moved)).select(*own.columns)
+
+
+def group_estimates(passed: DataFrame) -> DataFrame:
+    """An estimate for every ``_group`` of rows ``(_group, _lang, _salt, x0 .. x3)``; wider ones are made only where a group is small."""
+    names = materialise(passed.groupBy("_group", "_lang").agg(F.count(F.lit(1)).alias("n")))
+    own = materialise(minimum_covariance(passed, "_group").join(names.drop("n"), "_group"))
+    small, large = own.where(F.col("rows") < MIN_GROUP), own.where(F.col("rows") >= MIN_GROUP)
+    if small.isEmpty():
+        return own.select("_group", *ESTIMATE)
+    in_need = small.select("_lang").distinct()
+    languages = materialise(minimum_covariance(passed.join(in_need, "_lang", "left_semi"), "_lang"))
+    few = languages.where(F.col("rows") < MIN_GROUP)
+    if not few.isEmpty():
+        everything = materialise(minimum_covariance(passed.withColumn("_all", F.lit(0)), "_all"))
+        languages = materialise(languages.where(F.col("rows") >= MIN_GROUP).unionByName(_mixed(few, everything, [])))
+    return large.unionByName(_mixed(small, languages, ["_lang"])).select("_group", *ESTIMATE)
 
 
 def _concentrated(rows: DataFrame, estimates: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
@@ -207,19 +238,21 @@ def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     ``base_failed``: fewer than ``MIN_WORDS`` words, or more than ``MAX_REPEATED`` percent
     of them in repeated windows.  Other documents are kept unless their statistics lie
     further from the estimate of their language and source than normal rows do with the
-    chance ``tail``.  Documents that failed take no part in an estimate; a group of fewer
-    than ``MIN_GROUP`` other documents has none and keeps them.  A null text has no
+    chance ``tail``.  Documents that failed take no part in an estimate; the estimate of a
+    group of fewer than ``MIN_GROUP`` other documents is mixed with that of its
+    language, that of so small a language with that of all.  A null text has no
     words; null languages and sources form groups of their own; copies and ties count
     each; an empty table gives no rows; columns other than ``doc_id, text, lang, source``
     are not used.
     """
     named = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")])
-    counted = text_statistics(docs.select("doc_id", "text", named.alias("_group"))).drop("text")
+    language = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+    counted = text_statistics(docs.select("doc_id", "text", named.alias("_group"), language.alias("_lang"))).drop("text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     table = materialise(counted.withColumn("base_failed", failed).select("*", *statistic_vector()))
     salt = F.pmod(F.xxhash64("doc_id", *VECTOR), F.lit(SALTS)).cast("int")
-    passed = table.where(~F.col("base_failed")).select("_group", salt.alias("_salt"), *VECTOR)
-    estimates = materialise(minimum_covariance(passed, "_group"))
+    passed = table.where(~F.col("base_failed")).select("_group", "_lang", salt.alias("_salt"), *VECTOR)
+    estimates = materialise(group_estimates(passed))
     judged = _distance(table.join(estimates, "_group", "left"), "distance")
     limit = chi_square_quantile(tail, 4)
     inlying = F.coalesce(F.col("distance") <= limit, F.lit(True))

@@ -198,6 +198,16 @@ def test_outliers_are_rejected_and_others_kept(make_docs):
     assert sum(kept[i] for i, *_ in rows) >= 298
 
 
+def test_outliers_of_small_groups_are_rejected(make_docs):
+    """Sources of five documents are judged by their language, a language of five by all."""
+    rows = [(i, prose(100 + i % 40, i), "en", f"s{i // 5}") for i in range(100)] + [(100 + i, prose(110, i), "de", "t") for i in range(5)]
+    odd = [(1000 + i, " ".join(w + "###$$" for w in prose(100, i).split()), *g) for i, g in enumerate([("en", "s0"), ("en", "s7"), ("de", "t"), (None, None)])]
+    judged = {r["doc_id"]: r for r in quality.quality_verdicts(make_docs(rows + odd)).collect()}
+    assert all(r["distance"] is not None for r in judged.values())
+    assert not any(judged[i]["kept"] for i, *_ in odd)
+    assert sum(judged[i]["kept"] for i, *_ in rows) >= 104
+
+
 def test_chi_square():
     assert abs(quality.chi_square_quantile(0.05, 4) - 9.487729) < 1e-5
     assert abs(quality.chi_square_cdf(12.591587, 6) - 0.95) < 1e-6
