@@ -31,7 +31,7 @@ INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 # tags around what is not the article, and the tags of the article itself
 AROUND = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset")
 ARTICLE = ("article", "main")
-# words of a class, id or role that say the same
+# words of which a class, id or role consists that says the same
 AROUND_WORDS = (
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment",
     "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav",
@@ -102,6 +102,15 @@ LABELLED = """
   8 0.30 0   6 1.0   0 0.0 0
   7 0.00 0   2 1.0   0 0.0 0
   2 0.00 0   3 0.0   1 1.0 0
+300 0.00 2 250 0.0 280 0.0 1
+260 0.02 2 310 0.0 190 0.0 1
+220 0.01 2 180 0.0 240 0.1 1
+190 0.00 2 230 0.0 200 0.0 1
+ 60 1.00 1  55 1.0  50 1.0 0
+ 45 0.98 1  60 1.0  40 0.9 0
+ 50 1.00 1  48 1.0  52 1.0 0
+ 40 0.00 0   1 1.0   1 0.0 1
+ 60 0.00 0   2 1.0   2 0.0 1
 """
 
 _TAG = re.compile(
@@ -111,22 +120,30 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SILENT, _INLINE, _AROUND, _ARTICLE, _WORDS = map(frozenset, (SILENT, INLINE, AROUND, ARTICLE, AROUND_WORDS))
+# silent tags whose content is read up to their own end tag only
+_RAW = frozenset(("script", "style", "noscript", "iframe", "textarea", "title"))
 # tags whose end is often left out or that have none; they are no containers
 _LOOSE = frozenset(("p", "li", "br", "hr", "dt", "dd", "tr", "td", "th", "input", "meta", "link", "base", "col", "option", "source",
                     "h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def _place(name: str, rest: str) -> int:
-    """What a container says of its blocks: 0 nothing, 1 article, 2 around it."""
+    """What a container says of its blocks: 0 nothing, 1 article, 2 around it.
+
+    No class overrules the tags of the article and the page; elsewhere a class, id or
+    role counts whole, when each of its words is listed.
+    """
     if name in _AROUND:
         return 2
-    if rest:
-        for value in _NAMES.findall(rest):
-            if not _WORDS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-                return 2
-            if name not in ("html", "body") and value.strip("\"'").lower() in ("main", "article"):
-                return 1
-    return 1 if name in _ARTICLE else 0
+    if name in _ARTICLE:
+        return 1
+    if rest and name not in ("html", "body"):
+        tokens = [token for value in _NAMES.findall(rest) for token in value.strip("\"'").lower().split()]
+        if "main" in tokens or "article" in tokens:
+            return 1
+        if any(_WORDS.issuperset(re.split(r"[-_]+", token)) for token in tokens):
+            return 2
+    return 0
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
@@ -136,6 +153,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
     text: list[str] = []
     linked: list[str] = []
     in_link = False
+    unended: set[str] = set()
 
     def end_block(place: int) -> None:
         if text:
@@ -163,10 +181,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         name = name.lower()
         if name in _SILENT:
             if not tag["close"] and not tag["rest"].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                # an unclosed head ends where the body begins, anything else silent at the end of the page
-                if end is None and name == "head":
-                    end = re.compile(r"(?=<body\b)", re.I).search(page, at)
+                end = None if name in unended else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if end is None:
+                    unended.add(name)
+                    # an unclosed head ends where the body begins, raw text with the page, anything else with its parent
+                    if name == "head":
+                        end = re.compile(r"(?=<body\b)", re.I).search(page, at)
+                    elif name not in _RAW and (parent := next((t for t, _ in reversed(open_tags) if "@" not in t), None)):
+                        end = re.compile(rf"(?=</{re.escape(parent)}\b)", re.I).search(page, at)
                 at = end.end() if end else n if name != "option" else at
                 if name not in ("svg", "math", "object"):
                     end_block(place)
@@ -242,8 +264,8 @@ def extract_pages(pages: DataFrame, table: str = LABELLED) -> DataFrame:
     Character references are decoded, white space in a block becomes one space, main
     blocks are joined by one space.  A null or empty page, or one without main text, has
     an empty text.  Pages are handled one by one, so repeated rows give repeated rows,
-    an empty table none, and further columns are not used.  Unclosed tags, comments and
-    scripts end with the page.
+    an empty table none, and further columns are not used.  Unclosed comments and scripts
+    end with the page, other unclosed tags with their parent.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", "html").mapInArrow(_kernel(train(table)), SCHEMA.format(kind))

@@ -78,6 +78,26 @@ def test_main_text_of_pages(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+LONG = " ".join(["several plain words of an article"] * 40)
+
+
+@pytest.mark.parametrize("page", [
+    f"<article class='post category-social'><p>{LONG}</p></article>", f"<article class='post no-comments'><p>{LONG}</p></article>",
+    f"<main class='content-with-sidebar'><p>{LONG}</p></main>", f"<body class='has-sidebar'><p>{LONG}</p><p>{LONG}</p></body>",
+    f"<article class='widget'><p>{LONG}</p></article>", f"<div class='social-studies'><p>{LONG}</p></div>",
+    f"<article><div><select>pick one</div><p>{LONG}</p></article>", f"<article><div><object data=x></div><p>{LONG}</p></article>",
+])
+def test_whole_articles_are_kept(page):
+    assert html_text.main_text(page, html_text.train())[0] == " ".join([LONG] * page.count(LONG))
+
+
+def test_words_and_links_may_contradict_the_place():
+    tree = html_text.train()
+    links = "".join(f"<p><a href=x>{LONG[:300]}</a></p>" for _ in range(6))
+    assert LONG in html_text.main_text(f"<aside><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></aside>", tree)[0]
+    assert html_text.main_text(f"<article>{links}</article>", tree)[1] < 6
+
+
 def test_articles_of_the_table(spark, sf_dir):
     import html
 
