@@ -1,49 +1,55 @@
 """Scores of texts by a probabilistic suffix tree, beside a unigram base.
 
 The tree predicts the next byte of a text (words in lower case, one space behind each,
-one end) from the longest retained context.  A context of up to ``LONGEST`` bytes is
-retained when it is seen often enough and its next bytes diverge from those after its
-longest retained suffix, towards which its distribution is smoothed.  The tree grows with
-the texts: it is a table with a row per context and next byte, made level by level by
-joins, and the texts' contexts and next bytes meet it in a join; the most frequent are
-held by every task.  ``learn`` lays a small tree out as an automaton instead.
+one end) from the contexts before it, up to ``LONGEST`` bytes.  A context is retained when
+it is seen often enough and its next bytes diverge from those after its ending, one byte
+shorter; its counts are smoothed towards the chances after its longest retained ending.
+
+The tree grows with the texts and is a stored table.  A gram, a context with the byte that
+follows, is written nearest byte first, so that a context begins with its endings: sorted
+grams are the suffix tree.  They are dealt out by a short ending; a task reads all longer
+contexts of its endings off the sorted rows, and only retained ones are stored.  The
+shorter levels come from the few counts that are left of this ending, in the same way.
+
+Texts meet the tree where they lie as far as every task can hold it, the most frequent
+contexts first.  Grams that may have a context beyond that, which a filter of hashed bits
+tells, are counted per text and meet the rest of the table in a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motorlens.functions.shipping import by_value
-from motorlens.llm.kernels import UNSPACED, owners, pieces, spans, word_hashes
+from motorlens.llm.kernels import UNSPACED, mixed, owners, pieces, spans, word_hashes
 from motorlens.session import materialise
 
 by_value(__name__)
 
-# longest context of a tree in memory, and of the tree that scores documents (a context and its symbol fill 64 bits)
-DEPTH = 5
+# longest context (a context and its symbol fill 64 bits)
 LONGEST = 7
+# endings by which the grams of longer contexts are dealt out, level by level
+ENDINGS = (5, 2, 0)
 # least positions a retained context precedes, at every size of the corpus
 LEAST_COUNT = 8
-# least log-likelihood gain of a context over its suffix, in nats
+# least log-likelihood gain of a context over its ending, in nats
 LEAST_GAIN = 8.0
 # most frequent words whose counts every task holds (16 bytes each); other words are met by a join
 FREQUENT_WORDS = 300_000
-# as many of the most frequent grams, likewise
-FREQUENT_GRAMS = 500_000
+# grams of the most frequent contexts, likewise, and bits of the filter of the others at most
+FREQUENT_GRAMS = 3_000_000
+MOST_BITS = 1 << 29
 # distinct keys a task holds before it hands its counts on
-MOST_KEYS = 500_000
-STRETCH = 128
+MOST_KEYS = 700_000
 SPACE, END = 0x20, 0x0A
-WORD, GRAM = 0, 1
-_U8 = np.uint64(8)
+WORD, ENDING, GRAM = -1, -2, 100
 
 
 def symbol_stream(data: np.ndarray, offsets: np.ndarray, words: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -61,27 +67,35 @@ def symbol_stream(data: np.ndarray, offsets: np.ndarray, words: tuple) -> tuple[
     return out, stops
 
 
-def grams(symbols: np.ndarray, stops: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Every symbol with the ``depth`` before it in one number, the symbol in its lowest byte.
+def grams(symbols: np.ndarray, stops: np.ndarray, depth: int = LONGEST) -> np.ndarray:
+    """Every symbol in the lowest byte with the ``depth`` before it above, the nearest one highest.
 
     The first symbol of a text stands behind an end; what would lie before that is 0.
     """
     wide = symbols.astype(np.uint64)
     keys = wide.copy()
     for j in range(1, depth + 1):
-        keys[j:] |= wide[:-j] << np.uint64(8 * j)
-        keys[:j] |= np.uint64(END << 8 * j if j == 1 else 0)
+        keys[j:] |= wide[:-j] << np.uint64(64 - 8 * j)
     firsts = np.concatenate([[0], stops[:-1] + 1])
     for d in range(depth):
         at = firsts + d
         at = at[at <= stops]
-        keys[at] &= np.uint64((1 << 8 * min(d + 2, 8)) - 1)
-        # the end that stands for the start of the text
-        keys[at] &= ~np.uint64(0xFF << 8 * (d + 1))
-        keys[at] |= np.uint64(END << 8 * (d + 1))
+        # d symbols of the text itself, then the end that stands for its start
+        keys[at] &= ~np.uint64((1 << (64 - 8 * d)) - 1) | np.uint64(0xFF)
+        keys[at] |= np.uint64(END << (56 - 8 * d))
     return keys
 
 
+def context_of(keys: np.ndarray, k: int) -> np.ndarray:
+    """The context of length ``k``."""
+    return keys >> np.uint64(64 - 8 * k) if k else np.zeros(len(keys), np.uint64)
+
+
+def shortened(keys: np.ndarray, k: int) -> np.ndarray:
+    """Grams with only the last ``k`` symbols of their contexts."""
+    return keys & np.uint64((((1 << 8 * k) - 1) << (64 - 8 * k)) | 0xFF)
+
+
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the same key added up."""
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
@@ -92,7 +106,7 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _count_kernel(depth: int) -> Callable:
-    """Words and grams of the texts of a partition as ``(kind, key, n)``; grams only seen in held-out texts count 0."""
+    """Words and grams of the texts of a partition as ``(level, key, n)``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {WORD: [], GRAM: []}
@@ -104,188 +118,119 @@ def _count_kernel(depth: int) -> Callable:
                 part = keys[i : i + 100_000].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(counts[i : i + 100_000].astype(np.int64))],
-                    names=["kind", "key", "n"])
+                    names=["level", "key", "n"])
 
         for batch in batches:
-            for apart in (False, True):
-                for _, data, offsets in pieces(batch.filter(pc.equal(batch.column(0), apart)).column(1)):
-                    words = spans(data, offsets, UNSPACED)
-                    keys, counts = np.unique(grams(*symbol_stream(data, offsets, words), depth), return_counts=True)
-                    held[GRAM].append((keys, np.zeros_like(counts) if apart else counts))
-                    if not apart:
-                        held[WORD].append(np.unique(word_hashes(data, *words[:2], UNSPACED), return_counts=True))
-                    for kind, parts in held.items():
-                        if len(parts) > 8:
-                            held[kind] = [_added(parts)]
-                            if len(held[kind][0][0]) > MOST_KEYS:
-                                yield from rows(kind)
+            for _, data, offsets in pieces(batch.column(0)):
+                words = spans(data, offsets, UNSPACED)
+                held[GRAM].append(np.unique(grams(*symbol_stream(data, offsets, words), depth), return_counts=True))
+                held[WORD].append(np.unique(word_hashes(data, *words[:2], UNSPACED), return_counts=True))
+                for kind, parts in held.items():
+                    if len(parts) > 8:
+                        held[kind] = [_added(parts)]
+                        if len(held[kind][0][0]) > MOST_KEYS:
+                            yield from rows(kind)
         for kind in held:
             yield from rows(kind)
 
     return count
 
 
-@dataclass
-class SuffixTree:
-    """Contexts as an automaton: next state and log probability by state and symbol class."""
-
-    classes: np.ndarray  # symbol class of every byte
-    step: np.ndarray  # (states, classes + 1) next states; the last class is padding
-    log10: np.ndarray  # (states, classes + 1) log probabilities; 0 for padding
-    start: int
-    lengths: np.ndarray  # of the contexts of the states
-    held: np.ndarray  # the contexts themselves
-
-    @property
-    def contexts(self) -> list[tuple[int, int]]:
-        return list(zip(self.lengths.tolist(), self.held.tolist()))
-
-    def scores(self, symbols: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """The log10 probability of every text of a stream."""
-        firsts = np.concatenate([[0], stops[:-1] + 1])
-        lengths = stops - firsts + 1
-        parts = -(-lengths // STRETCH)
-        text = np.repeat(np.arange(len(lengths)), parts)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = firsts[text] + k * STRETCH
-        stop = np.minimum(begin + STRETCH, stops[text] + 1)
-        coded = self.classes[symbols]
-        width = self.step.shape[1]
-        step, log10 = self.step.ravel(), self.log10.ravel()
-        state = np.where(k == 0, self.start, 0)
-        # states after the symbols before a stretch; a text's first stretch begins at its start
-        for j in range(DEPTH, 0, -1):
-            moved = step[state * width + coded[np.maximum(begin - j, 0)]]
-            state = np.where(k == 0, state, moved)
-        total = np.zeros(len(text))
-        for j in range(STRETCH):
-            at = begin + j
-            now = np.where(at < stop, coded[np.minimum(at, len(coded) - 1)], width - 1) + state * width
-            total += log10[now]
-            state = step[now]
-        return np.bincount(text, weights=total, minlength=len(lengths))
-
-
-def _mask(k: int) -> int:
-    return (1 << 8 * k) - 1
-
-
-def build_tree(rows: np.ndarray, least_gain: float = LEAST_GAIN) -> SuffixTree:
-    """The automaton from counts ``(k, gram, n)`` of every context of length ``k`` that is frequent enough.
-
-    Every beginning and every ending of a frequent context is frequent, so each level
-    finds its shorter contexts in the level before.
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def read_levels(keys: np.ndarray, n: np.ndarray, low: int, high: int, least_count: float, least_gain: float) -> Iterator[tuple]:
+    """Retained contexts of ``low + 1`` to ``high`` symbols, and all grams of ``low``, from sorted grams of whole endings.
+
+    ``(level, keys, n, total, kinds)``: a gram's count, its context's and how many symbols follow that.
     """
-    used = np.unique(rows[:, 1] & 0xFF)
-    width = len(used) + 1  # one class for all bytes never seen
-    classes = np.full(256, width - 1)
-    classes[used] = np.arange(len(used))
-    contexts, smooth, suffix, prefix, kept = [], [], [], [], []
-    for k in range(DEPTH + 1):
-        level = rows[rows[:, 0] == k]
-        level = level[np.argsort(level[:, 1])]
-        own, at = np.unique(level[:, 1] >> 8, return_inverse=True) if k else (np.zeros(1, np.int64), np.zeros(len(level), int))
-        symbols, n = classes[level[:, 1] & 0xFF], level[:, 2].astype(float)
-        total = np.bincount(at, weights=n, minlength=len(own))
-        if k == 0:
-            table = np.full((1, width), 0.5 / (total[0] + 128))
-            table[0, symbols] += n / (total[0] + 128)
-            shorter = longer = np.zeros(1, np.int64)
-            gain = np.array([np.inf])
+    shorter = None
+    for k in range(low, high + 1):
+        if k == high:
+            grams_k, counts = keys, n
         else:
-            shorter = np.searchsorted(contexts[k - 1], own & _mask(k - 1))
-            longer = np.searchsorted(contexts[k - 1], own >> 8)
-            before = smooth[k - 1][shorter[at], symbols]
-            gain = np.bincount(at, weights=n * np.log(n / total[at] / before), minlength=len(own))
-            # the suffix counts as much as there are different next symbols
-            kinds = np.bincount(at, minlength=len(own))
-            table = smooth[k - 1][shorter] * (kinds / (total + kinds)).astype(np.float32)[:, None]
-            table[at, symbols] += (n / (total + kinds)[at]).astype(np.float32)
-            # a context that is not retained predicts as its longest retained suffix
-            table = np.where((gain >= least_gain)[:, None], table, smooth[k - 1][shorter])
-        contexts.append(own)
-        smooth.append(table.astype(np.float32))
-        suffix.append(shorter)
-        prefix.append(longer)
-        kept.append(gain >= least_gain)
-    # an automaton needs every beginning and every ending of a context
-    for k in range(DEPTH, 0, -1):
-        kept[k - 1][suffix[k][kept[k]]] = True
-        kept[k - 1][prefix[k][kept[k]]] = True
-    contexts = [own[keep] for own, keep in zip(contexts, kept)]
-    log10 = np.zeros((sum(map(len, contexts)), width + 1), np.float32)
-    np.log10(np.concatenate([table[keep] for table, keep in zip(smooth, kept)]), out=log10[:, :width])
-    del smooth
-    first = np.cumsum([0, *map(len, contexts)])
-    lengths, held = np.repeat(np.arange(DEPTH + 1), np.diff(first)), np.concatenate(contexts)
-
-    def longest(context: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The state of the longest retained ending."""
-        found = np.zeros(len(context), np.int32)
-        for k in range(1, DEPTH + 1):
-            if len(contexts[k]):
-                wanted = context & _mask(k)
-                at = np.minimum(np.searchsorted(contexts[k], wanted), len(contexts[k]) - 1)
-                found = np.where((contexts[k][at] == wanted) & (length >= k), first[k] + at, found)
-        return found
-
-    step = np.zeros((len(held), width + 1), np.int32)
-    for a, symbol in enumerate(used.tolist()):
-        step[:, a] = longest(held << 8 | symbol, np.minimum(lengths + 1, DEPTH))
-    start = int(longest(np.array([END]), np.array([DEPTH]))[0])
-    return SuffixTree(classes, step, log10, start, lengths, held)
-
-
-def _part(key: Column | str, k: int) -> Column:
-    """The last ``k`` symbols of a context and its next symbol."""
-    return F.col(key).bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)) if k < 7 else F.col(key)
-
-
-def _counted(docs: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Counts of training words ``(key, n)``, and by length of the context those of all grams of ``(held_out, text)``."""
-    counts = materialise(docs.select("held_out", "text").mapInArrow(_count_kernel(depth), "kind int, key bigint, n bigint")
-                         .groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    levels = [counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")]
-    for k in range(depth - 1, -1, -1):
-        levels.append(materialise(levels[-1].groupBy(_part("gram", k).alias("gram")).agg(F.sum("n").alias("n"))))
-    return counts.where(F.col("kind") == WORD).select("key", "n"), levels[::-1]
-
-
-def learn(docs: DataFrame, least_count: float = LEAST_COUNT) -> tuple[SuffixTree, DataFrame]:
-    """The tree of a small corpus in memory, with contexts of up to ``DEPTH``, and the counts of its words ``(key, n)``."""
-    words, levels = _counted(docs.select(F.lit(False).alias("held_out"), "text"), DEPTH)
-    rows = []
-    for k, level in enumerate(levels):
-        context = F.shiftrightunsigned("gram", 8)
-        frequent = level.groupBy(context.alias("context")).agg(F.sum("n").alias("_n")).where(F.col("_n") >= least_count)
-        table = level.withColumn("context", context).join(frequent, "context").select("gram", "n").toArrow()
-        gram, n = (table.column(c).to_numpy() for c in ("gram", "n"))
-        rows.append(np.column_stack([np.full(len(gram), k), gram, n]))
-    return build_tree(np.concatenate(rows).astype(np.int64)), words
-
-
-def gram_tables(levels: list[DataFrame], least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> list[DataFrame]:
-    """By length of the context ``(gram, n, p, retained)``: the smoothed chance of the symbol after the longest retained ending.
-
-    No key has more rows than there are bytes: a gram meets its ending, one symbol
-    shorter, and a context's next symbols meet each other.
-    """
-    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tables = [materialise(levels[0].select("gram", "n", ((F.col("n") + 0.5) / F.lit(total + 128)).alias("p"), F.lit(True).alias("retained")))]
-    for k, level in enumerate(levels[1:], 1):
-        shorter = tables[-1].select(F.col("gram").alias("_ending"), F.col("p").alias("_p"))
-        met = level.withColumn("_ending", _part("gram", k - 1)).join(shorter, "_ending").drop("_ending")
-        after = Window.partitionBy(F.shiftrightunsigned("gram", 8))
-        own = met.withColumns({
-            "_n": F.sum("n").over(after),
-            "_kinds": F.sum((F.col("n") > 0).cast("long")).over(after),
-            "_gain": F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("_p"))).otherwise(0.0)).over(after),
-        })
-        kept = (F.col("_n") >= least_count) & (F.col("_gain") - F.col("_n") * F.log(F.greatest("_n", F.lit(1))) >= least_gain)
-        # the ending counts as much as there are different next symbols
-        smooth = (F.col("n") + F.col("_kinds") * F.col("_p")) / F.greatest(F.col("_n") + F.col("_kinds"), F.lit(1))
-        tables.append(materialise(own.select("gram", "n", F.when(kept, smooth).otherwise(F.col("_p")).alias("p"), kept.alias("retained"))))
-    return tables
+            grams_k, of = np.unique(shortened(keys, k), return_inverse=True)
+            counts = np.bincount(of, weights=n, minlength=len(grams_k)).astype(np.int64)
+        context = context_of(grams_k, k)
+        order = np.argsort(grams_k, kind="stable")
+        grams_k, counts, context = grams_k[order], counts[order], context[order]
+        at = _runs(context)
+        sizes = np.diff(np.append(at, len(context)))
+        total, kinds = np.repeat(np.add.reduceat(counts, at), sizes), np.repeat(sizes, sizes)
+        share = counts / total
+        if k == low:
+            yield k, grams_k, counts, total, kinds
+        else:
+            before = shorter[1][np.searchsorted(shorter[0], shortened(grams_k, k - 1))]
+            gain = np.repeat(np.add.reduceat(counts * np.log(share / before), at), sizes)
+            kept = (total >= least_count) & (gain >= least_gain)
+            yield k, grams_k[kept], counts[kept], total[kept], kinds[kept]
+        shorter = grams_k, share
+
+
+LEVELS = "level int, key long, n long, total long, kinds int"
+
+
+def _level_kernel(low: int, high: int, least_count: float, least_gain: float) -> Callable:
+    """Sorted ``(level, key, n)`` to rows of the tree; all grams of the endings come as rows of ``ENDING``, words are added up."""
+
+    def table(level: int, keys: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(keys), level, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)),
+             pa.array(total.astype(np.int64)), pa.array(kinds.astype(np.int32))], names=["level", "key", "n", "total", "kinds"])
+
+    def read(keys: np.ndarray, n: np.ndarray, word: bool) -> Iterator[pa.RecordBatch]:
+        keys, n = _added([(keys, n)])
+        if word:
+            yield table(WORD, keys, n, np.zeros(len(keys)), np.zeros(len(keys)))
+        elif len(keys):
+            for level, *columns in read_levels(keys, n, low, high, least_count, least_gain):
+                yield table(ENDING if level == low and low else level, *columns)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, keys, n = GRAM, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            kinds = batch.column(0).to_numpy()
+            for part in np.split(np.arange(len(kinds)), _runs(kinds)[1:]):
+                if not len(part):
+                    continue
+                if kinds[part[0]] != kind:
+                    yield from read(keys, n, kind == WORD)
+                    kind, keys, n = kinds[part[0]], keys[:0], n[:0]
+                keys = np.concatenate([keys, batch.column(1).to_numpy()[part].view(np.uint64)])
+                n = np.concatenate([n, batch.column(2).to_numpy()[part]])
+                # the last ending may go on in the next batch
+                last = int(_runs(keys if kind == WORD else context_of(keys, low))[-1])
+                if last:
+                    yield from read(keys[:last], n[:last], kind == WORD)
+                    keys, n = keys[last:], n[last:]
+        yield from read(keys, n, kind == WORD)
+
+    return kernel
+
+
+def grow_tree(texts: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN, depth: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """The stored tree ``(level, key, n, total, kinds)`` of texts, its root at level 0 with all symbols, and the words ``(key, n)``."""
+    rows = texts.select("text").mapInArrow(_count_kernel(depth), "level int, key long, n long")
+    tables, high, words = [], depth, None
+    for low in ENDINGS:
+        if low >= high:
+            continue
+        ending = F.shiftrightunsigned("key", 64 - 8 * low) if low else F.lit(0).cast("long")
+        dealt = rows.withColumn("_part", F.when(F.col("level") == WORD, F.col("key")).otherwise(ending))
+        sized = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) if low else 1
+        sorted_rows = dealt.repartition(sized, "_part").sortWithinPartitions("level", "key").drop("_part")
+        level = materialise(sorted_rows.mapInArrow(_level_kernel(low, high, least_count, least_gain), LEVELS))
+        words = level.where(F.col("level") == WORD).select("key", "n") if words is None else words
+        tables.append(level.where("level >= 0"))
+        # what is left of the endings, as grams of the next, shorter ones
+        rows, high = level.where(F.col("level") == ENDING).select(F.lit(GRAM).alias("level"), "key", "n"), low
+    tree = tables[0]
+    for table in tables[1:]:
+        tree = tree.unionByName(table)
+    return tree, words
 
 
 def _most_frequent(words: DataFrame, most: int) -> DataFrame:
@@ -310,9 +255,95 @@ def _looked_up(keys: np.ndarray, logs: np.ndarray, wanted: np.ndarray, text: np.
     return sums, np.bincount(text[known], minlength=n), pa.ListArray.from_arrays(pa.array(begins), pa.array(wanted[~known].view(np.int64)))
 
 
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their logs, from ``(key, log)``."""
+    held = table.toArrow()
+    keys = held.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], held.column("log").to_numpy().astype(float)[order]
+
+
+def _least_held(grams_: DataFrame, most: int) -> float:
+    """The least count of a context at which at most so many grams belong to contexts of that count or more."""
+    scale = F.floor(F.log2("total") * 32)
+    classes = grams_.groupBy(scale.alias("class")).agg(F.count(F.lit(1)).alias("rows"), F.min("total").alias("least")).orderBy(F.desc("class")).collect()
+    held, least = 0, float("inf")
+    for row in classes:
+        held += row["rows"]
+        if held > most:
+            break
+        least = row["least"]
+    return least
+
+
+def _bits(keys: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of every context in a filter of so many."""
+    hashes = mixed(keys, 0x5851F42D4C957F2D + level)
+    return (hashes >> np.uint64(32)) % np.uint64(size), (hashes & np.uint64(0xFFFFFFFF)) % np.uint64(size)
+
+
+def _bit_kernel(size: int) -> Callable:
+    """``(level, context)`` to the words of a filter, as numbers of words and their bits."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels, contexts = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            set_bits = [b for k in np.unique(levels) for b in _bits(contexts[levels == k], int(k), size)]
+            at = np.concatenate(set_bits) if set_bits else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    return kernel
+
+
+def hold(rows: pa.Table, filter_words: np.ndarray, floor: float) -> tuple:
+    """The part of the tree that a task holds: the root's chances, the filter of other contexts, and for every level
+    contexts with their weight of shorter ones and grams with their share."""
+    level = rows.column("level").to_numpy()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    share, weight = rows.column("share").to_numpy(), rows.column("weight").to_numpy()
+    root, levels = np.full(256, floor), []
+    root[(keys[level == 0] & np.uint64(0xFF)).astype(int)] = share[level == 0]
+    for k in range(1, LONGEST + 1):
+        at = np.flatnonzero(level == k)
+        at = at[np.argsort(keys[at])]
+        context = context_of(keys[at], k)
+        first = _runs(context)
+        levels.append((context[first], weight[at][first].astype(np.float32), keys[at], share[at].astype(np.float32)))
+    return root, filter_words, levels
+
+
+def chances(tree: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chance of every gram by the held contexts, and a bit for every level at which others may have one."""
+    root, filter_words, levels = tree
+    chance = root[(keys & np.uint64(0xFF)).astype(int)]
+    beyond = np.zeros(len(keys), np.int32)
+
+    def bit(at: np.ndarray) -> np.ndarray:
+        return (filter_words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+
+    for k, (contexts, weights, held, shares) in enumerate(levels, 1):
+        wanted = context_of(keys, k)
+        known = np.zeros(len(keys), bool)
+        if len(contexts):
+            at = np.minimum(np.searchsorted(contexts, wanted), len(contexts) - 1)
+            known = contexts[at] == wanted
+            gram = shortened(keys[known], k)
+            place = np.minimum(np.searchsorted(held, gram), len(held) - 1)
+            chance[known] = np.where(held[place] == gram, shares[place], 0) + weights[at[known]] * chance[known]
+        if len(filter_words):
+            one, two = _bits(wanted, k, len(filter_words) * 64)
+            beyond |= ((bit(one) & bit(two)).astype(bool) & ~known).astype(np.int32) << k
+    return chance, beyond
+
+
 def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, depth: int) -> Callable:
+    def lists(wanted: np.ndarray, text: np.ndarray, n: int, *columns: np.ndarray) -> list[pa.Array]:
+        begins = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[wanted], minlength=n))]).astype(np.int32))
+        return [pa.ListArray.from_arrays(begins, pa.array(c[wanted])) for c in columns]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent_words, frequent_grams = held()
+        frequent_words, tree = held()
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             for first, data, offsets in pieces(batch.column(batch.num_columns - 1)):
@@ -321,7 +352,10 @@ def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, d
                 base, known, rare = _looked_up(*frequent_words, word_hashes(data, *words[:2], UNSPACED), owners(words[2]), n)
                 symbols, stops = symbol_stream(data, offsets, words)
                 text = np.repeat(np.arange(n), np.diff(np.concatenate([[-1], stops])))
-                sums, _, rare_grams = _looked_up(*frequent_grams, grams(symbols, stops, depth), text, n)
+                keys, of = np.unique(grams(symbols, stops, depth), return_inverse=True)
+                chance, beyond = chances(tree, keys)
+                open_ = (beyond != 0)[of]
+                sums = np.bincount(text, weights=np.where(open_, 0.0, np.log10(chance)[of]), minlength=n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + n)),
@@ -331,26 +365,37 @@ def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, d
                         pa.array(base + end_log10),
                         pa.array(sums),
                         rare,
-                        rare_grams,
+                        *lists(open_, text, n, keys.view(np.int64)[of], chance[of], beyond[of]),
                     ],
-                    names=["row", *batch.schema.names[:-1], "n_tokens", "known", "base", "score", "rare", "rare_grams"],
+                    names=["row", *batch.schema.names[:-1], "n_tokens", "known", "base", "score", "rare", "grams", "chances", "beyond"],
                 )
                 row += n
 
     return score
 
 
-def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and their logs, from ``(key, log)``."""
-    held = table.toArrow()
-    keys = held.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], held.column("log").to_numpy().astype(float)[order]
+def _key_at(key: Column, level: Column) -> Column:
+    """A gram with only the last symbols of its context, as many as the level says."""
+    return F.expr(f"{key} & (shiftleft(-1L, 64 - 8 * {level}) | 255L)")
+
+
+def _beyond_chances(grams_: DataFrame, rest: DataFrame) -> DataFrame:
+    """``(key, chance)`` of distinct ``(key, chance, beyond)``: held contexts' chances carried on over the others, which are longer."""
+    contexts = rest.groupBy("level", F.shiftrightunsigned("key", 8).alias("_c"), F.col("weight")).agg(F.lit(1).alias("_one")).drop("_one")
+    # a context of a level without its symbol: the gram shortened, its lowest byte cut off
+    tried = grams_.withColumn("level", F.explode(F.expr(f"filter(sequence(1, {LONGEST}), k -> (shiftright(beyond, k) & 1) = 1)")))
+    tried = tried.withColumn("_short", _key_at("key", "level"))
+    met = tried.withColumn("_c", F.shiftrightunsigned("_short", 8)).join(contexts, ["level", "_c"])
+    shares = rest.select("level", F.col("key").alias("_short"), "share")
+    shared = met.join(shares, ["level", "_short"], "left").groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("level", "weight", F.coalesce("share", F.lit(0.0)).alias("share")))).alias("_steps"))
+    carried = F.expr("aggregate(coalesce(_steps, array()), chance, (c, s) -> s.share + s.weight * c)")
+    return grams_.join(shared, "key", "left").select("key", carried.alias("chance"))
 
 
 def score_documents(
     docs: DataFrame, least_count: float = LEAST_COUNT, frequent_words: int = FREQUENT_WORDS,
-    frequent_grams: int = FREQUENT_GRAMS, depth: int = LONGEST,
+    frequent_grams: int = FREQUENT_GRAMS, depth: int = LONGEST, least_gain: float = LEAST_GAIN,
 ) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every document.
 
@@ -361,42 +406,59 @@ def score_documents(
     columns are not used.  Words are told apart by a 64-bit hash.  Contexts have at most
     ``depth`` bytes, 7 at most.
     """
-    if not 1 <= depth <= 7:
+    if not 1 <= depth <= LONGEST:
         raise ValueError("a context and its symbol must fit 64 bits")
     spark = docs.sparkSession
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
     wanted = docs.select("doc_id", held_out.alias("held_out"), "text")
-    words, levels = _counted(wanted, depth)
+    tree, words = grow_tree(wanted.where(~F.col("held_out")), least_count, least_gain, depth)
     kinds, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     trained = wanted.where(~F.col("held_out")).count()
     total, kinds = int(tokens) + trained, int(kinds) + (trained > 0)
     divisor = total + 0.5 * (kinds + 1)
     log10 = lambda n: F.log10((n + 0.5) / F.lit(divisor))
-    symbols = gram_tables(levels, least_count)[-1].select(F.col("gram").alias("key"), "n", F.log10("p").alias("log"))
+    seen = tree.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    weights = tree.select(
+        "level", "key", "total",
+        F.when(F.col("level") == 0, (F.col("n") + 0.5) / F.lit(seen + 128.0)).otherwise(F.col("n") / (F.col("total") + F.col("kinds"))).alias("share"),
+        (F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("weight"))
+    least = _least_held(weights.where("level > 0"), frequent_grams)
+    near, rest = ((F.col("level") == 0) | (F.col("total") >= least)), ((F.col("level") > 0) & (F.col("total") < least))
+    unheld = weights.where(rest)
+    others = unheld.select("level", F.shiftrightunsigned("key", 8).alias("_c")).distinct().count()
+    filter_words = np.zeros(0, np.uint64)
+    if others:
+        size = min(MOST_BITS, 1 << max(10, (16 * others - 1).bit_length()))
+        context = F.expr("shiftrightunsigned(key, 64 - 8 * level)")
+        pairs = unheld.select("level", context.alias("c")).distinct().mapInArrow(_bit_kernel(size), "word long, bits long")
+        set_words = pairs.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        filter_words = np.zeros(size // 64, np.uint64)
+        filter_words[set_words.column("word").to_numpy()] = set_words.column("bits").to_numpy().view(np.uint64)
     held = spark.sparkContext.broadcast((
         _sorted(_most_frequent(words, frequent_words).select("key", log10(F.col("n")).alias("log"))),
-        _sorted(_most_frequent(symbols.where("n > 0"), frequent_grams).select("key", "log")),
+        hold(weights.where(near).select("level", "key", "share", "weight").toArrow(), filter_words, 0.5 / (seen + 128.0)),
     ))
     end_log10 = float(np.log10((trained + 0.5) / divisor))
     kind = wanted.schema["doc_id"].dataType.simpleString()
     scored = materialise(wanted.mapInArrow(
         _score_kernel(lambda: held.value, end_log10, int(trained > 0), depth),
         f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
-        "rare array<bigint>, rare_grams array<bigint>",
+        "rare array<bigint>, grams array<bigint>, chances array<double>, beyond array<int>",
     ))
-
-    def times(column: str) -> DataFrame:
-        return scored.where(F.size(column) > 0).select("row", F.explode(column).alias("key")).groupBy("row", "key").agg(
-            F.count(F.lit(1)).alias("_times"))
-
-    met = times("rare").join(words, "key", "left").select(
+    rare = scored.where(F.size("rare") > 0).select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("_times"))
+    sums = rare.join(words, "key", "left").select(
         "row", (F.col("_times") * log10(F.coalesce("n", F.lit(0)))).alias("_base"),
         F.when(F.col("n").isNotNull(), F.col("_times")).otherwise(0).alias("_known"), F.lit(0.0).alias("_score"))
-    # every gram of the documents is in the table
-    followed = times("rare_grams").join(symbols, "key").select(
-        "row", F.lit(0.0).alias("_base"), F.lit(0).cast("bigint").alias("_known"), (F.col("_times") * F.col("log")).alias("_score"))
-    sums = met.unionByName(followed).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("_base", "_known", "_score")])
-    return scored.drop("rare", "rare_grams").join(sums, "row", "left").select(
+    if others:
+        zipped = scored.where(F.size("grams") > 0).select("row", F.explode(F.arrays_zip("grams", "chances", "beyond")).alias("_g"))
+        open_ = zipped.groupBy("row", F.col("_g.grams").alias("key"), F.col("_g.chances").alias("chance"), F.col("_g.beyond").alias("beyond")).agg(
+            F.count(F.lit(1)).alias("_times"))
+        distinct = open_.select("key", "chance", "beyond").distinct()
+        followed = open_.drop("chance", "beyond").join(_beyond_chances(distinct, unheld), "key").select(
+            "row", F.lit(0.0).alias("_base"), F.lit(0).cast("bigint").alias("_known"), (F.col("_times") * F.log10("chance")).alias("_score"))
+        sums = sums.unionByName(followed)
+    sums = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("_base", "_known", "_score")])
+    return scored.drop("rare", "grams", "chances", "beyond").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),

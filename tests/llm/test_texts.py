@@ -291,43 +291,72 @@ def test_base_of_odd_rows(odd_docs, odd_rows, no_docs):
     assert suffix_lm.score_documents(no_docs).count() == 0
 
 
-def _naive(tree, text):
-    """The score by looking up the longest retained context of every symbol."""
-    states = {c: i for i, c in enumerate(tree.contexts)}
-    stream = bytes([suffix_lm.END]) + b"".join(w + b" " for w in (x.encode() for x in words_of(text))) + bytes([suffix_lm.END])
-    stream = b"\0" * suffix_lm.DEPTH + stream
-    total = 0.0
-    for at in range(suffix_lm.DEPTH + 1, len(stream)):
-        for k in range(suffix_lm.DEPTH, -1, -1):
-            context = int.from_bytes(stream[at - k : at], "big")
-            if (k, context) in states:
-                total += tree.log10[states[k, context], tree.classes[stream[at]]]
-                break
+def _stream(text, depth):
+    words = b"".join(w + b" " for w in (x.encode() for x in words_of(text)))
+    return b"\0" * (depth - 1) + bytes([suffix_lm.END]) + words + bytes([suffix_lm.END])
+
+
+def _tree(texts, depth, least_count, least_gain):
+    """``{context: counts of next bytes}`` of all contexts, and the retained ones, by dictionaries."""
+    counts = defaultdict(Counter)
+    for text in texts:
+        stream = _stream(text, depth)
+        for at in range(depth, len(stream)):
+            for k in range(depth + 1):
+                counts[stream[at - k : at]][stream[at]] += 1
+    kept = set()
+    for context, after in counts.items():
+        if context:
+            shorter, total = counts[context[1:]], after.total()
+            gain = sum(n * math.log(n / total * shorter.total() / shorter[x]) for x, n in after.items())
+            if total >= least_count and gain >= least_gain:
+                kept.add(context)
+    return counts, kept
+
+
+def _naive(tree, text, depth):
+    """The score with the chances carried from the root over all retained endings."""
+    counts, kept = tree
+    stream, total = _stream(text, depth), 0.0
+    for at in range(depth, len(stream)):
+        root = counts[b""]
+        p = (root[stream[at]] + 0.5) / (root.total() + 128)
+        for k in range(1, depth + 1):
+            context = stream[at - k : at]
+            if context in kept:
+                after = counts[context]
+                p = (after[stream[at]] + len(after) * p) / (after.total() + len(after))
+        total += math.log10(p)
     return total
 
 
-def test_scores_by_the_automaton(spark, make_docs):
-    texts = [prose(30, i) for i in range(40)] + ["", "ab", prose(400, 99)]
-    docs = make_docs([(i, t, "en", "a") for i, t in enumerate(texts)])
-    tree, *_ = suffix_lm.learn(docs, 1e-3)
-    assert len(tree.contexts) > 20
-    sums = (10.0 ** tree.log10[:, :-1].astype(float)).sum(axis=1)
-    assert (sums < 1 + 1e-5).all()
-    for text in [*texts[:3], "", "ab", prose(400, 99), "ZZ qq \x7f"]:
-        for _, data, offsets in kernels.pieces(pa.array([text, text])):
-            scores = tree.scores(*suffix_lm.symbol_stream(data, offsets, kernels.spans(data, offsets, kernels.UNSPACED)))
-            assert np.allclose(scores, _naive(tree, text), atol=1e-3)
-
-
-def test_joined_scores_are_those_of_the_automaton(make_docs):
-    texts = {**{i: prose(40, i) for i in range(60)}, 99: "of the of", 100: ""}
+@pytest.mark.parametrize("depth", [suffix_lm.LONGEST, 5, 2])
+def test_scores_by_dictionaries(make_docs, depth):
+    texts = {**{i: prose(60, i) + " xaaaaaap yaaaaaaq" for i in range(60)}, 97: "é" * 9 + " of\x00 \x01", 98: "ZZ qq \x7f", 99: "of the of", 100: "", 101: prose(900, 99)}
     docs = make_docs([(i, t, "en", "a") for i, t in texts.items()])
-    tree, *_ = suffix_lm.learn(docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 1"), 8)
-    for frequent in (0, 50, 10**6):
-        rows = suffix_lm.score_documents(docs, 8, frequent_grams=frequent, depth=suffix_lm.DEPTH).collect()
+    tree = _tree([t for i, t in texts.items() if not held_out(i, 5, 1)], depth, 8, 8.0)
+    assert len(tree[1]) > 20 and (depth < 7 or max(map(len, tree[1])) == 7)
+    for frequent in (0, 300, 10**6):
+        rows = suffix_lm.score_documents(docs, frequent_grams=frequent, depth=depth).collect()
         assert len(rows) == len(texts) and any(r["held_out"] for r in rows)
         for r in rows:
-            assert abs(r["score"] - _naive(tree, texts[r["doc_id"]])) < 2e-3
+            assert abs(r["score"] - _naive(tree, texts[r["doc_id"]], depth)) < 2e-3
+
+
+def test_tree_read_in_small_batches(make_docs, spark, monkeypatch):
+    texts = {i: prose(50, i) + " xaaaaaap yaaaaaaq" for i in range(30)}
+    docs = make_docs([(i, t, "en", "a") for i, t in texts.items()])
+    monkeypatch.setattr(suffix_lm, "MOST_KEYS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        tree, _ = suffix_lm.grow_tree(docs)
+        found = {(r["level"], r["key"] & 2**64 - 1): (r["n"], r["total"], r["kinds"]) for r in tree.where("level > 0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts, kept = _tree(texts.values(), 7, suffix_lm.LEAST_COUNT, suffix_lm.LEAST_GAIN)
+    expected = {(len(c), int.from_bytes(c[::-1].ljust(7, b"\0") + bytes([x]))): (n, counts[c].total(), len(counts[c]))
+                for c in kept for x, n in counts[c].items()}
+    assert found == expected
 
 
 def test_the_tree_grows_with_the_corpus(make_docs):
@@ -344,7 +373,8 @@ def test_grams_count_every_symbol():
     for _, data, offsets in kernels.pieces(pa.array(["ab c", "", None, "x"])):
         symbols, stops = suffix_lm.symbol_stream(data, offsets, kernels.spans(data, offsets, kernels.UNSPACED))
         assert bytes(symbols) == b"ab c \n\n\nx \n" and stops.tolist() == [5, 6, 7, 10]
-        keys = [int(k).to_bytes(6, "big").strip(b"\0") for k in suffix_lm.grams(symbols, stops)]
+        keys = [int(k).to_bytes(8, "big") for k in suffix_lm.grams(symbols, stops, 5)]
+        keys = [k[6::-1].strip(b"\0") + k[7:] for k in keys]
         assert keys == [b"\na", b"\nab", b"\nab ", b"\nab c", b"\nab c ", b"ab c \n", b"\n\n", b"\n\n", b"\nx", b"\nx ", b"\nx \n"]
 
 
