@@ -91,11 +91,47 @@ def test_whole_articles_are_kept(page):
     assert html_text.main_text(page, html_text.train())[0] == " ".join([LONG] * page.count(LONG))
 
 
-def test_words_and_links_may_contradict_the_place():
+@pytest.mark.parametrize("around", [
+    "<nav>{}</nav>", "<form>{}</form>", "<footer>{}</footer>", "<header>{}</header>", "<aside>{}</aside>", "<div class=cookie-notice>{}</div>",
+    "<section class=comments>{}</section>", "<div class='post-comments'>{}</div>", "<div id=comments-area>{}</div>",
+    "<ol class='comment-list'>{}</ol>", "<div class='x user-comments'>{}</div>", "<div class=site-header>{}</div>", "<div id='site_footer'>{}</div>",
+    "<div class='adContainer'>{}</div>", "<div class='sidebar-left'><article>{}</article></div>", "<section id=comments><article class=c>{}</article></section>",
+    "<div role=navigation>{}</div>", "<article><div class=related-posts>{}</div></article>", "<aside><main>{}</main></aside>",
+])
+def test_nothing_around_the_article_comes_out(around):
     tree = html_text.train()
-    links = "".join(f"<p><a href=x>{LONG[:300]}</a></p>" for _ in range(6))
-    assert LONG in html_text.main_text(f"<aside><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></aside>", tree)[0]
-    assert html_text.main_text(f"<article>{links}</article>", tree)[1] < 6
+    for prose_ in (f"<p>{LONG}</p>", f"<p>{LONG}</p><p>{LONG}</p><p>a line</p>", "<p>A line.</p>"):
+        page = f"<body><p>{LONG[:90]}</p>{around.format(prose_)}<p>{LONG[:60]}</p></body>"
+        assert html_text.main_text(page, tree)[0] == f"{LONG[:90].strip()} {LONG[:60].strip()}"
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>{0}</p><p><a href=x>{1}</a></p><p>{2}</p></article>", "{0} {1} {2}"),
+    ("<article><p>Bye.</p><p><a href=x>one linked sentence</a></p><p>End words here of the article.</p></article>",
+     "Bye. one linked sentence End words here of the article."),
+    ("<form id=page><article><p>{0}</p></article><p>send</p></form>", "{0}"),
+    ("<div class=menu-wrapper><main><p>{0}</p></main></div>", "{0}"),
+])
+def test_nothing_of_an_article_is_lost(page, text):
+    parts = (" ".join(LONG.split()[:60]), " ".join(LONG.split()[:20]), " ".join(LONG.split()[:80]))
+    assert html_text.main_text(page.format(*parts), html_text.train())[0] == text.format(*parts)
+
+
+def test_own_links_decide_unmarked_blocks():
+    def columns(tree):
+        return set() if len(tree) == 1 else {tree[0]} | columns(tree[2]) | columns(tree[3])
+
+    tree = html_text.train()
+    assert {0, 1} < columns(tree)
+    words = LONG.split()
+    for n in (15, 25, 50, 100, 200):
+        own, before, after = " ".join(words[:n]), " ".join(words[:40]), " ".join(words[:35])
+        for linked in (False, True):
+            block = f"<p><a href=x>{own}</a></p>" if linked else f"<p>{own}</p>"
+            found = html_text.main_text(f"<div><p>{before}</p>{block}<p>{after}</p></div>", tree)[0]
+            assert found == " ".join([before, *([] if linked else [own]), after])
+    menu = "".join(f"<li><a href=x>{w}</a>" for w in words[:9])
+    assert html_text.main_text(f"<ul>{menu}</ul><p>{LONG}</p><ul>{menu}</ul>", tree)[0] == LONG
 
 
 def test_articles_of_the_table(spark, sf_dir):
@@ -481,3 +517,47 @@ def test_pipeline_by_brute_force(spark, sf_dir):
             assert max(counts.values()) - min(counts.get(s, 0) for s in range(40)) <= 1
         before = after
     assert corpus_pipeline.run(spark, sf_dir).count() == before.count()
+
+
+def test_pipeline_columns_of_any_name(spark, tmp_path):
+    """Null and empty texts, repeated rows, an empty table and columns whose names need quoting."""
+    rows = [(i, prose(60, i), "en", "a", 1, "x") for i in range(12)] + [(3, prose(60, 3), "en", "a", 1, "x"), (50, None, "en", "a", 1, None), (51, "", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, `my col` int, `a:b,c<d>` string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("i", "no such passage")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert ids <= set(range(12)) and len(ids) > 5
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_short_training_texts(make_docs):
+    """A language of short posts is learned too."""
+    rows = [(i, ("zakka zoku " if i % 2 else "moli mela ")[: 6 + i % 5], "aa" if i % 2 else "bb", "s") for i in range(400)]
+    found = language.predict_language(make_docs(rows)).collect()
+    truth = {i: lang for i, _, lang, _ in rows}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in found) > 0.95 * len(rows)
+
+
+def test_gradients_of_padded_windows():
+    network = language.Network(["a", "b"], states=3)
+    network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    random = np.random.default_rng(0)
+    windows, truth, lengths = random.integers(97, 100, (7, 4)), np.array([0, 1, 1, 0]), np.array([7, 3, 1, 5])
+    loss, grads = network.gradients(windows, truth, lengths)
+    # padding counts for nothing
+    other = np.where(np.arange(7)[:, None] < lengths, windows, 120)
+    assert abs(network.gradients(other, truth, lengths)[0] - loss) < 1e-6
+    for name in ("v", "uf", "ub", "wf", "wb", "c"):
+        at = np.unravel_index(np.argmax(np.abs(grads[name])), grads[name].shape)
+        step = 1e-3
+        network.p[name][at] += step
+        up = network.gradients(windows, truth, lengths)[0]
+        network.p[name][at] -= 2 * step
+        down = network.gradients(windows, truth, lengths)[0]
+        network.p[name][at] += step
+        assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-2 * max(0.05, abs(grads[name][at]))
