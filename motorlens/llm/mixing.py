@@ -1,13 +1,17 @@
 """Mixing sources to target weights by subset sums over document lengths.
 
 Documents are counted by source and exact length.  Of every source the target takes
-whole passes, then an even share of every length, and the words that are left over are
-filled by a bounded knapsack over the remaining documents of each length.  Which
-documents of a length are taken is decided by a seeded hash.
+whole passes and then an even share of every length.  Where a share is no whole number of
+documents a seeded draw rounds it, over neighbouring lengths together, so that a document
+has the same chance at every length.  The words by which the draw misses the target are
+made up by bounded-knapsack dynamic programming over documents of each length in a seeded
+order.  Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +25,10 @@ by_value(__name__)
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_PASSES = 2
-# words that are left to the knapsack
-KNAPSACK_WORDS = 40_000
+# documents of mean length that the even share leaves to the dynamic programming
+SPARE_DOCUMENTS = 4
+# sums that the dynamic programming tells apart; beyond them lengths count in larger units, rounded up
+MOST_SUMS = 1 << 21
 
 
 def source_targets(totals: DataFrame) -> DataFrame:
@@ -52,51 +58,87 @@ def source_targets(totals: DataFrame) -> DataFrame:
     return chosen.select("source_key", "source_size", target.alias("target"))
 
 
+def _drawn(*what: object) -> int:
+    """A number below 2**64 for a seed and a name."""
+    return int.from_bytes(blake2b("/".join(map(str, what)).encode(), digest_size=8).digest())
+
+
 def fill(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length come nearest below ``budget`` words, by bounded knapsack.
 
-    Reachable sums are the bits of one integer; counts are split into powers of two.
+    Reachable sums are the bits of one integer; counts are split into powers of two and
+    lengths are tried in their order until the budget is met.
     """
+    unit = -(-budget // MOST_SUMS) if budget > MOST_SUMS else 1
+    budget //= unit
     reach, mask, path = 1, (1 << (budget + 1)) - 1, []
-    for length in sorted((n for n in counts if 0 < n <= budget), reverse=True):
-        left, piece = min(counts[length], budget // length), 1
-        while left and not reach >> budget & 1:
+    for length, count in counts.items():
+        if not length:
+            continue
+        units = -(-length // unit)
+        left, piece = min(count, budget // units), 1
+        while left > 0 and not reach >> budget & 1:
             piece = min(piece, left)
-            path.append((length, piece, reach))
-            reach |= reach << (length * piece) & mask
+            path.append((length, units * piece, piece, reach))
+            reach |= reach << (units * piece) & mask
             left, piece = left - piece, piece * 2
     at, taken = reach.bit_length() - 1, {}
-    for length, piece, before in reversed(path):
+    for length, units, piece, before in reversed(path):
         if not before >> at & 1:
             taken[length] = taken.get(length, 0) + piece
-            at -= length * piece
+            at -= units
+    return taken
+
+
+def even_share(counts: dict[int, int], budget: int, total: int, seed: object) -> dict[int, int]:
+    """How many documents of each length an even share of ``budget`` out of ``total`` words takes.
+
+    Whole numbers first.  Of the lengths between two powers of two the remainders are laid
+    end to end in a seeded order, and a length whose stretch holds one of the points that
+    lie a whole document apart from a seeded first one takes one more: each is rounded up
+    with the chance its remainder says, and all of them miss the sum by less than one document.
+    """
+    taken, bands = {}, {}
+    for length, count in counts.items():
+        taken[length], remainder = divmod(count * budget, total)
+        bands.setdefault(length.bit_length(), []).append((_drawn(seed, length), length, remainder))
+    for band, lengths in bands.items():
+        at = _drawn(seed, "band", band) % total
+        for _, length, remainder in sorted(lengths):
+            at += remainder
+            if at >= total:
+                taken[length] += 1
+                at -= total
     return taken
 
 
-def plan_source(lengths: pd.DataFrame) -> pd.DataFrame:
+def plan_source(lengths: pd.DataFrame, seed: int = 0) -> pd.DataFrame:
     """The plan of one source: whole passes over all its documents and further documents of each length.
 
     The frame has a row per distinct length, of which a source of S words has fewer than
     the root of 2 S.
     """
     size, total, target = lengths["size"].tolist(), int(lengths["source_size"].iloc[0]), float(lengths["target"].iloc[0])
-    count = lengths["count"].tolist()
+    count = dict(zip(size, lengths["count"].tolist()))
     passes = min(MOST_PASSES, int(target // total)) if total else 0
     budget = round(target) - passes * total
-    taken = [0] * len(size)
+    taken = dict.fromkeys(size, 0)
     if budget > 0 and passes < MOST_PASSES:
-        taken = [n * budget // total for n in count]
-        left = budget - sum(s * n for s, n in zip(size, taken))
-        for i in sorted(range(len(size)), key=lambda i: -size[i]):
-            if size[i] and left > KNAPSACK_WORDS:
-                more = min(count[i] - taken[i], (left - KNAPSACK_WORDS) // size[i])
-                taken[i] += more
-                left -= more * size[i]
-        extra = fill({s: n - t for s, n, t in zip(size, count, taken)}, left)
-        taken = [t + extra.get(s, 0) for s, t in zip(size, taken)]
+        name = (seed, lengths["source_key"].iloc[0])
+        # lengths without words are no part of the share
+        spare = SPARE_DOCUMENTS * -(-total // max(1, sum(n for s, n in count.items() if s)))
+        taken |= even_share({s: n for s, n in count.items() if s}, max(0, budget - spare), total, name)
+        order = sorted((s for s in size if s), key=lambda s: _drawn(*name, "fill", s))
+        missed = budget - sum(s * n for s, n in taken.items())
+        if missed < 0:
+            for s, n in fill({s: taken[s] for s in order}, spare - missed).items():
+                taken[s] -= n
+                missed += s * n
+        for s, n in fill({s: count[s] - taken[s] for s in order}, max(0, missed)).items():
+            taken[s] += n
     return pd.DataFrame({
         "source_key": lengths["source_key"], "size": lengths["size"], "count": lengths["count"],
-        "source_size": total, "target": target, "passes": passes, "further": taken,
+        "source_size": total, "target": target, "passes": passes, "further": [taken[s] for s in size],
     })
 
 
@@ -122,7 +164,7 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     totals = lengths.groupBy("source", "source_key").agg(F.sum(F.col("size") * F.col("count")).alias("source_size"))
     targets = source_targets(totals)
     planned = lengths.select("source_key", "size", "count").join(targets, "source_key")
-    plan = materialise(planned.groupBy("source_key").applyInPandas(plan_source, PLAN))
+    plan = materialise(planned.groupBy("source_key").applyInPandas(lambda lengths: plan_source(lengths, seed), PLAN))
     # the plan grows with the number of lengths, so it is not broadcast
     placed = sized.select("doc_id", "source_key", "size", "_hash").join(plan.hint("merge"), ["source_key", "size"])
     partly = (F.col("further") > 0) & (F.col("further") < F.col("count"))

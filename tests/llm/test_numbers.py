@@ -211,3 +211,30 @@ def test_outliers_of_small_groups_are_rejected(make_docs):
 def test_chi_square():
     assert abs(quality.chi_square_quantile(0.05, 4) - 9.487729) < 1e-5
     assert abs(quality.chi_square_cdf(12.591587, 6) - 0.95) < 1e-6
+
+
+def test_every_length_has_its_share():
+    """Which documents are taken does not depend on how long they are."""
+    import pandas as pd
+
+    for seed in range(3):
+        size = list(range(1, 3001))
+        total = sum(size)
+        lengths = pd.DataFrame({"source_key": "=a", "size": size, "count": 1, "source_size": total, "target": total / 2})
+        plan = mixing.plan_source(lengths, seed)
+        assert int((plan["size"] * plan["further"]).sum()) == total // 2
+        shares = [plan["further"][plan["size"].between(a + 1, a + 500)].mean() for a in range(0, 3000, 500)]
+        assert all(0.43 < s < 0.57 for s in shares)
+    other = mixing.plan_source(lengths, 9)
+    assert (other["further"] != plan["further"]).any() and (mixing.plan_source(lengths, 2)["further"] == plan["further"]).all()
+
+
+def test_share_of_few_and_of_huge_documents():
+    import pandas as pd
+
+    for size, count, share in (([5, 10**9, 10**8], [40, 3, 7], 0.4), ([7], [3], 0.5), ([0, 3, 4], [9, 1, 1], 0.9), ([2, 3], [10, 10], 0.01)):
+        total = sum(s * n for s, n in zip(size, count))
+        lengths = pd.DataFrame({"source_key": "", "size": size, "count": count, "source_size": total, "target": total * share})
+        plan = mixing.plan_source(lengths)
+        assert ((plan["further"] >= 0) & (plan["further"] <= plan["count"])).all()
+        assert abs((plan["size"] * plan["further"]).sum() - total * share) <= max(size)
