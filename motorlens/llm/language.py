@@ -16,13 +16,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorlens.functions.shipping import by_value
 from motorlens.llm.kernels import pieces
 
 by_value(__name__)
 
-# sampled training documents of a language, windows of each, bytes of a window in training and in prediction
+# sampled training documents of a language (of full length), windows of each, bytes of a window in training and in prediction
 SAMPLE_DOCUMENTS = 600
 SAMPLE_WINDOWS = 4
 TRAIN_BYTES = 48
@@ -103,9 +104,10 @@ class Network:
             total += p if full else p * (t < lengths)
         return total
 
-    def gradients(self, windows: np.ndarray, truth: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over all positions and its gradients, by backpropagation through time."""
+    def gradients(self, windows: np.ndarray, truth: np.ndarray, lengths: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over all positions and its gradients, by backpropagation through time; what lies behind a length is padding."""
         steps, count = windows.shape
+        inside = np.ones((steps, count), bool) if lengths is None else np.arange(steps)[:, None] < lengths
         k = self.states
         kept: dict[str, list] = {"f": [], "b": []}
         both = np.empty((steps, 2 * k, count), np.float32)
@@ -115,23 +117,24 @@ class Network:
             for t in orders[d]:
                 new, *rest = self._step(d, windows[t], h)
                 kept[d].append((t, h, *rest))
+                new *= inside[t]
                 h = both[t, rows] = new
         grads = {name: np.zeros_like(value) for name, value in self.p.items()}
-        loss, scale = 0.0, 1.0 / (steps * count)
+        loss, scale = 0.0, 1.0 / inside.sum()
         d_both = np.empty_like(both)
         for t in range(steps):
             p = np.exp(self.p["v"] @ both[t] + self.p["c"])
             p /= p.sum(axis=0)
-            loss -= float(np.log(p[truth, np.arange(count)] + 1e-12).sum()) * scale
+            loss -= float((np.log(p[truth, np.arange(count)] + 1e-12) * inside[t]).sum()) * scale
             p[truth, np.arange(count)] -= 1
-            p *= scale
+            p *= scale * inside[t]
             grads["v"] += p @ both[t].T
             grads["c"] += p.sum(axis=1, keepdims=True)
             d_both[t] = self.p["v"].T @ p
         for d, rows in (("f", slice(0, k)), ("b", slice(k, 2 * k))):
             u, after = self.p["u" + d], np.zeros((k, count), np.float32)
             for t, h, z, r, inner, n, raw in reversed(kept[d]):
-                dh = d_both[t, rows] + after
+                dh = (d_both[t, rows] + after) * inside[t]
                 d_raw = dh * (1 - z) * (1 - np.abs(n)) ** 2
                 # slopes of the gates from their values: half the squared distance from the nearer end, doubled
                 slope = lambda g: 0.5 * (1 - np.abs(2 * g - 1)) ** 2
@@ -146,8 +149,9 @@ class Network:
         return loss, grads
 
 
-def train(windows: np.ndarray, truth: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 1) -> Network:
-    """A network fitted by Adam to windows ``(windows, bytes)`` and their languages' numbers."""
+def train(windows: np.ndarray, truth: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 1,
+          lengths: np.ndarray | None = None) -> Network:
+    """A network fitted by Adam to windows ``(windows, bytes)``, their languages' numbers and the bytes of each that count."""
     network = Network(languages, seed=seed)
     if len(languages) < 2:
         return network
@@ -158,7 +162,7 @@ def train(windows: np.ndarray, truth: np.ndarray, languages: list[str], steps: i
     for step in range(1, steps + 1):
         # languages in equal shares
         picked = np.concatenate([random.choice(g, max(1, BATCH // len(groups))) for g in groups])
-        _, grads = network.gradients(windows[picked].T, truth[picked])
+        _, grads = network.gradients(windows[picked].T, truth[picked], None if lengths is None else lengths[picked])
         rate = RATE * (1 - 0.9 * step / steps)
         for n, g in grads.items():
             first[n] += 0.1 * (g - first[n])
@@ -168,27 +172,29 @@ def train(windows: np.ndarray, truth: np.ndarray, languages: list[str], steps: i
 
 
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Training windows at seeded places of each text."""
+    """Training windows at seeded places of each text; a shorter text is one window."""
     for frame in frames:
         rows = []
         for text, lang, seed in zip(frame["text"], frame["lang"], frame["seed"]):
             raw = text.encode()
             random = np.random.default_rng(int(seed) % 2**63)
-            if len(raw) >= TRAIN_BYTES:
-                rows += [(lang, raw[at : at + TRAIN_BYTES]) for at in random.integers(0, len(raw) - TRAIN_BYTES + 1, SAMPLE_WINDOWS)]
+            windows = min(SAMPLE_WINDOWS, -(-len(raw) // TRAIN_BYTES))
+            rows += [(lang, raw[at : at + TRAIN_BYTES]) for at in random.integers(0, max(len(raw) - TRAIN_BYTES, 0) + 1, windows)]
         yield pd.DataFrame(rows, columns=["lang", "piece"])
 
 
 def learn(docs: DataFrame, size: int = SAMPLE_DOCUMENTS) -> Network:
     """The network for documents with ``crc32(doc_id) mod 5 <> 0`` and a language.
 
-    Of every language about ``size`` documents, chosen by a hash of the id, give
-    ``SAMPLE_WINDOWS`` windows each.
+    Of every language about ``size`` documents of full length, chosen by a hash of the id,
+    give ``SAMPLE_WINDOWS`` windows each; of shorter ones, which give fewer, there are
+    more.  Empty texts give none.
     """
     training = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0))
-    counts = training.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    shares = {r["lang"]: min(1.0, size / r["n"]) for r in counts.collect()}
+    windows_of = F.least(F.lit(SAMPLE_WINDOWS), F.ceil(F.octet_length("text") / TRAIN_BYTES))
+    counts = training.groupBy("lang").agg(F.sum(windows_of).alias("n")).where("n > 0")
+    shares = {r["lang"]: min(1.0, size * SAMPLE_WINDOWS / r["n"]) for r in counts.collect()}
     languages = sorted(shares)
     limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, math.ceil(1_000_003 * shares[lang]))]) if shares else None
     if limit is None:
@@ -198,8 +204,10 @@ def learn(docs: DataFrame, size: int = SAMPLE_DOCUMENTS) -> Network:
     # at most about SAMPLE_DOCUMENTS * SAMPLE_WINDOWS windows of each language
     rows = cut.toPandas().sort_values(["lang", "piece"])
     languages = sorted(rows["lang"].unique())
-    windows = np.array([np.frombuffer(p, np.uint8) for p in rows["piece"]]).reshape(-1, TRAIN_BYTES)
-    return train(_LOWER[windows], rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int), languages)
+    lengths = rows["piece"].str.len().to_numpy(int)
+    windows = np.array([np.frombuffer(p.ljust(TRAIN_BYTES, b" "), np.uint8) for p in rows["piece"]]).reshape(-1, TRAIN_BYTES)
+    truth = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)
+    return train(_LOWER[windows], truth, languages, lengths=lengths)
 
 
 def pooled(network: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -267,9 +275,13 @@ def predict_language(docs: DataFrame, network: Network | None = None) -> DataFra
 
 
 def in_known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents in their own columns without those of no language: no letter, or a score below ``least_score``."""
+    """The documents in their own columns without those of no language: no letter, or a score below ``least_score``.
+
+    Null and empty texts have no letter.  Columns may have any names and types; repeated
+    rows are judged one by one; an empty table gives no rows.
+    """
     network = learn(docs.select("doc_id", "text", "lang"))
     rows = docs.select(F.struct("*").alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
-    predicted = rows.mapInArrow(_kernel(network), f"row {kind}, lang_pred string, score double")
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    predicted = rows.mapInArrow(_kernel(network), schema)
     return predicted.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
