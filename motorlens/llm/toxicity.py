@@ -27,16 +27,14 @@ by_value(__name__)
 
 # labelled documents that lexicon and curve are learned from, in expectation
 SAMPLE_DOCUMENTS = 12_000
-# least toxic documents an entry must be found in, least log odds after two standard errors are taken off, most entries
+# least toxic documents an entry must be found in, least log odds after two standard errors are taken off
 LEAST_DOCUMENTS = 6
 LEAST_WEIGHT = 2.3
 ERRORS = 2.0
-MOST_ENTRIES = 2_000
 # lengths of word beginnings that may become entries
 PREFIXES = (3, 4, 5, 6, 7, 8)
-# documents an exception phrase must be found in, and the most exceptions
+# documents an exception phrase must be found in
 LEAST_EXCEPTIONS = 4
-MOST_EXCEPTIONS = 2_000
 TOXIC_FROM = 0.7
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -192,7 +190,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
                     key=lambda e: (-round(weights[e], 2), e.endswith(" "), -len(e), e))
     kept: dict[str, float] = {}
     beginnings: set[str] = set()
-    for entry in strong[:MOST_ENTRIES]:
+    for entry in strong:
         # an entry that begins like a kept one, or with it, would count the same word twice
         shorter = {entry[:k] for k in range(2, len(entry))}
         if entry not in beginnings and not any(e in kept for e in shorter):
@@ -201,7 +199,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     exceptions: dict[str, list[int]] = {}
     for r in summed(sample.mapInPandas(_counted(_phrases(list(kept))), COUNTS)).where(F.col("n") >= LEAST_EXCEPTIONS).collect():
         exceptions.setdefault(r["entry"], [0, 0])[1 if r["toxic"] == 1 else 0] += r["n"]
-    harmless = sorted(p for p, (n0, n1) in exceptions.items() if n0 >= LEAST_EXCEPTIONS and n1 * clean < n0 * bad)[:MOST_EXCEPTIONS]
+    harmless = sorted(p for p, (n0, n1) in exceptions.items() if n0 >= LEAST_EXCEPTIONS and n1 * clean < n0 * bad)
     machine = _automaton(kept)
     return kept, {p: -sum(w for _, _, w in _matches(machine, p)) for p in harmless}
 
