@@ -4,16 +4,18 @@ The tree predicts the next byte of a text (words in lower case, one space behind
 one end) from the contexts before it, up to ``LONGEST`` bytes.  A context is retained when
 it is seen often enough and its next bytes diverge from those after its ending, one byte
 shorter; its counts are smoothed towards the chances after its longest retained ending.
+An ending of a retained context that is not retained itself stays as an empty step.
 
 The tree grows with the texts and is a stored table.  A gram, a context with the byte that
 follows, is written nearest byte first, so that a context begins with its endings: sorted
 grams are the suffix tree.  They are dealt out by a short ending; a task reads all longer
-contexts of its endings off the sorted rows, and only retained ones are stored.  The
+contexts of its endings off the sorted grams, and only retained ones are stored.  The
 shorter levels come from the few counts that are left of this ending, in the same way.
+Grams travel in compressed runs.
 
 Texts meet the tree where they lie as far as every task can hold it, the most frequent
-contexts first.  Grams that may have a context beyond that, which a filter of hashed bits
-tells, are counted per text and meet the rest of the table in a join.
+contexts first.  Grams whose first context beyond that may exist, which a filter of hashed
+bits tells, are counted per text and meet the rest of the table in a join.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motorlens.functions.shipping import by_value
@@ -40,14 +42,21 @@ ENDINGS = (5, 2, 0)
 # least positions a retained context precedes, at every size of the corpus
 LEAST_COUNT = 8
 # least log-likelihood gain of a context over its ending, in nats
-LEAST_GAIN = 8.0
+LEAST_GAIN = 4.0
+# and for every symbol that follows it
+GAIN_PER_SYMBOL = 1.0
 # most frequent words whose counts every task holds (16 bytes each); other words are met by a join
 FREQUENT_WORDS = 300_000
 # grams of the most frequent contexts, likewise, and bits of the filter of the others at most
-FREQUENT_GRAMS = 3_000_000
+FREQUENT_GRAMS = 4_000_000
 MOST_BITS = 1 << 29
+BITS_OF_CONTEXT = 24
+PROBES = 4
 # distinct keys a task holds before it hands its counts on
-MOST_KEYS = 700_000
+MOST_KEYS = 1_000_000
+# runs that the keys of a level are dealt over at least, and bytes of text that are worked on together
+RUNS = 512
+TOGETHER = 2 << 20
 SPACE, END = 0x20, 0x0A
 WORD, ENDING, GRAM = -1, -2, 100
 
@@ -105,28 +114,52 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def _count_kernel(depth: int) -> Callable:
-    """Words and grams of the texts of a partition as ``(level, key, n)``."""
+PACKED = "kind int, run int, size long, keys binary, counts binary"
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).view(np.uint64).ravel()
+
+
+def packed(kind: int, keys: np.ndarray, counts: np.ndarray, low: int, runs: int) -> pa.RecordBatch:
+    """Sorted keys and their counts in compressed runs; grams of one ending of ``low`` symbols, and equal words, go to the same run."""
+    run = (mixed(keys if kind == WORD else context_of(keys, low), 77) % np.uint64(runs)).astype(np.int32)
+    order = np.argsort(run, kind="stable")
+    run, keys, counts = run[order], keys[order], counts[order].astype(np.uint64)
+    at = _runs(run)
+    cuts = list(zip(at, np.append(at[1:], len(run))))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(at), kind, np.int32)), pa.array(run[at]), pa.array(np.diff(np.append(at, len(run))).astype(np.int64)),
+         pa.array([_squeezed(keys[i:j]) for i, j in cuts], pa.binary()), pa.array([_squeezed(counts[i:j]) for i, j in cuts], pa.binary())],
+        names=["kind", "run", "size", "keys", "counts"])
+
+
+def _count_kernel(depth: int, low: int, runs: int) -> Callable:
+    """Words and grams of the texts of a partition in runs; counts are doubled (see ``read_levels``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {WORD: [], GRAM: []}
 
         def rows(kind: int) -> Iterator[pa.RecordBatch]:
-            keys, counts = _added(held[kind]) if held[kind] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            held[kind] = []
-            for i in range(0, len(keys), 100_000):
-                part = keys[i : i + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(counts[i : i + 100_000].astype(np.int64))],
-                    names=["level", "key", "n"])
+            if held[kind]:
+                keys, counts = _added(held[kind])
+                held[kind] = []
+                yield packed(kind, keys, 2 * counts, low, runs)
 
         for batch in batches:
-            for _, data, offsets in pieces(batch.column(0)):
+            for _, data, offsets in pieces(batch.column(0), TOGETHER):
                 words = spans(data, offsets, UNSPACED)
                 held[GRAM].append(np.unique(grams(*symbol_stream(data, offsets, words), depth), return_counts=True))
                 held[WORD].append(np.unique(word_hashes(data, *words[:2], UNSPACED), return_counts=True))
                 for kind, parts in held.items():
-                    if len(parts) > 8:
+                    if len(parts) > 4:
                         held[kind] = [_added(parts)]
                         if len(held[kind][0][0]) > MOST_KEYS:
                             yield from rows(kind)
@@ -136,97 +169,119 @@ def _count_kernel(depth: int) -> Callable:
     return count
 
 
+def _pack_kernel(low: int, runs: int) -> Callable:
+    """Rows ``(key, n)`` in runs."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, counts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            order = np.argsort(keys)
+            yield packed(GRAM, keys[order], counts[order], low, runs)
+
+    return pack
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Where the runs of equal keys begin."""
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def read_levels(keys: np.ndarray, n: np.ndarray, low: int, high: int, least_count: float, least_gain: float) -> Iterator[tuple]:
-    """Retained contexts of ``low + 1`` to ``high`` symbols, and all grams of ``low``, from sorted grams of whole endings.
+def read_levels(keys: np.ndarray, doubled: np.ndarray, low: int, high: int, least_count: float, least_gain: float) -> Iterator[tuple]:
+    """Contexts of ``low + 1`` to ``high`` symbols, and all grams of ``low``, from all sorted grams of some endings.
 
-    ``(level, keys, n, total, kinds)``: a gram's count, its context's and how many symbols follow that.
+    ``(level, keys, n, total, kinds)``: a gram's count, its context's and how many symbols
+    follow that.  A context that only leads to longer ones is a row with the count 0.
+    Counts come doubled; an odd one says that the gram's context leads to longer ones that
+    are retained, and so do those of the level ``low``.
     """
-    shorter = None
+    n, leads = (doubled >> 1).astype(np.int64), doubled & 1 == 1
+    levels, shorter = [], None
     for k in range(low, high + 1):
         if k == high:
             grams_k, counts = keys, n
         else:
             grams_k, of = np.unique(shortened(keys, k), return_inverse=True)
             counts = np.bincount(of, weights=n, minlength=len(grams_k)).astype(np.int64)
-        context = context_of(grams_k, k)
-        order = np.argsort(grams_k, kind="stable")
-        grams_k, counts, context = grams_k[order], counts[order], context[order]
-        at = _runs(context)
-        sizes = np.diff(np.append(at, len(context)))
-        total, kinds = np.repeat(np.add.reduceat(counts, at), sizes), np.repeat(sizes, sizes)
-        share = counts / total
-        if k == low:
-            yield k, grams_k, counts, total, kinds
-        else:
+        at = _runs(context_of(grams_k, k))
+        sizes = np.diff(np.append(at, len(grams_k)))
+        total, kinds = np.add.reduceat(counts, at), sizes
+        share = counts / np.repeat(total, sizes)
+        kept = np.zeros(len(at), bool)
+        if k > low:
             before = shorter[1][np.searchsorted(shorter[0], shortened(grams_k, k - 1))]
-            gain = np.repeat(np.add.reduceat(counts * np.log(share / before), at), sizes)
-            kept = (total >= least_count) & (gain >= least_gain)
-            yield k, grams_k[kept], counts[kept], total[kept], kinds[kept]
+            gain = np.add.reduceat(counts * np.log(share / before), at)
+            kept = (total >= least_count) & (gain >= least_gain + GAIN_PER_SYMBOL * kinds)
+        levels.append((k, grams_k, counts, at, sizes, total, kept))
         shorter = grams_k, share
+    # contexts of the longest level that lead to retained ones
+    led = context_of(keys, high)[leads]
+    for k, grams_k, counts, at, sizes, total, kept in reversed(levels):
+        context = context_of(grams_k[at], k)
+        leading = np.isin(context, led)
+        own = np.repeat(kept, sizes)
+        if k == low:
+            yield k, grams_k, 2 * counts + np.repeat(leading, sizes), np.repeat(total, sizes), np.repeat(sizes, sizes)
+            return
+        steps = leading & ~kept
+        step_keys = context[steps] << np.uint64(64 - 8 * k)
+        none = np.zeros(len(step_keys), np.int64)
+        yield (k, np.concatenate([grams_k[own], step_keys]), np.concatenate([counts[own], none]),
+               np.concatenate([np.repeat(total, sizes)[own], total[steps]]), np.concatenate([np.repeat(sizes, sizes)[own], none]))
+        led = np.unique(context[kept | leading] >> np.uint64(8))
 
 
 LEVELS = "level int, key long, n long, total long, kinds int"
 
 
 def _level_kernel(low: int, high: int, least_count: float, least_gain: float) -> Callable:
-    """Sorted ``(level, key, n)`` to rows of the tree; all grams of the endings come as rows of ``ENDING``, words are added up."""
+    """Runs in their order to rows of the tree; all grams of the endings come as rows of ``ENDING``, words are added up."""
 
     def table(level: int, keys: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(keys), level, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)),
              pa.array(total.astype(np.int64)), pa.array(kinds.astype(np.int32))], names=["level", "key", "n", "total", "kinds"])
 
-    def read(keys: np.ndarray, n: np.ndarray, word: bool) -> Iterator[pa.RecordBatch]:
-        keys, n = _added([(keys, n)])
+    def read(parts: list[tuple[np.ndarray, np.ndarray]], word: bool) -> Iterator[pa.RecordBatch]:
+        keys, counts = _added(parts)
         if word:
-            yield table(WORD, keys, n, np.zeros(len(keys)), np.zeros(len(keys)))
-        elif len(keys):
-            for level, *columns in read_levels(keys, n, low, high, least_count, least_gain):
-                yield table(ENDING if level == low and low else level, *columns)
+            yield table(WORD, keys, counts >> np.uint64(1), np.zeros(len(keys)), np.zeros(len(keys)))
+        else:
+            for level, own, n, *columns in read_levels(keys, counts, low, high, least_count, least_gain):
+                if level == low == 0:
+                    n = n >> 1
+                yield table(ENDING if level == low and low else level, own, n, *columns)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, keys, n = GRAM, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        now, parts = None, []
         for batch in batches:
-            kinds = batch.column(0).to_numpy()
-            for part in np.split(np.arange(len(kinds)), _runs(kinds)[1:]):
-                if not len(part):
-                    continue
-                if kinds[part[0]] != kind:
-                    yield from read(keys, n, kind == WORD)
-                    kind, keys, n = kinds[part[0]], keys[:0], n[:0]
-                keys = np.concatenate([keys, batch.column(1).to_numpy()[part].view(np.uint64)])
-                n = np.concatenate([n, batch.column(2).to_numpy()[part]])
-                # the last ending may go on in the next batch
-                last = int(_runs(keys if kind == WORD else context_of(keys, low))[-1])
-                if last:
-                    yield from read(keys[:last], n[:last], kind == WORD)
-                    keys, n = keys[last:], n[last:]
-        yield from read(keys, n, kind == WORD)
+            for kind, run, size, keys, counts in zip(*[c.to_pylist() for c in batch.columns]):
+                if (kind, run) != now:
+                    if parts:
+                        yield from read(parts, now[0] == WORD)
+                    now, parts = (kind, run), []
+                parts.append((_unsqueezed(keys, size), _unsqueezed(counts, size)))
+                if len(parts) > 16:
+                    parts = [_added(parts)]
+        if parts:
+            yield from read(parts, now[0] == WORD)
 
     return kernel
 
 
 def grow_tree(texts: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN, depth: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """The stored tree ``(level, key, n, total, kinds)`` of texts, its root at level 0 with all symbols, and the words ``(key, n)``."""
-    rows = texts.select("text").mapInArrow(_count_kernel(depth), "level int, key long, n long")
-    tables, high, words = [], depth, None
-    for low in ENDINGS:
-        if low >= high:
-            continue
-        ending = F.shiftrightunsigned("key", 64 - 8 * low) if low else F.lit(0).cast("long")
-        dealt = rows.withColumn("_part", F.when(F.col("level") == WORD, F.col("key")).otherwise(ending))
-        sized = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) if low else 1
-        sorted_rows = dealt.repartition(sized, "_part").sortWithinPartitions("level", "key").drop("_part")
-        level = materialise(sorted_rows.mapInArrow(_level_kernel(low, high, least_count, least_gain), LEVELS))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = max(RUNS, 4 * tasks)
+    lows = [low for low in ENDINGS if low < depth]
+    rows, high, tables, words = texts.select("text").mapInArrow(_count_kernel(depth, lows[0], runs), PACKED), depth, [], None
+    for low, lower in zip(lows, [*lows[1:], None]):
+        dealt = rows.repartition(tasks if low else 1, "kind", "run").sortWithinPartitions("kind", "run")
+        level = materialise(dealt.mapInArrow(_level_kernel(low, high, least_count, least_gain), LEVELS))
         words = level.where(F.col("level") == WORD).select("key", "n") if words is None else words
         tables.append(level.where("level >= 0"))
-        # what is left of the endings, as grams of the next, shorter ones
-        rows, high = level.where(F.col("level") == ENDING).select(F.lit(GRAM).alias("level"), "key", "n"), low
+        if lower is not None:
+            # what is left of the endings, as grams of the next, shorter ones
+            rows, high = level.where(F.col("level") == ENDING).select("key", "n").mapInArrow(_pack_kernel(lower, runs), PACKED), low
     tree = tables[0]
     for table in tables[1:]:
         tree = tree.unionByName(table)
@@ -276,10 +331,11 @@ def _least_held(grams_: DataFrame, most: int) -> float:
     return least
 
 
-def _bits(keys: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of every context in a filter of so many."""
-    hashes = mixed(keys, 0x5851F42D4C957F2D + level)
-    return (hashes >> np.uint64(32)) % np.uint64(size), (hashes & np.uint64(0xFFFFFFFF)) % np.uint64(size)
+def _bits(contexts: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+    """The bits of every context in a filter of so many, a power of two."""
+    hashes = mixed(contexts, 0x5851F42D4C957F2D + level)
+    for i in range(PROBES):
+        yield (hashes + np.uint64(i) * ((hashes >> np.uint64(32)) | np.uint64(1))) & np.uint64(size - 1)
 
 
 def _bit_kernel(size: int) -> Callable:
@@ -314,26 +370,31 @@ def hold(rows: pa.Table, filter_words: np.ndarray, floor: float) -> tuple:
 
 
 def chances(tree: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chance of every gram by the held contexts, and a bit for every level at which others may have one."""
+    """The chance of every gram by the held contexts, and the level from which others may go on (0: none)."""
     root, filter_words, levels = tree
     chance = root[(keys & np.uint64(0xFF)).astype(int)]
     beyond = np.zeros(len(keys), np.int32)
-
-    def bit(at: np.ndarray) -> np.ndarray:
-        return (filter_words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-
+    going = np.arange(len(keys))
     for k, (contexts, weights, held, shares) in enumerate(levels, 1):
-        wanted = context_of(keys, k)
-        known = np.zeros(len(keys), bool)
+        if not len(going):
+            break
+        some = keys[going]
+        wanted = context_of(some, k)
+        known = np.zeros(len(some), bool)
         if len(contexts):
             at = np.minimum(np.searchsorted(contexts, wanted), len(contexts) - 1)
             known = contexts[at] == wanted
-            gram = shortened(keys[known], k)
+            gram = shortened(some[known], k)
             place = np.minimum(np.searchsorted(held, gram), len(held) - 1)
-            chance[known] = np.where(held[place] == gram, shares[place], 0) + weights[at[known]] * chance[known]
+            goes = going[known]
+            chance[goes] = np.where(held[place] == gram, shares[place], 0) + weights[at[known]] * chance[goes]
         if len(filter_words):
-            one, two = _bits(wanted, k, len(filter_words) * 64)
-            beyond |= ((bit(one) & bit(two)).astype(bool) & ~known).astype(np.int32) << k
+            # every context has its endings in the tree, so the first one that is not held tells
+            lost, passing = wanted[~known], True
+            for bit in _bits(lost, k, len(filter_words) * 64):
+                passing &= (filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            beyond[going[~known][passing]] = k
+        going = going[known]
     return chance, beyond
 
 
@@ -346,7 +407,7 @@ def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, d
         frequent_words, tree = held()
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            for first, data, offsets in pieces(batch.column(batch.num_columns - 1)):
+            for first, data, offsets in pieces(batch.column(batch.num_columns - 1), TOGETHER):
                 words = spans(data, offsets, UNSPACED)
                 n = len(offsets) - 1
                 base, known, rare = _looked_up(*frequent_words, word_hashes(data, *words[:2], UNSPACED), owners(words[2]), n)
@@ -374,17 +435,12 @@ def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, d
     return score
 
 
-def _key_at(key: Column, level: Column) -> Column:
-    """A gram with only the last symbols of its context, as many as the level says."""
-    return F.expr(f"{key} & (shiftleft(-1L, 64 - 8 * {level}) | 255L)")
-
-
 def _beyond_chances(grams_: DataFrame, rest: DataFrame) -> DataFrame:
     """``(key, chance)`` of distinct ``(key, chance, beyond)``: held contexts' chances carried on over the others, which are longer."""
     contexts = rest.groupBy("level", F.shiftrightunsigned("key", 8).alias("_c"), F.col("weight")).agg(F.lit(1).alias("_one")).drop("_one")
     # a context of a level without its symbol: the gram shortened, its lowest byte cut off
-    tried = grams_.withColumn("level", F.explode(F.expr(f"filter(sequence(1, {LONGEST}), k -> (shiftright(beyond, k) & 1) = 1)")))
-    tried = tried.withColumn("_short", _key_at("key", "level"))
+    tried = grams_.withColumn("level", F.explode(F.sequence(F.col("beyond"), F.lit(LONGEST))))
+    tried = tried.withColumn("_short", F.expr("key & (shiftleft(-1L, 64 - 8 * level) | 255L)"))
     met = tried.withColumn("_c", F.shiftrightunsigned("_short", 8)).join(contexts, ["level", "_c"])
     shares = rest.select("level", F.col("key").alias("_short"), "share")
     shared = met.join(shares, ["level", "_short"], "left").groupBy("key").agg(
@@ -421,14 +477,14 @@ def score_documents(
     weights = tree.select(
         "level", "key", "total",
         F.when(F.col("level") == 0, (F.col("n") + 0.5) / F.lit(seen + 128.0)).otherwise(F.col("n") / (F.col("total") + F.col("kinds"))).alias("share"),
-        (F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("weight"))
+        F.when(F.col("n") == 0, 1.0).otherwise(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("weight"))
     least = _least_held(weights.where("level > 0"), frequent_grams)
     near, rest = ((F.col("level") == 0) | (F.col("total") >= least)), ((F.col("level") > 0) & (F.col("total") < least))
     unheld = weights.where(rest)
     others = unheld.select("level", F.shiftrightunsigned("key", 8).alias("_c")).distinct().count()
     filter_words = np.zeros(0, np.uint64)
     if others:
-        size = min(MOST_BITS, 1 << max(10, (16 * others - 1).bit_length()))
+        size = min(MOST_BITS, 1 << max(10, (BITS_OF_CONTEXT * others - 1).bit_length()))
         context = F.expr("shiftrightunsigned(key, 64 - 8 * level)")
         pairs = unheld.select("level", context.alias("c")).distinct().mapInArrow(_bit_kernel(size), "word long, bits long")
         set_words = pairs.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -436,7 +492,7 @@ def score_documents(
         filter_words[set_words.column("word").to_numpy()] = set_words.column("bits").to_numpy().view(np.uint64)
     held = spark.sparkContext.broadcast((
         _sorted(_most_frequent(words, frequent_words).select("key", log10(F.col("n")).alias("log"))),
-        hold(weights.where(near).select("level", "key", "share", "weight").toArrow(), filter_words, 0.5 / (seen + 128.0)),
+        hold(weights.where(near).select("level", "key", F.col("share").cast("float"), F.col("weight").cast("float")).toArrow(), filter_words, 0.5 / (seen + 128.0)),
     ))
     end_log10 = float(np.log10((trained + 0.5) / divisor))
     kind = wanted.schema["doc_id"].dataType.simpleString()

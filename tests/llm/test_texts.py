@@ -345,7 +345,7 @@ def _tree(texts, depth, least_count, least_gain):
         if context:
             shorter, total = counts[context[1:]], after.total()
             gain = sum(n * math.log(n / total * shorter.total() / shorter[x]) for x, n in after.items())
-            if total >= least_count and gain >= least_gain:
+            if total >= least_count and gain >= least_gain + suffix_lm.GAIN_PER_SYMBOL * len(after):
                 kept.add(context)
     return counts, kept
 
@@ -370,7 +370,7 @@ def _naive(tree, text, depth):
 def test_scores_by_dictionaries(make_docs, depth):
     texts = {**{i: prose(60, i) + " xaaaaaap yaaaaaaq" for i in range(60)}, 97: "é" * 9 + " of\x00 \x01", 98: "ZZ qq \x7f", 99: "of the of", 100: "", 101: prose(900, 99)}
     docs = make_docs([(i, t, "en", "a") for i, t in texts.items()])
-    tree = _tree([t for i, t in texts.items() if not held_out(i, 5, 1)], depth, 8, 8.0)
+    tree = _tree([t for i, t in texts.items() if not held_out(i, 5, 1)], depth, suffix_lm.LEAST_COUNT, suffix_lm.LEAST_GAIN)
     assert len(tree[1]) > 20 and (depth < 7 or max(map(len, tree[1])) == 7)
     for frequent in (0, 300, 10**6):
         rows = suffix_lm.score_documents(docs, frequent_grams=frequent, depth=depth).collect()
@@ -383,16 +383,21 @@ def test_tree_read_in_small_batches(make_docs, spark, monkeypatch):
     texts = {i: prose(50, i) + " xaaaaaap yaaaaaaq" for i in range(30)}
     docs = make_docs([(i, t, "en", "a") for i, t in texts.items()])
     monkeypatch.setattr(suffix_lm, "MOST_KEYS", 100)
+    monkeypatch.setattr(suffix_lm, "TOGETHER", 200)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
         tree, _ = suffix_lm.grow_tree(docs)
-        found = {(r["level"], r["key"] & 2**64 - 1): (r["n"], r["total"], r["kinds"]) for r in tree.where("level > 0").collect()}
+        found = {(r["level"], r["key"] & 2**64 - 1): (r["n"], r["total"], r["kinds"]) for r in tree.where("level > 0 and n > 0").collect()}
+        steps = {(r["level"], (r["key"] & 2**64 - 1) >> 64 - 8 * r["level"]) for r in tree.where("n = 0").collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     counts, kept = _tree(texts.values(), 7, suffix_lm.LEAST_COUNT, suffix_lm.LEAST_GAIN)
     expected = {(len(c), int.from_bytes(c[::-1].ljust(7, b"\0") + bytes([x]))): (n, counts[c].total(), len(counts[c]))
                 for c in kept for x, n in counts[c].items()}
     assert found == expected
+    # endings that are not retained themselves
+    endings = {c[i:] for c in kept for i in range(1, len(c))} - kept
+    assert steps == {(len(c), int.from_bytes(c[::-1])) for c in endings} and steps
 
 
 def test_the_tree_grows_with_the_corpus(make_docs):
