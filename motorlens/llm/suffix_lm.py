@@ -52,11 +52,10 @@ FREQUENT_GRAMS = 4_000_000
 MOST_BITS = 1 << 29
 BITS_OF_CONTEXT = 24
 PROBES = 4
-# distinct keys a task holds before it hands its counts on
-MOST_KEYS = 1_000_000
-# runs that the keys of a level are dealt over at least, and bytes of text that are worked on together
+# symbols that a task sorts and counts together before it hands their grams on
+TOGETHER = 6_000_000
+# runs that the keys of a level are dealt over at least
 RUNS = 512
-TOGETHER = 2 << 20
 SPACE, END = 0x20, 0x0A
 WORD, ENDING, GRAM = -1, -2, 100
 
@@ -130,13 +129,13 @@ def _unsqueezed(data: bytes, size: int) -> np.ndarray:
 
 def packed(kind: int, keys: np.ndarray, counts: np.ndarray, low: int, runs: int) -> pa.RecordBatch:
     """Sorted keys and their counts in compressed runs; grams of one ending of ``low`` symbols, and equal words, go to the same run."""
-    run = (mixed(keys if kind == WORD else context_of(keys, low), 77) % np.uint64(runs)).astype(np.int32)
+    run = (mixed(keys if kind == WORD else context_of(keys, low), 77) % np.uint64(runs)).astype(np.uint16 if runs < 1 << 16 else np.int32)
     order = np.argsort(run, kind="stable")
     run, keys, counts = run[order], keys[order], counts[order].astype(np.uint64)
     at = _runs(run)
     cuts = list(zip(at, np.append(at[1:], len(run))))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(at), kind, np.int32)), pa.array(run[at]), pa.array(np.diff(np.append(at, len(run))).astype(np.int64)),
+        [pa.array(np.full(len(at), kind, np.int32)), pa.array(run[at].astype(np.int32)), pa.array(np.diff(np.append(at, len(run))).astype(np.int64)),
          pa.array([_squeezed(keys[i:j]) for i, j in cuts], pa.binary()), pa.array([_squeezed(counts[i:j]) for i, j in cuts], pa.binary())],
         names=["kind", "run", "size", "keys", "counts"])
 
@@ -145,26 +144,25 @@ def _count_kernel(depth: int, low: int, runs: int) -> Callable:
     """Words and grams of the texts of a partition in runs; counts are doubled (see ``read_levels``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {WORD: [], GRAM: []}
+        held: dict[int, list[np.ndarray]] = {WORD: [], GRAM: []}
 
-        def rows(kind: int) -> Iterator[pa.RecordBatch]:
-            if held[kind]:
-                keys, counts = _added(held[kind])
-                held[kind] = []
-                yield packed(kind, keys, 2 * counts, low, runs)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                if parts:
+                    keys = np.concatenate(parts)
+                    parts.clear()
+                    keys.sort()
+                    at = _runs(keys)
+                    yield packed(kind, keys[at], 2 * np.diff(np.append(at, len(keys))), low, runs)
 
         for batch in batches:
-            for _, data, offsets in pieces(batch.column(0), TOGETHER):
+            for _, data, offsets in pieces(batch.column(0)):
                 words = spans(data, offsets, UNSPACED)
-                held[GRAM].append(np.unique(grams(*symbol_stream(data, offsets, words), depth), return_counts=True))
-                held[WORD].append(np.unique(word_hashes(data, *words[:2], UNSPACED), return_counts=True))
-                for kind, parts in held.items():
-                    if len(parts) > 4:
-                        held[kind] = [_added(parts)]
-                        if len(held[kind][0][0]) > MOST_KEYS:
-                            yield from rows(kind)
-        for kind in held:
-            yield from rows(kind)
+                held[GRAM].append(grams(*symbol_stream(data, offsets, words), depth))
+                held[WORD].append(word_hashes(data, *words[:2], UNSPACED))
+                if sum(map(len, held[GRAM])) >= TOGETHER:
+                    yield from flush()
+        yield from flush()
 
     return count
 
@@ -352,50 +350,82 @@ def _bit_kernel(size: int) -> Callable:
     return kernel
 
 
+def _node(contexts: np.ndarray, k: int) -> np.ndarray:
+    """Contexts of length ``k`` as nodes: sorted, a node stands right before all longer ones that begin with it."""
+    return contexts << np.uint64(64 - 8 * k) | np.uint64(k) if k else np.zeros(len(contexts), np.uint64)
+
+
+def _at_level(tree: tuple, keys: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The chance of every gram after the node of so many symbols: that of the longest ending the gram was seen after, weighed down."""
+    root, _, nodes, weights, levels = tree
+    chance, factor = np.empty(len(keys)), np.ones(len(keys))
+    going = np.zeros(0, np.int64)
+    for k in range(LONGEST, 0, -1):
+        # in the order of the keys, which the tables share
+        going = np.union1d(going, np.flatnonzero(level == k)) if len(going) else np.flatnonzero(level == k)
+        held, chances_k = levels[k - 1]
+        if not len(going):
+            continue
+        gram = shortened(keys[going], k)
+        seen = np.zeros(len(gram), bool)
+        if len(held):
+            place = np.minimum(np.searchsorted(held, gram), len(held) - 1)
+            seen = held[place] == gram
+            found = going[seen]
+            chance[found] = factor[found] * chances_k[place[seen]]
+        going = going[~seen]
+        factor[going] *= weights[np.searchsorted(nodes, _node(context_of(keys[going], k), k))]
+    rest = np.union1d(going, np.flatnonzero(level == 0))
+    chance[rest] = factor[rest] * root[(keys[rest] & np.uint64(0xFF)).astype(int)]
+    return chance
+
+
 def hold(rows: pa.Table, filter_words: np.ndarray, floor: float) -> tuple:
-    """The part of the tree that a task holds: the root's chances, the filter of other contexts, and for every level
-    contexts with their weight of shorter ones and grams with their share."""
+    """The part of the tree that a task holds: the root's chances, the filter of other contexts, all contexts as sorted
+    nodes with their weight of shorter ones, and for every level the seen grams with their chance."""
     level = rows.column("level").to_numpy()
     keys = rows.column("key").to_numpy().view(np.uint64)
     share, weight = rows.column("share").to_numpy(), rows.column("weight").to_numpy()
-    root, levels = np.full(256, floor), []
+    root = np.full(256, floor)
     root[(keys[level == 0] & np.uint64(0xFF)).astype(int)] = share[level == 0]
+    inner = level > 0
+    nodes = keys[inner] & ~np.uint64(0xFF) | level[inner].astype(np.uint64)
+    nodes, first = np.unique(nodes, return_index=True)
+    levels = [(np.zeros(0, np.uint64), np.zeros(0, np.float32)) for _ in range(LONGEST)]
+    tree = root, filter_words, nodes, weight[inner][first].astype(np.float32), levels
     for k in range(1, LONGEST + 1):
-        at = np.flatnonzero(level == k)
+        at = np.flatnonzero((level == k) & (share > 0))
         at = at[np.argsort(keys[at])]
-        context = context_of(keys[at], k)
-        first = _runs(context)
-        levels.append((context[first], weight[at][first].astype(np.float32), keys[at], share[at].astype(np.float32)))
-    return root, filter_words, levels
+        shorter = _at_level(tree, keys[at], np.full(len(at), k - 1))
+        levels[k - 1] = keys[at], (share[at] + weight[at] * shorter).astype(np.float32)
+    return tree
 
 
 def chances(tree: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chance of every gram by the held contexts, and the level from which others may go on (0: none)."""
-    root, filter_words, levels = tree
-    chance = root[(keys & np.uint64(0xFF)).astype(int)]
+    """The chance of every one of sorted grams by the held contexts, and the level from which others may go on (0: none).
+
+    The held contexts are closed under endings, so the longest one of a gram is what its
+    context shares with the node right before it.
+    """
+    _, filter_words, nodes, _, _ = tree
+    level = np.zeros(len(keys), np.int64)
+    if len(nodes):
+        wanted = keys & ~np.uint64(0xFF) | np.uint64(LONGEST)
+        before = nodes[np.maximum(np.searchsorted(nodes, wanted, side="right") - 1, 0)]
+        apart = before ^ wanted
+        for k in range(1, LONGEST + 1):
+            level += apart < np.uint64(1 << (64 - 8 * k))
+        level = np.where(before <= wanted, np.minimum(level, (before & np.uint64(0xFF)).astype(np.int64)), 0)
     beyond = np.zeros(len(keys), np.int32)
-    going = np.arange(len(keys))
-    for k, (contexts, weights, held, shares) in enumerate(levels, 1):
-        if not len(going):
-            break
-        some = keys[going]
-        wanted = context_of(some, k)
-        known = np.zeros(len(some), bool)
-        if len(contexts):
-            at = np.minimum(np.searchsorted(contexts, wanted), len(contexts) - 1)
-            known = contexts[at] == wanted
-            gram = shortened(some[known], k)
-            place = np.minimum(np.searchsorted(held, gram), len(held) - 1)
-            goes = going[known]
-            chance[goes] = np.where(held[place] == gram, shares[place], 0) + weights[at[known]] * chance[goes]
-        if len(filter_words):
+    if len(filter_words):
+        for k in range(1, LONGEST + 1):
             # every context has its endings in the tree, so the first one that is not held tells
-            lost, passing = wanted[~known], True
-            for bit in _bits(lost, k, len(filter_words) * 64):
+            lost = np.flatnonzero(level == k - 1)
+            passing = np.ones(len(lost), bool)
+            for bit in _bits(context_of(keys[lost], k), k, len(filter_words) * 64):
                 passing &= (filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-            beyond[going[~known][passing]] = k
-        going = going[known]
-    return chance, beyond
+            beyond[lost[passing]] = k
+    return _at_level(tree, keys, level), beyond
 
 
 def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, depth: int) -> Callable:
@@ -407,7 +437,7 @@ def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, d
         frequent_words, tree = held()
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            for first, data, offsets in pieces(batch.column(batch.num_columns - 1), TOGETHER):
+            for first, data, offsets in pieces(batch.column(batch.num_columns - 1)):
                 words = spans(data, offsets, UNSPACED)
                 n = len(offsets) - 1
                 base, known, rare = _looked_up(*frequent_words, word_hashes(data, *words[:2], UNSPACED), owners(words[2]), n)

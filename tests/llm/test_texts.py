@@ -382,7 +382,6 @@ def test_scores_by_dictionaries(make_docs, depth):
 def test_tree_read_in_small_batches(make_docs, spark, monkeypatch):
     texts = {i: prose(50, i) + " xaaaaaap yaaaaaaq" for i in range(30)}
     docs = make_docs([(i, t, "en", "a") for i, t in texts.items()])
-    monkeypatch.setattr(suffix_lm, "MOST_KEYS", 100)
     monkeypatch.setattr(suffix_lm, "TOGETHER", 200)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
