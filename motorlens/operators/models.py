@@ -13,6 +13,7 @@ from motorlens.functions.expressions import FEATURE_COLUMNS
 from motorlens.operators import clusters as C
 from motorlens.operators import forest as I
 from motorlens.operators import matrix as M
+from motorlens.operators import metric as N
 from motorlens.session import materialise
 
 # fixed values of the stored predictions
@@ -43,7 +44,7 @@ def train_anomaly_models(
     """Impute, select, scale, then forest, components and clusters; returns the models and the scored rows.
 
     ``training`` has a unique ``id`` and the feature columns.  The clusters live on
-    the first components of the scaled matrix.
+    all selected columns of the scaled matrix.
     """
     columns = list(columns or FEATURE_COLUMNS)
     # the fits below scan the rows several times; their joins and features run once
@@ -61,8 +62,8 @@ def train_anomaly_models(
     fitted = M.fit_pca(scaled, "x", components)
     coords = [f"pc{k}" for k in range(1, components + 1)]
     projected = materialise(fitted.transform(I.score_frame(scaled, forest), "x"))
-    points = projected.select("id", *coords)
-    labels, used_eps, used_samples = C.dbscan_relaxed(points, coords, eps, min_samples)
+    points = projected.select("id", "x")
+    labels, used_eps, used_samples = N.dbscan_relaxed(points, "x", eps, min_samples)
     core = materialise(
         labels.where("is_core").select("id", "label").join(points, "id")
     )
@@ -112,15 +113,13 @@ def detect_anomalies(features: DataFrame, models: AnomalyModels) -> DataFrame:
     scored = I.score_frame(models.scaler.transform(features, into="x"), models.forest).withColumnRenamed(
         "label", "forest_label"
     )
-    projected = models.components.transform(scored, "x")
-    coords = [f"pc{k}" for k in range(1, len(models.components.loadings) + 1)]
-    stored = materialise(projected.select("id", *_kept(features), "score", "decision", "forest_label", *coords))
-    assigned = C.assign_to_clusters(stored.select("id", *coords), models.core_points, coords, models.eps)
+    stored = materialise(scored.select("id", *_kept(features), "score", "decision", "forest_label", "x"))
+    assigned = N.assign_to_clusters(stored.select("id", "x"), models.core_points, "x", models.eps)
     noise = F.col("cluster") == C.noise_label(models.core_points, "label")
     labelled = stored.join(assigned.withColumnRenamed("label", "cluster"), "id").withColumn(
         "cluster_label", F.when(noise, -1).otherwise(1)
     )
-    return combine_labels(labelled).drop(*coords)
+    return combine_labels(labelled).drop("x")
 
 
 def save_models(spark: SparkSession, models: AnomalyModels, path: str, moment: datetime) -> str:

@@ -11,6 +11,7 @@ from motorlens.functions.expressions import FEATURE_COLUMNS, PHASES
 from motorlens.operators import clusters as C
 from motorlens.operators import forest as I
 from motorlens.operators import matrix as M
+from motorlens.operators import metric as N
 from motorlens.operators import models as A
 from motorlens.operators import spectrum as P
 from motorlens.operators import windows as W
@@ -296,6 +297,50 @@ def silhouette(spark, sf_dir):
     return spark.createDataFrame([(value,)], schema)
 
 
+METRIC_EPS, METRIC_SAMPLES = 1.16, 4
+
+
+def _metric_clusters(eps: float, samples: int) -> str:
+    """Density clusters of all elements of the embeddings, by comparing all pairs."""
+    limit = f"{eps}::DOUBLE * {eps}::DOUBLE"
+    return f"""elements AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
+near AS MATERIALIZED (SELECT a.id AS p, b.id AS q FROM elements a JOIN elements b ON pow(list_distance(a.x, b.x), 2) <= {limit}),
+core AS MATERIALIZED (SELECT p AS id FROM near GROUP BY 1 HAVING count(*) >= {samples}),
+links AS MATERIALIZED (SELECT p, q FROM near WHERE p IN (SELECT id FROM core) AND q IN (SELECT id FROM core)),
+reach AS (SELECT id AS node, id AS root FROM core
+          UNION SELECT l.q, r.root FROM reach r JOIN links l ON l.p = r.node WHERE r.root < l.q),
+component AS (SELECT node AS id, min(root) AS label FROM reach GROUP BY 1)"""
+
+
+_METRIC_LABELS = """
+    SELECT p.id, coalesce(c.label, b.label, -1) AS label, c.id IS NOT NULL AS is_core
+    FROM elements p LEFT JOIN component c ON c.id = p.id
+    LEFT JOIN (SELECT n.p AS id, min(c.label) AS label FROM near n JOIN component c ON c.id = n.q GROUP BY 1) b ON b.id = p.id"""
+
+
+@query("dbscan_metric", f"WITH RECURSIVE {_metric_clusters(METRIC_EPS, METRIC_SAMPLES)}{_METRIC_LABELS}")
+def dbscan_metric(spark, sf_dir):
+    """Clusters on all elements of the embeddings."""
+    return N.dbscan(S.matrix(spark, sf_dir), "x", METRIC_EPS, METRIC_SAMPLES)
+
+
+@query("dbscan_relaxed", f"WITH RECURSIVE {_metric_clusters(0.8 * 1.5, 2)}{_METRIC_LABELS}")
+def dbscan_relaxed(spark, sf_dir):
+    """No clusters at first, so once more with a wider eps and fewer points."""
+    labels, _, _ = N.dbscan_relaxed(S.matrix(spark, sf_dir), "x", 0.8, 5)
+    return labels
+
+
+@query(
+    "neighbour_counts_metric",
+    f"""WITH elements AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)
+    SELECT a.id, count(*) AS neighbours FROM elements a JOIN elements b
+    ON pow(list_distance(a.x, b.x), 2) <= {METRIC_EPS}::DOUBLE * {METRIC_EPS}::DOUBLE GROUP BY 1""",
+)
+def neighbour_counts_metric(spark, sf_dir):
+    return N.neighbour_counts(S.matrix(spark, sf_dir), "x", METRIC_EPS).drop("compared")
+
+
 @query(
     "anomaly_rate_by_hour",
     with_frames(
