@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorlens.functions.expressions import PHASES, STATS
+from motorlens.functions.shipping import by_value
 from motorlens.operators import spectrum as P
 from motorlens.operators import windows as W
 from motorlens.operators.windows import SEGMENT, WINDOW, _is_complete, _timed
 
+by_value(__name__)
+
 SIGNAL_COLUMNS = ["recorded_at", "sample_rate_hz"]
 
 
@@ -64,6 +72,11 @@ def extract_features(
         F.max("raw_count").alias("raw_count"),
         *[F.first(name).alias(name) for name in carried],
     )
+    return _wide_rows(segments, carried, spectrum_size, window_ms)
+
+
+def _wide_rows(segments: DataFrame, carried: list[str], spectrum_size: int, window_ms: int) -> DataFrame:
+    """Cleaned segments with their statistics to one row per window with spectra and times."""
     described = P.describe_spectrum(segments, size=spectrum_size)
     packed = F.when(
         F.col("peaks").isNotNull(),
@@ -94,6 +107,119 @@ def extract_features(
     return timed.drop(*carried)
 
 
+def window_slices(chunks: DataFrame, size: int | None, hop: int | None, window_ms: int = W.WINDOW_MS, overlap: float = W.OVERLAP) -> DataFrame:
+    """The part of every chunk's arrays that each window covers: ``(signal_id, window_no, phase, at, part)`` and the carried columns.
+
+    A window gets one row per phase and chunk it touches, never one per sample; values
+    stay as narrow as they are stored.
+    """
+    if size is None:
+        sized = chunks.withColumn("_size", W.window_size("sample_rate_hz", "samples_count", window_ms))
+        sized = sized.withColumn("_hop", W.window_hop("_size", overlap))
+    else:
+        hop = hop or int(size * (1 - overlap))
+        sized = chunks.withColumn("_size", F.lit(size).cast("bigint")).withColumn("_hop", F.lit(hop).cast("bigint"))
+    phases = F.array(*[F.struct(F.lit(p).alias("phase"), F.col(f"phase_{p}").alias("_values")) for p in PHASES])
+    long = sized.select("signal_id", *SIGNAL_COLUMNS, "_size", "_hop", "first_idx", F.inline(phases)).where(F.size("_values") > 0)
+    first = F.expr("greatest(0L, (first_idx - _size + _hop) div _hop)")
+    last = F.expr("(first_idx + size(_values) - 1) div _hop")
+    covered = long.withColumn("window_no", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("window_no") * F.col("_hop") - F.col("first_idx"), F.lit(0).cast("bigint"))
+    end = F.least(F.col("window_no") * F.col("_hop") + F.col("_size") - F.col("first_idx"), F.size("_values").cast("bigint"))
+    cut = covered.withColumns({"_start": start, "_end": end}).where(F.col("_end") > F.col("_start"))
+    return cut.select(
+        *SEGMENT, *SIGNAL_COLUMNS, "_size", "_hop", (F.col("first_idx") + F.col("_start")).alias("at"),
+        F.slice("_values", (F.col("_start") + 1).cast("int"), (F.col("_end") - F.col("_start")).cast("int")).alias("part"))
+
+
+CLEANED = ("raw_count long, missing_count long, segment array<double>, rms double, crest double, kurt double, skew double, mean double, "
+           "std double, min double, max double")
+
+
+def clean_segment(
+    index: np.ndarray, values: np.ndarray, max_missing: float, min_length: int, kernel: int
+) -> tuple[np.ndarray | None, int]:
+    """Gate, trim, interpolate and filter one segment; None where it is dropped, and how many values are missing."""
+    known = ~np.isnan(values)
+    missing = int(len(values) - known.sum())
+    if missing / len(values) > max_missing or not known.any():
+        return None, missing
+    if missing:
+        low, high = index[known][0], index[known][-1]
+        if high - low + 1 < min_length:
+            return None, missing
+        inside = (index >= low) & (index <= high)
+        values = np.interp(index[inside], index[known], values[known])
+        if len(values) >= kernel:
+            padded = np.pad(values, kernel // 2)
+            values = np.median(np.lib.stride_tricks.sliding_window_view(padded, kernel), axis=1)
+    return values, missing
+
+
+def _statistics(v: np.ndarray) -> list[float | None]:
+    mean, rms = v.mean(), float(np.sqrt((v * v).mean()))
+    apart = v - mean
+    second = (apart**2).mean()
+    peak = max(abs(v.min()), abs(v.max()))
+    kurt = (apart**4).mean() / second**2 - 3 if second > 0 else None
+    skew = (apart**3).mean() / second**1.5 if second > 0 else None
+    return [rms, peak / rms if rms > 0 else 0.0, kurt, skew, mean, np.sqrt(second), v.min(), v.max()]
+
+
+def _clean_kernel(names: list[str], max_missing: float, min_length: int, kernel: int) -> Callable:
+    """Batches with ``ats`` and ``parts`` of a segment in order to cleaned segments with their statistics."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, found = [], []
+            lists = batch.column(batch.schema.get_field_index("parts"))
+            for row, (ats, parts) in enumerate(zip(batch.column(batch.schema.get_field_index("ats")).to_pylist(), lists)):
+                arrays = [part.values.to_numpy(zero_copy_only=False).astype(float) for part in parts]
+                index = np.concatenate([np.arange(at, at + len(a)) for at, a in zip(ats, arrays)])
+                values, missing = clean_segment(index, np.concatenate(arrays), max_missing, min_length, kernel)
+                if values is not None:
+                    kept.append(row)
+                    found.append((len(index), missing, values, *_statistics(values)))
+            columns = list(zip(*found)) or [()] * 11
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), *[pa.float64()] * 8]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.get_field_index(n)).take(pa.array(kept, pa.int64())) for n in names),
+                 *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                names=[*names, *(c.split()[0] for c in CLEANED.split(", "))])
+
+    return run
+
+
+def features_from_chunks(
+    chunks: DataFrame, size: int | None = None, hop: int | None = None, window_ms: int = W.WINDOW_MS,
+    overlap: float = W.OVERLAP, min_length: int = W.MIN_CLEAN_LENGTH, kernel: int = W.MEDIAN_KERNEL,
+    max_missing: float = W.MAX_MISSING, spectrum_size: int = W.SPECTRUM_SIZE,
+) -> DataFrame:
+    """The features of ``extract_features`` straight from stored chunks.
+
+    Windows are cut out of the chunks' arrays as slices and stitched by window; no sample
+    is ever a row of its own, and one exchange carries a few arrays per window.  Chunks
+    are ``(signal_id, samples_count, recorded_at, sample_rate_hz, first_idx, phase_a/b/c)``;
+    a phase that a chunk lacks leaves a hole there, as it does in the long samples.
+    """
+    carried = [*SIGNAL_COLUMNS, "_size", "_hop", "_reach"]
+    slices = window_slices(chunks, size, hop, window_ms, overlap)
+    windows = slices.groupBy(*WINDOW, *SIGNAL_COLUMNS, "_size", "_hop").agg(
+        F.collect_list(F.struct("phase", "at", "part")).alias("_slices"), F.max(F.col("at") + F.size("part") - 1).alias("_reach"))
+    whole = windows.where(_is_complete(F.col("_reach")))
+
+    def of(phase: str) -> Column:
+        own = F.array_sort(F.filter("_slices", lambda s: s["phase"] == phase))
+        return F.struct(F.lit(phase).alias("phase"), F.transform(own, lambda s: s["at"]).alias("ats"),
+                        F.transform(own, lambda s: s["part"]).alias("parts"))
+
+    phased = whole.select(*WINDOW, *carried, F.inline(F.array(*[of(p) for p in PHASES]))).where(F.size("ats") > 0)
+    names = [*SEGMENT, *carried]
+    schema = T.StructType([*(phased.schema[n] for n in names), *T.StructType.fromDDL(CLEANED).fields])
+    segments = phased.mapInArrow(_clean_kernel(names, max_missing, min_length, kernel), schema)
+    return _wide_rows(segments, carried, spectrum_size, window_ms)
+
+
 def extraction_summary(signals: DataFrame, features: DataFrame) -> DataFrame:
     """Per signal: number of feature rows and whether it produced any."""
     created = features.groupBy(F.col("signal_id").alias("id")).agg(F.count(F.lit(1)).alias("created"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from motorlens.functions.expressions import PHASES
 from motorlens.operators import features as X
+from motorlens.operators import ingest as I
 from motorlens.operators import spectrum as P
 from motorlens.operators import windows as W
 from motorlens.plans.registry import query
-from motorlens.plans.signal_queries import CLEAN, HOP, KERNEL, MIN_LENGTH, RATE, SIZE
+from motorlens.plans.signal_queries import CLEAN, HOP, KERNEL, MIN_LENGTH, RATE, SIZE, stats_sql
 from motorlens.plans.sql_frames import r6, with_frames
+from motorlens.session import materialise
 from motorlens.sources import star_tables as S
 
 FFT = 16
@@ -206,3 +209,50 @@ def extraction_summary(spark, sf_dir):
     windows = W.clean_windows(W.sliding_windows(samples, SIZE, HOP), min_length=MIN_LENGTH, kernel=KERNEL)
     signals = samples.select(F.col("signal_id").alias("id")).distinct()
     return X.extraction_totals(X.extraction_summary(signals, W.assemble_features(W.stat_features(windows))))
+
+
+CHUNK = 100
+CHUNKED = f"""
+pivoted AS (
+    SELECT signal_id, sample_idx, phase, max(v.value) AS value
+    FROM (SELECT DISTINCT signal_id, sample_idx FROM samples) i CROSS JOIN (VALUES ('a'), ('b'), ('c')) p(phase)
+    LEFT JOIN samples v USING (signal_id, sample_idx, phase) GROUP BY ALL),
+chunked AS (
+    SELECT signal_id, signal_id AS equipment_id, phase, sample_idx, value::FLOAT::DOUBLE AS value FROM pivoted
+    QUALIFY count(value) OVER (PARTITION BY signal_id, phase, sample_idx // {CHUNK}) > 0),"""
+
+
+def _chunks(spark, sf_dir):
+    """Chunks as the loader stores them, written and read again."""
+    long = S.samples(spark, sf_dir)
+    rows = long.groupBy(F.col("signal_id").alias("file"), F.col("sample_idx").alias("row_no")).agg(
+        *[F.max(F.when(F.col("phase") == p, F.col("value"))).alias(p) for p in PHASES])
+    chunks = I.chunk_signals(rows, CHUNK).withColumnRenamed("file", "signal_id")
+    return materialise(chunks.withColumn("sample_rate_hz", F.lit(RATE)).withColumn(
+        "recorded_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+
+
+@query(
+    "features_from_chunks",
+    with_frames(
+        "samples",
+        f"""SELECT s.signal_id, s.window_no, count(*) AS processed_phases, {', '.join(
+            f"max({r6(f'"{stat}"')}) FILTER (phase = '{p}') AS {stat}_{p}" for stat in ("rms", "crest", "kurt", "skew", "max") for p in PHASES)},
+            {', '.join(f"max(g.missing) FILTER (phase = '{p}') AS missing_ratio_{p}, max(g.n) FILTER (phase = '{p}') AS clean_length_{p}" for p in PHASES)},
+            {', '.join(f"max(e.energy) FILTER (phase = '{p}') AS energy_{p}" for p in PHASES)}
+            FROM ({stats_sql('smoothed')}) s
+            JOIN (SELECT signal_id, window_no, phase, {r6('any_value(missing_count) / any_value(raw_count)')} AS missing, count(*) AS n
+                  FROM smoothed GROUP BY 1, 2, 3) g USING (signal_id, window_no, phase)
+            LEFT JOIN (SELECT signal_id, window_no, phase, {r6('sum(magnitude)')} AS energy FROM spectra WHERE n >= 20 GROUP BY 1, 2, 3) e
+                USING (signal_id, window_no, phase) GROUP BY 1, 2""",
+        CHUNKED + spectra_sql(PEAK_FFT).replace("FROM samples", "FROM chunked"),
+    ),
+)
+def features_from_chunks(spark, sf_dir):
+    """Stored chunks to feature rows, by array slices."""
+    rows = X.features_from_chunks(
+        _chunks(spark, sf_dir), SIZE, HOP, min_length=MIN_LENGTH, kernel=KERNEL, spectrum_size=PEAK_FFT)
+    return rows.select(
+        "signal_id", "window_no", "processed_phases", *[f"{stat}_{p}" for stat in ("rms", "crest", "kurt", "skew", "max") for p in PHASES],
+        *[f"missing_ratio_{p}" for p in PHASES], *[F.col(f"clean_length_{p}").cast("bigint").alias(f"clean_length_{p}") for p in PHASES],
+        *[F.col(f"phase_{p}.spectral_energy").alias(f"energy_{p}") for p in PHASES])

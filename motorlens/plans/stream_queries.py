@@ -11,7 +11,10 @@ from motorlens.plans.sql_frames import r6, with_frames
 from motorlens.session import table_folder
 from motorlens.sources import sinks
 from motorlens.sources import star_tables as S
+from motorlens.operators import alerts as L
+from motorlens.plans.alert_queries import RATIOS, TASKS, _tasks
 from motorlens.streaming import jobs as J
+from motorlens.streaming import rules as U
 
 
 def _event_stream(spark, sf_dir):
@@ -185,3 +188,92 @@ def display_texts(spark, sf_dir):
         X.duration(price / 20).alias("duration_text"), X.day_time(F.col("o_orderdate")).alias("day_text"),
         X.safe_file_name(name).alias("safe_name"), X.hidden(F.col("o_orderpriority")).alias("hidden_text"),
     )
+
+
+@query(
+    "stream_sustained",
+    with_frames(
+        "audit",
+        """, islands AS (
+            SELECT *, window_start - row_number() OVER (PARTITION BY user_role ORDER BY window_start) * INTERVAL 1 HOUR AS island
+            FROM ratios, (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM audit)
+            WHERE bad / total > 0.3 AND window_start + INTERVAL 1 HOUR <= mark),
+        rows_held AS (
+            SELECT *, row_number() OVER (PARTITION BY user_role, island ORDER BY window_start)::INT AS held FROM islands)
+        SELECT user_role, window_start, held AS held_windows, 'firing' AS event FROM rows_held WHERE held >= 3
+        UNION ALL
+        SELECT user_role, max(window_start) + INTERVAL 1 HOUR, max(held), 'cleared' FROM rows_held GROUP BY user_role, island, mark
+        HAVING max(held) >= 3 AND max(window_start) + INTERVAL 2 HOUR <= mark""",
+        RATIOS,
+    ),
+)
+def stream_sustained(spark, sf_dir):
+    """Roles of which many requests fail for three hours in a row, and when that ends."""
+    ratios = U.stream_window_ratios(_streamed(spark, sf_dir, S.audit), F.col("result") != "success", ["user_role"], "1 hour")
+    with U.row_state(spark):
+        table = _collected(spark, U.stream_sustained(ratios, F.col("ratio") > 0.3, ["user_role"], 3600, 3))
+    return table.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_p95",
+    with_frames(
+        "durations",
+        f"""SELECT task_name, window_start, {r6('p95')} AS p95, events FROM (
+            SELECT task_name, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(seconds) AS events,
+                   list_sort(list(seconds))[ceil(0.95 * count(seconds))::INT] AS p95
+            FROM durations WHERE seconds IS NOT NULL GROUP BY 1, 2)
+        WHERE p95 > 120 AND window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM durations WHERE seconds IS NOT NULL)""",
+    ),
+)
+def stream_p95(spark, sf_dir):
+    """Slow kinds of tasks by sketches; exact here, as no window has more rows than a sketch keeps."""
+    table = _collected(spark, U.stream_p95(_streamed(spark, sf_dir, S.durations), "seconds", ["task_name"], "6 hours", 120))
+    return table.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_task_runs",
+    with_frames(
+        "durations",
+        f"""SELECT task_name, coalesce(state, 'running') AS status, count(*) AS tasks, {r6('avg(d)')} AS mean_seconds,
+                   {r6('max(d)')} AS max_seconds, count(*) FILTER (d > 60) AS slow_tasks
+            FROM (SELECT s.task_name, s.ts, f.state, (epoch_us(f.ts) - epoch_us(s.ts)) / 1e6 AS d
+                  FROM (SELECT * FROM tasks WHERE kind = 'start') s
+                  LEFT JOIN (SELECT * FROM tasks WHERE kind = 'finish') f USING (task_id)) r
+            WHERE state IS NOT NULL OR date_trunc('milliseconds', ts) + INTERVAL 1 HOUR
+                  < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM tasks)
+            GROUP BY 1, 2""",
+        TASKS,
+    ),
+)
+def stream_task_runs(spark, sf_dir):
+    """Durations by kind of task from paired events; tasks that never finish are reported by a timer."""
+    folder = table_folder(spark)
+    _tasks(spark, sf_dir).write.parquet(f"{folder}/in")
+    events = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    return L.task_metrics(_collected(spark, U.stream_task_runs(events)))
+
+
+@query(
+    "stream_late_features",
+    """WITH signals AS (SELECT o_orderkey AS signal_id, o_custkey AS equipment_id, o_orderdate::TIMESTAMP AS recorded_at FROM orders),
+       made AS (SELECT l_orderkey AS signal_id, l_linenumber AS feature_id, l_shipdate::TIMESTAMP AS created_at FROM lineitem),
+       marks AS (SELECT least((SELECT max(recorded_at) FROM signals), (SELECT max(created_at) FROM made)) - INTERVAL 10 MINUTE AS mark),
+       met AS (SELECT s.*, m.feature_id, m.created_at FROM signals s LEFT JOIN made m ON m.signal_id = s.signal_id
+               AND m.created_at BETWEEN s.recorded_at AND s.recorded_at + INTERVAL 20 DAY)
+       SELECT signal_id, equipment_id, recorded_at, feature_id, created_at FROM met, marks
+       WHERE feature_id IS NOT NULL OR recorded_at + INTERVAL 20 DAY < mark""",
+)
+def stream_late_features(spark, sf_dir):
+    """Orders as recordings and their items as features made of them: those made within twenty days, and recordings without any."""
+    def stream(name):
+        schema = S.table(spark, sf_dir, name).schema
+        return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+    signals = stream("orders").select(
+        F.col("o_orderkey").alias("signal_id"), F.col("o_custkey").alias("equipment_id"), F.col("o_orderdate").cast("timestamp").alias("recorded_at"))
+    features = stream("lineitem").select(
+        F.col("l_orderkey").alias("signal_id"), F.col("l_linenumber").alias("feature_id"), F.col("l_shipdate").cast("timestamp").alias("created_at"))
+    table = _collected(spark, U.stream_late_features(signals, features, 20 * 86400))
+    return table.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("recorded_at", "created_at")})

@@ -1,5 +1,7 @@
 """Closed-form cases for cutting, cleaning, statistics and spectra."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +204,45 @@ def test_chunks_round_trip(spark):
     )
     back = X.samples_from_chunks(signals).where("phase = 'a'").orderBy("sample_idx").collect()
     assert [r["value"] for r in back] == [float(i) for i in range(25)]
+
+
+def _chunk_rows(rng, n, chunk, holes):
+    """Chunks of one recording with gaps; a phase may lack whole chunks."""
+    out = []
+    for first in range(0, n, chunk):
+        values = {}
+        for p in "abc":
+            v = [None if rng.random() < holes else float(np.float32(rng.gauss(0, 3))) for _ in range(min(chunk, n - first))]
+            values[p] = None if (p == "b" and first // chunk % 4 == 2) or all(x is None for x in v) else v
+        if any(values.values()):
+            out.append((first, values))
+    return out
+
+
+@pytest.mark.parametrize("size, hop, chunk, holes", [(32, 16, 10, 0.05), (32, 16, 100, 0.3), (20, 7, 16, 0.1), (64, 64, 500, 0.0), (None, None, 900, 0.02)])
+def test_features_from_chunks_equal_those_from_samples(spark, size, hop, chunk, holes):
+    import random
+
+    rng, rows = random.Random(4), []
+    for signal, n in ((1, 150), (2, 31), (3, 257), (4, 3)):
+        for first, v in _chunk_rows(rng, n, chunk, holes):
+            rows.append((signal, n, datetime(2024, 1, 1), 200, first, v["a"], v["b"], v["c"]))
+    chunks = spark.createDataFrame(rows, "signal_id bigint, samples_count bigint, recorded_at timestamp_ntz, sample_rate_hz int, "
+                                         "first_idx bigint, phase_a array<float>, phase_b array<float>, phase_c array<float>")
+    options = {"size": size, "hop": hop, "min_length": 6, "kernel": 5, "spectrum_size": 16}
+    by_slice = X.features_from_chunks(chunks, **options)
+    by_sample = X.extract_features(X.samples_from_chunks(chunks), **options)
+    assert by_slice.columns == by_sample.columns
+    left, right = ({(r["signal_id"], r["window_no"]): r for r in df.collect()} for df in (by_slice, by_sample))
+    assert left.keys() == right.keys() and left
+
+    def same(a, b):
+        if isinstance(a, float) and isinstance(b, float):
+            return a == b or abs(a - b) <= 1e-6 * max(1.0, abs(a))
+        if hasattr(a, "asDict"):
+            return all(same(x, y) for x, y in zip(a, b))
+        return len(a) == len(b) and all(map(same, a, b)) if isinstance(a, list) else a == b
+
+    for key, row in left.items():
+        for name in row.asDict():
+            assert same(row[name], right[key][name]), (key, name, row[name], right[key][name])
