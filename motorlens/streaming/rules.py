@@ -200,3 +200,18 @@ def stream_late_features(
     near = (F.col("created_at") >= F.col("recorded_at")) & (F.col("created_at") <= F.col("recorded_at") + F.expr(f"interval {limit} seconds"))
     joined = left.join(right, (F.col("signal_id") == F.col("_signal")) & near, "left_outer")
     return joined.select("signal_id", "equipment_id", "recorded_at", "feature_id", "created_at")
+
+
+def stream_forecast_backlog(
+    forecasts: DataFrame, anomalies: DataFrame, share: float, window: str = "1 hour", ts: str = "created_at", delay: str = "10 minutes"
+) -> DataFrame:
+    """Closed windows in which fewer forecasts were made than ``share`` of the anomalies found.
+
+    Both streams are counted by window and the counts joined from both sides, so windows
+    with anomalies alone come out too.
+    """
+    made = _timed(forecasts, ts, delay).groupBy(F.window(ts, window).alias("span")).agg(F.count(F.lit(1)).alias("forecasts"))
+    found = _timed(anomalies, ts, delay).groupBy(F.window(ts, window).alias("span")).agg(F.count(F.lit(1)).alias("anomalies"))
+    joined = found.join(made, "span", "left_outer").select(
+        F.col("span.start").alias("window_start"), F.coalesce("forecasts", F.lit(0)).cast("bigint").alias("forecasts"), "anomalies")
+    return joined.where(F.col("forecasts") < F.col("anomalies") * share)
