@@ -15,7 +15,9 @@ Grams travel in compressed runs.
 
 Texts meet the tree where they lie as far as every task can hold it, the most frequent
 contexts first.  Grams whose first context beyond that may exist, which a filter of hashed
-bits tells, are counted per text and meet the rest of the table in a join.
+bits tells, travel in compressed runs to the rest of the table: the first ending that is not
+held names the run of a gram and of every context that can matter to it.  What comes back is
+a sum per text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from motorlens.functions.shipping import by_value
 from motorlens.llm.kernels import UNSPACED, mixed, owners, pieces, spans, word_hashes
@@ -52,12 +55,17 @@ FREQUENT_GRAMS = 4_000_000
 MOST_BITS = 1 << 29
 BITS_OF_CONTEXT = 24
 PROBES = 4
+# rows of the rest of the tree that meet their grams together, and grams that a task hands on together
+ROWS_OF_RUN = 500_000
+GRAMS_TOGETHER = 2_000_000
 # symbols that a task sorts and counts together before it hands their grams on
 TOGETHER = 6_000_000
 # runs that the keys of a level are dealt over at least
 RUNS = 512
 SPACE, END = 0x20, 0x0A
 WORD, ENDING, GRAM = -1, -2, 100
+# what a run holds, in this order
+TREE_ROWS, WORD_ROWS, OPEN_GRAMS, RARE_WORDS, DOCUMENTS = range(5)
 
 
 def symbol_stream(data: np.ndarray, offsets: np.ndarray, words: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +130,10 @@ def _squeezed(values: np.ndarray) -> bytes:
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unsqueezed(data: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, size).T).view(np.uint64).ravel()
+def _unsqueezed(data: bytes, size: int, kind: type = np.uint64) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=width * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
 
 
 def packed(kind: int, keys: np.ndarray, counts: np.ndarray, low: int, runs: int) -> pa.RecordBatch:
@@ -300,12 +309,11 @@ def _most_frequent(words: DataFrame, most: int) -> DataFrame:
 
 
 def _looked_up(keys: np.ndarray, logs: np.ndarray, wanted: np.ndarray, text: np.ndarray, n: int) -> tuple:
-    """Per text: the sum of the logs of known keys, their number, and where the unknown ones begin; the unknown keys."""
+    """Per text: the sum of the logs of known keys and their number; and which keys are not known."""
     at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
     known = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
     sums = np.bincount(text[known], weights=logs[at[known]], minlength=n).astype(float)
-    begins = np.concatenate([[0], np.cumsum(np.bincount(text[~known], minlength=n))]).astype(np.int32)
-    return sums, np.bincount(text[known], minlength=n), pa.ListArray.from_arrays(pa.array(begins), pa.array(wanted[~known].view(np.int64)))
+    return sums, np.bincount(text[known], minlength=n), ~known
 
 
 def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -329,11 +337,13 @@ def _least_held(grams_: DataFrame, most: int) -> float:
     return least
 
 
-def _bits(contexts: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
-    """The bits of every context in a filter of so many, a power of two."""
+def _bits(contexts: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of every context in a filter of so many words, a power of two, and its bits there."""
     hashes = mixed(contexts, 0x5851F42D4C957F2D + level)
+    bits = np.zeros(len(hashes), np.uint64)
     for i in range(PROBES):
-        yield (hashes + np.uint64(i) * ((hashes >> np.uint64(32)) | np.uint64(1))) & np.uint64(size - 1)
+        bits |= np.uint64(1) << ((hashes >> np.uint64(6 * i)) & np.uint64(63))
+    return ((hashes >> np.uint64(6 * PROBES)) & np.uint64(size - 1)).astype(np.int64), bits
 
 
 def _bit_kernel(size: int) -> Callable:
@@ -342,10 +352,9 @@ def _bit_kernel(size: int) -> Callable:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             levels, contexts = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            set_bits = [b for k in np.unique(levels) for b in _bits(contexts[levels == k], int(k), size)]
-            at = np.concatenate(set_bits) if set_bits else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+            for k in np.unique(levels):
+                word, bits = _bits(np.unique(contexts[levels == k]), int(k), size)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
     return kernel
 
@@ -401,13 +410,12 @@ def hold(rows: pa.Table, filter_words: np.ndarray, floor: float) -> tuple:
     return tree
 
 
-def chances(tree: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chance of every one of sorted grams by the held contexts, and the level from which others may go on (0: none).
+def _held_level(nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The length of the longest held context of every gram.
 
-    The held contexts are closed under endings, so the longest one of a gram is what its
-    context shares with the node right before it.
+    The held contexts are closed under endings, so that is what its context shares with
+    the node right before it.
     """
-    _, filter_words, nodes, _, _ = tree
     level = np.zeros(len(keys), np.int64)
     if len(nodes):
         wanted = keys & ~np.uint64(0xFF) | np.uint64(LONGEST)
@@ -416,67 +424,243 @@ def chances(tree: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in range(1, LONGEST + 1):
             level += apart < np.uint64(1 << (64 - 8 * k))
         level = np.where(before <= wanted, np.minimum(level, (before & np.uint64(0xFF)).astype(np.int64)), 0)
-    beyond = np.zeros(len(keys), np.int32)
+    return level
+
+
+def chances(tree: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chance of every one of sorted grams by the held contexts, and the level from which others may go on (0: none)."""
+    _, filter_words, nodes, _, _ = tree
+    level = _held_level(nodes, keys)
+    beyond = np.zeros(len(keys), np.uint8)
     if len(filter_words):
         for k in range(1, LONGEST + 1):
             # every context has its endings in the tree, so the first one that is not held tells
             lost = np.flatnonzero(level == k - 1)
-            passing = np.ones(len(lost), bool)
-            for bit in _bits(context_of(keys[lost], k), k, len(filter_words) * 64):
-                passing &= (filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-            beyond[lost[passing]] = k
+            word, bits = _bits(context_of(keys[lost], k), k, len(filter_words))
+            beyond[lost[filter_words[word] & bits == bits]] = k
     return _at_level(tree, keys, level), beyond
 
 
-def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, depth: int) -> Callable:
-    def lists(wanted: np.ndarray, text: np.ndarray, n: int, *columns: np.ndarray) -> list[pa.Array]:
-        begins = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[wanted], minlength=n))]).astype(np.int32))
-        return [pa.ListArray.from_arrays(begins, pa.array(c[wanted])) for c in columns]
+def _parcel_schema(id_kind: str) -> str:
+    return (f"run int, kind int, row bigint, doc_id {id_kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
+            "size bigint, keys binary, first binary, second binary, third binary")
+
+
+def _parcels(kind: int, id_type: pa.DataType, run: np.ndarray, row: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Keys and up to three parallel columns in compressed runs, in the order of the keys within a run."""
+    order = np.lexsort((keys, run))
+    run = run[order]
+    at = _runs(run)
+    cuts = list(zip(at, np.append(at[1:], len(run))))
+    n = len(at)
+    nothing = [pa.nulls(n, t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+    bundles = [pa.array([_squeezed(c[i:j]) for i, j in cuts], pa.binary()) for c in (x[order] for x in (keys, *columns))]
+    bundles += [pa.nulls(n, pa.binary())] * (4 - len(bundles))
+    names = ["run", "kind", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "size", "keys", "first", "second", "third"]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(run[at].astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, row, np.int64)), *nothing,
+         pa.array(np.array([j - i for i, j in cuts], np.int64)), *bundles], names=names)
+
+
+def _run_of_first(keys: np.ndarray, first: np.ndarray, runs: int) -> np.ndarray:
+    """The run of grams by their endings of ``first`` symbols, the first ones that are not held."""
+    shift = (64 - 8 * first.astype(np.int64)).astype(np.uint64)
+    return (mixed((keys >> shift) + (first.astype(np.uint64) << np.uint64(56)), 78) % np.uint64(runs)).astype(np.int32)
+
+
+def _run_of_word(keys: np.ndarray, runs: int) -> np.ndarray:
+    return (mixed(keys, 77) % np.uint64(runs)).astype(np.int32)
+
+
+def _rest_kernel(held: Callable[[], tuple], id_type: pa.DataType, runs: int) -> Callable:
+    """Rows ``(level, key, share, weight)`` of contexts that are not held, in the runs of the grams they matter to."""
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, waiting, size = held()[1][2], [], 0
+
+        def flush() -> pa.RecordBatch:
+            level, keys, share, weight = (np.concatenate([w[i] for w in waiting]) for i in range(4))
+            keys = keys.view(np.uint64)
+            first = _held_level(nodes, keys) + 1
+            return _parcels(TREE_ROWS, id_type, _run_of_first(keys, first, runs), 0, keys, share, weight, level.astype(np.uint8))
+
+        for batch in batches:
+            waiting.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= GRAMS_TOGETHER:
+                yield flush()
+                waiting, size = [], 0
+        if size:
+            yield flush()
+
+    return rest
+
+
+def _word_kernel(id_type: pa.DataType, runs: int) -> Callable:
+    """Words and their counts in runs."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, counts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            if len(keys):
+                yield _parcels(WORD_ROWS, id_type, _run_of_word(keys, runs), 0, keys, counts)
+
+    return words
+
+
+def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, depth: int, id_type: pa.DataType, runs: int) -> Callable:
+    """Texts ``(doc_id, held_out, text)`` to their rows as far as the held tables tell, and parcels of what others must tell."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_words, tree = held()
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        row = since = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        open_grams: list[tuple] = []
+        rare_words: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if sum(len(w[0]) for w in open_grams):
+                keys, chance, beyond, text = (np.concatenate([w[i] for w in open_grams]) for i in range(4))
+                yield _parcels(OPEN_GRAMS, id_type, _run_of_first(keys, beyond, runs), since, keys, chance, beyond, text)
+            if sum(len(w[0]) for w in rare_words):
+                keys, text = (np.concatenate([w[i] for w in rare_words]) for i in range(2))
+                yield _parcels(RARE_WORDS, id_type, _run_of_word(keys, runs), since, keys, text)
+            open_grams.clear()
+            rare_words.clear()
+
         for batch in batches:
-            for first, data, offsets in pieces(batch.column(batch.num_columns - 1)):
+            for first, data, offsets in pieces(batch.column(2)):
                 words = spans(data, offsets, UNSPACED)
                 n = len(offsets) - 1
-                base, known, rare = _looked_up(*frequent_words, word_hashes(data, *words[:2], UNSPACED), owners(words[2]), n)
+                hashes, owner = word_hashes(data, *words[:2], UNSPACED), owners(words[2])
+                base, known, rare = _looked_up(*frequent_words, hashes, owner, n)
                 symbols, stops = symbol_stream(data, offsets, words)
                 text = np.repeat(np.arange(n), np.diff(np.concatenate([[-1], stops])))
                 keys, of = np.unique(grams(symbols, stops, depth), return_inverse=True)
                 chance, beyond = chances(tree, keys)
-                open_ = (beyond != 0)[of]
-                sums = np.bincount(text, weights=np.where(open_, 0.0, np.log10(chance)[of]), minlength=n)
+                logs = np.where(beyond == 0, np.log10(chance), 0.0)
+                sums = np.bincount(text, weights=logs[of], minlength=n)
+                open_ = np.flatnonzero((beyond != 0)[of])
+                of = of[open_]
+                open_grams.append((keys[of], chance.astype(np.float32)[of], beyond[of], (text[open_] + (row - since)).astype(np.uint32)))
+                rare_words.append((hashes[rare], (owner[rare] + (row - since)).astype(np.uint32)))
+                numbers = np.arange(row, row + n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + n)),
-                        *[batch.column(i).slice(first, n) for i in range(batch.num_columns - 1)],
+                        pa.array((numbers % runs).astype(np.int32)), pa.array(np.full(n, DOCUMENTS, np.int32)), pa.array(numbers),
+                        batch.column(0).slice(first, n), batch.column(1).slice(first, n),
                         pa.array(np.diff(words[2]) + 1, pa.int64()),
                         pa.array(known + end_known, pa.int64()),
                         pa.array(base + end_log10),
                         pa.array(sums),
-                        rare,
-                        *lists(open_, text, n, keys.view(np.int64)[of], chance[of], beyond[of]),
+                        pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 4,
                     ],
-                    names=["row", *batch.schema.names[:-1], "n_tokens", "known", "base", "score", "rare", "grams", "chances", "beyond"],
+                    names=["run", "kind", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "size", "keys", "first", "second", "third"],
                 )
                 row += n
+                if sum(len(w[0]) for w in open_grams) + sum(len(w[0]) for w in rare_words) >= GRAMS_TOGETHER or row - since >= 1 << 31:
+                    yield from flush()
+                    since = row
+        yield from flush()
 
     return score
 
 
-def _beyond_chances(grams_: DataFrame, rest: DataFrame) -> DataFrame:
-    """``(key, chance)`` of distinct ``(key, chance, beyond)``: held contexts' chances carried on over the others, which are longer."""
-    contexts = rest.groupBy("level", F.shiftrightunsigned("key", 8).alias("_c"), F.col("weight")).agg(F.lit(1).alias("_one")).drop("_one")
-    # a context of a level without its symbol: the gram shortened, its lowest byte cut off
-    tried = grams_.withColumn("level", F.explode(F.sequence(F.col("beyond"), F.lit(LONGEST))))
-    tried = tried.withColumn("_short", F.expr("key & (shiftleft(-1L, 64 - 8 * level) | 255L)"))
-    met = tried.withColumn("_c", F.shiftrightunsigned("_short", 8)).join(contexts, ["level", "_c"])
-    shares = rest.select("level", F.col("key").alias("_short"), "share")
-    shared = met.join(shares, ["level", "_short"], "left").groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("level", "weight", F.coalesce("share", F.lit(0.0)).alias("share")))).alias("_steps"))
-    carried = F.expr("aggregate(coalesce(_steps, array()), chance, (c, s) -> s.share + s.weight * c)")
-    return grams_.join(shared, "key", "left").select("key", carried.alias("chance"))
+def _carried(levels: dict, keys: np.ndarray, chance: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+    """The chances of grams carried on over the contexts of a run, level by level; a context is there only if its endings are."""
+    chance = chance.astype(float)
+    going = np.zeros(0, np.int64)
+    for k in range(1, LONGEST + 1):
+        going = np.concatenate([going, np.flatnonzero(beyond == k)])
+        if k not in levels or not len(going):
+            going = going[:0]
+            continue
+        contexts, weights, held, shares = levels[k]
+        gram = shortened(keys[going], k)
+        wanted = context_of(gram, k)
+        place = np.minimum(np.searchsorted(contexts, wanted), len(contexts) - 1)
+        there = contexts[place] == wanted
+        going, gram, place = going[there], gram[there], place[there]
+        at = np.minimum(np.searchsorted(held, gram), len(held) - 1)
+        chance[going] = np.where(held[at] == gram, shares[at], 0.0) + weights[place] * chance[going]
+    return chance
+
+
+def _by_level(parts: list[tuple]) -> dict:
+    """Rows ``(key, share, weight, level)`` of a run as ``(contexts, weights, grams, shares)`` of every level."""
+    levels = {}
+    if parts:
+        keys, share, weight, level = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            at = at[np.argsort(keys[at])]
+            contexts, first = np.unique(context_of(keys[at], k), return_index=True)
+            levels[k] = contexts, weight[at][first], keys[at], share[at]
+    return levels
+
+
+def _resolve_kernel(divisor: float, id_type: pa.DataType) -> Callable:
+    """Runs in their order to rows ``(row, doc_id, held_out, n_tokens, known, base, score)`` that add up to those of the texts."""
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
+
+    def added(sums: list[tuple]) -> tuple:
+        rows, of = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+        return rows, *[np.bincount(of, weights=np.concatenate([x[i] for x in sums]), minlength=len(rows)) for i in (1, 2, 3)]
+
+    def partial(sums: list[tuple]) -> pa.RecordBatch:
+        rows, known, base, score = added(sums)
+        n = len(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows), pa.nulls(n, id_type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()),
+             pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=names)
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rest, words, levels, counts = None, [], [], None, None
+        sums: list[tuple] = []
+        pending = 0
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            own = pa.array(np.flatnonzero(kinds == DOCUMENTS))
+            if len(own):
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(own) for c in names], names=names)
+            for i in np.flatnonzero(kinds != DOCUMENTS).tolist():
+                kind = int(kinds[i])
+                run, row, size, *bundles = (batch.column(c)[i].as_py() for c in ("run", "row", "size", "keys", "first", "second", "third"))
+                if run != now:
+                    now, rest, words, levels, counts = run, [], [], None, None
+                column = lambda j, t: _unsqueezed(bundles[j], size, t)  # noqa: B023, E731
+                keys = column(0, np.uint64)
+                if kind == TREE_ROWS:
+                    rest.append((keys, column(1, np.float32), column(2, np.float32), column(3, np.uint8)))
+                    continue
+                if kind == WORD_ROWS:
+                    words.append((keys, column(1, np.int64).view(np.uint64)))
+                    continue
+                if kind == OPEN_GRAMS:
+                    levels = _by_level(rest) if levels is None else levels
+                    logs = np.log10(_carried(levels, keys, column(1, np.float32), column(2, np.uint8)))
+                    text, of = np.unique(column(3, np.uint32), return_inverse=True)
+                    none = np.zeros(len(text))
+                    sums.append((text.astype(np.int64) + row, none, none, np.bincount(of, weights=logs)))
+                else:
+                    counts = (_added(words) if words else (keys[:0], keys[:0])) if counts is None else counts
+                    at = np.minimum(np.searchsorted(counts[0], keys), max(len(counts[0]) - 1, 0))
+                    known = counts[0][at] == keys if len(counts[0]) else np.zeros(size, bool)
+                    n = np.zeros(size)
+                    n[known] = counts[1][at[known]]
+                    text, of = np.unique(column(1, np.uint32), return_inverse=True)
+                    sums.append((text.astype(np.int64) + row, np.bincount(of, weights=known),
+                                 np.bincount(of, weights=np.log10((n + 0.5) / divisor)), np.zeros(len(text))))
+                pending += len(text)
+                if pending >= GRAMS_TOGETHER:
+                    sums = [added(sums)]
+                    pending = len(sums[0][0])
+                    if 2 * pending >= GRAMS_TOGETHER:
+                        yield partial(sums)
+                        sums, pending = [], 0
+        if sums:
+            yield partial(sums)
+
+    return resolve
 
 
 def score_documents(
@@ -505,48 +689,42 @@ def score_documents(
     log10 = lambda n: F.log10((n + 0.5) / F.lit(divisor))
     seen = tree.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     weights = tree.select(
-        "level", "key", "total",
-        F.when(F.col("level") == 0, (F.col("n") + 0.5) / F.lit(seen + 128.0)).otherwise(F.col("n") / (F.col("total") + F.col("kinds"))).alias("share"),
-        F.when(F.col("n") == 0, 1.0).otherwise(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("weight"))
+        "level", "key", "total", "kinds",
+        F.when(F.col("level") == 0, (F.col("n") + 0.5) / F.lit(seen + 128.0)).otherwise(F.col("n") / (F.col("total") + F.col("kinds"))).cast("float").alias("share"),
+        F.when(F.col("n") == 0, 1.0).otherwise(F.col("kinds") / (F.col("total") + F.col("kinds"))).cast("float").alias("weight"))
     least = _least_held(weights.where("level > 0"), frequent_grams)
     near, rest = ((F.col("level") == 0) | (F.col("total") >= least)), ((F.col("level") > 0) & (F.col("total") < least))
     unheld = weights.where(rest)
-    others = unheld.select("level", F.shiftrightunsigned("key", 8).alias("_c")).distinct().count()
+    # a context has a row for every symbol it was seen before
+    rows, others = unheld.agg(F.count(F.lit(1)), F.coalesce(F.sum(1 / F.greatest("kinds", F.lit(1))), F.lit(0.0))).first()
     filter_words = np.zeros(0, np.uint64)
-    if others:
-        size = min(MOST_BITS, 1 << max(10, (BITS_OF_CONTEXT * others - 1).bit_length()))
+    if rows:
+        size = min(MOST_BITS, 1 << max(10, (int(BITS_OF_CONTEXT * others)).bit_length())) // 64
         context = F.expr("shiftrightunsigned(key, 64 - 8 * level)")
-        pairs = unheld.select("level", context.alias("c")).distinct().mapInArrow(_bit_kernel(size), "word long, bits long")
+        pairs = unheld.select("level", context.alias("c")).mapInArrow(_bit_kernel(size), "word long, bits long")
         set_words = pairs.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        filter_words = np.zeros(size // 64, np.uint64)
+        filter_words = np.zeros(size, np.uint64)
         filter_words[set_words.column("word").to_numpy()] = set_words.column("bits").to_numpy().view(np.uint64)
+        del set_words
     held = spark.sparkContext.broadcast((
         _sorted(_most_frequent(words, frequent_words).select("key", log10(F.col("n")).alias("log"))),
-        hold(weights.where(near).select("level", "key", F.col("share").cast("float"), F.col("weight").cast("float")).toArrow(), filter_words, 0.5 / (seen + 128.0)),
+        hold(weights.where(near).select("level", "key", "share", "weight").toArrow(), filter_words, 0.5 / (seen + 128.0)),
     ))
     end_log10 = float(np.log10((trained + 0.5) / divisor))
-    kind = wanted.schema["doc_id"].dataType.simpleString()
-    scored = materialise(wanted.mapInArrow(
-        _score_kernel(lambda: held.value, end_log10, int(trained > 0), depth),
-        f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
-        "rare array<bigint>, grams array<bigint>, chances array<double>, beyond array<int>",
-    ))
-    rare = scored.where(F.size("rare") > 0).select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("_times"))
-    sums = rare.join(words, "key", "left").select(
-        "row", (F.col("_times") * log10(F.coalesce("n", F.lit(0)))).alias("_base"),
-        F.when(F.col("n").isNotNull(), F.col("_times")).otherwise(0).alias("_known"), F.lit(0.0).alias("_score"))
-    if others:
-        zipped = scored.where(F.size("grams") > 0).select("row", F.explode(F.arrays_zip("grams", "chances", "beyond")).alias("_g"))
-        open_ = zipped.groupBy("row", F.col("_g.grams").alias("key"), F.col("_g.chances").alias("chance"), F.col("_g.beyond").alias("beyond")).agg(
-            F.count(F.lit(1)).alias("_times"))
-        distinct = open_.select("key", "chance", "beyond").distinct()
-        followed = open_.drop("chance", "beyond").join(_beyond_chances(distinct, unheld), "key").select(
-            "row", F.lit(0.0).alias("_base"), F.lit(0).cast("bigint").alias("_known"), (F.col("_times") * F.log10("chance")).alias("_score"))
-        sums = sums.unionByName(followed)
-    sums = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("_base", "_known", "_score")])
-    return scored.drop("rare", "grams", "chances", "beyond").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-    )
+    kind = wanted.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = max(16 * tasks, -(-rows // ROWS_OF_RUN))
+    schema = _parcel_schema(kind.simpleString())
+    value = lambda: held.value
+    parcels = wanted.mapInArrow(_score_kernel(value, end_log10, int(trained > 0), depth, id_type, runs), schema)
+    parcels = parcels.unionByName(words.mapInArrow(_word_kernel(id_type, runs), schema))
+    if rows:
+        parcels = parcels.unionByName(unheld.select("level", "key", "share", "weight").mapInArrow(_rest_kernel(value, id_type, runs), schema))
+    resolved = parcels.repartition(tasks, "run").sortWithinPartitions("run", "kind").mapInArrow(
+        _resolve_kernel(divisor, id_type),
+        f"row bigint, doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, score double")
+    return materialise(resolved.groupBy("row").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
+        F.sum("known").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row"))
