@@ -51,7 +51,7 @@ GAIN_PER_SYMBOL = 1.0
 # most frequent words whose counts every task holds (16 bytes each); other words are met by a join
 FREQUENT_WORDS = 300_000
 # grams of the most frequent contexts, likewise, and bits of the filter of the others at most
-FREQUENT_GRAMS = 4_000_000
+FREQUENT_GRAMS = 1_000_000
 MOST_BITS = 1 << 29
 BITS_OF_CONTEXT = 24
 PROBES = 4
@@ -59,7 +59,7 @@ PROBES = 4
 ROWS_OF_RUN = 500_000
 GRAMS_TOGETHER = 2_000_000
 # symbols that a task sorts and counts together before it hands their grams on
-TOGETHER = 6_000_000
+TOGETHER = 12_000_000
 # runs that the keys of a level are dealt over at least
 RUNS = 512
 SPACE, END = 0x20, 0x0A
@@ -541,7 +541,9 @@ def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, d
                 sums = np.bincount(text, weights=logs[of], minlength=n)
                 open_ = np.flatnonzero((beyond != 0)[of])
                 of = of[open_]
-                open_grams.append((keys[of], chance.astype(np.float32)[of], beyond[of], (text[open_] + (row - since)).astype(np.uint32)))
+                # the lowest byte of a chance, rounded off, takes no room
+                short = ((chance.astype(np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+                open_grams.append((keys[of], short[of], beyond[of], (text[open_] + (row - since)).astype(np.uint32)))
                 rare_words.append((hashes[rare], (owner[rare] + (row - since)).astype(np.uint32)))
                 numbers = np.arange(row, row + n)
                 yield pa.RecordBatch.from_arrays(
@@ -598,20 +600,37 @@ def _by_level(parts: list[tuple]) -> dict:
     return levels
 
 
-def _resolve_kernel(divisor: float, id_type: pa.DataType) -> Callable:
-    """Runs in their order to rows ``(row, doc_id, held_out, n_tokens, known, base, score)`` that add up to those of the texts."""
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
+def _added_sums(sums: list[tuple]) -> tuple:
+    """Sums ``(row, known, base, score)`` of the same row added up, in the order of the rows."""
+    rows, of = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+    return rows, *[np.bincount(of, weights=np.concatenate([x[i] for x in sums]), minlength=len(rows)) for i in (1, 2, 3)]
 
-    def added(sums: list[tuple]) -> tuple:
-        rows, of = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
-        return rows, *[np.bincount(of, weights=np.concatenate([x[i] for x in sums]), minlength=len(rows)) for i in (1, 2, 3)]
+
+def _part_of(rows: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(rows.view(np.uint64) >> np.uint64(8), 79) % np.uint64(parts)).astype(np.int32)
+
+
+def _sum_schema(id_kind: str) -> str:
+    return (f"part int, row bigint, doc_id {id_kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
+            "size bigint, rows binary, knowns binary, bases binary, scores binary")
+
+
+def _resolve_kernel(divisor: float, id_type: pa.DataType, parts: int) -> Callable:
+    """Runs in their order to the rows of texts, as they came, and parcels of sums to be added to them."""
+    own_names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
+    names = ["part", *own_names, "size", "rows", "knowns", "bases", "scores"]
 
     def partial(sums: list[tuple]) -> pa.RecordBatch:
-        rows, known, base, score = added(sums)
-        n = len(rows)
+        rows, known, base, score = _added_sums(sums)
+        part = _part_of(rows, parts)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        at = _runs(part)
+        cuts = list(zip(at, np.append(at[1:], len(part))))
+        nothing = [pa.nulls(len(at), t) for t in (pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+        bundles = [pa.array([_squeezed(c[i:j]) for i, j in cuts], pa.binary()) for c in (x[order] for x in (rows, known, base, score))]
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows), pa.nulls(n, id_type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()),
-             pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=names)
+            [pa.array(part[at]), *nothing, pa.array(np.array([j - i for i, j in cuts], np.int64)), *bundles], names=names)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rest, words, levels, counts = None, [], [], None, None
@@ -621,7 +640,10 @@ def _resolve_kernel(divisor: float, id_type: pa.DataType) -> Callable:
             kinds = batch.column("kind").to_numpy()
             own = pa.array(np.flatnonzero(kinds == DOCUMENTS))
             if len(own):
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(own) for c in names], names=names)
+                columns = [batch.column(c).take(own) for c in own_names]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_part_of(columns[0].to_numpy(), parts)), *columns, pa.nulls(len(own), pa.int64()), *[pa.nulls(len(own), pa.binary())] * 4],
+                    names=names)
             for i in np.flatnonzero(kinds != DOCUMENTS).tolist():
                 kind = int(kinds[i])
                 run, row, size, *bundles = (batch.column(c)[i].as_py() for c in ("run", "row", "size", "keys", "first", "second", "third"))
@@ -652,7 +674,7 @@ def _resolve_kernel(divisor: float, id_type: pa.DataType) -> Callable:
                                  np.bincount(of, weights=np.log10((n + 0.5) / divisor)), np.zeros(len(text))))
                 pending += len(text)
                 if pending >= GRAMS_TOGETHER:
-                    sums = [added(sums)]
+                    sums = [_added_sums(sums)]
                     pending = len(sums[0][0])
                     if 2 * pending >= GRAMS_TOGETHER:
                         yield partial(sums)
@@ -663,6 +685,33 @@ def _resolve_kernel(divisor: float, id_type: pa.DataType) -> Callable:
     return resolve
 
 
+def _add_kernel() -> Callable:
+    """The rows of the texts of a task with the sums that belong to them."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, sums = [], [(np.zeros(0, np.int64), *[np.zeros(0)] * 3)]
+        for batch in batches:
+            whole = batch.column("size").is_null()
+            texts.append(batch.filter(whole).select(["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"]))
+            for size, *bundles in zip(*[batch.filter(pc.invert(whole)).column(c).to_pylist() for c in ("size", "rows", "knowns", "bases", "scores")]):
+                sums.append((_unsqueezed(bundles[0], size, np.int64), *[_unsqueezed(b, size, np.float64) for b in bundles[1:]]))
+            if len(sums) > 64:
+                sums = [_added_sums(sums)]
+        rows, *more = _added_sums(sums)
+        for batch in texts:
+            own = batch.column("row").to_numpy()
+            at = np.minimum(np.searchsorted(rows, own), max(len(rows) - 1, 0))
+            met = rows[at] == own if len(rows) else np.zeros(len(own), bool)
+            known, base, score = (np.where(met, m[at], 0.0) if len(rows) else np.zeros(len(own)) for m in more)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"),
+                 pa.array(batch.column("known").to_numpy() + known.astype(np.int64)),
+                 pa.array(batch.column("base").to_numpy() + base), pa.array(batch.column("score").to_numpy() + score)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return add
+
+
 def score_documents(
     docs: DataFrame, least_count: float = LEAST_COUNT, frequent_words: int = FREQUENT_WORDS,
     frequent_grams: int = FREQUENT_GRAMS, depth: int = LONGEST, least_gain: float = LEAST_GAIN,
@@ -722,9 +771,8 @@ def score_documents(
     if rows:
         parcels = parcels.unionByName(unheld.select("level", "key", "share", "weight").mapInArrow(_rest_kernel(value, id_type, runs), schema))
     resolved = parcels.repartition(tasks, "run").sortWithinPartitions("run", "kind").mapInArrow(
-        _resolve_kernel(divisor, id_type),
-        f"row bigint, doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, score double")
-    return materialise(resolved.groupBy("row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row"))
+        _resolve_kernel(divisor, id_type, 4 * tasks), _sum_schema(kind.simpleString()))
+    added = resolved.repartition(tasks, "part").mapInArrow(
+        _add_kernel(), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return materialise(added.withColumn("train_tokens", F.lit(total).cast("bigint")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
