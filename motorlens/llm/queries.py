@@ -56,8 +56,10 @@ WITH split AS (
       WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
   FROM parts
 ), listed AS (
-  SELECT DISTINCT canonical FROM named WHERE list_has_any(string_split(host, '.'),
-    ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AND canonical <> ''
+  SELECT DISTINCT canonical FROM named WHERE canonical <> '' AND regexp_matches(host,
+    '(^|[._-])(ad|ads|adserver|adult|banner|bet|bets|betting|casino|click|clicks|counterfeit|crack|escort|gambling|jackpot|keygen'
+    || '|loan|loans|malware|payday|pharmacy|phishing|pills|poker|porn|replica|roulette|sex|slots|spam|track|tracker|tracking'
+    || '|viagra|warez|xxx)([._-]|$)')
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
@@ -78,7 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_find_benchmark")
 def op5_find_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), proximity=True)
 
 
 @query("op2_extract_text")

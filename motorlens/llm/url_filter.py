@@ -26,8 +26,12 @@ RULES = (
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 )
 
-# host labels of trades that the list of the registered query gathers
-LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+# words of unwanted trades in host names, by which the list of the registered query is gathered
+TRADE_WORDS = (
+    "ad", "ads", "adserver", "adult", "banner", "bet", "bets", "betting", "casino", "click", "clicks", "counterfeit", "crack",
+    "escort", "gambling", "jackpot", "keygen", "loan", "loans", "malware", "payday", "pharmacy", "phishing", "pills", "poker",
+    "porn", "replica", "roulette", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "warez", "xxx",
+)
 
 
 def with_url_parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -130,8 +134,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> Dat
     )
 
 
-def listed_urls(pages: DataFrame, labels: tuple = LISTED_LABELS) -> DataFrame:
-    """Canonical URLs of all pages on hosts that have one of the labels as a part of their name."""
+def listed_urls(pages: DataFrame, words: tuple = TRADE_WORDS) -> DataFrame:
+    """Canonical URLs of all pages on hosts whose name has one of the words, cut at dots, hyphens and underscores."""
     parts = with_url_parts(pages.select("url"))
-    named = F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in labels]))
+    named = F.arrays_overlap(F.split("host", r"[._-]"), F.array(*[F.lit(x) for x in words]))
     return parts.where(named).select(canonical(F.col("host"), F.col("path")).alias("canonical")).distinct()

@@ -146,6 +146,13 @@ def test_url_rules_and_list(spark):
     assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
 
 
+def test_list_is_gathered_by_words_of_the_host(spark):
+    hosts = ["x.poker-room.org", "PILLS.net", "best_slots.org", "trackside.org", "abet.net", "essex.org", "a.org/casino", None, ""]
+    pages = spark.createDataFrame([(i, h and "http://" + h + "/p") for i, h in enumerate(hosts)], "page_id bigint, url string")
+    listed = {r["canonical"] for r in url_filter.listed_urls(pages).collect()}
+    assert listed == {"x.poker-room.org/p", "pills.net/p", "best_slots.org/p"}
+
+
 def test_filter_passes_every_listed_url_and_few_others(spark):
     listed = spark.range(3000).selectExpr("concat('h', id, '.org/p') AS canonical")
     table, blocks = url_filter.build_filter(listed, "canonical")
