@@ -1,5 +1,6 @@
 """HTML extraction, toxicity, language, decontamination, suffix tree, n-gram join and the pipeline."""
 
+import bisect
 import hashlib
 import math
 import re
@@ -307,6 +308,60 @@ def test_proximity(spark):
     assert sorted(r["id"] for r in near.join(index, "row").collect()) == [1, 2]
 
 
+def _near(docs, items, terms=decontaminate.NEAR_TERMS):
+    """Items near in every document: their rarest words, ties by hash, within as many words as the item has."""
+    texts = [(i, tokens_of(t)) for i, t in docs]
+    counts = Counter(w for _, words in texts for w in words)
+    kinds = sorted({w for _, t in items for w in tokens_of(t)})
+    data, offsets = np.frombuffer("".join(kinds).encode(), np.uint8), np.cumsum([0] + [len(w.encode()) for w in kinds])
+    order = dict(zip(kinds, kernels.word_hashes(data, offsets[:-1], offsets[1:], kernels.ALPHANUMERIC).view(np.int64).tolist()))
+    wanted = []
+    for _, t in items:
+        words = tokens_of(t)
+        rarest = sorted(set(words), key=lambda w: (counts[w], order[w]))[:terms]
+        if words and all(counts[w] for w in rarest):
+            wanted.append((rarest, len(words)))
+    out = []
+    for doc_id, words in texts:
+        n, places = 0, defaultdict(list)
+        for k, w in enumerate(words):
+            places[w].append(k)
+        for rarest, span in wanted:
+            if all(w in places for w in rarest):
+                ends = sorted(k for w in rarest for k in places[w])
+                last = lambda w, k: places[w][bisect.bisect_right(places[w], k) - 1] if places[w][0] <= k else -span
+                n += any(k - min(last(w, k) for w in rarest) < span for k in ends)
+        out.append((doc_id, n))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("most_terms", [decontaminate.MOST_TERMS, 0])
+def test_near_items_of_odd_rows(spark, make_docs, odd_rows, no_docs, most_terms):
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "short item"), (3, None), (4, "..."), (5, "unheard alpha"),
+             (2, "short item"), (None, "lonely words"), (6, "alpha alpha alpha beta")]
+    rows = [(i, t) for i, t, *_ in odd_rows] + [
+        (50, "zeta x x eta x theta x epsilon"), (51, "zeta " + "x " * 20 + "eta theta epsilon"), (52, "item short"), (53, "item, a short one"),
+        (54, "Theta epsilon " + "alpha " * 4 + "eta zeta"), (55, "words words lonely"), (56, "beta " * 500 + "alpha"), (57, "beta x x alpha"),
+        (58, "beta gamma delta alpha " * 5)]
+    docs = make_docs([(i, t, "en", "a") for i, t in rows])
+    benchmark = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id bigint, text string, row string, term int")
+    found = decontaminate.contamination(docs, benchmark, most_terms=most_terms, proximity=True).collect()
+    assert Counter((r["doc_id"], r["n_near_items"]) for r in found) == _near(rows, items)
+    assert Counter(tuple(r[c] for c in COLUMNS) for r in found) == _contaminated(rows, items)
+    assert {r["doc_id"] for r in found if r["n_near_items"]} >= {50, 52, 54, 55, 56, 57}
+    if most_terms:
+        assert decontaminate.contamination(docs, benchmark.limit(0), proximity=True).where("n_near_items > 0").count() == 0
+        assert decontaminate.contamination(no_docs, benchmark, proximity=True).count() == 0
+
+
+def test_near_items_on_the_table(spark, sf_dir):
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()
+    expected = _near([(r["doc_id"], r["text"]) for r in read("documents")], [(r["item_id"], r["text"]) for r in read("benchmark")])
+    rows = QUERIES["op5_find_benchmark"](spark, sf_dir).collect()
+    assert Counter((r["doc_id"], r["n_near_items"]) for r in rows) == expected
+    assert any(r["n_near_items"] for r in rows)
+
+
 # ---- suffix tree
 
 def test_base_of_odd_rows(odd_docs, odd_rows, no_docs):
