@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motorlens.functions.expressions import FEATURE_COLUMNS, PHASES
+from motorlens.session import materialise
 
 # fixed values of the loader
 HEADER = "current_R,current_S,current_T"
@@ -38,8 +39,12 @@ def header_verdicts(lines: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def check_header(lines: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(data lines of accepted files, refused files)``."""
-    verdicts = header_verdicts(lines, strict)
+    """``(data lines of accepted files, refused files)``.
+
+    The verdicts, one row per file, are stored first: lines are then kept by a join whose
+    small side has a known size, and are not shuffled unless the files are very many.
+    """
+    verdicts = materialise(header_verdicts(lines, strict))
     refused = verdicts.where(F.col("verdict") == "refused").select("file")
     accepted = verdicts.where(F.col("verdict") != "refused").select("file")
     data = lines.where(F.col("line_no") > 0).join(accepted, "file", "left_semi")

@@ -164,7 +164,59 @@ def _matrix(spark, sf_dir):
     return S.matrix(spark, sf_dir, outlier_every=50)
 
 
-@query("pca")
+def _components_sql() -> str:
+    """Leading two components of the scaled columns: squared covariance matrices tend to the first one, which is then taken out."""
+    d = len(MODEL_COLUMNS)
+    scaled = ", ".join(
+        f"(coalesce({c}, s.{c}_2) - s.{c}_2) / CASE WHEN s.{c}_3 - s.{c}_1 = 0 THEN 1 ELSE s.{c}_3 - s.{c}_1 END AS x{i}"
+        for i, c in enumerate(MODEL_COLUMNS))
+    quartiles = ", ".join(f"quantile_cont({c}, {q}) AS {c}_{i}" for c in MODEL_COLUMNS for i, q in ((1, 0.25), (2, 0.5), (3, 0.75)))
+    covariances = ", ".join(f"covar_samp(x{i}, x{j})" for i in range(d) for j in range(d))
+    trace = lambda m: " + ".join(f"{m}[{i * d + i + 1}]" for i in range(d))
+    diagonal = lambda m: "[" + ", ".join(f"{m}[{i * d + i + 1}]" for i in range(d)) + "]"
+    product = lambda row, column: f"list_sum(list_transform(range({d}), lambda k: {row} * {column}))"
+    square = f"list_transform(range({d * d}), lambda i: {product(f'm[(i // {d}) * {d} + k + 1]', f'm[k * {d} + i % {d} + 1]')})"
+
+    def component(n: int) -> str:
+        # the largest loading is positive, since it is the column of the largest diagonal element
+        return f"""
+    power{n} AS (
+      SELECT 0 AS step, list_transform(c, lambda e: e / t) AS m FROM (SELECT c, {trace('c')} AS t FROM cov{n})
+      UNION ALL
+      SELECT step + 1, list_transform(q, lambda e: e / t) FROM (
+        SELECT step, q, {trace('q')} AS t FROM (SELECT step, {square} AS q FROM power{n} WHERE step < 30))
+    ), loading{n} AS (
+      SELECT list_transform(range({d}), lambda i: m[i * {d} + j] / sqrt(m[(j - 1) * {d} + j])) AS v
+      FROM (SELECT m, list_position({diagonal('m')}, list_max({diagonal('m')})) AS j FROM power{n} WHERE step = 30)
+    )"""
+
+    return f"""
+    scaled AS (SELECT id, {scaled} FROM features, (SELECT {quartiles} FROM features) s),
+    cov1 AS (SELECT [{covariances}] AS c FROM scaled),
+    {component(1)},
+    cov2 AS (
+      SELECT list_transform(range({d * d}), lambda i: c[i + 1] - strength * v[i // {d} + 1] * v[i % {d} + 1]) AS c
+      FROM (SELECT c, v, list_sum(list_transform(range({d * d}), lambda i: c[i + 1] * v[i // {d} + 1] * v[i % {d} + 1])) AS strength
+            FROM cov1, loading1)
+    ),
+    {component(2)}"""
+
+
+def _projected_sql() -> str:
+    centred = [f"(x{i} - avg(x{i}) OVER ())" for i in range(len(MODEL_COLUMNS))]
+    sums = [" + ".join(f"{x} * l{n}.v[{i + 1}]" for i, x in enumerate(centred)) for n in (1, 2)]
+    return f"SELECT id, {r6(sums[0])} AS pc1, {r6(sums[1])} AS pc2 FROM scaled, loading1 l1, loading2 l2"
+
+
+def _ranked_sql() -> str:
+    names = "[" + ", ".join(f"'{c}'" for c in MODEL_COLUMNS) + "]"
+    parts = " UNION ALL ".join(
+        f"SELECT 'PC{n}' AS component, unnest({names}) AS feature, abs(unnest(v)) AS w FROM loading{n}" for n in (1, 2))
+    return f"""SELECT component, CAST(row_number() OVER (PARTITION BY component ORDER BY w DESC, feature) AS INT) AS rank, feature,
+      {r6('w')} AS contribution FROM ({parts})"""
+
+
+@query("pca", with_frames("features", _projected_sql(), extra=_components_sql(), recursive=True))
 def pca(spark, sf_dir):
     """First two components of the scaled feature columns."""
     features = S.features(spark, sf_dir)
@@ -172,7 +224,7 @@ def pca(spark, sf_dir):
     return M.fit_pca(scaled, "x", 2).transform(scaled, "x").drop("x")
 
 
-@query("pca_contributions")
+@query("pca_contributions", with_frames("features", _ranked_sql(), extra=_components_sql(), recursive=True))
 def pca_contributions(spark, sf_dir):
     features = S.features(spark, sf_dir)
     scaled = M.fit_robust(features, MODEL_COLUMNS).transform(features, into="x").select("x")

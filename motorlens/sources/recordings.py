@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motorlens.functions.shipping import by_value
+from motorlens.session import materialise
 
 by_value(__name__)
 
@@ -24,7 +25,8 @@ def read_recordings(spark: SparkSession, path: str | list[str], glob: str = "*.c
     Files are read as splittable text.  Spark hands out increasing ids inside a
     split, so a line's number is its distance from the first id of its split plus
     the lines of the file's earlier splits; one small row per split carries that,
-    and neither a file nor its lines are sorted.
+    and neither a file nor its lines are sorted.  These rows are stored first, so that
+    their size is known and they are broadcast to the lines unless they are many.
     """
     lines = (
         spark.read.option("pathGlobFilter", glob)
@@ -39,9 +41,9 @@ def read_recordings(spark: SparkSession, path: str | list[str], glob: str = "*.c
     )
     splits = lines.groupBy("file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select(
+    starts = materialise(splits.select(
         "file", "_split", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
+    ))
     return lines.join(starts, ["file", "_split"]).select(
         "file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "line"
     )

@@ -48,6 +48,17 @@ def test_blank_lines_are_skipped(spark):
     assert len(parsed(spark, ["1,2,3", "", "   ", "4,5,6"])) == 2
 
 
+def test_lines_are_not_shuffled_for_numbers_and_verdicts(spark, tmp_path):
+    for k in range(4):
+        write(tmp_path, f"motor_{k}.csv", [HEADER if k else "time,a"] + [f"{k},{i},0" for i in range(500)])
+    lines = C.read_recordings(spark, str(tmp_path))
+    data, refused = I.check_header(lines)
+    assert (data.count(), refused.count()) == (1500, 1)
+    for frame in (lines, data):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_large_files_keep_their_line_numbers(spark, tmp_path):
     for k in range(3):
         write(tmp_path, f"motor_{k}.csv", [HEADER] + [f"{k},{i},{i * i}" for i in range(15_000)], "\r\n" if k == 1 else "\n")
