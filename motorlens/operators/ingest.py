@@ -16,6 +16,8 @@ CHUNK_ROWS = 10_000
 # what the reference's number parser accepts
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 BLANKS = " \t\r\n"
+# parts over which files without a code in their name are dealt
+SPREADS = 64
 
 
 def _cells(line: Column | str) -> Column:
@@ -114,7 +116,16 @@ def resolve_equipment(files: DataFrame, equipment: DataFrame) -> DataFrame:
     codes = equipment.groupBy(F.lower("equipment_code").alias("_code")).agg(F.min("id").alias("_by_code"))
     titles = equipment.groupBy(F.lower("name").alias("_title")).agg(F.min("id").alias("_by_title"))
     fallback = equipment.where(F.col("status") == "active").agg(F.min("id")).scalar()
-    matched = named.join(by_file, "_name", "left").join(codes, "_code", "left").join(titles, "_title", "left")
+    # names without a code are the many ones, so they are dealt out over the spreads of the one machine without a code
+    spread = F.when(F.col("_code") == "", F.pmod(F.xxhash64("file"), F.lit(SPREADS))).otherwise(0)
+    copies = F.when(F.col("_code") == "", F.sequence(F.lit(0), F.lit(SPREADS - 1))).otherwise(F.array(F.lit(0)))
+    named = named.withColumn("_spread", spread.cast("int"))
+    codes = codes.select("*", F.explode(copies).alias("_spread"))
+    matched = (
+        named.join(by_file.hint("merge"), "_name", "left")
+        .join(codes.hint("merge"), ["_code", "_spread"], "left")
+        .join(titles.hint("merge"), "_title", "left")
+    )
     how = (
         F.when(F.col("_by_file").isNotNull(), "registered file")
         .when(F.col("_by_code").isNotNull(), "code")

@@ -208,6 +208,21 @@ def test_registered_names_of_any_extension(spark):
     assert found == {"x/run_7.txt": (1, "registered file"), "y/run_8.txt": (1, "first active"), "second": (2, "title")}
 
 
+def test_lookups_of_machines_are_not_broadcast(spark):
+    machines = spark.createDataFrame(
+        [(1, "", "first", "inactive", None), (2, "EQ_1_a", "second", "active", '{"filename": "run.csv"}'), (3, None, "x y", "active", None)],
+        "id int, equipment_code string, name string, status string, specifications string")
+    names = ["p/run.csv", "eq_1_A.csv", "x_y.csv", None, *[f"free{i}.csv" for i in range(100)]]
+    files = spark.createDataFrame([(n,) for n in names], "file string")
+    found = I.resolve_equipment(files, machines)
+    rows = {r["file"]: (r["equipment_id"], r["matched_by"]) for r in found.collect()}
+    # a machine without a code has the files without one, wherever they are dealt
+    assert rows == {"p/run.csv": (2, "registered file"), "eq_1_A.csv": (2, "code"), "x_y.csv": (1, "code"), None: (2, "first active"),
+                    **{f"free{i}.csv": (1, "code") for i in range(100)}}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 3
+
+
 def test_a_file_name_with_odd_characters_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
