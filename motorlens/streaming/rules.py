@@ -26,6 +26,9 @@ RANK_ERROR = 0.004
 FIRING, CLEARED = "firing", "cleared"
 # after this a task without a finish counts as one that never ends
 UNFINISHED_AFTER_SECONDS = 3600
+EARLIEST_US = -9_223_372_036_854_776
+# groups over which tasks are dealt; a bucket holds its tasks of one batch
+TASK_BUCKETS = 2048
 
 
 def _timed(events: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -138,52 +141,80 @@ def stream_p95(
 
 
 def stream_task_runs(
-    events: DataFrame, after: int = UNFINISHED_AFTER_SECONDS, delay: str = "10 minutes"
+    events: DataFrame, after: int = UNFINISHED_AFTER_SECONDS, delay: str = "10 minutes", buckets: int = TASK_BUCKETS
 ) -> DataFrame:
     """Task runs from a stream of ``(task_id, task_name, worker, kind, state, ts)``, each reported once.
 
     Start and finish of a task wait for each other in either order.  A task that has no
     finish ``after`` seconds behind its start, by the watermark, comes out without state,
     finish and duration; a finish without a start is forgotten then.
+
+    Tasks are dealt out over ``buckets`` by a hash of their id.  A bucket is one group that
+    keeps its open tasks, so Python is called per bucket and batch and not per task.  Ids
+    are texts or whole numbers.
     """
     kinds = {f.name: f.dataType for f in events.schema.fields}
-    out = T.StructType([
-        *(T.StructField(c, kinds[c]) for c in ("task_id", "task_name", "worker")), T.StructField("started_at", T.TimestampType()),
-        T.StructField("state", T.StringType()), T.StructField("finished_at", T.TimestampType()), T.StructField("duration_seconds", T.DoubleType())])
-    held = T.StructType([T.StructField("started", T.LongType()), T.StructField("task_name", kinds["task_name"]), T.StructField("worker", kinds["worker"]),
-                         T.StructField("finished", T.LongType()), T.StructField("state", T.StringType())])
-
-    def run(key: tuple, started: int, name, worker, finished: int | None, end: str | None) -> pd.DataFrame:
-        return pd.DataFrame({
-            "task_id": [key[0]], "task_name": [name], "worker": [worker], "started_at": [pd.Timestamp(started, unit="us")], "state": [end],
-            "finished_at": [pd.NaT if finished is None else pd.Timestamp(finished, unit="us")],
-            "duration_seconds": [None if finished is None else (finished - started) / 1e6]})
-
-    def pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, name, worker, finished, end = state.get if state.exists else (None,) * 5
-        if state.hasTimedOut:
+    named = [T.StructField("task_name", kinds["task_name"]), T.StructField("worker", kinds["worker"])]
+    out = T.StructType([T.StructField("id", T.StringType()), T.StructField("started", T.LongType()), *named,
+                        T.StructField("finished", T.LongType()), T.StructField("state", T.StringType())])
+    # the open tasks of a bucket, column by column, and the watermark behind which each is given up
+    held = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in [*out.fields, T.StructField("due", T.LongType())]])
+
+    def plain(value):
+        """A number or text as the state keeps it; pandas holds whole numbers beside missing ones as floats."""
+        if value is None or value != value:
+            return None
+        return value.item() if hasattr(value, "item") else value
+
+    def whole(value):
+        value = plain(value)
+        return int(value) if isinstance(value, float) else value
+
+    worker = whole if isinstance(kinds["worker"], T.IntegralType) else plain
+
+    def pair(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        open_ = {task: run for task, *run in zip(*state.get)} if state.exists else {}
+        touched = set()
+        if not state.hasTimedOut:
+            for frame in frames:
+                for task, kind, name, who, end, at in zip(*(frame[c] for c in ("id", "kind", "task_name", "worker", "state", "at"))):
+                    touched.add(task)
+                    run = open_.setdefault(task, [None] * 6)
+                    if kind == "start" and (run[0] is None or at < run[0]):
+                        run[:3] = int(at), plain(name), worker(who)
+                    elif kind == "finish" and (run[3] is None or at < run[3]):
+                        run[3:5] = int(at), plain(end)
+        done = []
+        for task, run in list(open_.items()):
+            if task in touched:
+                known = run[0] if run[0] is not None else run[3]
+                if run[0] is not None and run[3] is not None:
+                    done.append((task, *open_.pop(task)[:5]))
+                else:
+                    run[5] = max(known // 1000 + after * 1000, now + 1)
+            elif run[5] < now:
+                del open_[task]
+                if run[0] is not None:
+                    done.append((task, *run[:5]))
+        if open_:
+            state.update(tuple(map(list, zip(*((task, *run) for task, run in open_.items())))))
+            state.setTimeoutTimestamp(max(min(run[5] for run in open_.values()), now + 1))
+        elif state.exists:
             state.remove()
-            if started is not None:
-                yield run(key, started, name, worker, None, None)
-            return
-        for frame in frames:
-            for kind, task, who, ends, ts in zip(frame["kind"], frame["task_name"], frame["worker"], frame["state"], frame["ts"]):
-                at = int(ts.value) // 1000
-                if kind == "start" and (started is None or at < started):
-                    started, name, worker = at, task, who
-                elif kind == "finish" and (finished is None or at < finished):
-                    finished, end = at, ends
-        if started is not None and finished is not None:
-            if state.exists:
-                state.remove()
-            yield run(key, started, name, worker, finished, end)
-            return
-        state.update((started, name, worker, finished, end))
-        known = started if started is not None else finished
-        state.setTimeoutTimestamp(max(known // 1000 + after * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return _timed(events.select("task_id", "task_name", "worker", "kind", "state", "ts"), "ts", delay).groupBy("task_id").applyInPandasWithState(
-        pair, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+        if done:
+            yield pd.DataFrame({f.name: pd.Series(c, dtype=object) for f, c in zip(out.fields, zip(*done))})
+
+    # an unknown time counts as the earliest one
+    at = F.coalesce(F.unix_micros("ts"), F.lit(EARLIEST_US))
+    rows = _timed(events.select("task_id", "task_name", "worker", "kind", "state", "ts"), "ts", delay).select(
+        F.pmod(F.xxhash64("task_id"), F.lit(buckets)).alias("bucket"), F.col("task_id").cast("string").alias("id"),
+        "task_name", "worker", "kind", "state", at.alias("at"), "ts")
+    runs = rows.groupBy("bucket").applyInPandasWithState(pair, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    seconds = (F.col("finished") - F.col("started")) / F.lit(1e6)
+    return runs.select(
+        F.col("id").cast(kinds["task_id"]).alias("task_id"), "task_name", "worker", F.timestamp_micros("started").alias("started_at"), "state",
+        F.timestamp_micros("finished").alias("finished_at"), seconds.alias("duration_seconds"))
 
 
 def stream_late_features(

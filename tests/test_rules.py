@@ -79,6 +79,24 @@ def test_task_runs_over_batches(spark, tmp_path):
     assert found == {k: v for k, v in twin.items() if k in (1, 2, 3, 4, 5)} and found[4] == (None, None) and out.count() == 5
 
 
+def test_many_tasks_share_few_groups(spark, tmp_path):
+    schema = "task_id bigint, task_name string, worker bigint, kind string, state string, ts timestamp_ntz"
+    big = 2**60
+    rows = [(big + i, "n", None if i % 7 == 0 else i, kind, None, at(i % 50 + 5 * (kind == "finish")))
+            for i in range(600) for kind in ("start", "finish") if kind == "start" or i % 3]
+    rows += [(None, "n", 1, "start", None, at(0)), (big + 1, "n", 1, "start", None, at(3)), (-1, "late", 1, "start", None, at(500))]
+    stream = U.stream_task_runs(arriving(spark, tmp_path / "in", rows, schema), buckets=16)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(
+        availableNow=True).start()
+    query.awaitTermination()
+    # a group is a bucket, never a task
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 16
+    out = spark.read.parquet(str(tmp_path / "out"))
+    found = {r["task_id"]: (r["worker"], r["started_at"], r["duration_seconds"]) for r in out.collect()}
+    expected = {big + i: (None if i % 7 == 0 else i, at(i % 50), 300.0 if i % 3 else None) for i in range(600)} | {None: (1, at(0), None)}
+    assert found == expected and out.count() == 601
+
+
 def test_late_features_come_once(spark, tmp_path):
     signals = arriving(spark, tmp_path / "s", [(1, 10, at(0)), (2, 10, at(5)), (3, 11, at(9)), (9, 12, at(600))], "signal_id bigint, equipment_id bigint, recorded_at timestamp_ntz")
     features = arriving(spark, tmp_path / "f", [(1, 100, at(10)), (1, 101, at(20)), (2, 102, at(90)), (9, 103, at(600))], "signal_id bigint, feature_id bigint, created_at timestamp_ntz")
