@@ -5,7 +5,7 @@ lives in the cell of its nearest pivot.  By the triangle inequality a point with
 of it is at most ``2 eps`` farther from that pivot than from its own nearest one, and its
 distance to the pivot differs by ``eps`` at most.  So (pivot, distance in steps of ``eps``)
 are join keys: a point meets only the candidates of its own ring and the two next to it,
-in blocks of bounded size.  Points within ``eps / 2`` of one pivot are neighbours of each
+in blocks of bounded size, which grow with a ring so that a point is copied a bounded number of times.  Points within ``eps / 2`` of one pivot are neighbours of each
 other: where there are enough of them they are core points of one cluster and are never
 compared among themselves, so that a dense group of any size stays linear.
 
@@ -32,8 +32,13 @@ by_value(__name__)
 # rows that pivots are chosen from, in expectation, and numbers of pivots that are weighed
 SAMPLE_ROWS = 2000
 PIVOTS = (1, 4, 16, 64)
-# points of either side that one task compares
+# smallest block of points of either side that is worth a task of its own
 BLOCK = 1024
+# blocks a ring is cut into, so that a point is copied this often at most, until a block has as many points as one task holds
+COPIES = 16
+MOST_BYTES = 32 * 2**20
+# rows of either side that are compared at once inside a task
+TILE = 1024
 # comparisons that cost as much as one more copy of a point
 COPY_COST = 2000
 # rings of a pivot; farther points share the last one
@@ -48,14 +53,32 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    """Which rows of two matrices are within eps; close calls are summed up difference by difference."""
-    sizes = (a * a).sum(1)[:, None] + (b * b).sum(1)[None]
-    squares = sizes - 2 * a @ b.T
-    near = squares <= eps * eps
-    for i, j in zip(*np.nonzero(np.abs(squares - eps * eps) <= SLACK * (sizes + eps * eps))):
-        near[i, j] = ((a[i] - b[j]) ** 2).sum() <= eps * eps
-    return near
+def near_tiles(a: np.ndarray, b: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs within eps, tile by tile; close calls are summed up difference by difference."""
+    of_a, of_b = (a * a).sum(1), (b * b).sum(1)
+    for top in range(0, len(a), TILE):
+        x, own = a[top : top + TILE], of_a[top : top + TILE]
+        for left in range(0, len(b), TILE):
+            y, other = b[left : left + TILE], of_b[left : left + TILE]
+            squares = x @ y.T
+            squares *= -2
+            squares += own[:, None]
+            squares += other[None]
+            slack = SLACK * (own.max() + other.max() + eps * eps)
+            i, j = np.nonzero(squares <= eps * eps + slack)
+            kept = squares[i, j] < eps * eps - slack
+            for some in _pieces(np.flatnonzero(~kept), TILE * 16):
+                kept[some] = ((x[i[some]] - y[j[some]]) ** 2).sum(1) <= eps * eps
+            yield i[kept] + top, j[kept] + left
+
+
+def _pieces(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    return (rows[at : at + size] for at in range(0, len(rows), size))
+
+
+def _parts(rows: int, block: int, most: int) -> int:
+    """Blocks of a ring: of ``block`` points while they are few, else as many as copies are allowed, of ``most`` points at most."""
+    return max(-(-rows // most), min(-(-rows // block), COPIES))
 
 
 def _rings(apart: np.ndarray, eps: float) -> np.ndarray:
@@ -201,13 +224,14 @@ def _met(points: DataFrame, pivots: np.ndarray, eps: float, block: int, compare:
     """Every asking point beside all answering ones within reach, block by block.
 
     ``points`` has ``id, x, node, group, asks, answers``; ``compare`` gets the asking and
-    the answering rows of a block and which of them are within eps.
+    the answering rows of a block and, tile by tile, which of them are within eps.
     """
     cells = _Cells(pivots, eps)
     counted = points.select("x", "asks", "answers").mapInArrow(_count_kernel(cells), "cell int, ring long, homes long, others long")
     # a row per ring and pivot, RINGS and PIVOTS at most
     sizes = counted.groupBy("cell", "ring").agg(F.sum("homes").alias("homes"), F.sum("others").alias("others")).collect()
-    blocks = {(r["cell"], r["ring"]): (-(-r["homes"] // block), -(-r["others"] // block)) for r in sizes}
+    most = max(block, MOST_BYTES // (8 * max(pivots.shape[1], 1)))
+    blocks = {(r["cell"], r["ring"]): (_parts(r["homes"], block, most), _parts(r["others"], block, most)) for r in sizes}
     kinds = {f.name: f.dataType for f in points.schema.fields}
     longs = [T.StructField(c, T.LongType()) for c in ("cell", "ring", "mine", "other")]
     schema = T.StructType([*longs, T.StructField("side", T.IntegerType()), *(T.StructField(c, kinds[c]) for c in ("id", "node", "group", "x"))])
@@ -218,38 +242,56 @@ def _met(points: DataFrame, pivots: np.ndarray, eps: float, block: int, compare:
         side = table.column("side").to_numpy()
         left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
         if not left.num_rows or not right.num_rows:
-            return compare(left.slice(0, 0), right.slice(0, 0), np.zeros((0, 0), bool))
-        return compare(left, right, within(_matrix(left.column("x")), _matrix(right.column("x")), eps))
+            return compare(left.slice(0, 0), right.slice(0, 0), iter(()))
+        return compare(left, right, near_tiles(_matrix(left.column("x")), _matrix(right.column("x")), eps))
 
     return dealt.groupBy("cell", "ring", "mine", "other").applyInArrow(run, into)
 
 
-def _counted(left: pa.Table, right: pa.Table, near: np.ndarray) -> pa.Table:
-    return pa.table({"id": left.column("id"), "n": pa.array(near.sum(1).astype(np.int64) if left.num_rows else np.zeros(0, np.int64)),
-                     "compared": pa.array(np.full(left.num_rows, right.num_rows, np.int64))})
+def _counted(left: pa.Table, right: pa.Table, tiles: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    n = np.zeros(left.num_rows, np.int64)
+    for i, _ in tiles:
+        n += np.bincount(i, minlength=len(n))
+    return pa.table({"id": left.column("id"), "n": pa.array(n), "compared": pa.array(np.full(left.num_rows, right.num_rows, np.int64))})
 
 
-def _linked(left: pa.Table, right: pa.Table, near: np.ndarray) -> pa.Table:
+def _join(part_of: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Unite the parts of the points ``u`` and ``v``, in place; a part is named by its smallest point."""
+    while True:
+        a, b = part_of[u], part_of[v]
+        apart = a != b
+        if not apart.any():
+            return
+        u, v = u[apart], v[apart]
+        np.minimum.at(part_of, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (part_of[part_of] != part_of).any():
+            part_of[:] = part_of[part_of]
+
+
+def _linked(left: pa.Table, right: pa.Table, tiles: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     """Links ``(u, v)`` that join what hangs together in a block, and ``(id, v)`` from border points to each such part.
 
     A part of n points gives fewer than n links, however many of its points are neighbours.
     """
-    n = near.shape[1]
+    n = right.num_rows
     core = left.column("group").to_numpy(zero_copy_only=False) >= CORE if left.num_rows else np.zeros(0, bool)
-    part_of = np.arange(n)
-    inside = near[core]
-    while inside.size:
-        smallest = np.where(inside, part_of, n).min(1)
-        new = np.minimum(part_of, np.where(inside, smallest[:, None], n).min(0))
-        new = new[new]
-        if (new == part_of).all():
-            break
-        part_of = new
-    rows = np.flatnonzero(core)[inside.any(1)] if inside.size else np.zeros(0, np.int64)
-    first = part_of[near[rows].argmax(1)] if len(rows) else np.zeros(0, np.int64)
+    # a border point needs one of the points that bear a name
+    code = right.column("node").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if n else np.zeros(0, np.int64)
+    bearer = np.unique(code, return_index=True)[1]
+    part_of, first_of, border = np.arange(n), np.full(left.num_rows, -1), [np.zeros(0, np.int64)]
+    for i, j in tiles:
+        own = core[i]
+        who, to = i[own], j[own]
+        rows, at = np.unique(who, return_index=True)
+        new = first_of[rows] < 0
+        first_of[rows[new]] = to[at[new]]
+        _join(part_of, to, first_of[who])
+        border.append(np.unique(i[~own] * n + bearer[code[j[~own]]]))
+    rows = np.flatnonzero(first_of >= 0)
+    first = part_of[first_of[rows]]
     moved = np.flatnonzero(part_of != np.arange(n))
-    border = {(int(i), int(part_of[j])) for i, j in zip(*np.nonzero(near & ~core[:, None]))} if near.size else set()
-    who, part = (np.array([b[i] for b in sorted(border)], np.int64) for i in (0, 1))
+    found = np.unique(np.concatenate(border))
+    who, part = (found // n, part_of[found % n]) if len(found) else (found, found)
     ids, nodes, others = left.column("id"), left.column("node"), right.column("node")
     none = lambda k, of: pa.nulls(k, of.type)
     return pa.table({
