@@ -35,12 +35,15 @@ def training_frame(
     machine = equipment.select(F.col("id").alias("equipment_id"), F.col("name").alias("equipment_name"))
     if machine_ids is not None:
         owner = owner.where(F.col("equipment_id").isin(machine_ids))
-    rows = features.join(owner, "raw_id").join(machine, "equipment_id")
+    # the small sides meet first, so that feature rows are shuffled once
+    rows = features.join(owner.join(machine, "equipment_id"), "raw_id")
+    # rows are counted in any order, by their keys alone
+    if (rows if limit is None else rows.limit(limit)).limit(min_rows).count() < min_rows:
+        raise ValueError(f"fewer than {min_rows} feature rows to train on")
     if limit is not None:
         rows = rows.orderBy(F.col("window_start").desc(), "id").limit(limit)
-    if rows.limit(min_rows).count() < min_rows:
-        raise ValueError(f"fewer than {min_rows} feature rows to train on")
-    return rows
+    names = [c for c in features.columns if c != "raw_id"]
+    return rows.select("equipment_id", "raw_id", *names, "equipment_name")
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
