@@ -61,12 +61,19 @@ def rms_series(
     if end is not None:
         chosen = chosen.where(F.col("ts") <= moment(end))
     if limit is not None:
-        # a series has no bound here, so its rows are numbered slot by slot
-        placed = position_within(chosen, SERIES, "ts", ["id"], "_n", slot="hour")
-        chosen = placed.where(F.col("_n") < limit).drop("_n")
-    enough = chosen.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
-    # stored, so that its size is known and a hot series can be split in the join
-    return chosen.join(materialise(enough.select(*SERIES)), SERIES, "left_semi")
+        # a row without a time has no place among the earliest
+        chosen = chosen.where(F.col("ts").isNotNull())
+    # the earliest rows are enough of them where all rows are, unless fewer are asked for
+    needed = F.col("_n") >= min_points if limit is None or limit >= min_points else F.lit(False)
+    enough = chosen.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n")).where(needed)
+    # stored, so that its size is known and a hot series can be split in the join; machines drop out before their rows are made long
+    enough = materialise(enough.select(*SERIES))
+    chosen = chosen.join(enough.select(SERIES[0]).distinct(), SERIES[0], "left_semi").join(enough, SERIES, "left_semi")
+    if limit is None:
+        return chosen
+    # a series has no bound here, so its rows are numbered slot by slot
+    placed = position_within(chosen, SERIES, "ts", ["id"], "_n", slot="hour")
+    return placed.where(F.col("_n") < limit).drop("_n")
 
 
 def hourly_rms(located_features: DataFrame, min_points: int = MIN_OBSERVATIONS) -> DataFrame:
