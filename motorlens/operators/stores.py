@@ -102,16 +102,22 @@ def upsert_stored(new: DataFrame, path: str, per: str = "day") -> DataFrame:
     """
     spark = new.sparkSession
     others = [c for c in new.columns if c not in WINDOW_KEYS]
+    day = F.to_date(F.date_trunc(per, "window_start"))
     valid = new.where(F.col("window_end") > F.col("window_start"))
-    single = materialise(
-        valid.groupBy(*WINDOW_KEYS).agg(F.min_by(F.struct(*others), "id").alias("_row")).select(*WINDOW_KEYS, "_row.*")
-        .withColumn("date", F.to_date(F.date_trunc(per, "window_start"))))
-    fresh = single
+    fresh = valid.groupBy(*WINDOW_KEYS).agg(F.min_by(F.struct(*others), "id").alias("_row")).select(*WINDOW_KEYS, "_row.*")
+    before: set[str] = set()
     if _exists(spark, path):
-        existing = stored_windows(spark.read.parquet(path), single)
-        fresh = materialise(single.join(existing, WINDOW_KEYS, "left_anti"))
-    fresh.repartition("date").write.mode("append").partitionBy("date").parquet(path)
-    return fresh.drop("date")
+        stored = spark.read.parquet(path)
+        before = set(stored.inputFiles())
+        # the stored keys go to the new windows, whose rows lie by their keys already
+        fresh = fresh.join(stored_windows(stored, valid.select(day.alias("date"))), WINDOW_KEYS, "left_anti")
+    written = fresh.withColumn("date", day)
+    written.repartition("date").write.mode("append").partitionBy("date").parquet(path)
+    # read back from its own files, a few for each day, so that it is neither stored twice nor computed again
+    files = sorted(set(spark.read.schema(written.schema).parquet(path).inputFiles()) - before)
+    if not files:
+        return spark.createDataFrame([], fresh.schema)
+    return spark.read.schema(written.schema).option("basePath", path).parquet(*files).drop("date").select(*fresh.columns)
 
 
 def stored_windows(stored: DataFrame, new: DataFrame) -> DataFrame:
