@@ -45,6 +45,14 @@ def locate_predictions(
     return predictions.join(source, "feature_id").join(owner, "raw_id")
 
 
+def _owners(signals: DataFrame, equipment: DataFrame) -> DataFrame:
+    """Recordings with code and name of their machine: the small sides meet first, so that wide rows are shuffled once."""
+    machine = equipment.select(
+        F.col("id").alias("equipment_id"), "equipment_code", F.col("name").alias("equipment_name")
+    )
+    return signals.select(F.col("id").alias("raw_id"), "equipment_id").join(machine, "equipment_id")
+
+
 def signals_with_equipment(signals: DataFrame, equipment: DataFrame) -> DataFrame:
     machine = equipment.select(
         F.col("id").alias("equipment_id"), "equipment_code", F.col("name").alias("equipment_name"),
@@ -62,12 +70,10 @@ def signals_with_equipment(signals: DataFrame, equipment: DataFrame) -> DataFram
 def features_analysis(features: DataFrame, signals: DataFrame, equipment: DataFrame) -> DataFrame:
     rms = [F.col(f"rms_{p}") for p in PHASES]
     zero = F.lit(0.0)
-    located = locate_features(features, signals)
-    machine = equipment.select(
-        F.col("id").alias("equipment_id"), "equipment_code", F.col("name").alias("equipment_name")
-    )
     kept = [f"{stat}_{p}" for stat in ("rms", "crest", "kurt", "skew", "mean", "std") for p in PHASES]
-    return located.join(machine, "equipment_id").select(
+    ranges = [(F.col(f"max_{p}") - F.col(f"min_{p}")).alias(f"range_{p}") for p in PHASES]
+    rows = features.select("id", "raw_id", "window_start", "window_end", *kept, *ranges, "created_at")
+    return rows.join(_owners(signals, equipment), "raw_id").select(
         "id", "raw_id", "equipment_id", "equipment_code", "equipment_name", "window_start", "window_end",
         (F.unix_millis(F.col("window_end").cast("timestamp")) - F.unix_millis(F.col("window_start").cast("timestamp")))
         .alias("window_size_ms"),
@@ -75,7 +81,7 @@ def features_analysis(features: DataFrame, signals: DataFrame, equipment: DataFr
         (F.coalesce(rms[0], zero) + F.coalesce(rms[1], zero) + F.coalesce(rms[2], zero)).alias("rms_total"),
         mean_of_present(rms).alias("rms_avg"),
         F.greatest(*[F.coalesce(F.col(f"crest_{p}"), zero) for p in PHASES]).alias("crest_max"),
-        *[(F.col(f"max_{p}") - F.col(f"min_{p}")).alias(f"range_{p}") for p in PHASES],
+        *[f"range_{p}" for p in PHASES],
         "created_at",
     )
 
@@ -83,15 +89,16 @@ def features_analysis(features: DataFrame, signals: DataFrame, equipment: DataFr
 def predictions_detailed(
     predictions: DataFrame, features: DataFrame, signals: DataFrame, equipment: DataFrame, defect_types: DataFrame
 ) -> DataFrame:
-    located = locate_predictions(predictions, features, signals, ["window_start", "window_end"])
-    machine = equipment.select(
-        F.col("id").alias("equipment_id"), "equipment_code", F.col("name").alias("equipment_name")
-    )
+    # features are narrow here, so they meet their machines before the predictions
+    source = features.select(F.col("id").alias("feature_id"), "raw_id", "window_start", "window_end").join(
+        _owners(signals, equipment), "raw_id")
+    rows = predictions.select(
+        "id", "feature_id", "defect_type_id", "probability", "predicted_severity", "confidence", "model_name", "model_version", "created_at")
     defect = defect_types.select(
         F.col("id").alias("defect_type_id"), F.col("code").alias("defect_code"), F.col("name").alias("defect_name"),
         F.col("category").alias("defect_category"),
     )
-    return located.join(machine, "equipment_id").join(defect, "defect_type_id", "left").select(
+    return rows.join(defect, "defect_type_id", "left").join(source, "feature_id").select(
         "id", "feature_id", "raw_id", "equipment_id", "equipment_code", "equipment_name", "window_start", "window_end",
         "defect_type_id", "defect_code", "defect_name", "defect_category", "probability", "predicted_severity",
         "confidence", "model_name", "model_version", "created_at",
@@ -724,11 +731,8 @@ def diagnostic_report_rows(
     metrics = [f"{stat}_{p}" for stat in ("rms", "crest", "kurt", "skew") for p in PHASES]
     last_recording = newest_per(signals.select("equipment_id", "recorded_at", "id"), ["equipment_id"], "recorded_at", "id")
     last_recording = last_recording.withColumnRenamed("id", "raw_id")
-    # only features of those recordings are ranked, one recording per machine
-    newest = features.select("raw_id", "window_start", "id", *metrics).join(
-        last_recording.select("raw_id"), "raw_id", "left_semi"
-    )
-    measured = newest_per(newest, ["raw_id"], "window_start", "id").select("raw_id", *metrics)
+    # reduced where they are read, so that no feature row is shuffled whole
+    measured = newest_per(features.select("raw_id", "window_start", "id", *metrics), ["raw_id"], "window_start", "id").select("raw_id", *metrics)
     found = located.groupBy("equipment_id").agg(F.count_if("anomaly_detected").alias("anomaly_count"))
     return (
         equipment.select(F.col("id").alias("equipment_id"), F.col("name").alias("equipment_name"))
