@@ -73,6 +73,9 @@ def seek_audit_page(spark, sf_dir):
     path = table_folder(spark)
     W.store_sorted(rows, keys, path, parts=16)
     last = A.audit_page(rows, page=40).orderBy("ts", "id").first()
+    if last is None:
+        # the log ends before that page
+        return rows.limit(0).drop("integrity_hash")
     return W.page_after(spark, path, keys, last.asDict(), 50).drop("integrity_hash")
 
 
