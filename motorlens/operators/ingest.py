@@ -208,8 +208,19 @@ def latest_status(log: DataFrame) -> DataFrame:
 
 
 def features_from_json(documents: DataFrame, column: str = "features") -> DataFrame:
-    """A JSON document of features as typed columns; what is not a number becomes NULL."""
-    schema = ", ".join(f"{c} string" for c in FEATURE_COLUMNS)
-    parsed = documents.withColumn("_f", F.from_json(column, schema))
+    """A JSON document of features as typed columns; what is not a number becomes NULL.
+
+    Numbers are read as numbers; only a document that holds anything else (a number in
+    quotes, a word, a list, a number out of range) is read once more as texts, which are cast.
+    """
+    numbers, texts = (", ".join(f"{c} {kind}" for c in FEATURE_COLUMNS) for kind in ("double", "string"))
+    parsed = documents.withColumn("_f", F.from_json(column, f"{numbers}, _odd string", {"columnNameOfCorruptRecord": "_odd"}))
+    # NaN counts as the greatest number
+    endless = F.greatest(*[F.abs(F.col(f"_f.{c}")) for c in FEATURE_COLUMNS]) >= F.lit(float("inf"))
+    parsed = parsed.withColumn("_again", F.col("_f._odd").isNotNull() | F.coalesce(endless, F.lit(False)))
+    parsed = parsed.withColumn("_t", F.when(F.col("_again"), F.from_json(column, texts)))
     kept = [c for c in documents.columns if c != column]
-    return parsed.select(*kept, *[F.col(f"_f.{c}").try_cast("double").alias(c) for c in FEATURE_COLUMNS])
+    return parsed.select(*kept, *[
+        F.when(F.col("_again"), F.col(f"_t.{c}").try_cast("double")).otherwise(F.col(f"_f.{c}")).alias(c)
+        for c in FEATURE_COLUMNS
+    ])

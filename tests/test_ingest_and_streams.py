@@ -229,3 +229,15 @@ def test_a_file_name_with_odd_characters_streams(spark, tmp_path):
     write(source, "a [1] {x}*.csv", [HEADER, "1,2,3"])
     J.stream_recordings(J.watch_files(spark, str(source)), str(tmp_path / "seen"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "seen")).count() == 1
+
+
+def test_features_from_json_reads_numbers_as_numbers(spark):
+    """Documents of numbers are read once, without texts; what else they hold still ends as it did."""
+    texts = ['{"rms_a": 1.5, "crest_b": -2, "min_c": 1e-3}', '{"rms_a": "1.5", "crest_b": "x", "min_c": [1]}', '{"rms_a": 1', "", None,
+             '{"rms_a": 1e400, "crest_b": 7, "min_c": true}', '{"rms_a": NaN, "crest_b": " 3 "}', '{"rms_a": Infinity, "min_c": null}', '{"_odd": "x", "rms_a": "3"}']
+    documents = spark.createDataFrame(list(enumerate(texts)), "id int, features string")
+    found = I.features_from_json(documents).orderBy("id")
+    assert "StructField(rms_a,DoubleType" in found._jdf.queryExecution().analyzed().toString()
+    none = (None, None, None)
+    assert [(r["rms_a"], r["crest_b"], r["min_c"]) for r in found.collect()] == [
+        (1.5, -2.0, 0.001), (1.5, None, None), none, none, none, (None, 7.0, None), (None, 3.0, None), none, (3.0, None, None)]
