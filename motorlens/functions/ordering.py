@@ -61,11 +61,18 @@ def running_total(
     )
 
 
-def dense_positions(df: DataFrame, keys: list[str], position: str, into: str, slot: int = 10_000) -> DataFrame:
-    """Add the zero-based rank of each row inside its key by a whole-number position that may have gaps."""
+def dense_positions(
+    df: DataFrame, keys: list[str], position: str, into: str, slot: int = 10_000, parts: int | None = None
+) -> DataFrame:
+    """Add the zero-based rank of each row inside its key by a whole-number position that may have gaps.
+
+    Slots are ranked in ``parts`` tasks, by default as many as the session's shuffles have.
+    """
     slotted = df.withColumn(SLOT, F.floor(F.col(position) / slot))
     local = Window.partitionBy(*keys, SLOT).orderBy(position)
     offsets = _offsets(slotted, keys, F.count(F.lit(1)))
+    if parts:
+        slotted = slotted.repartition(parts, *keys, SLOT)
     return (
         slotted.withColumn("_local", F.row_number().over(local))
         .join(offsets, keys + [SLOT])

@@ -43,14 +43,14 @@ def samples_from_chunks(signals: DataFrame) -> DataFrame:
 def extract_features(
     samples: DataFrame, size: int | None = None, hop: int | None = None, window_ms: int = W.WINDOW_MS,
     overlap: float = W.OVERLAP, min_length: int = W.MIN_CLEAN_LENGTH, kernel: int = W.MEDIAN_KERNEL,
-    max_missing: float = W.MAX_MISSING, spectrum_size: int = W.SPECTRUM_SIZE,
+    max_missing: float = W.MAX_MISSING, spectrum_size: int = W.SPECTRUM_SIZE, parts: int | None = None,
 ) -> DataFrame:
     """Windows, cleaning, statistics, spectra and window times for all recordings at once.
 
     ``samples`` carries ``sample_rate_hz`` and ``recorded_at``; without an explicit
     ``size`` it also carries ``samples_count`` and every signal gets the window its
     own rate and length ask for.  One exchange on ``(signal_id, window_no)`` feeds
-    the whole chain.
+    the whole chain, in ``parts`` tasks where the caller knows how many the samples need.
     """
     if size is None:
         samples = samples.withColumn("_want", W.window_size("sample_rate_hz", "samples_count", window_ms))
@@ -59,7 +59,7 @@ def extract_features(
     else:
         spread = W.spread_over_windows(samples, size, hop or int(size * (1 - overlap)))
     carried = [*SIGNAL_COLUMNS, "_size", "_hop", "_reach"]
-    spread = spread.repartition(*WINDOW)
+    spread = spread.repartition(parts, *WINDOW) if parts else spread.repartition(*WINDOW)
     reach = F.max("sample_idx").over(W.Window.partitionBy(*WINDOW))
     complete = spread.withColumn("_reach", reach).where(_is_complete(F.col("_reach")))
     cleaned = W.clean_windows(complete, max_missing, min_length, kernel)

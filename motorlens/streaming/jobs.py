@@ -19,6 +19,7 @@ from motorlens.functions.shipping import by_value
 from motorlens.operators import ingest as I
 from motorlens.operators.alerts import SILENT_AFTER_SECONDS
 from motorlens.operators.features import extract_features
+from motorlens.operators.windows import OVERLAP
 from motorlens.functions.ordering import dense_positions
 from motorlens.sources.recordings import line_hashes, read_recordings
 
@@ -27,6 +28,8 @@ by_value(__name__)
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 LINE_SCHEMA = "file string, line_no bigint, line string"
 SEEN_SCHEMA = "file string, length bigint, modified_at timestamp, file_hash string, batch bigint"
+# bytes of text whose windows one task holds; a byte takes about 170 bytes of its memory where windows overlap by half
+BYTES_OF_PART = 512 * 1024
 
 
 def watch_files(spark: SparkSession, path: str, glob: str = "*.csv", per_batch: int = 1000) -> DataFrame:
@@ -79,14 +82,15 @@ def stream_recordings(files: DataFrame, store: str, checkpoint: str, trigger: di
     return _start(files, remember, checkpoint, trigger)
 
 
-def recording_samples(files: DataFrame, lines: DataFrame, sample_rate: int) -> DataFrame:
+def recording_samples(files: DataFrame, lines: DataFrame, sample_rate: int, parts: int | None = None) -> DataFrame:
     """Recordings as long samples that carry rate and time; one file is one signal.
 
-    ``lines`` are the lines of the files; no row holds more than one of them.
+    ``lines`` are the lines of the files; no row holds more than one of them.  They are
+    numbered in ``parts`` tasks.
     """
     data, _ = I.check_header(lines.join(files.select("file"), "file", "left_semi"))
     # numbered again, because blank lines are gone
-    numbered = dense_positions(I.parse_rows(data), ["file"], "line_no", "sample_idx")
+    numbered = dense_positions(I.parse_rows(data), ["file"], "line_no", "sample_idx", parts=parts)
     phases = F.array(*[F.struct(F.lit(p).alias("phase"), F.col(p).alias("value")) for p in ("a", "b", "c")])
     counts = numbered.groupBy("file").agg(
         F.count(F.lit(1)).alias("samples_count"), *[F.count(p).alias(f"_n{p}") for p in ("a", "b", "c")]
@@ -103,12 +107,20 @@ def recording_samples(files: DataFrame, lines: DataFrame, sample_rate: int) -> D
 def stream_features(
     files: DataFrame, store: str, target: str, checkpoint: str, sample_rate: int, trigger: dict | None = None, **options
 ) -> StreamingQuery:
-    """Features of every new recording.  Windows never span files, so the stream keeps no state."""
+    """Features of every new recording.  Windows never span files, so the stream keeps no state.
+
+    The bytes of a batch's new files say how many tasks share its samples, so a task holds
+    no more of them when files are larger or more.
+    """
+    size, hop = options.get("size"), options.get("hop")
+    copies = size / hop if size and hop else 1 / (1 - options.get("overlap", OVERLAP))
 
     def process(batch: DataFrame, number: int) -> None:
         fresh = new_recordings(batch, store, number)
-        samples = recording_samples(fresh, lines_of(batch), sample_rate)
-        extract_features(samples, **options).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
+        length = fresh.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        parts = 1 + int(length * copies / 2) // BYTES_OF_PART
+        samples = recording_samples(fresh, lines_of(batch), sample_rate, parts)
+        extract_features(samples, parts=parts, **options).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
 
     return _start(files, process, checkpoint, trigger)
 

@@ -241,3 +241,30 @@ def test_features_from_json_reads_numbers_as_numbers(spark):
     none = (None, None, None)
     assert [(r["rms_a"], r["crest_b"], r["min_c"]) for r in found.collect()] == [
         (1.5, -2.0, 0.001), (1.5, None, None), none, none, none, (None, 7.0, None), (None, 3.0, None), none, (3.0, None, None)]
+
+
+def test_stream_features_deals_large_files_over_more_tasks(spark, tmp_path, monkeypatch):
+    """The tasks that hold windows grow with the bytes of new files; the rows do not depend on their number."""
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source, "a.csv", [HEADER] + [f"{i % 7},{i % 5},{i % 3}" for i in range(200)])
+    seen = []
+    extract = J.extract_features
+
+    def run(folder):
+        def spy(samples, parts=None, **options):
+            seen.append(parts)
+            return extract(samples, parts=parts, **options)
+
+        monkeypatch.setattr(J, "extract_features", spy)
+        J.stream_features(
+            J.watch_files(spark, str(source)), f"{folder}/seen", f"{folder}/out", f"{folder}/ck", 1000, size=64, hop=32, spectrum_size=64
+        ).awaitTermination()
+        rows = spark.read.parquet(f"{folder}/out").select("window_no", "rms_a", "max_b", "clean_length_c", "processed_phases")
+        return sorted(tuple(r) for r in rows.collect())
+
+    few = run(tmp_path / "few")
+    monkeypatch.setattr(J, "BYTES_OF_PART", 100)
+    assert run(tmp_path / "many") == few and len(few) == 5
+    # 200 lines of 6 bytes and the header
+    assert seen == [1, 1 + (200 * 6 + len(HEADER) + 1) // 100]
