@@ -6,6 +6,8 @@ at most one analysis window long, so no row grows with the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -33,21 +35,26 @@ def mean_magnitudes(block: np.ndarray, size: int) -> np.ndarray:
     return np.abs(np.fft.rfft(segments * np.hanning(size), axis=2))[:, :, : size // 2].mean(axis=1)
 
 
+def spectra_of(segments: Sequence, size: int) -> np.ndarray:
+    """Magnitudes of every segment, None where it has fewer than two values."""
+    lengths = np.array([0 if v is None else len(v) for v in segments], dtype=int)
+    out = np.empty(len(segments), dtype=object)
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        if length < 2:
+            continue
+        block = np.stack([np.asarray(segments[r], dtype=float) for r in rows])
+        for r, spectrum in zip(rows, mean_magnitudes(block, min(size, int(length)))):
+            out[r] = spectrum
+    return out
+
+
 def averaged_spectrum(values: Column, size: int) -> Column:
     """``ARRAY<DOUBLE>`` of magnitudes; the size shrinks to the window when that is shorter."""
 
     @F.pandas_udf("array<double>")
     def kernel(batch: pd.Series) -> pd.Series:
-        lengths = batch.map(lambda v: 0 if v is None else len(v)).to_numpy()
-        out = np.empty(len(batch), dtype=object)
-        for length in np.unique(lengths):
-            rows = np.flatnonzero(lengths == length)
-            if length < 2:
-                continue
-            block = np.stack([np.asarray(batch.iloc[r], dtype=float) for r in rows])
-            for r, spectrum in zip(rows, mean_magnitudes(block, min(size, int(length)))):
-                out[r] = spectrum
-        return pd.Series(out)
+        return pd.Series(spectra_of(batch.to_numpy(), size))
 
     return kernel(values)
 
@@ -80,57 +87,68 @@ def peak_positions(magnitudes: np.ndarray, height: float, spacing: int, prominen
     return found
 
 
+def peaks_of(spectra: Iterable, lengths: Iterable, rates: Iterable, size: int, top: int = TOP_PEAKS) -> list[list[dict] | None]:
+    """Strongest peaks of every spectrum, strongest first; None where the spacing of 50 Hz is below one bin."""
+    out = []
+    for magnitudes, n, hz in zip(spectra, lengths, rates):
+        if magnitudes is None or len(magnitudes) == 0:
+            out.append(None)
+            continue
+        magnitudes = np.asarray(magnitudes, dtype=float)
+        spacing = int(PEAK_SPACING_HZ * len(magnitudes) / (hz / 2))
+        if spacing < 1:
+            out.append(None)
+            continue
+        height = PEAK_HEIGHT * magnitudes.max()
+        peaks = peak_positions(magnitudes, height, spacing, height * PEAK_PROMINENCE)
+        peaks.sort(key=lambda peak: -magnitudes[peak[0]])
+        step = hz / min(size, n)
+        out.append(
+            [
+                {"frequency": b * step, "amplitude": float(magnitudes[b]), "prominence": p}
+                for b, p in peaks[:top]
+            ]
+        )
+    return out
+
+
 def spectral_peaks(spectrum: Column, length: Column, rate: Column, size: int, top: int = TOP_PEAKS) -> Column:
     """Strongest peaks, strongest first; NULL where the spacing of 50 Hz is below one bin."""
 
     @F.pandas_udf(PEAKS_TYPE)
     def kernel(spectra: pd.Series, lengths: pd.Series, rates: pd.Series) -> pd.Series:
-        out = []
-        for magnitudes, n, hz in zip(spectra, lengths, rates):
-            if magnitudes is None or len(magnitudes) == 0:
-                out.append(None)
-                continue
-            magnitudes = np.asarray(magnitudes, dtype=float)
-            spacing = int(PEAK_SPACING_HZ * len(magnitudes) / (hz / 2))
-            if spacing < 1:
-                out.append(None)
-                continue
-            height = PEAK_HEIGHT * magnitudes.max()
-            peaks = peak_positions(magnitudes, height, spacing, height * PEAK_PROMINENCE)
-            peaks.sort(key=lambda peak: -magnitudes[peak[0]])
-            step = hz / min(size, n)
-            out.append(
-                [
-                    {"frequency": b * step, "amplitude": float(magnitudes[b]), "prominence": p}
-                    for b, p in peaks[:top]
-                ]
-            )
-        return pd.Series(out)
+        return pd.Series(peaks_of(spectra, lengths, rates, size, top))
 
     return kernel(spectrum, length, rate)
 
 
+def shapes_of(spectra: Sequence, steps: np.ndarray) -> np.ndarray:
+    """Centroid, bandwidth, 85% roll-off and total magnitude of every spectrum, NaN where there is none."""
+    out = np.full((len(spectra), 4), np.nan)
+    lengths = np.array([0 if m is None else len(m) for m in spectra], dtype=int)
+    for n in np.unique(lengths[lengths > 0]):
+        # spectra of one length share the array operations
+        rows = np.flatnonzero(lengths == n)
+        magnitudes = np.stack([np.asarray(spectra[r], dtype=float) for r in rows])
+        frequencies = np.arange(n) * steps[rows][:, None]
+        total = magnitudes.sum(axis=1)
+        share = magnitudes / np.where(total == 0, 1.0, total)[:, None]
+        centroid = (frequencies * share).sum(axis=1)
+        reached = np.cumsum(share, axis=1) >= ROLLOFF
+        at = np.where(reached.any(axis=1), reached.argmax(axis=1), n - 1)
+        bandwidth = np.sqrt(((frequencies - centroid[:, None]) ** 2 * share).sum(axis=1))
+        shape = np.column_stack([centroid, bandwidth, frequencies[np.arange(len(rows)), at], total])
+        out[rows] = np.where(total[:, None] == 0, 0.0, shape)
+    return out
+
+
 def spectral_shape(spectrum: Column, step: Column) -> Column:
     """Struct of centroid, bandwidth, 85% roll-off and total magnitude; all zero for a silent spectrum."""
 
     @F.pandas_udf(SHAPE_TYPE)
     def kernel(spectra: pd.Series, steps: pd.Series) -> pd.DataFrame:
-        out = np.full((len(spectra), 4), np.nan)
-        lengths = np.array([0 if m is None else len(m) for m in spectra], dtype=int)
-        for n in np.unique(lengths[lengths > 0]):
-            # spectra of one length share the array operations
-            rows = np.flatnonzero(lengths == n)
-            magnitudes = np.stack([np.asarray(m, dtype=float) for m in spectra.iloc[rows]])
-            frequencies = np.arange(n) * steps.iloc[rows].to_numpy(dtype=float)[:, None]
-            total = magnitudes.sum(axis=1)
-            share = magnitudes / np.where(total == 0, 1.0, total)[:, None]
-            centroid = (frequencies * share).sum(axis=1)
-            reached = np.cumsum(share, axis=1) >= ROLLOFF
-            at = np.where(reached.any(axis=1), reached.argmax(axis=1), n - 1)
-            bandwidth = np.sqrt(((frequencies - centroid[:, None]) ** 2 * share).sum(axis=1))
-            shape = np.column_stack([centroid, bandwidth, frequencies[np.arange(len(rows)), at], total])
-            out[rows] = np.where(total[:, None] == 0, 0.0, shape)
-        shape = pd.DataFrame(out, columns=["centroid", "bandwidth", "rolloff", "energy"])
+        shape = pd.DataFrame(
+            shapes_of(spectra.to_numpy(), steps.to_numpy(dtype=float)), columns=["centroid", "bandwidth", "rolloff", "energy"])
         return shape.astype(object).where(shape.notna(), None)
 
     return kernel(spectrum, step)

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from motorlens.functions import spectra as K
 from motorlens.functions.expressions import PHASES, STATS
 from motorlens.functions.shipping import by_value
 from motorlens.operators import spectrum as P
@@ -72,12 +74,11 @@ def extract_features(
         F.max("raw_count").alias("raw_count"),
         *[F.first(name).alias(name) for name in carried],
     )
-    return _wide_rows(segments, carried, spectrum_size, window_ms)
+    return _wide_rows(P.describe_spectrum(segments, size=spectrum_size), carried, window_ms)
 
 
-def _wide_rows(segments: DataFrame, carried: list[str], spectrum_size: int, window_ms: int) -> DataFrame:
-    """Cleaned segments with their statistics to one row per window with spectra and times."""
-    described = P.describe_spectrum(segments, size=spectrum_size)
+def _wide_rows(described: DataFrame, carried: list[str], window_ms: int) -> DataFrame:
+    """Cleaned segments with their statistics and spectra to one row per window with times."""
     packed = F.when(
         F.col("peaks").isNotNull(),
         F.struct(
@@ -132,8 +133,11 @@ def window_slices(chunks: DataFrame, size: int | None, hop: int | None, window_m
         F.slice("_values", (F.col("_start") + 1).cast("int"), (F.col("_end") - F.col("_start")).cast("int")).alias("part"))
 
 
-CLEANED = ("raw_count long, missing_count long, segment array<double>, rms double, crest double, kurt double, skew double, mean double, "
+CLEANED = ("raw_count long, missing_count long, n_samples int, rms double, crest double, kurt double, skew double, mean double, "
            "std double, min double, max double")
+SHAPED = "centroid double, bandwidth double, rolloff double, energy double"
+# segments that a task describes together
+TOGETHER = 2_048
 
 
 def clean_segment(
@@ -166,12 +170,16 @@ def _statistics(v: np.ndarray) -> list[float | None]:
     return [rms, peak / rms if rms > 0 else 0.0, kurt, skew, mean, np.sqrt(second), v.min(), v.max()]
 
 
-def _clean_kernel(names: list[str], max_missing: float, min_length: int, kernel: int) -> Callable:
-    """Batches with ``ats`` and ``parts`` of a segment in order to cleaned segments with their statistics."""
+def _describe_kernel(names: list[str], max_missing: float, min_length: int, kernel: int, spectrum_size: int, peaks_type: pa.DataType) -> Callable:
+    """Batches with ``ats`` and ``parts`` of a segment in order to the statistics and spectra of cleaned segments.
+
+    One Python worker does it all; neither segments nor spectra leave it.
+    """
+    shape_names = [c.split()[0] for c in SHAPED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, found = [], []
+        for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
+            kept, found, segments = [], [], []
             lists = batch.column(batch.schema.get_field_index("parts"))
             for row, (ats, parts) in enumerate(zip(batch.column(batch.schema.get_field_index("ats")).to_pylist(), lists)):
                 arrays = [part.values.to_numpy(zero_copy_only=False).astype(float) for part in parts]
@@ -179,13 +187,19 @@ def _clean_kernel(names: list[str], max_missing: float, min_length: int, kernel:
                 values, missing = clean_segment(index, np.concatenate(arrays), max_missing, min_length, kernel)
                 if values is not None:
                     kept.append(row)
-                    found.append((len(index), missing, values, *_statistics(values)))
+                    segments.append(values)
+                    found.append((len(index), missing, len(values), *_statistics(values)))
             columns = list(zip(*found)) or [()] * 11
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), *[pa.float64()] * 8]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 8]
+            carried = [batch.column(batch.schema.get_field_index(n)).take(pa.array(kept, pa.int64())) for n in names]
+            rates = carried[names.index("sample_rate_hz")].to_pandas()
+            spectra = K.spectra_of(segments, spectrum_size)
+            shapes = K.shapes_of(spectra, rates.to_numpy(dtype=float) / np.minimum(spectrum_size, np.array(columns[2], dtype=float)))
+            peaks = K.peaks_of(spectra, columns[2], rates, spectrum_size)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(n)).take(pa.array(kept, pa.int64())) for n in names),
-                 *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=[*names, *(c.split()[0] for c in CLEANED.split(", "))])
+                [*carried, *(pa.array(c, k) for c, k in zip(columns, kinds)),
+                 *(pa.array(shapes[:, i], pa.float64(), from_pandas=True) for i in range(4)), pa.array(peaks, peaks_type)],
+                names=[*names, *(c.split()[0] for c in CLEANED.split(", ")), *shape_names, "peaks"])
 
     return run
 
@@ -215,9 +229,11 @@ def features_from_chunks(
 
     phased = whole.select(*WINDOW, *carried, F.inline(F.array(*[of(p) for p in PHASES]))).where(F.size("ats") > 0)
     names = [*SEGMENT, *carried]
-    schema = T.StructType([*(phased.schema[n] for n in names), *T.StructType.fromDDL(CLEANED).fields])
-    segments = phased.mapInArrow(_clean_kernel(names, max_missing, min_length, kernel), schema)
-    return _wide_rows(segments, carried, spectrum_size, window_ms)
+    described = T.StructType.fromDDL(f"{CLEANED}, {SHAPED}, peaks {K.PEAKS_TYPE}").fields
+    schema = T.StructType([*(phased.schema[n] for n in names), *described])
+    segments = phased.mapInArrow(
+        _describe_kernel(names, max_missing, min_length, kernel, spectrum_size, to_arrow_type(schema["peaks"].dataType)), schema)
+    return _wide_rows(P.dominant_frequency(segments), carried, window_ms)
 
 
 def extraction_summary(signals: DataFrame, features: DataFrame) -> DataFrame:

@@ -246,3 +246,14 @@ def test_features_from_chunks_equal_those_from_samples(spark, size, hop, chunk,
     for key, row in left.items():
         for name in row.asDict():
             assert same(row[name], right[key][name]), (key, name, row[name], right[key][name])
+
+
+def test_features_from_chunks_use_one_python_worker_a_task(spark):
+    """Cleaning, statistics, spectra and peaks of a segment share a worker, so an executor has one per core."""
+    rows = [(1, 64, datetime(2024, 1, 1), 200, 0, *[[float(np.sin(i * k)) for i in range(64)] for k in (1, 2)], None)]
+    chunks = spark.createDataFrame(rows, "signal_id bigint, samples_count bigint, recorded_at timestamp_ntz, sample_rate_hz int, "
+                                         "first_idx bigint, phase_a array<float>, phase_b array<float>, phase_c array<float>")
+    features = X.features_from_chunks(chunks, size=32, hop=16, spectrum_size=16)
+    plan = features._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(node) for node in ("MapInArrow", "ArrowEvalPython", "MapInPandas")) == 1
+    assert features.where("phase_a.spectral_energy > 0 and phase_c is null").count() == 3
