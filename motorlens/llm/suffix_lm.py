@@ -58,6 +58,8 @@ PROBES = 4
 # rows of the rest of the tree that meet their grams together, and grams that a task hands on together
 ROWS_OF_RUN = 500_000
 GRAMS_TOGETHER = 2_000_000
+# grams of the held contexts that get their chances together
+SLICE = 1 << 17
 # symbols that a task sorts and counts together before it hands their grams on
 TOGETHER = 12_000_000
 # runs that the keys of a level are dealt over at least
@@ -140,15 +142,25 @@ def packed(kind: int, keys: np.ndarray, counts: np.ndarray, low: int, runs: int)
     """Sorted keys and their counts in compressed runs; grams of one ending of ``low`` symbols, and equal words, go to the same run."""
     run = (mixed(keys if kind == WORD else context_of(keys, low), 77) % np.uint64(runs)).astype(np.uint16 if runs < 1 << 16 else np.int32)
     order = np.argsort(run, kind="stable")
-    run, keys, counts = run[order], keys[order], counts[order].astype(np.uint64)
+    run = run[order]
     at = _runs(run)
-    cuts = list(zip(at, np.append(at[1:], len(run))))
+    # run by run, so that no second copy of all of them is made
+    cuts = [order[i:j] for i, j in zip(at, np.append(at[1:], len(run)))]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(at), kind, np.int32)), pa.array(run[at].astype(np.int32)), pa.array(np.diff(np.append(at, len(run))).astype(np.int64)),
-         pa.array([_squeezed(keys[i:j]) for i, j in cuts], pa.binary()), pa.array([_squeezed(counts[i:j]) for i, j in cuts], pa.binary())],
+         pa.array([_squeezed(keys[c]) for c in cuts], pa.binary()), pa.array([_squeezed(counts[c].astype(np.uint64)) for c in cuts], pa.binary())],
         names=["kind", "run", "size", "keys", "counts"])
 
 
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and how often each one came; the parts are let go."""
+    keys = np.concatenate(parts)
+    parts.clear()
+    keys.sort()
+    at = _runs(keys)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
 def _count_kernel(depth: int, low: int, runs: int) -> Callable:
     """Words and grams of the texts of a partition in runs; counts are doubled (see ``read_levels``)."""
 
@@ -158,11 +170,10 @@ def _count_kernel(depth: int, low: int, runs: int) -> Callable:
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, parts in held.items():
                 if parts:
-                    keys = np.concatenate(parts)
-                    parts.clear()
-                    keys.sort()
-                    at = _runs(keys)
-                    yield packed(kind, keys[at], 2 * np.diff(np.append(at, len(keys))), low, runs)
+                    keys, counts = _counted(parts)
+                    counts *= 2
+                    yield packed(kind, keys, counts, low, runs)
+                    del keys, counts
 
         for batch in batches:
             for _, data, offsets in pieces(batch.column(0)):
@@ -324,6 +335,40 @@ def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], held.column("log").to_numpy().astype(float)[order]
 
 
+BUNDLED = "level int, size long, keys binary, first binary, second binary"
+
+
+def _bundle_kernel() -> Callable:
+    """Rows ``(level, key, ...)`` with one or two numbers more in compressed bundles of a level, in the order of the keys."""
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            level, keys, *columns = (np.concatenate(c) for c in zip(*waiting))
+            waiting.clear()
+            keys = keys.view(np.uint64)
+            order = np.lexsort((keys, level))
+            level = level[order]
+            at = _runs(level)
+            cuts = [order[i:j] for i, j in zip(at, np.append(at[1:], len(level)))]
+            bundles = [pa.array([_squeezed(c[cut]) for cut in cuts], pa.binary()) for c in (keys, *columns)]
+            bundles += [pa.nulls(len(cuts), pa.binary())] * (3 - len(bundles))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(level[at].astype(np.int32)), pa.array(np.array([len(c) for c in cuts], np.int64)), *bundles],
+                names=["level", "size", "keys", "first", "second"])
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append([c.to_numpy() for c in batch.columns])
+                if sum(len(w[0]) for w in waiting) >= GRAMS_TOGETHER:
+                    yield flush()
+        if waiting:
+            yield flush()
+
+    return bundle
+
+
 def _least_held(grams_: DataFrame, most: int) -> float:
     """The least count of a context at which at most so many grams belong to contexts of that count or more."""
     scale = F.floor(F.log2("total") * 32)
@@ -389,24 +434,50 @@ def _at_level(tree: tuple, keys: np.ndarray, level: np.ndarray) -> np.ndarray:
     return chance
 
 
-def hold(rows: pa.Table, filter_words: np.ndarray, floor: float) -> tuple:
+def _opened(bundles: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, shares and weights of a level."""
+    own = bundles.filter(pc.equal(bundles.column("level"), level))
+    parts = [(_unsqueezed(keys, size), _unsqueezed(share, size, np.float32), _unsqueezed(weight, size, np.float32))
+             for size, keys, share, weight in zip(*[own.column(c).to_pylist() for c in ("size", "keys", "first", "second")])]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32)
+    keys, share, weight = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(keys)
+    return keys[order], share[order], weight[order]
+
+
+def hold(bundles: pa.Table, filter_words: np.ndarray, floor: float) -> tuple:
     """The part of the tree that a task holds: the root's chances, the filter of other contexts, all contexts as sorted
-    nodes with their weight of shorter ones, and for every level the seen grams with their chance."""
-    level = rows.column("level").to_numpy()
-    keys = rows.column("key").to_numpy().view(np.uint64)
-    share, weight = rows.column("share").to_numpy(), rows.column("weight").to_numpy()
+    nodes with their weight of shorter ones, and for every level the seen grams with their chance.
+
+    The bundles are opened level by level and grams get their chances slice by slice: beside the result, the driver
+    has the rows of one level only.
+    """
     root = np.full(256, floor)
-    root[(keys[level == 0] & np.uint64(0xFF)).astype(int)] = share[level == 0]
-    inner = level > 0
-    nodes = keys[inner] & ~np.uint64(0xFF) | level[inner].astype(np.uint64)
-    nodes, first = np.unique(nodes, return_index=True)
+    keys, share, _ = _opened(bundles, 0)
+    root[(keys & np.uint64(0xFF)).astype(int)] = share
+    nodes, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+    for k in range(1, LONGEST + 1):
+        keys, _, weight = _opened(bundles, k)
+        first = _runs(context_of(keys, k))
+        nodes.append(_node(context_of(keys[first], k), k))
+        weights.append(weight[first])
+    nodes, weights = np.concatenate(nodes), np.concatenate(weights)
+    order = np.argsort(nodes)
+    nodes = nodes[order]
+    weights = weights[order]
+    del order
     levels = [(np.zeros(0, np.uint64), np.zeros(0, np.float32)) for _ in range(LONGEST)]
-    tree = root, filter_words, nodes, weight[inner][first].astype(np.float32), levels
+    tree = root, filter_words, nodes, weights, levels
     for k in range(1, LONGEST + 1):
-        at = np.flatnonzero((level == k) & (share > 0))
-        at = at[np.argsort(keys[at])]
-        shorter = _at_level(tree, keys[at], np.full(len(at), k - 1))
-        levels[k - 1] = keys[at], (share[at] + weight[at] * shorter).astype(np.float32)
+        keys, share, weight = _opened(bundles, k)
+        seen = share > 0
+        keys, share, weight = keys[seen], share[seen], weight[seen]
+        for i in range(0, len(keys), SLICE):
+            part = slice(i, i + SLICE)
+            shorter = _at_level(tree, keys[part], np.full(len(keys[part]), k - 1))
+            share[part] = share[part] + weight[part] * shorter
+        levels[k - 1] = keys, share
     return tree
 
 
@@ -447,14 +518,25 @@ def _parcel_schema(id_kind: str) -> str:
 
 
 def _parcels(kind: int, id_type: pa.DataType, run: np.ndarray, row: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Keys and up to three parallel columns in compressed runs, in the order of the keys within a run."""
+    """Keys and up to three parallel columns in compressed runs, in the order of the keys within a run.
+
+    Of open grams a key comes once, with its chance and a mark that tells how many texts of the last column are its own.
+    """
     order = np.lexsort((keys, run))
-    run = run[order]
-    at = _runs(run)
-    cuts = list(zip(at, np.append(at[1:], len(run))))
-    n = len(at)
+    run, keys, columns = run[order], keys[order], [c[order] for c in columns]
+    if kind == OPEN_GRAMS:
+        # equal keys have the same run, chance and level
+        first = _runs(keys)
+        chance, beyond, text = columns
+        ends = np.append(first, len(keys))
+        run, keys, columns = run[first], keys[first], [chance[first], beyond[first] | np.diff(ends).astype(np.uint32) << np.uint32(3)]
+    at = np.append(_runs(run), len(run))
+    cuts = list(zip(at[:-1], at[1:]))
+    n, at = len(cuts), at[:-1]
     nothing = [pa.nulls(n, t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-    bundles = [pa.array([_squeezed(c[i:j]) for i, j in cuts], pa.binary()) for c in (x[order] for x in (keys, *columns))]
+    bundles = [pa.array([_squeezed(c[i:j]) for i, j in cuts], pa.binary()) for c in (keys, *columns)]
+    if kind == OPEN_GRAMS:
+        bundles.append(pa.array([_squeezed(text[ends[i]:ends[j]]) for i, j in cuts], pa.binary()))
     bundles += [pa.nulls(n, pa.binary())] * (4 - len(bundles))
     names = ["run", "kind", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "size", "keys", "first", "second", "third"]
     return pa.RecordBatch.from_arrays(
@@ -659,10 +741,12 @@ def _resolve_kernel(divisor: float, id_type: pa.DataType, parts: int) -> Callabl
                     continue
                 if kind == OPEN_GRAMS:
                     levels = _by_level(rest) if levels is None else levels
-                    logs = np.log10(_carried(levels, keys, column(1, np.float32), column(2, np.uint8)))
-                    text, of = np.unique(column(3, np.uint32), return_inverse=True)
+                    marks = column(2, np.uint32)
+                    logs = np.log10(_carried(levels, keys, column(1, np.float32), marks & 7))
+                    times = marks >> 3
+                    text, of = np.unique(_unsqueezed(bundles[3], int(times.sum()), np.uint32), return_inverse=True)
                     none = np.zeros(len(text))
-                    sums.append((text.astype(np.int64) + row, none, none, np.bincount(of, weights=logs)))
+                    sums.append((text.astype(np.int64) + row, none, none, np.bincount(of, weights=np.repeat(logs, times))))
                 else:
                     counts = (_added(words) if words else (keys[:0], keys[:0])) if counts is None else counts
                     at = np.minimum(np.searchsorted(counts[0], keys), max(len(counts[0]) - 1, 0))
@@ -751,13 +835,14 @@ def score_documents(
         size = min(MOST_BITS, 1 << max(10, (int(BITS_OF_CONTEXT * others)).bit_length())) // 64
         context = F.expr("shiftrightunsigned(key, 64 - 8 * level)")
         pairs = unheld.select("level", context.alias("c")).mapInArrow(_bit_kernel(size), "word long, bits long")
-        set_words = pairs.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        set_words = pairs.groupBy("word").agg(F.bit_or("bits").alias("bits")).select(F.lit(0), "word", "bits").mapInArrow(_bundle_kernel(), BUNDLED).toArrow()
         filter_words = np.zeros(size, np.uint64)
-        filter_words[set_words.column("word").to_numpy()] = set_words.column("bits").to_numpy().view(np.uint64)
+        for n, word, bits in zip(*[set_words.column(c) for c in ("size", "keys", "first")]):
+            filter_words[_unsqueezed(word.as_py(), n.as_py(), np.int64)] = _unsqueezed(bits.as_py(), n.as_py())
         del set_words
     held = spark.sparkContext.broadcast((
         _sorted(_most_frequent(words, frequent_words).select("key", log10(F.col("n")).alias("log"))),
-        hold(weights.where(near).select("level", "key", "share", "weight").toArrow(), filter_words, 0.5 / (seen + 128.0)),
+        hold(weights.where(near).select("level", "key", "share", "weight").mapInArrow(_bundle_kernel(), BUNDLED).toArrow(), filter_words, 0.5 / (seen + 128.0)),
     ))
     end_log10 = float(np.log10((trained + 0.5) / divisor))
     kind = wanted.schema["doc_id"].dataType

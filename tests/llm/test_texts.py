@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -473,6 +474,85 @@ def test_grams_count_every_symbol():
         assert keys == [b"\na", b"\nab", b"\nab ", b"\nab c", b"\nab c ", b"ab c \n", b"\n\n", b"\n\n", b"\nx", b"\nx ", b"\nx \n"]
 
 
+def _bundles(spark, rows):
+    """Rows ``(level, key, share, weight)`` as the driver gets them, from three tasks."""
+    made = spark.createDataFrame(rows, "level int, key long, share float, weight float").repartition(3)
+    return made.mapInArrow(suffix_lm._bundle_kernel(), suffix_lm.BUNDLED).toArrow()
+
+
+def test_held_tree_from_bundles(spark, monkeypatch):
+    """Chances of grams are carried from the root over all held endings, whatever the bundles and slices."""
+    monkeypatch.setattr(suffix_lm, "SLICE", 3)
+    random = np.random.default_rng(3)
+    signed = lambda key: key - 2**64 if key >= 2**63 else key
+    shares = {b"": {x: float(np.float32(random.uniform(0.1, 0.3))) for x in b"abcz"}}
+    weights = {}
+    contexts = [bytes(random.choice(list(b"abz\xff"), k).tolist()) for k in range(1, 8) for _ in range(12)]
+    for whole in contexts:
+        for i in range(len(whole)):
+            # every ending; some are only steps to longer ones
+            context = whole[i:]
+            if context not in shares:
+                step = i and random.random() < 0.3
+                shares[context] = {} if step else {x: float(np.float32(random.uniform(0.1, 0.4))) for x in random.choice(list(b"abcz"), 2, replace=False).tolist()}
+                weights[context] = 1.0 if step else 0.25
+    key = lambda c, x: signed(int.from_bytes(c[::-1].ljust(7, b"\0") + bytes([x])))
+    rows = [(len(c), key(c, x), p, weights.get(c, 1.0)) for c, after in shares.items() for x, p in after.items()]
+    rows += [(len(c), key(c, 0), 0.0, 1.0) for c, after in shares.items() if c and not after]
+    bundles = _bundles(spark, rows)
+    # the driver gets bundles, not a row for every gram
+    assert len(rows) > 200 and bundles.num_rows <= 3 * (suffix_lm.LONGEST + 1)
+    tree = suffix_lm.hold(bundles, np.zeros(0, np.uint64), 0.001)
+
+    def chance(context, x):
+        p = shares[b""].get(x, 0.001)
+        for k in range(1, len(context) + 1):
+            if context[-k:] not in shares:
+                break
+            p = shares[context[-k:]].get(x, 0.0) + weights[context[-k:]] * p
+        return p
+
+    wanted = sorted({(key(c.rjust(7, b"q"), x) & 2**64 - 1, c.rjust(7, b"q"), x) for c in shares for x in b"abczy"})
+    found, beyond = suffix_lm.chances(tree, np.array([k for k, _, _ in wanted], np.uint64))
+    assert np.allclose(found, [chance(c, x) for _, c, x in wanted], rtol=1e-5) and not beyond.any()
+    assert [len(keys) for keys, _ in tree[4]] == [sum(len(a) for c, a in shares.items() if len(c) == k) for k in range(1, 8)]
+
+
+def test_the_driver_opens_one_level_at_a_time():
+    """Beside the held tree itself the driver's arrays stay small."""
+    n = 400_000
+    random = np.random.default_rng(4)
+    rows = pa.table({"level": pa.array(np.full(n, 7, np.int32)), "key": random.integers(0, 2**62, n),
+                     "share": pa.array(np.full(n, 0.5, np.float32)), "weight": pa.array(np.full(n, 0.5, np.float32))})
+    endings = {k: np.unique(suffix_lm.context_of(rows.column("key").to_numpy().view(np.uint64), k)) for k in range(1, 7)}
+    tables = [rows]
+    for k, contexts in endings.items():
+        tables.append(pa.table({"level": pa.array(np.full(len(contexts), k, np.int32)), "key": (contexts << np.uint64(64 - 8 * k)).view(np.int64),
+                                "share": pa.array(np.zeros(len(contexts), np.float32)), "weight": pa.array(np.ones(len(contexts), np.float32))}))
+    batches = [b for t in tables for b in t.to_batches()]
+    bundles = pa.Table.from_batches(list(suffix_lm._bundle_kernel()(iter(batches))))
+    held = sum(t.num_rows for t in tables)
+    # rows of 20 bytes each came to the driver before
+    assert bundles.nbytes < 0.75 * 20 * held
+    tracemalloc.start()
+    tree = suffix_lm.hold(bundles, np.zeros(0, np.uint64), 0.001)
+    size, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(tree[2]) == held and len(tree[4][6][0]) == len(np.unique(rows.column("key").to_numpy()))
+    assert peak < 2.5 * size
+
+
+def test_open_grams_come_once():
+    """A parcel has every gram once, with the texts it stands in."""
+    keys, text = np.array([9, 5, 9, 9, 5], np.uint64) << np.uint64(50), np.array([3, 1, 1, 3, 0], np.uint32)
+    chance, beyond, run = np.array([0.5, 0.25, 0.5, 0.5, 0.25], np.float32), np.array([7, 2, 7, 7, 2], np.uint8), np.array([4, 1, 4, 4, 1], np.int32)
+    parcels = suffix_lm._parcels(suffix_lm.OPEN_GRAMS, pa.int64(), run, 10, keys, chance, beyond, text)
+    read = lambda r, column, n, kind: suffix_lm._unsqueezed(r[column], n, kind).tolist()
+    found = [(r["run"], r["row"], r["size"], read(r, "keys", 1, np.uint64), read(r, "first", 1, np.float32), read(r, "second", 1, np.uint32)) for r in parcels.to_pylist()]
+    assert found == [(1, 10, 1, [5 << 50], [0.25], [2 << 3 | 2]), (4, 10, 1, [9 << 50], [0.5], [3 << 3 | 7])]
+    assert [sorted(read(r, "third", n, np.uint32)) for r, n in zip(parcels.to_pylist(), (2, 3))] == [[0, 1], [1, 3, 3]]
+
+
 def test_score_beats_the_base(make_docs):
     """Words of three syllables, of which each of two languages has its own twenty."""
     random = np.random.default_rng(5)
