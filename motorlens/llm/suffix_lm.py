@@ -138,6 +138,33 @@ def _unsqueezed(data: bytes, size: int, kind: type = np.uint64) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
 
 
+def _squeezed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the number of leading bytes each shares with the one before and its other bytes, place by place, compressed."""
+    n = len(keys)
+    same, apart = np.zeros(n, np.uint8), keys[1:] ^ keys[:-1]
+    for j in range(1, 8):
+        same[1:] += apart < np.uint64(1 << (64 - 8 * j))
+    rows = keys.byteswap().view(np.uint8).reshape(n, 8)
+    # as long as it can get, so that the number of keys tells its size
+    out, at = np.zeros(9 * n, np.uint8), n
+    out[:n] = same
+    for j in range(8):
+        own = rows[same <= j, j]
+        out[at : at + len(own)] = own
+        at += len(own)
+    return pa.compress(out.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueezed_keys(data: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(pa.decompress(data, decompressed_size=9 * size, codec="zstd", asbytes=True), np.uint8)
+    same, rows, at = out[:size], np.empty((size, 8), np.uint8), size
+    for j in range(8):
+        own = np.cumsum(same <= j)
+        rows[:, j] = out[at + own - 1]
+        at += int(own[-1])
+    return rows.view(np.uint64).ravel().byteswap()
+
+
 def packed(kind: int, keys: np.ndarray, counts: np.ndarray, low: int, runs: int) -> pa.RecordBatch:
     """Sorted keys and their counts in compressed runs; grams of one ending of ``low`` symbols, and equal words, go to the same run."""
     run = (mixed(keys if kind == WORD else context_of(keys, low), 77) % np.uint64(runs)).astype(np.uint16 if runs < 1 << 16 else np.int32)
@@ -520,23 +547,24 @@ def _parcel_schema(id_kind: str) -> str:
 def _parcels(kind: int, id_type: pa.DataType, run: np.ndarray, row: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """Keys and up to three parallel columns in compressed runs, in the order of the keys within a run.
 
-    Of open grams a key comes once, with its chance and a mark that tells how many texts of the last column are its own.
+    A key of open grams or rare words comes once, with how many texts of the last column are its own; a column between them is the key's.
     """
     order = np.lexsort((keys, run))
     run, keys, columns = run[order], keys[order], [c[order] for c in columns]
-    if kind == OPEN_GRAMS:
-        # equal keys have the same run, chance and level
+    if kind in (OPEN_GRAMS, RARE_WORDS):
+        # equal keys have the same run and level
         first = _runs(keys)
-        chance, beyond, text = columns
         ends = np.append(first, len(keys))
-        run, keys, columns = run[first], keys[first], [chance[first], beyond[first] | np.diff(ends).astype(np.uint32) << np.uint32(3)]
+        *own, text = columns
+        run, keys, columns = run[first], keys[first], [np.diff(ends).astype(np.uint32), *[c[first] for c in own]]
     at = np.append(_runs(run), len(run))
     cuts = list(zip(at[:-1], at[1:]))
     n, at = len(cuts), at[:-1]
     nothing = [pa.nulls(n, t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-    bundles = [pa.array([_squeezed(c[i:j]) for i, j in cuts], pa.binary()) for c in (keys, *columns)]
-    if kind == OPEN_GRAMS:
-        bundles.append(pa.array([_squeezed(text[ends[i]:ends[j]]) for i, j in cuts], pa.binary()))
+    bundles = [pa.array([_squeezed_keys(keys[i:j]) for i, j in cuts], pa.binary())]
+    bundles += [pa.array([_squeezed(c[i:j]) for i, j in cuts], pa.binary()) for c in columns]
+    if kind in (OPEN_GRAMS, RARE_WORDS):
+        bundles.insert(2, pa.array([_squeezed(text[ends[i]:ends[j]]) for i, j in cuts], pa.binary()))
     bundles += [pa.nulls(n, pa.binary())] * (4 - len(bundles))
     names = ["run", "kind", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "size", "keys", "first", "second", "third"]
     return pa.RecordBatch.from_arrays(
@@ -601,8 +629,8 @@ def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, d
 
         def flush() -> Iterator[pa.RecordBatch]:
             if sum(len(w[0]) for w in open_grams):
-                keys, chance, beyond, text = (np.concatenate([w[i] for w in open_grams]) for i in range(4))
-                yield _parcels(OPEN_GRAMS, id_type, _run_of_first(keys, beyond, runs), since, keys, chance, beyond, text)
+                keys, beyond, text = (np.concatenate([w[i] for w in open_grams]) for i in range(3))
+                yield _parcels(OPEN_GRAMS, id_type, _run_of_first(keys, beyond, runs), since, keys, beyond, text)
             if sum(len(w[0]) for w in rare_words):
                 keys, text = (np.concatenate([w[i] for w in rare_words]) for i in range(2))
                 yield _parcels(RARE_WORDS, id_type, _run_of_word(keys, runs), since, keys, text)
@@ -623,9 +651,7 @@ def _score_kernel(held: Callable[[], tuple], end_log10: float, end_known: int, d
                 sums = np.bincount(text, weights=logs[of], minlength=n)
                 open_ = np.flatnonzero((beyond != 0)[of])
                 of = of[open_]
-                # the lowest byte of a chance, rounded off, takes no room
-                short = ((chance.astype(np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
-                open_grams.append((keys[of], short[of], beyond[of], (text[open_] + (row - since)).astype(np.uint32)))
+                open_grams.append((keys[of], beyond[of], (text[open_] + (row - since)).astype(np.uint32)))
                 rare_words.append((hashes[rare], (owner[rare] + (row - since)).astype(np.uint32)))
                 numbers = np.arange(row, row + n)
                 yield pa.RecordBatch.from_arrays(
@@ -697,7 +723,7 @@ def _sum_schema(id_kind: str) -> str:
             "size bigint, rows binary, knowns binary, bases binary, scores binary")
 
 
-def _resolve_kernel(divisor: float, id_type: pa.DataType, parts: int) -> Callable:
+def _resolve_kernel(held: Callable[[], tuple], divisor: float, id_type: pa.DataType, parts: int) -> Callable:
     """Runs in their order to the rows of texts, as they came, and parcels of sums to be added to them."""
     own_names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
     names = ["part", *own_names, "size", "rows", "knowns", "bases", "scores"]
@@ -710,7 +736,10 @@ def _resolve_kernel(divisor: float, id_type: pa.DataType, parts: int) -> Callabl
         at = _runs(part)
         cuts = list(zip(at, np.append(at[1:], len(part))))
         nothing = [pa.nulls(len(at), t) for t in (pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        bundles = [pa.array([_squeezed(c[i:j]) for i, j in cuts], pa.binary()) for c in (x[order] for x in (rows, known, base, score))]
+        rows = rows[order]
+        # rows that follow each other are told by their steps
+        bundles = [pa.array([_squeezed(np.diff(rows[i:j], prepend=0)) for i, j in cuts], pa.binary())]
+        bundles += [pa.array([_squeezed(c[i:j]) for i, j in cuts], pa.binary()) for c in (x[order] for x in (known.astype(np.int32), base, score.astype(np.float32)))]
         return pa.RecordBatch.from_arrays(
             [pa.array(part[at]), *nothing, pa.array(np.array([j - i for i, j in cuts], np.int64)), *bundles], names=names)
 
@@ -732,20 +761,21 @@ def _resolve_kernel(divisor: float, id_type: pa.DataType, parts: int) -> Callabl
                 if run != now:
                     now, rest, words, levels, counts = run, [], [], None, None
                 column = lambda j, t: _unsqueezed(bundles[j], size, t)  # noqa: B023, E731
-                keys = column(0, np.uint64)
+                keys = _unsqueezed_keys(bundles[0], size)
                 if kind == TREE_ROWS:
                     rest.append((keys, column(1, np.float32), column(2, np.float32), column(3, np.uint8)))
                     continue
                 if kind == WORD_ROWS:
                     words.append((keys, column(1, np.int64).view(np.uint64)))
                     continue
+                times = column(1, np.uint32)
+                text, of = np.unique(_unsqueezed(bundles[2], int(times.sum()), np.uint32), return_inverse=True)
+                none = np.zeros(len(text))
                 if kind == OPEN_GRAMS:
                     levels = _by_level(rest) if levels is None else levels
-                    marks = column(2, np.uint32)
-                    logs = np.log10(_carried(levels, keys, column(1, np.float32), marks & 7))
-                    times = marks >> 3
-                    text, of = np.unique(_unsqueezed(bundles[3], int(times.sum()), np.uint32), return_inverse=True)
-                    none = np.zeros(len(text))
+                    beyond = column(3, np.uint8).astype(np.int64)
+                    # what the held contexts tell of them is looked up here again instead of travelling with every gram
+                    logs = np.log10(_carried(levels, keys, _at_level(held()[1], keys, beyond - 1), beyond))
                     sums.append((text.astype(np.int64) + row, none, none, np.bincount(of, weights=np.repeat(logs, times))))
                 else:
                     counts = (_added(words) if words else (keys[:0], keys[:0])) if counts is None else counts
@@ -753,9 +783,8 @@ def _resolve_kernel(divisor: float, id_type: pa.DataType, parts: int) -> Callabl
                     known = counts[0][at] == keys if len(counts[0]) else np.zeros(size, bool)
                     n = np.zeros(size)
                     n[known] = counts[1][at[known]]
-                    text, of = np.unique(column(1, np.uint32), return_inverse=True)
-                    sums.append((text.astype(np.int64) + row, np.bincount(of, weights=known),
-                                 np.bincount(of, weights=np.log10((n + 0.5) / divisor)), np.zeros(len(text))))
+                    sums.append((text.astype(np.int64) + row, np.bincount(of, weights=np.repeat(known, times)),
+                                 np.bincount(of, weights=np.repeat(np.log10((n + 0.5) / divisor), times)), none))
                 pending += len(text)
                 if pending >= GRAMS_TOGETHER:
                     sums = [_added_sums(sums)]
@@ -778,7 +807,8 @@ def _add_kernel() -> Callable:
             whole = batch.column("size").is_null()
             texts.append(batch.filter(whole).select(["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"]))
             for size, *bundles in zip(*[batch.filter(pc.invert(whole)).column(c).to_pylist() for c in ("size", "rows", "knowns", "bases", "scores")]):
-                sums.append((_unsqueezed(bundles[0], size, np.int64), *[_unsqueezed(b, size, np.float64) for b in bundles[1:]]))
+                steps, *more = (_unsqueezed(b, size, t) for b, t in zip(bundles, (np.int64, np.int32, np.float64, np.float32)))
+                sums.append((np.cumsum(steps), *more))
             if len(sums) > 64:
                 sums = [_added_sums(sums)]
         rows, *more = _added_sums(sums)
@@ -856,7 +886,7 @@ def score_documents(
     if rows:
         parcels = parcels.unionByName(unheld.select("level", "key", "share", "weight").mapInArrow(_rest_kernel(value, id_type, runs), schema))
     resolved = parcels.repartition(tasks, "run").sortWithinPartitions("run", "kind").mapInArrow(
-        _resolve_kernel(divisor, id_type, 4 * tasks), _sum_schema(kind.simpleString()))
+        _resolve_kernel(value, divisor, id_type, 4 * tasks), _sum_schema(kind.simpleString()))
     added = resolved.repartition(tasks, "part").mapInArrow(
         _add_kernel(), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return materialise(added.withColumn("train_tokens", F.lit(total).cast("bigint")).select(

@@ -542,15 +542,25 @@ def test_the_driver_opens_one_level_at_a_time():
     assert peak < 2.5 * size
 
 
-def test_open_grams_come_once():
-    """A parcel has every gram once, with the texts it stands in."""
+def test_open_grams_and_rare_words_come_once():
+    """A parcel has every key once, with the texts it stands in."""
     keys, text = np.array([9, 5, 9, 9, 5], np.uint64) << np.uint64(50), np.array([3, 1, 1, 3, 0], np.uint32)
-    chance, beyond, run = np.array([0.5, 0.25, 0.5, 0.5, 0.25], np.float32), np.array([7, 2, 7, 7, 2], np.uint8), np.array([4, 1, 4, 4, 1], np.int32)
-    parcels = suffix_lm._parcels(suffix_lm.OPEN_GRAMS, pa.int64(), run, 10, keys, chance, beyond, text)
+    beyond, run = np.array([7, 2, 7, 7, 2], np.uint8), np.array([4, 1, 4, 4, 1], np.int32)
     read = lambda r, column, n, kind: suffix_lm._unsqueezed(r[column], n, kind).tolist()
-    found = [(r["run"], r["row"], r["size"], read(r, "keys", 1, np.uint64), read(r, "first", 1, np.float32), read(r, "second", 1, np.uint32)) for r in parcels.to_pylist()]
-    assert found == [(1, 10, 1, [5 << 50], [0.25], [2 << 3 | 2]), (4, 10, 1, [9 << 50], [0.5], [3 << 3 | 7])]
-    assert [sorted(read(r, "third", n, np.uint32)) for r, n in zip(parcels.to_pylist(), (2, 3))] == [[0, 1], [1, 3, 3]]
+    for kind, columns in ((suffix_lm.OPEN_GRAMS, (beyond, text)), (suffix_lm.RARE_WORDS, (text,))):
+        parcels = suffix_lm._parcels(kind, pa.int64(), run, 10, keys, *columns).to_pylist()
+        assert [(r["run"], r["row"], r["size"], suffix_lm._unsqueezed_keys(r["keys"], 1).tolist(), read(r, "first", 1, np.uint32)) for r in parcels] == [
+            (1, 10, 1, [5 << 50], [2]), (4, 10, 1, [9 << 50], [3])]
+        assert [sorted(read(r, "second", n, np.uint32)) for r, n in zip(parcels, (2, 3))] == [[0, 1], [1, 3, 3]]
+        assert [r["third"] and read(r, "third", 1, np.uint8) for r in parcels] == ([[2], [7]] if kind == suffix_lm.OPEN_GRAMS else [None, None])
+
+
+def test_keys_come_back_from_their_shared_bytes():
+    random = np.random.default_rng(6)
+    for keys in (random.integers(0, 2**64, 1000, np.uint64), random.integers(0, 9, 1000).astype(np.uint64) << np.uint64(55), np.array([0], np.uint64),
+                 np.array([2**64 - 1, 2**64 - 1, 0, 7], np.uint64), np.repeat(random.integers(0, 2**64, 50, np.uint64), 3)):
+        for each in (keys, np.sort(keys)):
+            assert (suffix_lm._unsqueezed_keys(suffix_lm._squeezed_keys(each), len(each)) == each).all()
 
 
 def test_score_beats_the_base(make_docs):
