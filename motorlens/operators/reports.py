@@ -13,11 +13,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from motorlens.functions import parcels as P
 from motorlens.functions.clock import Moment, after, before, floor_to, moment, seconds_between, within
 from motorlens.functions.expressions import PHASES, banded, mean_of_present, present_phases
 from motorlens.session import materialise
 
+# rows from which a report of wide rows packs them for the shuffle
+PACKED_FROM = 2_000_000
 # fixed values of the reports
 LISTED_ABOVE = 0.5
 HIGH_RISK_ABOVE = 0.7
@@ -87,22 +92,44 @@ def features_analysis(features: DataFrame, signals: DataFrame, equipment: DataFr
 
 
 def predictions_detailed(
-    predictions: DataFrame, features: DataFrame, signals: DataFrame, equipment: DataFrame, defect_types: DataFrame
+    predictions: DataFrame, features: DataFrame, signals: DataFrame, equipment: DataFrame, defect_types: DataFrame,
+    packed_from: int = PACKED_FROM,
 ) -> DataFrame:
-    # features are narrow here, so they meet their machines before the predictions
-    source = features.select(F.col("id").alias("feature_id"), "raw_id", "window_start", "window_end").join(
-        _owners(signals, equipment), "raw_id")
+    """Predictions with their feature's window, its machine and the defect, if it is listed.
+
+    From ``packed_from`` predictions and features on, both cross the shuffles in compressed
+    parcels, and every task joins a slot of them in memory.
+    """
+    source = features.select(F.col("id").alias("feature_id"), "raw_id", "window_start", "window_end")
     rows = predictions.select(
         "id", "feature_id", "defect_type_id", "probability", "predicted_severity", "confidence", "model_name", "model_version", "created_at")
     defect = defect_types.select(
         F.col("id").alias("defect_type_id"), F.col("code").alias("defect_code"), F.col("name").alias("defect_name"),
         F.col("category").alias("defect_category"),
     )
-    return rows.join(defect, "defect_type_id", "left").join(source, "feature_id").select(
+    owners = _owners(signals, equipment)
+    # features are narrow here, so they meet their machines before the predictions
+    joined = rows.join(defect, "defect_type_id", "left").join(source.join(owners, "raw_id"), "feature_id").select(
         "id", "feature_id", "raw_id", "equipment_id", "equipment_code", "equipment_name", "window_start", "window_end",
         "defect_type_id", "defect_code", "defect_name", "defect_category", "probability", "predicted_severity",
         "confidence", "model_name", "model_version", "created_at",
     )
+    pairs = [(rows, source, "feature_id"), (source, owners, "raw_id"), (rows, defect, "defect_type_id")]
+    kinds = [(a.schema[key].dataType, b.schema[key].dataType) for a, b, key in pairs]
+    n, m = rows.count(), source.count()
+    if n + m < packed_from or any(a != b or not isinstance(a, (T.StringType, T.IntegralType)) for a, b in kinds):
+        return joined
+    rows, source = rows.where(F.col("feature_id").isNotNull()), source.where(F.col("feature_id").isNotNull() & F.col("raw_id").isNotNull())
+    by_feature, by_defect = P.slots_by(rows, n, "feature_id", "id", m), P.slots_by(rows, n, "defect_type_id", "id")
+    by_recording = P.slots_by(source, m, "raw_id", "feature_id")
+    listed = P.packed(defect.where(F.col("defect_type_id").isNotNull()).withColumn(P.SLOT, F.explode(by_defect.every)), P.LOOKUP)
+    owned = P.packed(owners.where(F.col("raw_id").isNotNull()).withColumn(P.SLOT, F.explode(by_recording.every)), P.LOOKUP)
+    rows = P.packed(rows.select("*", by_defect.one.alias(P.SLOT), by_feature.one.alias(P.NEXT)), P.ROWS)
+    source = P.packed(source.select("*", by_recording.one.alias(P.SLOT), F.explode(by_feature.every).alias(P.NEXT)), P.ROWS)
+    absent = {c: to_arrow_type(defect.schema[c].dataType) for c in defect.columns[1:]}
+    return P.met_rows(
+        P.met(rows, listed, by_defect.n, "defect_type_id", absent, P.ROWS),
+        P.met(source, owned, by_recording.n, "raw_id", None, P.LOOKUP), by_feature.n, "feature_id", joined.schema)
 
 
 def equipment_summary(
